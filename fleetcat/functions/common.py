@@ -22,3 +22,14 @@ def contains_any(c, needles) -> Column:
     for n in needles:
         out = out | c.contains(n)
     return F.coalesce(out, F.lit(False))
+
+
+def let(value, fn) -> Column:
+    """Bind ``value`` once and build ``fn(value)`` from it.
+
+    Multi-step string rules reuse each intermediate result several times; as a
+    plain Column tree every reuse copies the whole subtree, so the tree (and
+    its generated code) grows exponentially with the number of steps.  A
+    one-element ``transform`` binds the value to a lambda variable instead.
+    """
+    return F.element_at(F.transform(F.array(col_of(value)), fn), 1)

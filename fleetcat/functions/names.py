@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fleetcat.functions.common import col_of, py_strip
+from fleetcat.functions.common import col_of, let, py_strip
 
 # Fixed values that must equal the reference's rules.
 # System-table name prefixes:
@@ -95,7 +95,7 @@ def well_of(raw) -> Column:
 def well_label(well) -> Column:
     """Readable label of a role, falling back to the role itself."""
     c = col_of(well)
-    return F.coalesce(F.element_at(_map_lit(WELL_LABELS), c), c)
+    return F.coalesce(F.try_element_at(_map_lit(WELL_LABELS), c), c)
 
 
 def visual_label(vtype) -> Column:
@@ -118,21 +118,31 @@ def clean_field_name(raw) -> Column:
     aggregate wrapper; drop trailing unbalanced ')'; drop a one- or two-digit
     alias suffix after a non-digit; strip whitespace.
     """
-    s = col_of(raw).cast("string")
-    s = F.regexp_replace(s, rf"^({_WELL_ALT}): ", "")
-    resolved = F.element_at(F.split(s, " -> "), -1)
-    bracket = F.regexp_extract(resolved, r"\[([^\]]+)\]", 1)
-    s = F.when(s.contains(" -> "), F.when(bracket != "", bracket).otherwise(resolved)).otherwise(s)
-    s = F.when(s.contains("."), F.element_at(F.split(s, r"\."), -1)).otherwise(s)
     agg_re = rf"(?id)^(?:{'|'.join(AGG_WRAPPERS)})\((.+)\)$"
-    inner = F.regexp_extract(s, agg_re, 1)
-    inner_br = F.regexp_extract(inner, r"\[([^\]]+)\]", 1)
-    s = F.when(s.rlike(agg_re), F.when(inner_br != "", inner_br).otherwise(inner)).otherwise(s)
-    n_close = F.length(s) - F.length(F.replace(s, F.lit(")"), F.lit("")))
-    n_open = F.length(s) - F.length(F.replace(s, F.lit("("), F.lit("")))
-    trailing = F.length(F.regexp_extract(s, r"(\)*)$", 1))
-    cut = F.greatest(F.lit(0), F.least(trailing, n_close - n_open))
-    s = F.substring(s, F.lit(1), F.length(s) - cut)
+
+    def resolve(s):
+        resolved = F.element_at(F.split(s, " -> "), -1)
+        bracket = F.regexp_extract(resolved, r"\[([^\]]+)\]", 1)
+        return F.when(s.contains(" -> "), F.when(bracket != "", bracket).otherwise(resolved)).otherwise(s)
+
+    def last_dotted(s):
+        return F.when(s.contains("."), F.element_at(F.split(s, r"\."), -1)).otherwise(s)
+
+    def unwrap_agg(s):
+        inner = F.regexp_extract(s, agg_re, 1)
+        inner_br = F.regexp_extract(inner, r"\[([^\]]+)\]", 1)
+        return F.when(s.rlike(agg_re), F.when(inner_br != "", inner_br).otherwise(inner)).otherwise(s)
+
+    def drop_unbalanced(s):
+        n_close = F.length(s) - F.length(F.replace(s, F.lit(")"), F.lit("")))
+        n_open = F.length(s) - F.length(F.replace(s, F.lit("("), F.lit("")))
+        trailing = F.length(F.regexp_extract(s, r"(\)*)$", 1))
+        cut = F.greatest(F.lit(0), F.least(trailing, n_close - n_open))
+        return F.substring(s, F.lit(1), F.length(s) - cut)
+
+    s = F.regexp_replace(col_of(raw).cast("string"), rf"^({_WELL_ALT}): ", "")
+    for step in (resolve, last_dotted, unwrap_agg, drop_unbalanced):
+        s = let(s, step)
     s = F.regexp_replace(s, r"(\D)(\d{1,2})$", "$1")
     return py_strip(s)
 

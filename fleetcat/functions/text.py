@@ -31,6 +31,8 @@ BACKGROUND_AREA_SHARE = 0.70
 CONTROL_TYPES = ("button", "slicer", "shape", "textbox", "actionbutton")
 
 _KEYS = "|".join(SECRET_KEYS)
+# Unquoted key=value pattern redacted before HTML escaping (P6):
+ESCAPE_REDACT = rf"(?i)(({_KEYS})\s*=\s*)([^&\"'\s\\]+)"
 
 
 def redact_secrets(text) -> Column:
@@ -41,7 +43,7 @@ def redact_secrets(text) -> Column:
 
 def escape_html(text) -> Column:
     """Redact unquoted ``key=value`` then HTML-escape; null -> ''."""
-    s = F.regexp_replace(col_of(text).cast("string"), rf"(?i)(({_KEYS})\s*=\s*)([^&\"'\s\\]+)", "$1***")
+    s = F.regexp_replace(col_of(text).cast("string"), ESCAPE_REDACT, "$1***")
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         s = F.replace(s, F.lit(a), F.lit(b))
     return F.coalesce(s, F.lit(""))

@@ -46,3 +46,28 @@ def clean_field(col: str, out: str, tag: str = "cf") -> str:
         f"{pystrip(p + '6')} as {out}",
     ]
     return ", ".join(items)
+
+
+def case_map(col: str, pairs, default: str | None = None) -> str:
+    """CASE col WHEN k THEN v ... ELSE default (or col) END."""
+    whens = " ".join(f"when {q(k)} then {q(v)}" for k, v in pairs)
+    return f"(case {col} {whens} else {default or col} end)"
+
+
+def escape_html(col: str) -> str:
+    """P6 in DuckDB: unquoted key=value redaction, then the five HTML escapes."""
+    from fleetcat.functions.text import ESCAPE_REDACT
+    s = f"regexp_replace(cast({col} as varchar), {q(ESCAPE_REDACT)}, '\\1***', 'g')"
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        s = f"replace({s}, {q(a)}, {q(b)})"
+    return f"coalesce({s}, '')"
+
+
+def visual_label(col: str) -> str:
+    from fleetcat.functions.names import VISUAL_LABELS
+    return case_map(col, VISUAL_LABELS)
+
+
+def visual_description(type_col: str, title_col: str) -> str:
+    return (f"({visual_label(type_col)} || case when coalesce({title_col}, '') <> '' "
+            f"then ' \"' || {escape_html(title_col)} || '\"' else '' end)")

@@ -87,6 +87,7 @@ select l_orderkey % 20 as model_id, l_orderkey as page_id,
  cast(case when l_partkey % 9 = 0 then 1280 else 100 + (l_suppkey % 5) * 60 end as double) as width,
  cast(case when l_partkey % 9 = 0 then 720 else 60 + (l_suppkey % 4) * 45 end as double) as height,
  cast(l_linenumber % 3 as double) as z, l_returnflag = 'A' as hidden,
+ l_partkey as src_key,
  case l_partkey % 3
   when 0 then 'Values: Sum(part.x) -> Agg(part[Measure ' || cast(l_partkey as string) || '])'
   when 1 then 'Category: part.p_brand -> part[p_brand]'
@@ -94,6 +95,17 @@ select l_orderkey % 20 as model_id, l_orderkey as page_id,
 from {lineitem}
 """
 
+# cat_visual_fields: three bound fields per visual, in several roles, for per-role listings.
+CAT_VISUAL_FIELDS = """
+select v.model_id, v.page_id, v.pos, v.type, f.field_no,
+ case (v.src_key + f.field_no) % 4
+  when 0 then 'Values: Sum(part.x) -> Agg(part[Measure ' || cast(v.src_key + f.field_no as string) || '])'
+  when 1 then 'Category: part.p_brand -> part[p_brand]'
+  when 2 then 'Y: Measure ' || cast(v.src_key as string) || ' -> part[Measure ' || cast(v.src_key as string) || ']'
+  else 'Tooltips: Count(part.p_type)) -> part.p_type' end as field
+from ({visuals}) v cross join (values (1), (2), (3)) as f(field_no)
+"""
+
 # cat_pages: one page per order; page size 1280 x 720, some hidden.
 CAT_PAGES = """
 select o_orderkey % 20 as model_id, o_orderkey as page_id, 'Page ' || cast(o_orderkey as string) as page_name,
@@ -136,6 +148,7 @@ FIXTURES: dict[str, tuple[str, tuple[str, ...]]] = {
     "cat_relationships": (CAT_RELATIONSHIPS, ("supplier",)),
     "cat_visuals": (CAT_VISUALS, ("lineitem",)),
     "cat_pages": (CAT_PAGES, ("orders",)),
+    "cat_visual_fields": (CAT_VISUAL_FIELDS, ("lineitem",)),
     "cat_definitions": (CAT_DEFINITIONS, ("part",)),
     "cat_expressions": (CAT_EXPRESSIONS, ("customer",)),
 }
@@ -144,6 +157,8 @@ FIXTURES: dict[str, tuple[str, tuple[str, ...]]] = {
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Build one derived catalog table from the driver tables under ``sf_dir``."""
     sql, deps = FIXTURES[name]
+    if "{visuals}" in sql:
+        sql = sql.replace("{visuals}", CAT_VISUALS.strip())
     return spark.sql(sql, **{d: read_table(spark, sf_dir, d) for d in deps})
 
 
@@ -156,5 +171,6 @@ def oracle_ctes(*names: str) -> str:
     parts = []
     for n in names:
         sql, deps = FIXTURES[n]
+        sql = sql.replace("{visuals}", CAT_VISUALS.strip())
         parts.append(f"{n} AS ({sql.format(**{d: d for d in deps})})")
     return "WITH " + ",\n".join(parts) + "\n"
