@@ -30,4 +30,4 @@ def register(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import every plan module so its queries register."""
-    from fleetcat.plans import catalog_queries, layout_queries, measure_queries, source_queries  # noqa: F401
+    from fleetcat.plans import catalog_queries, layout_queries, measure_queries, scalar_queries, source_queries  # noqa: F401

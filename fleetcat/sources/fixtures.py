@@ -28,7 +28,8 @@ select p_partkey % 20 as model_id, p_partkey as ordinal,
   when 2 then 'VAR p_size = 1 RETURN [p_size] + part[p_retailprice] -- [Measure 2]'
   when 3 then 'CALCULATE([Measure ' || cast(p_partkey - 40 as string) || '], part[p_size] > ' || cast(p_size as string) || ')'
   else '"[Measure 1]" & [p_brand] // [p_type]' end as expression,
- case when p_partkey % 4 = 0 then '#,0.00' else '' end as format_string
+ case when p_partkey % 4 = 0 then '#,0.00' else '' end as format_string,
+ case p_partkey % 7 when 0 then '' when 1 then 'nan' else 'About ' || p_name end as description
 from {part}
 """
 
@@ -82,7 +83,10 @@ CAT_VISUALS = """
 select l_orderkey % 20 as model_id, l_orderkey as page_id,
  row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) as pos,
  case l_suppkey % 6 when 0 then 'textbox' when 1 then 'actionButton' when 2 then 'slicer' when 3 then 'card' when 4 then 'barChart' else 'tableEx' end as type,
- case when l_linenumber % 2 = 0 then '' else 'Title ' || cast(l_partkey as string) end as title,
+ case when l_linenumber % 2 = 0 then ''
+      when l_partkey % 50 = 1 then 'tooltip ' || cast(l_partkey as string)
+      when l_partkey % 50 = 3 then 'NoRecords'
+      else 'Title ' || cast(l_partkey as string) end as title,
  cast((l_partkey % 4) * 320 as double) as x, cast((l_suppkey % 3) * 240 as double) as y,
  cast(case when l_partkey % 9 = 0 then 1280 else 100 + (l_suppkey % 5) * 60 end as double) as width,
  cast(case when l_partkey % 9 = 0 then 720 else 60 + (l_suppkey % 4) * 45 end as double) as height,
@@ -102,7 +106,13 @@ select v.model_id, v.page_id, v.pos, v.type, f.field_no,
   when 0 then 'Values: Sum(part.x) -> Agg(part[Measure ' || cast(v.src_key + f.field_no as string) || '])'
   when 1 then 'Category: part.p_brand -> part[p_brand]'
   when 2 then 'Y: Measure ' || cast(v.src_key as string) || ' -> part[Measure ' || cast(v.src_key as string) || ']'
-  else 'Tooltips: Count(part.p_type)) -> part.p_type' end as field
+  else 'Tooltips: Count(part.p_type)) -> part.p_type' end as field,
+ case (v.src_key + f.field_no) % 4
+  when 0 then '{{"Aggregation":{{"Expression":{{"Measure":{{"Expression":{{"SourceRef":{{"Entity":"part"}}}},"Property":"Measure '
+       || cast(v.src_key + f.field_no as string) || '"}}}},"Function":0}}}}'
+  when 1 then '{{"Column":{{"Expression":{{"SourceRef":{{"Entity":"part"}}}},"Property":"p_brand"}}}}'
+  when 2 then '{{"Measure":{{"Expression":{{"SourceRef":{{"Entity":"part"}}}},"Property":"Measure ' || cast(v.src_key as string) || '"}}}}'
+  else '{{"HierarchyLevel":{{"Expression":{{"Hierarchy":{{"Hierarchy":"Dates"}}}},"Level":"Year"}}}}' end as field_json
 from ({visuals}) v cross join (values (1), (2), (3)) as f(field_no)
 """
 
