@@ -1 +1,196 @@
-"""Registered queries (placeholder until filled)."""
+"""Registered definition-text queries: S1 and segmentation round trips.
+
+Each query renders catalog rows as definition text, segments the text with
+the window jobs of ``operators.segment`` and returns the recovered rows; the
+oracle is the generating rows (with the reference's whitespace rules applied).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from fleetcat.operators import segment as seg
+from fleetcat.plans.registry import register
+from fleetcat.plans.sqlbits import pystrip, q
+from fleetcat.session import read_table
+from fleetcat.sources import definitions as defs
+from fleetcat.sources.fixtures import catalog, oracle_ctes
+
+KEYS = ["model_id", "file"]
+NL, TAB = "chr(10)", "chr(9)"
+
+
+def _measure_lines(spark, sf_dir):
+    m = catalog(spark, sf_dir, "cat_measures")["cat_measures"]
+    return seg.lines_of(defs.table_files(measures=m), KEYS)
+
+
+def _blocks(lines):
+    return seg.table_blocks(lines, KEYS)
+
+
+# lines per measure block: header, expression body by mode, optional format line, blank line
+_MEASURE_LINES_SQL = """
+, per AS (select model_id, table_name, ordinal, format_string,
+            1 + case ordinal % 3 when 0 then 0 when 1 then 3 else 1 end + case when format_string <> '' then 1 else 0 end + 1 as n
+          from cat_measures)
+"""
+
+
+@register("S1_scan_definition_lines", oracle=oracle_ctes("cat_measures") + _MEASURE_LINES_SQL + """
+select model_id, table_name as file, cast(1 + sum(n) as bigint) as n_lines from per group by model_id, table_name
+""")
+def s1_scan(spark, sf_dir):
+    """Render definition files, write them to the shared folder, scan them back, count lines per file."""
+    m = catalog(spark, sf_dir, "cat_measures")["cat_measures"]
+    path = defs.write_definition_files(defs.table_files(measures=m))
+    lines = defs.scan_definition_lines(spark, path)
+    return lines.groupBy("model_id", "file").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+@register("T1_indent_level", oracle=oracle_ctes("cat_measures") + """
+, l AS (
+  select model_id, 1 as indent, count(*) as n from cat_measures group by model_id
+  union all select model_id, 3, sum(case ordinal % 3 when 0 then 0 when 1 then 3 else 1 end) from cat_measures group by model_id
+  union all select model_id, 2, count(*) filter (where format_string <> '') from cat_measures group by model_id
+  union all select model_id, 0, count(*) from cat_measures group by model_id)
+select model_id, indent, cast(sum(n) as bigint) as n_lines from l group by model_id, indent having sum(n) > 0
+""")
+def t1_indent(spark, sf_dir):
+    lines = _measure_lines(spark, sf_dir)
+    return (lines.select("model_id", seg.indent_level(F.col("line")).alias("indent"))
+            .groupBy("model_id", "indent").agg(F.count(F.lit(1)).alias("n_lines")))
+
+
+@register("T2_header_name", oracle=oracle_ctes("cat_measures") + """
+select model_id, table_name as file, name,
+  case when ordinal % 3 = 0 then '= ' || expression else '=' end as remainder
+from cat_measures
+""")
+def t2_header(spark, sf_dir):
+    b = _blocks(_measure_lines(spark, sf_dir))
+    h = seg.header_name(F.col("stripped"), "measure")
+    return b.where(F.col("kind") == "measure").select(*KEYS, h["name"].alias("name"), h["remainder"].alias("remainder"))
+
+
+@register("T3_collect_expression", oracle=oracle_ctes("cat_measures")
+          + "select model_id, table_name as file, expression from cat_measures")
+def t3_collect(spark, sf_dir):
+    return seg.collect_expressions(_blocks(_measure_lines(spark, sf_dir)), KEYS).select(*KEYS, "expression")
+
+
+@register("T4_columns", oracle=oracle_ctes("cat_columns") + """
+select model_id, table_name as file, column_name, is_calculated,
+  case when is_calculated then expression end as expression, data_type, column_name as source_column,
+  cast(null as varchar) as sort_by_column, cast(null as varchar) as format_string,
+  ends_with(column_name, 'key') as is_key, 'none' as summarize_by
+from cat_columns
+""")
+def t4_columns(spark, sf_dir):
+    c = catalog(spark, sf_dir, "cat_columns")["cat_columns"]
+    lines = seg.lines_of(defs.table_files(columns=c), KEYS)
+    return seg.columns(_blocks(lines), KEYS).drop("block_id")
+
+
+@register("T5_measures", oracle=oracle_ctes("cat_measures") + """
+select model_id, table_name as file, name, expression, nullif(format_string, '') as format_string from cat_measures
+""")
+def t5_measures(spark, sf_dir):
+    return seg.measures(_blocks(_measure_lines(spark, sf_dir)), KEYS).drop("block_id")
+
+
+_SRC = (f"case when ordinal % 3 = 0 then replace(expression, {NL}, {NL} || {TAB} || {TAB} || {TAB}) "
+        "else expression end")
+
+
+@register("T6_partitions", oracle=oracle_ctes("cat_partitions") + f"""
+select model_id, table_name as file, table_name || '-Partition' as partition_name,
+  case when is_calculated then 'calculated' else 'm' end as partition_type, 'import' as mode, is_calculated,
+  case when is_calculated then '' else {_SRC} end as source_code,
+  case when is_calculated then {_SRC} end as dax_expression
+from cat_partitions
+""")
+def t6_partitions(spark, sf_dir):
+    p = catalog(spark, sf_dir, "cat_partitions")["cat_partitions"]
+    lines = seg.lines_of(defs.table_files(partitions=p), KEYS)
+    return seg.partitions(_blocks(lines), KEYS).drop("block_id")
+
+
+@register("T7_calculation_items", oracle="""
+select p_partkey % 20 as model_id, 'Calc Group ' || cast(p_partkey % 20 as varchar) as file, 'Calc Item' as group_column,
+  'Item ' || cast(p_partkey as varchar) as item_name, 'SELECTEDMEASURE() * ' || cast(p_partkey as varchar) as expression,
+  ordinal, cast(row_number() over (partition by p_partkey % 20 order by ordinal, p_partkey) as integer) as item_rank
+from (select *, case when p_partkey % 4 = 0 or p_partkey % 17 = 0 then 0 else cast((p_partkey * 7) % 13 as integer) end as ordinal
+      from part)
+""")
+def t7_items(spark, sf_dir):
+    lines = seg.lines_of(defs.calc_group_files(read_table(spark, sf_dir, "part")), KEYS)
+    return seg.calculation_items(_blocks(lines), KEYS).select(
+        *KEYS, "group_column", "item_name", "expression", "ordinal", "item_rank")
+
+
+@register("T8_hierarchy_levels", oracle="""
+select p_partkey % 20 as model_id, 'Hierarchy ' || cast(p_partkey % 20 as varchar) as file, p_type as hierarchy,
+  cast(row_number() over (partition by p_partkey % 20, p_type order by p_partkey) as integer) as level_no,
+  'Level ' || cast(p_partkey as varchar) as level,
+  case when p_partkey % 2 = 0 then 'p_size' else 'Col ' || cast(p_partkey as varchar) end as level_column
+from part
+""")
+def t8_levels(spark, sf_dir):
+    lines = seg.lines_of(defs.hierarchy_files(read_table(spark, sf_dir, "part")), KEYS)
+    return seg.hierarchy_levels(_blocks(lines), KEYS)
+
+
+@register("T9_relationships", oracle=oracle_ctes("cat_relationships") + """
+select model_id, 'relationships' as file, 'R' || cast(rel_id as varchar) as rel_name, from_table, from_column,
+  case when to_column is null then '' else to_table end as to_table, coalesce(to_column, '') as to_column,
+  cross_filter, from_cardinality, to_cardinality
+from cat_relationships
+""")
+def t9_relationships(spark, sf_dir):
+    r = catalog(spark, sf_dir, "cat_relationships")["cat_relationships"]
+    lines = seg.lines_of(defs.relationship_files(r), KEYS)
+    return seg.relationships(lines, KEYS).drop("rel_id")
+
+
+def _strip_q(x):
+    return f"regexp_replace(regexp_replace({x}, '^\"+|\"+$', '', 'g'), '^''+|''+$', '', 'g')"
+
+
+_T10_SQL = f"""
+, b AS (select model_id, ordinal, name, expression,
+          case when contains(expression, {NL}) then '=' || {NL} || {TAB} || {TAB} || replace(expression, {NL}, {NL} || {TAB} || {TAB})
+               else '= ' || expression end as body,
+          'lineageTag: t' || cast(ordinal as varchar) || case when ordinal % 4 = 0 then ' queryGroup: Params' else '' end as meta
+        from cat_expressions),
+c AS (select *, body || ' ' || meta as combined from b),
+d AS (select *, contains(combined, 'IsParameterQuery=true') or contains(combined, 'IsParameterQuery = true') as is_param from c)
+select model_id, 'expressions' as file, name,
+  case when is_param then 'parameter' else 'function' end as kind,
+  case when is_param then {_strip_q(pystrip(f"coalesce(regexp_extract(body, {q(seg.PARAM_DEFAULT)}, 1), '')"))} end as default_value,
+  case when is_param then (case when regexp_matches(combined, {q(seg.PARAM_TYPE)}) then regexp_extract(combined, {q(seg.PARAM_TYPE)}, 1)
+                                else coalesce(regexp_extract(combined, {q(seg.PARAM_TYPE2)}, 1), '') end) end as param_type,
+  case when is_param then contains(combined, 'IsParameterQueryRequired=true') or contains(combined, 'IsParameterQueryRequired = true') end
+    as is_required,
+  case when is_param then (case when regexp_matches(combined, {q(seg.PARAM_LIST)}) then
+    array_to_string(list_transform(list_filter(string_split(regexp_extract(combined, {q(seg.PARAM_LIST)}, 1), ','),
+                                               lambda v: {pystrip('v')} <> ''), lambda v: {_strip_q(pystrip('v'))}), '|')
+    else '' end) end as allowed_values,
+  case when not is_param then (case when starts_with(body, '=') then {pystrip('substring(body, 2)')} else body end) end as code
+from d
+"""
+
+
+@register("T10_shared_expressions", oracle=oracle_ctes("cat_expressions") + _T10_SQL)
+def t10_expressions(spark, sf_dir):
+    e = catalog(spark, sf_dir, "cat_expressions")["cat_expressions"]
+    lines = seg.lines_of(defs.expression_files(e), KEYS)
+    out = seg.shared_expressions(lines, KEYS)
+    return out.select(*KEYS, "name", "kind", "default_value", "param_type", "is_required",
+                      F.array_join("allowed_values", "|").alias("allowed_values"), "code")
+
+
+@register("T11_table_name_of_file", oracle=oracle_ctes("cat_measures")
+          + "select distinct model_id, table_name as file, table_name from cat_measures")
+def t11_table_names(spark, sf_dir):
+    return seg.table_names(_measure_lines(spark, sf_dir), KEYS)

@@ -79,10 +79,12 @@ def table_headers(blocks: DataFrame) -> DataFrame:
 
 
 def assemble(blocks: DataFrame) -> DataFrame:
-    """(model_id, file, text): lines of every block in (block_order, line) order."""
-    rows = blocks.select("model_id", "file", "block_order", F.posexplode("lines").alias("pos", "line"))
+    """(model_id, file, text): lines of every block in (block_order, sub_order, line) order."""
+    if "sub_order" not in blocks.columns:
+        blocks = blocks.withColumn("sub_order", F.lit(0).cast("long"))
+    rows = blocks.select("model_id", "file", "block_order", "sub_order", F.posexplode("lines").alias("pos", "line"))
     return (rows.groupBy("model_id", "file")
-            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_order", "pos", "line"))),
+            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_order", "sub_order", "pos", "line"))),
                                           lambda s: s["line"]), "\n").alias("value")))
 
 
@@ -98,18 +100,97 @@ def table_files(measures: DataFrame | None = None, columns: DataFrame | None = N
 
 
 def write_definition_files(files: DataFrame, path: str | None = None) -> str:
-    """Write (model_id, file, value) as one text file per (model, file) under a shared folder."""
+    """Write (model_id, file, value) as one text file per (model, file) under a shared folder.
+
+    The text writer ends the single row with a line break.
+    """
     spark = files.sparkSession
     if path is None:
         path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/definitions-{uuid.uuid4().hex}"
-    (files.select("model_id", "file", F.concat(F.col("value"), F.lit("\n")).alias("value"))
+    (files.select("model_id", "file", "value")
      .repartition("model_id", "file")
-     .write.partitionBy("model_id", "file").option("lineSep", "").text(path))
+     .write.partitionBy("model_id", "file").text(path))
     return path
 
 
 def scan_definition_lines(spark: SparkSession, path: str) -> DataFrame:
     """(model_id, file, file_path, line_no, line) from a folder of definition files."""
-    files = (spark.read.option("wholetext", True).text(path)
+    files = (spark.read.text(path, wholetext=True)
              .select("model_id", "file", F.col("_metadata.file_path").alias("file_path"), "value"))
     return lines_of(files, ["model_id", "file", "file_path"])
+
+
+def calc_group_files(parts: DataFrame) -> DataFrame:
+    """One calculation-group table per model; one item per part, ordinals out of order, some missing or invalid."""
+    p = F.col("p_partkey")
+    model = (p % 20).alias("model_id")
+    file = F.concat(F.lit("Calc Group "), (p % 20).cast("string")).alias("file")
+    item_expr = F.concat(F.lit("SELECTEDMEASURE() * "), p.cast("string"))
+    body = _expr_lines(item_expr, p % 3, F.lit(T3 + "expression ="), T4)
+    ordinal = (F.when(p % 4 == 0, F.array().cast("array<string>"))
+               .when(p % 17 == 0, F.array(F.lit(T3 + "ordinal = x")))
+               .otherwise(F.array(F.concat(F.lit(T3 + "ordinal = "), ((p * 7) % 13).cast("string")))))
+    items = parts.select(model, file, p.cast("long").alias("block_order"),
+                         _lines(F.array(F.concat(F.lit(T2 + "calculationItem 'Item "), p.cast("string"), F.lit("'"))),
+                                body, ordinal).alias("lines"))
+    heads = (items.select("model_id", "file").distinct()
+             .select("model_id", "file", F.lit(-1).cast("long").alias("block_order"),
+                     F.array(F.lit(T + "calculationGroup"), F.lit(T2 + "column: 'Calc Item'")).alias("lines")))
+    blocks = items.unionByName(heads)
+    return assemble(blocks.unionByName(table_headers(blocks).withColumn("block_order", F.lit(-2).cast("long"))))
+
+
+def hierarchy_files(parts: DataFrame) -> DataFrame:
+    """One table per model with a hierarchy per part type; one level per part."""
+    p = F.col("p_partkey")
+    base = parts.select((p % 20).alias("model_id"), F.concat(F.lit("Hierarchy "), (p % 20).cast("string")).alias("file"),
+                        F.col("p_type"), p.cast("long").alias("p"))
+    first = base.groupBy("model_id", "file", "p_type").agg(F.min("p").alias("block_order"))
+    levels = base.join(first, ["model_id", "file", "p_type"]).select(
+        "model_id", "file", "block_order", F.col("p").alias("sub_order"),
+        F.array(F.concat(F.lit(T2 + "level 'Level "), F.col("p").cast("string"), F.lit("'")),
+                F.when(F.col("p") % 2 == 0, F.lit(T3 + "column: p_size"))
+                .otherwise(F.concat(F.lit(T3 + "column: 'Col "), F.col("p").cast("string"), F.lit("'")))).alias("lines"))
+    heads = first.select("model_id", "file", "block_order", F.lit(-1).cast("long").alias("sub_order"),
+                         F.array(F.concat(F.lit(T + "hierarchy '"), F.col("p_type"), F.lit("'"))).alias("lines"))
+    tails = first.select("model_id", "file", "block_order", F.lit(1 << 40).cast("long").alias("sub_order"),
+                         F.array(F.lit("")).alias("lines"))
+    blocks = levels.unionByName(heads).unionByName(tails)
+    th = table_headers(blocks).withColumn("sub_order", F.lit(0).cast("long"))
+    return assemble(blocks.unionByName(th))
+
+
+def _ref(table: Column, column: Column, quoted: Column) -> Column:
+    return F.when(quoted, F.concat(F.lit("'"), table, F.lit("'.'"), column, F.lit("'"))).otherwise(
+        F.concat(table, F.lit("."), column))
+
+
+def relationship_files(rels: DataFrame) -> DataFrame:
+    """One relationships file per model; optional lines only when they differ from the defaults."""
+    q = F.col("rel_id") % 2 == 0
+    lines = _lines(
+        F.array(F.concat(F.lit("relationship R"), F.col("rel_id").cast("string")),
+                F.concat(F.lit(T + "fromColumn: "), _ref(F.col("from_table"), F.col("from_column"), q))),
+        F.when(F.col("to_column").isNotNull(),
+               F.array(F.concat(F.lit(T + "toColumn: "), _ref(F.col("to_table"), F.col("to_column"), q)))),
+        F.when(F.col("cross_filter") == "Both", F.array(F.lit(T + "crossFilteringBehavior: bothDirections"))),
+        F.when(F.col("to_cardinality") != "one", F.array(F.concat(F.lit(T + "toCardinality: "), F.col("to_cardinality")))),
+        F.when(F.col("from_cardinality") != "many",
+               F.array(F.concat(F.lit(T + "fromCardinality: "), F.col("from_cardinality")))),
+        F.array(F.lit("")))
+    return assemble(rels.select("model_id", F.lit("relationships").alias("file"),
+                                F.col("rel_id").cast("long").alias("block_order"), lines.alias("lines")))
+
+
+def expression_files(exprs: DataFrame) -> DataFrame:
+    """One shared-expressions file per model; multi-line bodies continue at indent 2; meta lines at indent 1."""
+    e = F.col("expression")
+    multi = e.contains("\n")
+    head = F.when(multi, F.concat(F.array(F.concat(F.lit("expression "), F.col("name"), F.lit(" ="))),
+                                  F.transform(F.split(e, "\n"), lambda x: F.concat(F.lit(T2), x))))
+    head = F.coalesce(head, F.array(F.concat(F.lit("expression "), F.col("name"), F.lit(" = "), e)))
+    meta = F.concat(F.array(F.concat(F.lit(T + "lineageTag: t"), F.col("ordinal").cast("string"))),
+                    F.when(F.col("ordinal") % 4 == 0, F.array(F.lit(T + "queryGroup: Params")))
+                    .otherwise(F.array().cast("array<string>")))
+    return assemble(exprs.select("model_id", F.lit("expressions").alias("file"),
+                                 F.col("ordinal").cast("long").alias("block_order"), _lines(head, meta).alias("lines")))
