@@ -14,7 +14,7 @@ from fleetcat.functions.names import SYSTEM_TABLE_PREFIXES, TECHNICAL_DENYLIST,
 from fleetcat.functions.text import SECRET_KEYS, SENSITIVE_RULES
 from fleetcat.operators import descriptions, segment
 from fleetcat.plans.registry import register
-from fleetcat.plans.sqlbits import case_map, clean_field, escape_html, is_system, pystrip, q, visual_label
+from fleetcat.plans.sqlbits import case_map, clean_field, escape_html, field_ref_sql, is_system, pystrip, q, visual_label
 from fleetcat.session import read_table
 from fleetcat.sources.fixtures import catalog, oracle_ctes
 
@@ -314,24 +314,9 @@ def p20(spark, sf_dir):
 
 @register("P22_field_reference", oracle=_VF + """
 , j AS (select model_id, page_id, pos, field_no, field_json as j from cat_visual_fields),
-r AS (select *,
-  case when json_extract(j, '$.Aggregation') is not null then
-         'Agg(' || case when json_extract(j, '$.Aggregation.Expression.Measure') is not null then
-                  coalesce(json_extract_string(j, '$.Aggregation.Expression.Measure.Expression.SourceRef.Entity'), '') || '['
-                  || coalesce(json_extract_string(j, '$.Aggregation.Expression.Measure.Property'), '') || ']'
-                when json_extract(j, '$.Aggregation.Expression.Column') is not null then
-                  coalesce(json_extract_string(j, '$.Aggregation.Expression.Column.Expression.SourceRef.Entity'), '') || '['
-                  || coalesce(json_extract_string(j, '$.Aggregation.Expression.Column.Property'), '') || ']'
-                else '' end || ')'
-       when json_extract(j, '$.Measure') is not null then
-         coalesce(json_extract_string(j, '$.Measure.Expression.SourceRef.Entity'), '') || '[' || coalesce(json_extract_string(j, '$.Measure.Property'), '') || ']'
-       when json_extract(j, '$.Column') is not null then
-         coalesce(json_extract_string(j, '$.Column.Expression.SourceRef.Entity'), '') || '[' || coalesce(json_extract_string(j, '$.Column.Property'), '') || ']'
-       when json_extract(j, '$.HierarchyLevel') is not null then
-         'HierarchyLevel(' || coalesce(json_extract_string(j, '$.HierarchyLevel.Level'), '') || ')'
-       else '' end as ref from j)
+r AS (select *, {ref} as ref from j)
 select model_id, page_id, pos, field_no, ref from r
-""")
+""".replace("{ref}", field_ref_sql("j")))
 def p22(spark, sf_dir):
     f = _cat(spark, sf_dir, "cat_visual_fields")
     return f.select("model_id", "page_id", "pos", "field_no", fx.field_reference("field_json").alias("ref"))

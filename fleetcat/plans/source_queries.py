@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetcat.operators import segment as seg
+from fleetcat.plans.catalog_queries import A9_SQL
 from fleetcat.plans.registry import register
-from fleetcat.plans.sqlbits import pystrip, q
+from fleetcat.plans.sqlbits import field_ref_sql, pystrip, q
 from fleetcat.session import read_table
 from fleetcat.sources import definitions as defs
 from fleetcat.sources.fixtures import catalog, oracle_ctes
@@ -194,3 +195,169 @@ def t10_expressions(spark, sf_dir):
           + "select distinct model_id, table_name as file, table_name from cat_measures")
 def t11_table_names(spark, sf_dir):
     return seg.table_names(_measure_lines(spark, sf_dir), KEYS)
+
+
+# ------------------------------------------------------------------ S2, S6: project discovery
+
+# project folder listings, one template set per project kind; '@' stands for the project stem
+PATHS_SQL = """
+select 'proj' || cast(c_custkey as string) as project, replace(v.tpl, '@', 'proj' || cast(c_custkey as string)) as path
+from {customer} join (values
+ (0, '@.pbip'), (0, '@.SemanticModel/definition/model.tmdl'), (0, '@.SemanticModel/definition/tables/t.tmdl'),
+ (0, '@.Report/report.json'), (0, 'Other.Report/definition/pages/p1/page.json'),
+ (1, '@.pbip'), (1, '@.SemanticModel/model.bim'), (1, 'Other.Report/definition/pages/p1/page.json'),
+ (2, '@.pbip'), (2, '@.SemanticModel/definition/model.tmdl'), (2, 'Extra.Dataset/model.bim'),
+ (2, '@.Report/definition/pages/p1/page.json'), (2, 'Zeta.Report/report.json'),
+ (3, 'A.SemanticModel/definition/model.tmdl'), (3, 'B.Dataset/definition/model.tmdl'), (3, 'B.Report/report.json'),
+ (3, 'A.Report/definition/pages/p/page.json'),
+ (4, '@.pbip'), (4, 'README.md'),
+ (5, '@.pbip'), (5, '@.semanticmodel/diagram.json'), (5, 'Extra.Dataset/definition/x.tmdl'),
+ (6, '@.pbip'), (6, 'Only.Dataset/definition/x.tmdl')) as v(kind, tpl) on c_custkey % 7 = v.kind
+"""
+
+
+def _paths(spark, sf_dir):
+    return spark.sql(PATHS_SQL, customer=read_table(spark, sf_dir, "customer"))
+
+
+_PATHS_CTE = "WITH paths AS (" + PATHS_SQL.format(customer="customer") + ")"
+_STEMS_SQL = """
+, stems AS (select project, min(regexp_extract(path, '^(.*)\\.[^.]*$', 1)) as pbip_stem from paths
+            where regexp_matches(lower(path), '^[^/]+\\.pbip$') group by project),
+fp AS (select project, path, coalesce(regexp_extract(path, '^([^/]+)/', 1), '') as folder from paths)
+"""
+
+
+@register("S2_discover_models", oracle=_PATHS_CTE + _STEMS_SQL + """
+, cands AS (select project, folder, bool_or(starts_with(path, folder || '/definition/')) as has_definition,
+              bool_or(path = folder || '/model.bim') as has_bim
+            from fp where folder <> '' and (ends_with(lower(folder), '.semanticmodel') or ends_with(lower(folder), '.dataset'))
+            group by project, folder),
+c AS (select cands.*, coalesce(lower(regexp_extract(folder, '^(.*)\\.[^.]*$', 1)) = lower(pbip_stem), false) as stem_match
+      from cands left join stems using (project)),
+per AS (select project, count(*) as n_candidates, count(*) filter (where stem_match) as n_matches, min(folder) as only_folder,
+          min(folder) filter (where stem_match) as match_folder from c group by project),
+res AS (select p.project, per.n_candidates,
+          case when per.n_candidates = 1 then per.only_folder when per.n_matches = 1 then per.match_folder end as model_folder
+        from (select distinct project from paths) p left join per using (project))
+select res.project,
+  case when coalesce(res.n_candidates, 0) = 0 then 'missing' when res.model_folder is null then 'ambiguous'
+       when cands.has_definition then 'ok' when cands.has_bim then 'legacy' else 'invalid' end as status,
+  res.model_folder
+from res left join cands on cands.project = res.project and cands.folder = res.model_folder
+""")
+def s2_discover(spark, sf_dir):
+    from fleetcat.sources.discover import discover_models
+    return discover_models(_paths(spark, sf_dir))
+
+
+@register("S6_resolve_report", oracle=_PATHS_CTE + _STEMS_SQL + """
+, r AS (select project, folder, bool_or(path = folder || '/report.json') as has_report_json from fp
+        where ends_with(folder, '.Report') group by project, folder),
+r2 AS (select r.*, not coalesce(r.folder = s.pbip_stem || '.Report', false) as not_exact from r left join stems s using (project)),
+best AS (select *, row_number() over (partition by project order by not_exact, folder) as rn from r2)
+select project, folder as report_folder, case when has_report_json then 'classic' else 'pages' end as report_format
+from best where rn = 1
+""")
+def s6_resolve(spark, sf_dir):
+    from fleetcat.sources.discover import resolve_report
+    return resolve_report(_paths(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ S3, S4: report layouts
+
+def _layout_inputs(spark, sf_dir):
+    c = catalog(spark, sf_dir, "cat_pages", "cat_visuals", "cat_visual_fields")
+    return c["cat_pages"], c["cat_visuals"], c["cat_visual_fields"]
+
+
+def _expected_fields_sql(order_by: str) -> str:
+    return f"""
+, vf AS (select model_id, page_id, pos, field_no,
+           coalesce(nullif(coalesce(regexp_extract(field, '^(Category|X|Axis|Y|Y2|Series|Legend|Values|Rows|Columns|Tooltips|Details|Size): ', 1), ''), ''), 'Values') as role,
+           coalesce(regexp_extract(field, '^(?:[A-Za-z0-9]+: )?(.*?) -> ', 1), '') as display_name, field_json from cat_visual_fields),
+ft AS (select model_id, page_id, pos,
+         string_agg(role || ': ' || display_name || ' -> ' || {field_ref_sql('field_json')}, ' | ' order by {order_by}) as fields_text
+       from vf group by model_id, page_id, pos)
+"""
+
+
+@register("S3_scan_layout_json", oracle=oracle_ctes("cat_pages", "cat_visuals", "cat_visual_fields")
+          + _expected_fields_sql("field_no") + """
+select v.model_id, v.page_id, p.page_name, cast(v.pos as integer) as vis_no, v.type, coalesce(v.title, '') as title,
+  v.x, v.y, v.width, v.height, v.z, v.hidden, ft.fields_text
+from cat_visuals v join cat_pages p on v.model_id = p.model_id and v.page_id = p.page_id
+left join ft on ft.model_id = v.model_id and ft.page_id = v.page_id and ft.pos = v.pos
+""")
+def s3_layout(spark, sf_dir):
+    from fleetcat.sources.layout_json import render_layout_docs, scan_layout_json
+    docs = render_layout_docs(*_layout_inputs(spark, sf_dir))
+    out = scan_layout_json(docs, ["model_id", "page_id"])
+    return out.select("model_id", "page_id", "page_name", "vis_no", "type", "title", "x", "y", "width", "height", "z",
+                      "hidden", F.array_join("fields", " | ").alias("fields_text"))
+
+
+@register("S4_scan_page_files", oracle=oracle_ctes("cat_pages", "cat_visuals", "cat_visual_fields") + _expected_fields_sql(
+        "list_position(['Values', 'Rows', 'Columns', 'Category', 'Y', 'X', 'Size', 'Tooltips'], role), field_no") + """
+select v.model_id, 'pg' || cast(v.page_id as varchar) as page_folder, p.page_name, p.hidden as page_hidden,
+  'v' || lpad(cast(v.pos as varchar), 4, '0') as visual_folder, v.type, coalesce(v.title, '') as title,
+  v.x, v.y, v.width, v.height, v.z, v.hidden, ft.fields_text
+from cat_visuals v join cat_pages p on v.model_id = p.model_id and v.page_id = p.page_id
+left join ft on ft.model_id = v.model_id and ft.page_id = v.page_id and ft.pos = v.pos
+where (v.page_id + v.pos) % 10 <> 0
+""")
+def s4_page_files(spark, sf_dir):
+    from fleetcat.sources.layout_json import render_page_files, scan_page_files
+    files = render_page_files(*_layout_inputs(spark, sf_dir))
+    out = scan_page_files(files, ["model_id"])
+    return out.select("model_id", "page_folder", "page_name", "page_hidden", "visual_folder", "type", "title",
+                      "x", "y", "width", "height", "z", "hidden", F.array_join("fields", " | ").alias("fields_text"))
+
+
+# ------------------------------------------------------------------ S5: shared queries of a section document
+
+@register("S5_split_shared_queries", oracle=oracle_ctes("cat_partitions") + f"""
+select model_id, cast(floor(ordinal / 4) as bigint) as doc_id,
+  cast(row_number() over (partition by model_id, cast(floor(ordinal / 4) as bigint) order by ordinal) as integer) as entry_no,
+  table_name, {pystrip('expression')} as expression
+from cat_partitions
+""")
+def s5_split(spark, sf_dir):
+    from fleetcat.sources.mquery import render_section_docs, split_shared_queries
+    p = catalog(spark, sf_dir, "cat_partitions")["cat_partitions"]
+    return split_shared_queries(render_section_docs(p), ["model_id", "doc_id"])
+
+
+# ------------------------------------------------------------------ S7: quarantine, S8: sink
+
+_CORRUPT = "case when ordinal % 13 = 0 then substring(payload, 1, length(payload) - 3) else payload end"
+
+
+@register("S7_quarantine", oracle=oracle_ctes("cat_definitions") + f"""
+select model_id, ordinal, case when json_valid({_CORRUPT}) then 'ok' else 'quarantined' end as status,
+  case when json_valid({_CORRUPT}) then cast(null as varchar)
+       else 'ERR-PARSE-' || upper(substring(sha1('JSONDecodeError:PARSE'), 1, 8)) end as error_code
+from cat_definitions
+""")
+def s7_quarantine(spark, sf_dir):
+    from fleetcat.operators.scope import DEFINITION_SCHEMA
+    from fleetcat.sources.quarantine import unit_status
+    d = catalog(spark, sf_dir, "cat_definitions")["cat_definitions"].withColumn("payload", F.expr(_CORRUPT))
+    return unit_status(d, ["model_id", "ordinal"], "payload", DEFINITION_SCHEMA)
+
+
+@register("S8_write_catalog", oracle=A9_SQL)
+def s8_write(spark, sf_dir):
+    """Write the lineage summary as Parquet partitioned by model, read it back (same rows as A9)."""
+    from fleetcat.plans.catalog_queries import a9_lineage_summary
+    from fleetcat.sources.sink import shared_path, write_catalog
+    path = write_catalog(a9_lineage_summary(spark, sf_dir), shared_path(spark, "catalog-lineage"))
+    return spark.read.parquet(path).select("model_id", "measure", "depends_on_measures", "depends_on_columns")
+
+
+# ------------------------------------------------------------------ P25: M query steps (no DuckDB equivalent: lookahead)
+
+@register("P25_split_query_steps")
+def p25_steps(spark, sf_dir):
+    p = catalog(spark, sf_dir, "cat_partitions")["cat_partitions"]
+    return seg.split_query_steps(p, ["model_id", "ordinal"])

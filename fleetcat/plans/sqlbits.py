@@ -71,3 +71,22 @@ def visual_label(col: str) -> str:
 def visual_description(type_col: str, title_col: str) -> str:
     return (f"({visual_label(type_col)} || case when coalesce({title_col}, '') <> '' "
             f"then ' \"' || {escape_html(title_col)} || '\"' else '' end)")
+
+
+def field_ref_sql(j: str) -> str:
+    """P22 in DuckDB: a field JSON text -> 'table[field]', 'Agg(...)' or 'HierarchyLevel(...)'."""
+    return """(case when json_extract({j}, '$.Aggregation') is not null then
+         'Agg(' || case when json_extract({j}, '$.Aggregation.Expression.Measure') is not null then
+                  coalesce(json_extract_string({j}, '$.Aggregation.Expression.Measure.Expression.SourceRef.Entity'), '') || '['
+                  || coalesce(json_extract_string({j}, '$.Aggregation.Expression.Measure.Property'), '') || ']'
+                when json_extract({j}, '$.Aggregation.Expression.Column') is not null then
+                  coalesce(json_extract_string({j}, '$.Aggregation.Expression.Column.Expression.SourceRef.Entity'), '') || '['
+                  || coalesce(json_extract_string({j}, '$.Aggregation.Expression.Column.Property'), '') || ']'
+                else '' end || ')'
+       when json_extract({j}, '$.Measure') is not null then
+         coalesce(json_extract_string({j}, '$.Measure.Expression.SourceRef.Entity'), '') || '[' || coalesce(json_extract_string({j}, '$.Measure.Property'), '') || ']'
+       when json_extract({j}, '$.Column') is not null then
+         coalesce(json_extract_string({j}, '$.Column.Expression.SourceRef.Entity'), '') || '[' || coalesce(json_extract_string({j}, '$.Column.Property'), '') || ']'
+       when json_extract({j}, '$.HierarchyLevel') is not null then
+         'HierarchyLevel(' || coalesce(json_extract_string({j}, '$.HierarchyLevel.Level'), '') || ')'
+       else '' end)""".replace("{j}", j)
