@@ -31,6 +31,16 @@ from fleetcat.functions.common import py_strip
 
 FENCE = "```"
 BIG = 1 << 40
+
+
+def _following(keys, skip: int = 1):
+    """Frame over the rows after the current one (skipping ``skip - 1`` more), as a growing frame.
+
+    Spark evaluates ``rowsBetween(k, unboundedFollowing)`` with a shrinking
+    frame that re-aggregates every following row (quadratic in file length);
+    the same rows in reverse line order are a growing frame, linear.
+    """
+    return Window.partitionBy(*keys).orderBy(F.col("line_no").desc()).rowsBetween(Window.unboundedPreceding, -skip)
 # Minimum continuation indents of the reference's collectors:
 CONT_INDENT_TABLE = 3   # columns, measures, partition sources
 CONT_INDENT_ITEM = 4    # calculation item expressions
@@ -112,8 +122,8 @@ def _expression_regions(df: DataFrame, keys, opener: Column, k_col: Column, inli
     (fence delimiters included).
     """
     w = Window.partitionBy(*keys).orderBy("line_no")
-    after1 = w.rowsBetween(1, Window.unboundedFollowing)
-    after2 = w.rowsBetween(2, Window.unboundedFollowing)
+    after1 = _following(keys, 1)
+    after2 = _following(keys, 2)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     df = (df.withColumn("_open", opener)
           .withColumn("_k", k_col)
@@ -164,7 +174,7 @@ def table_blocks(lines: DataFrame, keys) -> DataFrame:
     df = annotate(lines, keys)
     w = Window.partitionBy(*keys).orderBy("line_no")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    after1 = w.rowsBetween(1, Window.unboundedFollowing)
+    after1 = _following(keys, 1)
     free = (F.col("indent") == 1) & ~F.col("in_fence") & ~F.col("is_fence") & (F.col("line_no") > 0)
     kind = None
     for name, prefix in _TABLE_KINDS:
@@ -337,7 +347,7 @@ def hierarchy_levels(blocks: DataFrame, keys) -> DataFrame:
     b = _block_lines(blocks, "hierarchy")
     w = Window.partitionBy(*keys).orderBy("line_no")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    after1 = w.rowsBetween(1, Window.unboundedFollowing)
+    after1 = _following(keys, 1)
     s = F.col("stripped")
     is_level = (F.col("line_no") > F.col("block_id")) & (F.col("indent") == 2) & s.startswith("level ")
     b = (b.withColumn("is_level", is_level)
@@ -375,7 +385,7 @@ def relationships(lines: DataFrame, keys) -> DataFrame:
     df = annotate(lines, keys)
     w = Window.partitionBy(*keys).orderBy("line_no")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    after1 = w.rowsBetween(1, Window.unboundedFollowing)
+    after1 = _following(keys, 1)
     s = F.col("stripped")
     hdr = (F.col("indent") == 0) & s.startswith("relationship ")
     df = (df.withColumn("is_rel", hdr)
@@ -418,7 +428,7 @@ def shared_expressions(lines: DataFrame, keys) -> DataFrame:
     df = annotate(lines, keys)
     w = Window.partitionBy(*keys).orderBy("line_no")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    after1 = w.rowsBetween(1, Window.unboundedFollowing)
+    after1 = _following(keys, 1)
     s = F.col("stripped")
     hdr = (F.col("indent") <= 1) & ~F.col("in_fence") & ~F.col("is_fence") & s.startswith("expression ")
     end_line = (hdr | (F.col("indent") == 0)) & ~F.col("in_fence") & ~F.col("is_fence")

@@ -13,8 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetcat.functions import clean_field_name, escape_html, is_measure_field, is_system_table, visual_label
-from fleetcat.functions.names import well_label, well_of
+from fleetcat.functions import escape_html, is_measure_field, is_system_table, visual_label
+from fleetcat.functions.names import well_label, well_of, with_clean_field_name
 from fleetcat.operators.common import broadcast_if_small
 
 UNUSED_LISTED = 10
@@ -44,10 +44,10 @@ def measure_usage(measures: DataFrame, visuals: DataFrame, pages: DataFrame,
         m = m.where(~is_system_table("table_name"))
     m = m.where(F.col("name").isNotNull()).select("model_id", F.col("name").alias("measure"),
                                                    F.lower("name").alias("key")).distinct()
-    uses = (visuals_with_page(visuals, pages)
-            .select("model_id", "page_name",
-                    visual_description("type", "title").alias("visual"),
-                    F.lower(clean_field_name(F.col("field"))).alias("key"))
+    v = with_clean_field_name(visuals_with_page(visuals, pages), "field", "clean")
+    # a non-nullable key keeps Catalyst from inferring an isnotnull filter that would re-inline the cleaner
+    uses = (v.select("model_id", "page_name", visual_description("type", "title").alias("visual"),
+                     F.coalesce(F.lower("clean"), F.lit("")).alias("key"))
             .distinct())
     return m.join(uses, ["model_id", "key"]).select("model_id", "measure", "page_name", "visual").distinct()
 
@@ -118,12 +118,11 @@ def fields_by_well(visual_fields: DataFrame) -> DataFrame:
     Input rows: (model_id, page_id, pos, type, field_no, field).  Measure
     fields are wrapped in <i>; card visuals show X-axis and Value as 'Value'.
     """
-    f = visual_fields.select(
+    f = with_clean_field_name(visual_fields, "field", "clean").select(
         "model_id", "page_id", "pos", "type", "field_no",
         well_of(F.col("field")).alias("well"),
-        F.when(is_measure_field(F.col("field")),
-               F.concat(F.lit("<i>"), escape_html(clean_field_name(F.col("field"))), F.lit("</i>")))
-        .otherwise(escape_html(clean_field_name(F.col("field")))).alias("display"))
+        F.when(is_measure_field(F.col("field")), F.concat(F.lit("<i>"), escape_html(F.col("clean")), F.lit("</i>")))
+        .otherwise(escape_html(F.col("clean"))).alias("display"))
     label = well_label(F.col("well"))
     label = F.when(F.col("type").isin("card", "multiRowCard") & label.isin("X-axis", "Value"), F.lit("Value")).otherwise(label)
     return (f.groupBy("model_id", "page_id", "pos", "type", "well")

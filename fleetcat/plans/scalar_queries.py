@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from fleetcat import functions as fx
 from fleetcat.functions.code import BINARY_MARKER, BINARY_PATTERNS, HANA_NAME_PATTERN, SOURCE_RULES
-from fleetcat.functions.names import SYSTEM_TABLE_PREFIXES, TECHNICAL_DENYLIST, TECHNICAL_PATTERN, WELL_LABELS
+from fleetcat.functions.names import (
+    SYSTEM_TABLE_PREFIXES, TECHNICAL_DENYLIST, TECHNICAL_PATTERN, WELL_LABELS, with_clean_field_name,
+)
 from fleetcat.functions.text import SECRET_KEYS, SENSITIVE_RULES
 from fleetcat.operators import descriptions, segment
 from fleetcat.plans.registry import register
@@ -58,7 +60,7 @@ select model_id, page_id, pos, field_no, clean from (select *, {clean_field('fie
 """)
 def p12(spark, sf_dir):
     f = _cat(spark, sf_dir, "cat_visual_fields")
-    return f.select("model_id", "page_id", "pos", "field_no", fx.clean_field_name("field").alias("clean"))
+    return with_clean_field_name(f, "field", "clean").select("model_id", "page_id", "pos", "field_no", "clean")
 
 
 def _well_sql():
@@ -103,8 +105,8 @@ def p16(spark, sf_dir):
     """Per visual: any technical field (an aggregate over field rows, no list collected) or a technical title."""
     f = _cat(spark, sf_dir, "cat_visual_fields")
     v = _cat(spark, sf_dir, "cat_visuals")
-    tech = (f.groupBy("model_id", "page_id", "pos")
-            .agg(F.bool_or(fx.is_technical(fx.clean_field_name("field"))).alias("tech_field")))
+    tech = (with_clean_field_name(f, "field", "clean").groupBy("model_id", "page_id", "pos")
+            .agg(F.bool_or(fx.is_technical("clean")).alias("tech_field")))
     t = F.coalesce(F.col("title"), F.lit(""))
     return (v.join(tech, ["model_id", "page_id", "pos"], "left")
             .select("model_id", "page_id", "pos",
