@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetcat.functions.code import is_binary_payload
-from fleetcat.functions.common import py_strip
+from fleetcat.functions.common import let, py_strip
 
 FENCE = "```"
 BIG = 1 << 40
@@ -152,16 +152,10 @@ def _expression_regions(df: DataFrame, keys, opener: Column, k_col: Column, inli
 
 def collect_expressions(df: DataFrame, keys) -> DataFrame:
     """(keys..., expr_id, expression): join region lines, dedent by the smallest tab count, strip."""
-    lines = df.where(F.col("expr_text").isNotNull()).select(
-        *keys, "expr_id", "line_no", F.col("expr_text").alias("t"))
-    nonblank = py_strip(F.col("t")) != ""
-    agg = (lines.groupBy(*keys, "expr_id")
-           .agg(F.coalesce(F.min(F.when(nonblank, indent_level(F.col("t")))), F.lit(0)).alias("m"),
-                F.array_sort(F.collect_list(F.struct("line_no", "t"))).alias("ls")))
-    dedented = F.transform(F.col("ls"), lambda s: F.when(F.length(s["t"]) >= F.col("m"),
-                                                           F.substring(s["t"], F.col("m") + 1, F.lit(1 << 30)))
-                           .otherwise(s["t"]))
-    return agg.select(*keys, "expr_id", py_strip(F.array_join(dedented, "\n")).alias("expression"))
+    lines = df.where(F.col("expr_text").isNotNull())
+    return (lines.groupBy(*keys, "expr_id")
+            .agg(F.collect_list(F.struct(F.lit(0).alias("o"), F.col("line_no"), F.col("expr_text").alias("t"))).alias("ls"))
+            .select(*keys, "expr_id", _dedent_join(F.col("ls")).alias("expression")))
 
 
 # ------------------------------------------------------------------ table files
@@ -236,135 +230,167 @@ def _measure_header(stripped: Column) -> Column:
     return F.struct(name.alias("name"), rest.alias("remainder"))
 
 
-def _props(df: DataFrame, keys, group_col: str, props) -> DataFrame:
-    """Last value per property among non-expression lines of each group."""
-    base = df.where(F.col(group_col).isNotNull())
-    aggs = [F.max_by(F.when(cond, val), F.when(cond, F.col("line_no"))).alias(name) for name, cond, val in props]
-    return base.groupBy(*keys, group_col).agg(*aggs)
+def _last(cond: Column, value: Column) -> Column:
+    """Aggregate: the value on the last (highest line_no) row where ``cond`` holds."""
+    return F.max_by(F.when(cond, value), F.when(cond, F.col("line_no")))
+
+
+def _first(cond: Column, value: Column) -> Column:
+    """Aggregate: the value on the row where ``cond`` holds (at most one such row per group)."""
+    return F.max(F.when(cond, value))
+
+
+def _lines_of(cond: Column, text: Column, order: Column | None = None) -> Column:
+    """Aggregate: (order, line_no, text) structs of the rows where ``cond`` holds (collect skips nulls)."""
+    o = order if order is not None else F.lit(0)
+    return F.collect_list(F.when(cond, F.struct(o.alias("o"), F.col("line_no").alias("line_no"), text.alias("t"))))
+
+
+def _dedent_join(ls: Column) -> Column:
+    """T3 on collected lines: sort, dedent by the smallest tab count of non-blank lines, join, strip."""
+    def body(a):
+        nonblank = F.filter(a, lambda s: py_strip(s["t"]) != "")
+        m = F.coalesce(F.array_min(F.transform(nonblank, lambda s: indent_level(s["t"]))), F.lit(0))
+        return let(m, lambda mm: py_strip(F.array_join(F.transform(
+            a, lambda s: F.when(F.length(s["t"]) >= mm, F.substring(s["t"], mm + 1, F.lit(1 << 30))).otherwise(s["t"])), "\n")))
+    return let(F.array_sort(ls), body)
+
+
+def _last_group(ls: Column) -> Column:
+    """Keep the lines of the last expression (highest opener ``o``) among collected lines."""
+    return let(ls, lambda a: F.filter(a, lambda s: s["o"] == F.array_max(F.transform(a, lambda x: x["o"]))))
 
 
 def table_names(lines: DataFrame, keys, file_col: str = "file") -> DataFrame:
-    """Table name from the first line's header; a file without lines is named by its stem."""
-    first = lines.where(F.col("line_no") == 0).select(*keys, header_name(py_strip(F.col("line")), "table")["name"].alias("table_name"))
-    return first
+    """Table name from the first line's header."""
+    return lines.where(F.col("line_no") == 0).select(
+        *keys, header_name(py_strip(F.col("line")), "table")["name"].alias("table_name"))
 
 
 def _block_lines(blocks: DataFrame, kind: str) -> DataFrame:
     return blocks.where(F.col("in_block") & (F.col("block_kind") == kind))
 
 
+def _hdr() -> Column:
+    return F.col("line_no") == F.col("block_id")
+
+
+def _prop_line() -> Column:
+    return (F.col("line_no") > F.col("block_id")) & ~F.col("in_expr") & (F.col("indent") >= 2)
+
+
+def _own_expr() -> Column:
+    return F.col("expr_text").isNotNull() & (F.col("expr_id") == F.col("block_id"))
+
+
+# Each block kind below is one aggregation per block over the windowed lines:
+# the window pipeline runs once, and the aggregate is partial + final.
+
 def columns(blocks: DataFrame, keys) -> DataFrame:
     """T4: columns with calculated flag, expression and six properties."""
     b = _block_lines(blocks, "column")
-    hdr = (b.where(F.col("line_no") == F.col("block_id"))
-           .select(*keys, "block_id", header_name(F.col("stripped"), "column").alias("h")))
-    hdr = hdr.select(*keys, "block_id", F.col("h.name").alias("column_name"),
-                     F.col("h.remainder").startswith("=").alias("is_calculated"))
-    prop_lines = b.where((F.col("line_no") > F.col("block_id")) & ~F.col("in_expr") & (F.col("indent") >= 2))
-    s = F.col("stripped")
-    props = _props(prop_lines, keys, "block_id", [
-        ("data_type", s.startswith("dataType:"), _prop_value(s)),
-        ("source_column", s.startswith("sourceColumn:"), unquote(_prop_value(s))),
-        ("sort_by_column", s.startswith("sortByColumn:"), unquote(_prop_value(s))),
-        ("format_string", s.startswith("formatString:"), _format_value(s, "formatString:")),
-        ("is_key", s.startswith("isKey:"), F.lower(_prop_value(s)) == "true"),
-        ("summarize_by", s.startswith("summarizeBy:"), _prop_value(s)),
-    ])
-    exprs = collect_expressions(b, keys).withColumnRenamed("expr_id", "block_id")
-    return (hdr.join(props, [*keys, "block_id"], "left").join(exprs, [*keys, "block_id"], "left")
-            .select(*keys, "block_id", "column_name", "is_calculated",
-                    F.when(F.col("is_calculated"), F.coalesce(F.col("expression"), F.lit(""))).alias("expression"),
-                    F.coalesce(F.col("data_type"), F.lit("")).alias("data_type"), "source_column", "sort_by_column",
-                    "format_string", F.coalesce(F.col("is_key"), F.lit(False)).alias("is_key"), "summarize_by"))
+    s, p = F.col("stripped"), _prop_line()
+    h = header_name(s, "column")
+    agg = b.groupBy(*keys, "block_id").agg(
+        _first(_hdr(), h["name"]).alias("column_name"),
+        _first(_hdr(), h["remainder"].startswith("=")).alias("is_calculated"),
+        _lines_of(_own_expr(), F.col("expr_text")).alias("ls"),
+        _last(p & s.startswith("dataType:"), _prop_value(s)).alias("data_type"),
+        _last(p & s.startswith("sourceColumn:"), unquote(_prop_value(s))).alias("source_column"),
+        _last(p & s.startswith("sortByColumn:"), unquote(_prop_value(s))).alias("sort_by_column"),
+        _last(p & s.startswith("formatString:"), _format_value(s, "formatString:")).alias("format_string"),
+        _last(p & s.startswith("isKey:"), F.lower(_prop_value(s)) == "true").alias("is_key"),
+        _last(p & s.startswith("summarizeBy:"), _prop_value(s)).alias("summarize_by"))
+    return agg.select(*keys, "block_id", "column_name", "is_calculated",
+                      F.when(F.col("is_calculated"), _dedent_join(F.col("ls"))).alias("expression"),
+                      F.coalesce("data_type", F.lit("")).alias("data_type"), "source_column", "sort_by_column",
+                      "format_string", F.coalesce("is_key", F.lit(False)).alias("is_key"), "summarize_by")
 
 
 def measures(blocks: DataFrame, keys) -> DataFrame:
     """T5: measures with expression and formatString."""
     b = _block_lines(blocks, "measure")
-    hdr = (b.where(F.col("line_no") == F.col("block_id"))
-           .select(*keys, "block_id", _measure_header(F.col("stripped"))["name"].alias("name")))
-    prop_lines = b.where((F.col("line_no") > F.col("block_id")) & ~F.col("in_expr") & (F.col("indent") >= 2))
     s = F.col("stripped")
-    props = _props(prop_lines, keys, "block_id", [("format_string", s.startswith("formatString:"),
-                                                    _format_value(s, "formatString:"))])
-    exprs = collect_expressions(b, keys).withColumnRenamed("expr_id", "block_id")
-    return (hdr.join(exprs, [*keys, "block_id"], "left").join(props, [*keys, "block_id"], "left")
-            .select(*keys, "block_id", "name", F.coalesce(F.col("expression"), F.lit("")).alias("expression"),
-                    "format_string"))
+    agg = b.groupBy(*keys, "block_id").agg(
+        _first(_hdr(), _measure_header(s)["name"]).alias("name"),
+        _lines_of(_own_expr(), F.col("expr_text")).alias("ls"),
+        _last(_prop_line() & s.startswith("formatString:"), _format_value(s, "formatString:")).alias("format_string"))
+    return agg.select(*keys, "block_id", "name", _dedent_join(F.col("ls")).alias("expression"), "format_string")
 
 
 def partitions(blocks: DataFrame, keys) -> DataFrame:
-    """Partitions: name, type, mode (default import), source; a 'calculated' type routes text to dax_expression."""
+    """Partitions: name, type, mode (default import), source; a 'calculated' type routes text to dax_expression.
+
+    The last ``source =`` property of a block wins.
+    """
     b = _block_lines(blocks, "partition")
-    ak = py_strip(F.substring(F.col("stripped"), len("partition ") + 1, 1 << 30))
-    hdr = (b.where((F.col("line_no") == F.col("block_id")) & ak.contains("="))
-           .select(*keys, "block_id", unquote(F.substring_index(ak, "=", 1)).alias("partition_name"),
-                   F.lower(py_strip(F.regexp_extract(ak, r"^[^=]*=(.*)$", 1))).alias("partition_type")))
     s = F.col("stripped")
-    prop_lines = b.where((F.col("line_no") > F.col("block_id")) & ~F.col("in_expr") & (F.col("indent") >= 2))
-    props = _props(prop_lines, keys, "block_id", [("mode", s.startswith("mode:"), _prop_value(s))])
-    exprs = collect_expressions(b.where(F.col("expr_id") > F.col("block_id")), keys)
-    last_src = (exprs.withColumn("block_id", F.col("expr_id"))
-                .join(b.select(*keys, F.col("line_no").alias("expr_id"), F.col("block_id").alias("owner")),
-                      [*keys, "expr_id"])
-                .groupBy(*keys, "owner").agg(F.max_by("expression", "expr_id").alias("source_text"))
-                .withColumnRenamed("owner", "block_id"))
+    ak = py_strip(F.substring(s, len("partition ") + 1, 1 << 30))
+    src_line = F.col("expr_text").isNotNull() & (F.col("expr_id") > F.col("block_id"))
+    agg = b.groupBy(*keys, "block_id").agg(
+        _first(_hdr() & ak.contains("="), unquote(F.substring_index(ak, "=", 1))).alias("partition_name"),
+        _first(_hdr() & ak.contains("="), F.lower(py_strip(F.regexp_extract(ak, r"^[^=]*=(.*)$", 1)))).alias("partition_type"),
+        _last(_prop_line() & s.startswith("mode:"), _prop_value(s)).alias("mode"),
+        _lines_of(src_line, F.col("expr_text"), F.col("expr_id")).alias("ls"))
     is_calc = F.col("partition_type").startswith("calculated")
-    return (hdr.join(props, [*keys, "block_id"], "left").join(last_src, [*keys, "block_id"], "left")
+    text = _dedent_join(_last_group(F.col("ls")))
+    return (agg.where(F.col("partition_name").isNotNull())
             .select(*keys, "block_id", "partition_name", "partition_type",
-                    F.coalesce(F.col("mode"), F.lit("import")).alias("mode"), is_calc.alias("is_calculated"),
-                    F.when(is_calc, F.lit("")).otherwise(F.coalesce(F.col("source_text"), F.lit(""))).alias("source_code"),
-                    F.when(is_calc, F.coalesce(F.col("source_text"), F.lit(""))).alias("dax_expression")))
+                    F.coalesce("mode", F.lit("import")).alias("mode"), is_calc.alias("is_calculated"),
+                    F.when(is_calc, F.lit("")).otherwise(text).alias("source_code"),
+                    F.when(is_calc, text).alias("dax_expression")))
 
 
 def calculation_items(blocks: DataFrame, keys) -> DataFrame:
-    """Calculation items with expression and ordinal (default 0), ranked by (ordinal, file order)."""
+    """Calculation items with expression and ordinal (default 0), ranked by (ordinal, file order).
+
+    The group's ``column:`` property is a whole-block window aggregate; items
+    are one aggregation per item; the rank is a window over the item rows.
+    """
     b = _block_lines(blocks, "calculationGroup")
-    items = (b.where(F.col("is_item"))
-             .select(*keys, "block_id", "item_id",
-                     header_name(F.col("stripped"), "calculationItem")["name"].alias("item_name")))
     s = F.col("stripped")
-    in_item_props = b.where(F.col("in_item") & ~F.col("is_item") & ~F.col("in_expr") & (F.col("indent") >= 3))
-    ordv = F.regexp_extract(s, r"^[^=]*=(.*)$", 1)
-    ords = _props(in_item_props, keys, "item_id", [
-        ("ordinal", s.startswith("ordinal") & s.contains("="), py_strip(ordv).try_cast("int"))])
-    exprs = collect_expressions(b.where(F.col("in_item")), keys)
-    item_exprs = (exprs.join(b.select(*keys, F.col("line_no").alias("expr_id"), "item_id"), [*keys, "expr_id"])
-                  .groupBy(*keys, "item_id").agg(F.max_by("expression", "expr_id").alias("expression")))
-    group_col = (b.where(~F.col("in_item") & (F.col("line_no") > F.col("block_id")) & s.startswith("column:"))
-                 .groupBy(*keys, "block_id").agg(F.max_by(unquote(_prop_value(s)), F.col("line_no")).alias("group_column")))
-    out = (items.join(ords, [*keys, "item_id"], "left").join(item_exprs, [*keys, "item_id"], "left")
-           .join(group_col, [*keys, "block_id"], "left")
-           .select(*keys, "block_id", "item_id", "group_column", "item_name",
-                   F.coalesce(F.col("expression"), F.lit("")).alias("expression"),
-                   F.coalesce(F.col("ordinal"), F.lit(0)).alias("ordinal")))
+    col_prop = ~F.col("in_item") & (F.col("line_no") > F.col("block_id")) & s.startswith("column:")
+    b = b.withColumn("group_column", F.max_by(F.when(col_prop, unquote(_prop_value(s))), F.when(col_prop, F.col("line_no")))
+                     .over(Window.partitionBy(*keys, "block_id")))
+    it = b.where(F.col("in_item"))
+    ordv = py_strip(F.regexp_extract(s, r"^[^=]*=(.*)$", 1)).try_cast("int")
+    prop = ~F.col("is_item") & ~F.col("in_expr") & (F.col("indent") >= 3)
+    expr_line = F.col("expr_text").isNotNull() & (F.col("expr_id") > F.col("item_id"))
+    agg = it.groupBy(*keys, "block_id", "item_id").agg(
+        F.max("group_column").alias("group_column"),
+        _first(F.col("is_item"), header_name(s, "calculationItem")["name"]).alias("item_name"),
+        _last(prop & s.startswith("ordinal") & s.contains("="), ordv).alias("ordinal"),
+        _lines_of(expr_line, F.col("expr_text"), F.col("expr_id")).alias("ls"))
+    out = agg.select(*keys, "block_id", "item_id", "group_column", "item_name",
+                     _dedent_join(_last_group(F.col("ls"))).alias("expression"),
+                     F.coalesce("ordinal", F.lit(0)).alias("ordinal"))
     w = Window.partitionBy(*keys, "block_id").orderBy("ordinal", "item_id")
     return out.withColumn("item_rank", F.row_number().over(w))
 
 
 def hierarchy_levels(blocks: DataFrame, keys) -> DataFrame:
-    """Hierarchy levels with their column, numbered in file order."""
+    """Hierarchy levels with their column, numbered in file order (a running count of level headers)."""
     b = _block_lines(blocks, "hierarchy")
     w = Window.partitionBy(*keys).orderBy("line_no")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    after1 = _following(keys, 1)
     s = F.col("stripped")
     is_level = (F.col("line_no") > F.col("block_id")) & (F.col("indent") == 2) & s.startswith("level ")
+    block = Window.partitionBy(*keys, "block_id")
     b = (b.withColumn("is_level", is_level)
-         .withColumn("_lend", F.when(is_level, F.coalesce(F.min(F.when(F.col("indent") < 3, F.col("line_no"))).over(after1), F.lit(BIG))))
+         .withColumn("_lend", F.when(is_level, F.coalesce(F.min(F.when(F.col("indent") < 3, F.col("line_no")))
+                                                           .over(_following(keys, 1)), F.lit(BIG))))
          .withColumn("level_id", F.last(F.when(is_level, F.col("line_no")), ignorenulls=True).over(upto))
-         .withColumn("level_end", F.last("_lend", ignorenulls=True).over(upto)))
-    hier = (b.where(F.col("line_no") == F.col("block_id"))
-            .select(*keys, "block_id", header_name(s, "hierarchy")["name"].alias("hierarchy")))
-    levels = b.where(F.col("is_level")).select(*keys, "block_id", "level_id",
-                                               header_name(s, "level")["name"].alias("level"))
-    props = b.where((F.col("line_no") > F.col("level_id")) & (F.col("line_no") < F.col("level_end"))
-                    & (F.col("level_id") > F.col("block_id")))
-    cols = _props(props, keys, "level_id", [("level_column", s.startswith("column:"), unquote(_prop_value(s)))])
-    lw = Window.partitionBy(*keys, "block_id").orderBy("level_id")
-    return (levels.join(hier, [*keys, "block_id"]).join(cols, [*keys, "level_id"], "left")
-            .withColumn("level_no", F.row_number().over(lw))
-            .select(*keys, "hierarchy", "level_no", "level", "level_column"))
+         .withColumn("level_end", F.last("_lend", ignorenulls=True).over(upto))
+         .withColumn("level_no", F.sum(is_level.cast("int")).over(block.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)))
+         .withColumn("hierarchy", F.max(F.when(_hdr(), header_name(s, "hierarchy")["name"])).over(block)))
+    lv = b.where(F.col("level_id") > F.col("block_id"))
+    in_props = (F.col("line_no") > F.col("level_id")) & (F.col("line_no") < F.col("level_end"))
+    return (lv.groupBy(*keys, "block_id", "level_id")
+            .agg(F.max("hierarchy").alias("hierarchy"),
+                 _first(F.col("is_level"), F.col("level_no")).alias("level_no"),
+                 _first(F.col("is_level"), header_name(s, "level")["name"]).alias("level"),
+                 _last(in_props & s.startswith("column:"), unquote(_prop_value(s))).alias("level_column"))
+            .select(*keys, "hierarchy", F.col("level_no").cast("int").alias("level_no"), "level", "level_column"))
 
 
 # ------------------------------------------------------------------ relationships
@@ -385,30 +411,31 @@ def relationships(lines: DataFrame, keys) -> DataFrame:
     df = annotate(lines, keys)
     w = Window.partitionBy(*keys).orderBy("line_no")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    after1 = _following(keys, 1)
     s = F.col("stripped")
     hdr = (F.col("indent") == 0) & s.startswith("relationship ")
     df = (df.withColumn("is_rel", hdr)
-          .withColumn("_end", F.when(hdr, F.coalesce(F.min(F.when(F.col("indent") < 1, F.col("line_no"))).over(after1), F.lit(BIG))))
+          .withColumn("_end", F.when(hdr, F.coalesce(F.min(F.when(F.col("indent") < 1, F.col("line_no")))
+                                                     .over(_following(keys, 1)), F.lit(BIG))))
           .withColumn("rel_id", F.last(F.when(hdr, F.col("line_no")), ignorenulls=True).over(upto))
           .withColumn("rel_end", F.last("_end", ignorenulls=True).over(upto)))
-    props = df.where((F.col("line_no") > F.col("rel_id")) & (F.col("line_no") < F.col("rel_end")))
+    r = df.where(F.col("rel_id").isNotNull() & (F.col("line_no") < F.col("rel_end")))
     v = _prop_value(s)
-    p = _props(props, keys, "rel_id", [
-        ("from_ref", s.startswith("fromColumn:"), v), ("to_ref", s.startswith("toColumn:"), v),
-        ("cf", s.startswith("crossFilteringBehavior:"), F.lower(v)),
-        ("to_card", s.startswith("toCardinality:"), F.lower(v)),
-        ("from_card", s.startswith("fromCardinality:"), F.lower(v)),
-    ])
-    rels = df.where(F.col("is_rel")).select(*keys, "rel_id", py_strip(F.substring(s, 14, 1 << 30)).alias("rel_name"))
+    p = F.col("line_no") > F.col("rel_id")
+    agg = r.groupBy(*keys, "rel_id").agg(
+        _first(F.col("is_rel"), py_strip(F.substring(s, 14, 1 << 30))).alias("rel_name"),
+        _last(p & s.startswith("fromColumn:"), v).alias("from_ref"),
+        _last(p & s.startswith("toColumn:"), v).alias("to_ref"),
+        _last(p & s.startswith("crossFilteringBehavior:"), F.lower(v)).alias("cf"),
+        _last(p & s.startswith("toCardinality:"), F.lower(v)).alias("to_card"),
+        _last(p & s.startswith("fromCardinality:"), F.lower(v)).alias("from_card"))
     fr, to = _split_ref(F.col("from_ref")), _split_ref(F.col("to_ref"))
-    return (rels.join(p, [*keys, "rel_id"], "left")
-            .select(*keys, "rel_id", "rel_name",
-                    F.coalesce(fr["table"], F.lit("")).alias("from_table"), F.coalesce(fr["column"], F.lit("")).alias("from_column"),
-                    F.coalesce(to["table"], F.lit("")).alias("to_table"), F.coalesce(to["column"], F.lit("")).alias("to_column"),
-                    F.when(F.coalesce(F.col("cf"), F.lit("")).contains("both"), F.lit("Both")).otherwise(F.lit("Single")).alias("cross_filter"),
-                    F.coalesce(F.col("from_card"), F.lit("many")).alias("from_cardinality"),
-                    F.coalesce(F.col("to_card"), F.lit("one")).alias("to_cardinality")))
+    return agg.select(
+        *keys, "rel_id", "rel_name",
+        F.coalesce(fr["table"], F.lit("")).alias("from_table"), F.coalesce(fr["column"], F.lit("")).alias("from_column"),
+        F.coalesce(to["table"], F.lit("")).alias("to_table"), F.coalesce(to["column"], F.lit("")).alias("to_column"),
+        F.when(F.coalesce(F.col("cf"), F.lit("")).contains("both"), F.lit("Both")).otherwise(F.lit("Single")).alias("cross_filter"),
+        F.coalesce(F.col("from_card"), F.lit("many")).alias("from_cardinality"),
+        F.coalesce(F.col("to_card"), F.lit("one")).alias("to_cardinality"))
 
 
 # ------------------------------------------------------------------ shared expressions
@@ -428,26 +455,28 @@ def shared_expressions(lines: DataFrame, keys) -> DataFrame:
     df = annotate(lines, keys)
     w = Window.partitionBy(*keys).orderBy("line_no")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    after1 = _following(keys, 1)
     s = F.col("stripped")
     hdr = (F.col("indent") <= 1) & ~F.col("in_fence") & ~F.col("is_fence") & s.startswith("expression ")
     end_line = (hdr | (F.col("indent") == 0)) & ~F.col("in_fence") & ~F.col("is_fence")
     df = (df.withColumn("is_hdr", hdr)
-          .withColumn("_end", F.when(hdr, F.coalesce(F.min(F.when(end_line, F.col("line_no"))).over(after1), F.lit(BIG))))
+          .withColumn("_end", F.when(hdr, F.coalesce(F.min(F.when(end_line, F.col("line_no"))).over(_following(keys, 1)),
+                                                     F.lit(BIG))))
           .withColumn("ex_id", F.last(F.when(hdr, F.col("line_no")), ignorenulls=True).over(upto))
           .withColumn("ex_end", F.last("_end", ignorenulls=True).over(upto)))
     parts = header_name(s, "expression")
     df = _expression_regions(df, keys, F.coalesce(hdr, F.lit(False)), F.lit(CONT_INDENT_SHARED),
                              F.when(hdr, parts["remainder"]).otherwise(F.lit("")))
-    bodies = collect_expressions(df.where(F.col("expr_id") == F.col("ex_id")), keys).withColumnRenamed("expr_id", "ex_id")
-    meta = (df.where((F.col("line_no") > F.col("ex_id")) & (F.col("line_no") < F.col("ex_end")) & ~F.col("in_expr")
-                     & (F.col("indent") >= 1))
-            .groupBy(*keys, "ex_id")
-            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "stripped"))),
-                                          lambda x: x["stripped"]), " ").alias("meta_text")))
-    names = df.where(F.col("is_hdr")).select(*keys, "ex_id", parts["name"].alias("name"))
-    body = F.coalesce(F.col("expression"), F.lit(""))
-    combined = F.concat(body, F.lit(" "), F.coalesce(F.col("meta_text"), F.lit("")))
+    e = df.where(F.col("ex_id").isNotNull() & (F.col("line_no") < F.col("ex_end")))
+    meta_line = (F.col("line_no") > F.col("ex_id")) & ~F.col("in_expr") & (F.col("indent") >= 1)
+    agg = e.groupBy(*keys, "ex_id").agg(
+        _first(F.col("is_hdr"), parts["name"]).alias("name"),
+        _lines_of(F.col("expr_text").isNotNull() & (F.col("expr_id") == F.col("ex_id")), F.col("expr_text")).alias("ls"),
+        _lines_of(meta_line, s).alias("meta"))
+    body = _dedent_join(F.col("ls"))
+    meta_text = F.array_join(F.transform(F.array_sort(F.col("meta")), lambda x: x["t"]), " ")
+    agg = agg.select(*keys, "ex_id", "name", body.alias("body"), meta_text.alias("meta_text"))
+    body = F.col("body")
+    combined = F.concat(body, F.lit(" "), F.col("meta_text"))
     is_param = combined.contains("IsParameterQuery=true") | combined.contains("IsParameterQuery = true")
     default = _strip_chars(_strip_chars(py_strip(F.regexp_extract(body, PARAM_DEFAULT, 1)), '"'), "'")
     ptype = F.when(combined.rlike(PARAM_TYPE), F.regexp_extract(combined, PARAM_TYPE, 1)).otherwise(
@@ -458,14 +487,13 @@ def shared_expressions(lines: DataFrame, keys) -> DataFrame:
         F.filter(F.split(raw_list, ","), lambda v: py_strip(v) != ""),
         lambda v: _strip_chars(_strip_chars(py_strip(v), '"'), "'"))).otherwise(F.array().cast("array<string>"))
     code = F.when(body.startswith("="), py_strip(F.substring(body, 2, 1 << 30))).otherwise(body)
-    return (names.join(bodies, [*keys, "ex_id"], "left").join(meta, [*keys, "ex_id"], "left")
-            .select(*keys, "ex_id", "name",
-                    F.when(is_param, F.lit("parameter")).otherwise(F.lit("function")).alias("kind"),
-                    F.when(is_param, default).alias("default_value"),
-                    F.when(is_param, ptype).alias("param_type"),
-                    F.when(is_param, required).alias("is_required"),
-                    F.when(is_param, allowed).alias("allowed_values"),
-                    F.when(~is_param, code).alias("code")))
+    return agg.select(*keys, "ex_id", "name",
+                      F.when(is_param, F.lit("parameter")).otherwise(F.lit("function")).alias("kind"),
+                      F.when(is_param, default).alias("default_value"),
+                      F.when(is_param, ptype).alias("param_type"),
+                      F.when(is_param, required).alias("is_required"),
+                      F.when(is_param, allowed).alias("allowed_values"),
+                      F.when(~is_param, code).alias("code"))
 
 
 # ------------------------------------------------------------------ P25, P26
