@@ -86,6 +86,8 @@ def consolidate_layers(visuals: DataFrame, pairs: DataFrame | None = None, max_r
              .join(node.select(*PAGE_KEYS, F.col("pos").alias("pos_a"), F.col("absorbable").alias("src_abs")),
                    PAGE_KEYS + ["pos_a"])
              .select(*PAGE_KEYS, "pos_a", "pos_b", "src_abs"))
+    # the covering pairs feed three branches below; materialise them once in the shared checkpoint folder
+    cover = cut_lineage(cover)
     by_fixed = cover.where(~F.col("src_abs")).select(*PAGE_KEYS, F.col("pos_b").alias("pos")).distinct()
     rest = node.where("absorbable").select(*key).join(by_fixed, key, "left_anti")
     edges = (cover.where("src_abs")
@@ -93,6 +95,10 @@ def consolidate_layers(visuals: DataFrame, pairs: DataFrame | None = None, max_r
              .join(rest.select(*PAGE_KEYS, F.col("pos").alias("pos_b")), PAGE_KEYS + ["pos_b"], "left_semi")
              .select(*PAGE_KEYS, "pos_a", "pos_b"))
     edges = cut_lineage(edges)
+    if edges.limit(1).count() == 0:  # no chains among absorbable elements: nothing to iterate
+        absorbed = by_fixed.withColumn("absorbed", F.lit(True))
+        return (visuals.join(absorbed, key, "left")
+                .withColumn("absorbed", F.coalesce("absorbed", F.lit(False))))
     # state: 'K' kept, 'A' absorbed, 'U' undecided
     has_pred = edges.select(*PAGE_KEYS, F.col("pos_b").alias("pos")).distinct()
     state = (rest.join(has_pred.withColumn("_p", F.lit(True)), key, "left")
