@@ -103,7 +103,6 @@ def error_code(stage, error_type, prefix: str = "ERR") -> Column:
 def _ref_of(json_col: Column, path: str) -> Column:
     """One level of a field reference: Measure/Column -> 'table[prop]', Aggregation -> 'Agg(...)'."""
     g = lambda p: F.get_json_object(json_col, f"{path}.{p}")
-    entity = F.coalesce(g("Expression.SourceRef.Entity"), F.lit(""))
     return (F.when(g("Measure").isNotNull(),
                    F.concat(F.coalesce(g("Measure.Expression.SourceRef.Entity"), F.lit("")), F.lit("["),
                             F.coalesce(g("Measure.Property"), F.lit("")), F.lit("]")))
@@ -113,7 +112,7 @@ def _ref_of(json_col: Column, path: str) -> Column:
             .when(g("SourceRef").isNotNull(), F.coalesce(g("SourceRef.Entity"), F.lit("")))
             .when(g("HierarchyLevel").isNotNull(),
                   F.concat(F.lit("HierarchyLevel("), F.coalesce(g("HierarchyLevel.Level"), F.lit("")), F.lit(")")))
-            .otherwise(entity))
+            .otherwise(F.lit("")))
 
 
 def field_reference(field_json) -> Column:
@@ -135,3 +134,28 @@ def format_geometry(vtype, title, x, y, width, height, z) -> Column:
         F.concat(i(width), F.lit("×"), i(height), F.lit(" @ "), i(x), F.lit(","), i(y)).alias("geometry"),
         i(z).alias("z_text"),
     )
+
+
+# Parsed form of a field reference, for scans that read whole documents with from_json (one parse per document).
+_REF = "struct<Expression: struct<SourceRef: struct<Entity: string>>, Property: string>"
+_LEAF = f"Measure: {_REF}, Column: {_REF}, SourceRef: struct<Entity: string>, HierarchyLevel: struct<Level: string>"
+FIELD_SCHEMA = f"struct<{_LEAF}, Aggregation: struct<Expression: struct<{_LEAF}>>>"
+
+
+def _ref_of_struct(s: Column) -> Column:
+    def named(x: Column) -> Column:
+        return F.concat(F.coalesce(x["Expression"]["SourceRef"]["Entity"], F.lit("")), F.lit("["),
+                        F.coalesce(x["Property"], F.lit("")), F.lit("]"))
+    return (F.when(s["Measure"].isNotNull(), named(s["Measure"]))
+            .when(s["Column"].isNotNull(), named(s["Column"]))
+            .when(s["SourceRef"].isNotNull(), F.coalesce(s["SourceRef"]["Entity"], F.lit("")))
+            .when(s["HierarchyLevel"].isNotNull(),
+                  F.concat(F.lit("HierarchyLevel("), F.coalesce(s["HierarchyLevel"]["Level"], F.lit("")), F.lit(")")))
+            .otherwise(F.lit("")))
+
+
+def field_reference_struct(field: Column) -> Column:
+    """P22 on a field already parsed with ``FIELD_SCHEMA`` (same result as ``field_reference`` on its text)."""
+    return F.when(field["Aggregation"].isNotNull(),
+                  F.concat(F.lit("Agg("), _ref_of_struct(field["Aggregation"]["Expression"]), F.lit(")"))
+                  ).otherwise(_ref_of_struct(field))
