@@ -63,14 +63,26 @@ def sorted_usage(usage: DataFrame) -> DataFrame:
 
 
 def _bound_substrings(names: DataFrame, visuals: DataFrame) -> DataFrame:
-    """Distinct (model_id, key) substrings of bound fields whose length equals some name length."""
-    lengths = names.select("model_id", F.length("key").alias("n")).distinct()
+    """Distinct (model_id, key) substrings of bound fields that could equal a measure name of the model.
+
+    Exact candidate generation, pruned by an equi-join: a start position p of
+    field f is kept for length n only when the two characters at p begin some
+    name of length n in the model (one-character names take the direct
+    path).  The (model, prefix, length) table is small and broadcast behind a
+    size check.
+    """
+    lens = names.select("model_id", F.length("key").alias("n"), F.substring("key", 1, 2).alias("pre"))
+    prefixes = lens.where(F.col("n") >= 2).distinct()
+    singles = lens.where(F.col("n") == 1).select("model_id", F.col("pre").alias("key")).distinct()
     fields = visuals.where(F.col("field").isNotNull()).select("model_id", F.lower("field").alias("f")).distinct()
-    return (fields.join(broadcast_if_small(lengths), "model_id")
-            .where(F.col("n") <= F.length("f"))
-            .select("model_id", "f", "n", F.explode(F.sequence(F.lit(1), F.length("f") - F.col("n") + 1)).alias("p"))
-            .select("model_id", F.expr("substring(f, p, n)").alias("key"))
-            .distinct())
+    starts = fields.select("model_id", "f", F.explode(F.sequence(F.lit(1), F.greatest(F.length("f") - 1, F.lit(1)))).alias("p"))
+    cand = (starts.select("model_id", "f", "p", F.expr("substring(f, p, 2)").alias("pre"))
+            .join(broadcast_if_small(prefixes), ["model_id", "pre"])
+            .where(F.col("p") + F.col("n") - 1 <= F.length("f"))
+            .select("model_id", F.expr("substring(f, p, n)").alias("key")))
+    one = (fields.select("model_id", F.explode(F.split("f", "")).alias("key"))
+           .join(broadcast_if_small(singles), ["model_id", "key"], "left_semi"))
+    return cand.unionByName(one).distinct()
 
 
 def unused_measures(measures: DataFrame, visuals: DataFrame) -> DataFrame:
