@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetcat.session import cut_lineage
+
 # A side is broadcast only when it is proven to hold at most this many rows;
 # beyond it the join falls back to a shuffle join (AQE may still pick a
 # broadcast from runtime sizes).
@@ -16,3 +18,55 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> Da
     if df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)
     return df
+
+
+def row_numbers_within(df: DataFrame, base_group, order_cols, numberings, partitions: int | None = None) -> DataFrame:
+    """Several ``row_number()`` columns per group that stay balanced when one group holds much of the data.
+
+    A plain window sends each group to one task.  Here rows are range
+    partitioned once by (base_group, order) -- a hot group spans many
+    partitions, in key order -- and written to the shared checkpoint folder so
+    every branch sees the same partition ids.  Each numbering ``(group_cols,
+    name)`` (``group_cols`` must contain ``base_group``) numbers rows within
+    (partition, group) and adds the row counts of the same group in earlier
+    partitions (a small table: one row per partition and group).
+    ``order_cols`` must order rows totally within a group.
+    """
+    from pyspark.sql import Window
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
+    keys = [F.col(c) for c in base_group] + order
+    out = cut_lineage(df.repartitionByRange(n, *keys).withColumn("_pid", F.spark_partition_id()), "ranked")
+    for group_cols, name in numberings:
+        local = out.withColumn("_local", F.row_number().over(Window.partitionBy("_pid", *group_cols).orderBy(*order)))
+        counts = local.groupBy("_pid", *group_cols).agg(F.max("_local").alias("_n"))
+        before = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = counts.select("_pid", *group_cols, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+        out = (local.join(offsets, ["_pid", *group_cols])
+               .withColumn(name, (F.col("_local") + F.col("_off")).cast("int"))
+               .drop("_local", "_off"))
+    return out.drop("_pid")
+
+
+def row_number_within(df: DataFrame, group_cols, order_cols, name: str, partitions: int | None = None) -> DataFrame:
+    """One skew-safe ``row_number()`` per group (see ``row_numbers_within``)."""
+    return row_numbers_within(df, list(group_cols), order_cols, [(list(group_cols), name)], partitions)
+
+
+def rank_within(df: DataFrame, group_cols, value_col: str, name: str, descending: bool = False,
+                dense: bool = False) -> DataFrame:
+    """``rank()`` / ``dense_rank()`` per group by one value, balanced like ``row_number_within``.
+
+    rank = the smallest row number among rows sharing the value (ties get the
+    same rank, gaps follow); dense rank = the row number of the value among
+    the group's distinct values.
+    """
+    v = F.col(value_col).desc_nulls_last() if descending else F.col(value_col).asc_nulls_first()
+    if dense:
+        distinct = df.select(*group_cols, value_col).distinct()
+        ranked = row_number_within(distinct, group_cols, [v], name)
+        return df.join(ranked, [*group_cols, value_col], "left")
+    tmp = df.withColumn("_row", F.monotonically_increasing_id())
+    numbered = row_number_within(tmp, group_cols, [v, F.col("_row")], "_rn")
+    first = numbered.groupBy(*group_cols, value_col).agg(F.min("_rn").alias(name))
+    return numbered.join(first, [*group_cols, value_col]).drop("_row", "_rn")

@@ -209,6 +209,13 @@ def rankx(partition_by: Sequence[str], order_col, descending: bool = True, dense
     return (F.dense_rank() if dense else F.rank()).over(w)
 
 
+def rankx_df(df: DataFrame, partition_by: Sequence[str], value_col: str, name: str,
+             descending: bool = True, dense: bool = False) -> DataFrame:
+    """M21 RANKX for large groups: the same ranks as ``rankx``, computed without sending a group to one task."""
+    from fleetcat.operators.common import rank_within
+    return rank_within(df, list(partition_by), value_col, name, descending=descending, dense=dense)
+
+
 def count_higher_peers(partition_by: Sequence[str], order_col) -> Column:
     """M23 EARLIER: for each row, how many peers in the group have a strictly higher value.
 

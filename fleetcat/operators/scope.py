@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetcat.operators.common import row_number_within
 from fleetcat.functions import classify_parameter, classify_source, computed_excerpt, is_system_table, redact_sensitive
 
 # Fixed values that must equal the reference's rules.
@@ -117,10 +118,10 @@ def items_by_table(items: DataFrame, name_col: str, include_system_tables: bool
     it = items if include_system_tables else items.where(~is_system_table("table_name"))
     tables = it.select("model_id", "table_name").distinct()
     tables = tables.withColumn("section_no", F.dense_rank().over(Window.partitionBy("model_id").orderBy("table_name")))
-    w = Window.partitionBy("model_id", "table_name").orderBy(name_col, "ordinal")
-    return (it.join(tables, ["model_id", "table_name"])
-            .select("model_id", "table_name", "section_no", F.col(name_col).alias("name"),
-                    F.row_number().over(w).alias("item_no")))
+    numbered = row_number_within(it.select("model_id", "table_name", name_col, "ordinal"),
+                                 ["model_id", "table_name"], [name_col, "ordinal"], "item_no")
+    return (numbered.join(tables, ["model_id", "table_name"])
+            .select("model_id", "table_name", "section_no", F.col(name_col).alias("name"), "item_no"))
 
 
 def model_summary(tables: DataFrame, columns: DataFrame, measures: DataFrame, relationships: DataFrame,

@@ -225,12 +225,13 @@ select p_partkey, p_brand,
   cast(rank() over (partition by p_brand order by p_retailprice desc) - 1 as integer) as n_higher
 from part""")
 def m21_m23(spark, sf_dir):
-    p = _t(spark, sf_dir, "part")
-    return p.select("p_partkey", "p_brand",
-                    M.rankx(["p_brand"], "p_retailprice").alias("rank_desc"),
-                    M.rankx(["p_brand"], "p_retailprice", dense=True).alias("dense_desc"),
-                    M.rankx(["p_brand"], "p_retailprice", descending=False).alias("rank_asc"),
-                    M.count_higher_peers(["p_brand"], "p_retailprice").alias("n_higher"))
+    """Ranks within a brand computed skew-safe (a brand may hold much of the table); EARLIER = rank_desc - 1."""
+    p = _t(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_retailprice")
+    p = M.rankx_df(p, ["p_brand"], "p_retailprice", "rank_desc")
+    p = M.rankx_df(p, ["p_brand"], "p_retailprice", "dense_desc", dense=True)
+    p = M.rankx_df(p, ["p_brand"], "p_retailprice", "rank_asc", descending=False)
+    return p.select("p_partkey", "p_brand", "rank_desc", "dense_desc", "rank_asc",
+                    (F.col("rank_desc") - 1).alias("n_higher"))
 
 
 @register("M22_concatenatex", oracle="""
