@@ -116,8 +116,7 @@ def source_sections(partitions: DataFrame, expressions: DataFrame) -> DataFrame:
 def items_by_table(items: DataFrame, name_col: str, include_system_tables: bool = False) -> DataFrame:
     """A5: per (model, table) section number (tables sorted, non-empty only) and item number (names sorted)."""
     it = items if include_system_tables else items.where(~is_system_table("table_name"))
-    tables = it.select("model_id", "table_name").distinct()
-    tables = tables.withColumn("section_no", F.dense_rank().over(Window.partitionBy("model_id").orderBy("table_name")))
+    tables = row_number_within(it.select("model_id", "table_name").distinct(), ["model_id"], ["table_name"], "section_no")
     numbered = row_number_within(it.select("model_id", "table_name", name_col, "ordinal"),
                                  ["model_id", "table_name"], [name_col, "ordinal"], "item_no")
     return (numbered.join(tables, ["model_id", "table_name"])
@@ -246,10 +245,12 @@ def definition_export(scope: DataFrame, partitions: DataFrame, columns: DataFram
                     F.array(F.concat(F.lit("\tpartition '"), F.col("table_name"), F.lit("-Partition' = m")),
                             F.lit("\t\tmode: import"),
                             F.concat(F.lit("\t\tsource = \n```\n"), expr, F.lit("\n```\n"))).alias("lines")))
-    cols = (columns.where(F.col("is_calculated")).join(scope, ["model_id", "table_name"], "left_semi")
+    calc = columns.where(F.col("is_calculated")).join(scope, ["model_id", "table_name"], "left_semi")
+    calc = row_number_within(calc.select("model_id", "table_name", "column_name", "data_type", "expression"),
+                             ["model_id", "table_name"], ["column_name", "data_type", "expression"], "_col_no")
+    cols = (calc
             .select("model_id", F.lit(1).alias("part"), "table_name",
-                    (F.lit(2 * 2**30).cast("long") + F.dense_rank().over(
-                        Window.partitionBy("model_id", "table_name").orderBy("column_name"))).cast("long").alias("block"),
+                    (F.lit(2 * 2**30).cast("long") + F.col("_col_no")).cast("long").alias("block"),
                     F.flatten(F.array(
                         F.array(F.concat(F.lit("\tcolumn '"), F.col("column_name"), F.lit("'")),
                                 F.concat(F.lit("\t\tdataType: "), F.coalesce("data_type", F.lit("unknown")))),

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from fleetcat.functions.code import is_binary_payload
 from fleetcat.functions.common import let, py_strip
+from fleetcat.operators.common import row_number_within
 
 FENCE = "```"
 BIG = 1 << 40
@@ -364,8 +365,7 @@ def calculation_items(blocks: DataFrame, keys) -> DataFrame:
     out = agg.select(*keys, "block_id", "item_id", "group_column", "item_name",
                      _dedent_join(_last_group(F.col("ls"))).alias("expression"),
                      F.coalesce("ordinal", F.lit(0)).alias("ordinal"))
-    w = Window.partitionBy(*keys, "block_id").orderBy("ordinal", "item_id")
-    return out.withColumn("item_rank", F.row_number().over(w))
+    return row_number_within(out, [*keys, "block_id"], ["ordinal", "item_id"], "item_rank")
 
 
 def hierarchy_levels(blocks: DataFrame, keys) -> DataFrame:
