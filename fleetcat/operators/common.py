@@ -20,10 +20,22 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> Da
     return df
 
 
-def row_numbers_within(df: DataFrame, base_group, order_cols, numberings, partitions: int | None = None) -> DataFrame:
+# A per-group window runs in one task; it is used only when every group is proven to hold at most this many rows.
+WINDOW_GROUP_ROW_LIMIT = 2_000_000
+
+
+def largest_group(df: DataFrame, group_cols) -> int:
+    """Row count of the largest group (a partial aggregate: one row per group crosses the shuffle)."""
+    r = df.groupBy(*group_cols).count().agg(F.max("count").alias("m")).first()
+    return int(r["m"] or 0) if r is not None else 0
+
+
+def row_numbers_within(df: DataFrame, base_group, order_cols, numberings, partitions: int | None = None,
+                       max_group_rows: int = WINDOW_GROUP_ROW_LIMIT) -> DataFrame:
     """Several ``row_number()`` columns per group that stay balanced when one group holds much of the data.
 
-    A plain window sends each group to one task.  Here rows are range
+    A plain window sends each group to one task; it is used when the largest
+    group is proven to hold at most ``max_group_rows`` rows.  Otherwise rows are range
     partitioned once by (base_group, order) -- a hot group spans many
     partitions, in key order -- and written to the shared checkpoint folder so
     every branch sees the same partition ids.  Each numbering ``(group_cols,
@@ -33,8 +45,13 @@ def row_numbers_within(df: DataFrame, base_group, order_cols, numberings, partit
     ``order_cols`` must order rows totally within a group.
     """
     from pyspark.sql import Window
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
+    if largest_group(df, base_group) <= max_group_rows:
+        # every group is proven small: plain windows (one task per group is bounded)
+        for group_cols, name in numberings:
+            df = df.withColumn(name, F.row_number().over(Window.partitionBy(*group_cols).orderBy(*order)))
+        return df
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(c) for c in base_group] + order
     out = cut_lineage(df.repartitionByRange(n, *keys).withColumn("_pid", F.spark_partition_id()), "ranked")
     for group_cols, name in numberings:
@@ -48,13 +65,14 @@ def row_numbers_within(df: DataFrame, base_group, order_cols, numberings, partit
     return out.drop("_pid")
 
 
-def row_number_within(df: DataFrame, group_cols, order_cols, name: str, partitions: int | None = None) -> DataFrame:
+def row_number_within(df: DataFrame, group_cols, order_cols, name: str, partitions: int | None = None,
+                      max_group_rows: int = WINDOW_GROUP_ROW_LIMIT) -> DataFrame:
     """One skew-safe ``row_number()`` per group (see ``row_numbers_within``)."""
-    return row_numbers_within(df, list(group_cols), order_cols, [(list(group_cols), name)], partitions)
+    return row_numbers_within(df, list(group_cols), order_cols, [(list(group_cols), name)], partitions, max_group_rows)
 
 
 def rank_within(df: DataFrame, group_cols, value_col: str, name: str, descending: bool = False,
-                dense: bool = False) -> DataFrame:
+                dense: bool = False, max_group_rows: int = WINDOW_GROUP_ROW_LIMIT) -> DataFrame:
     """``rank()`` / ``dense_rank()`` per group by one value, balanced like ``row_number_within``.
 
     rank = the smallest row number among rows sharing the value (ties get the
@@ -64,9 +82,9 @@ def rank_within(df: DataFrame, group_cols, value_col: str, name: str, descending
     v = F.col(value_col).desc_nulls_last() if descending else F.col(value_col).asc_nulls_first()
     if dense:
         distinct = df.select(*group_cols, value_col).distinct()
-        ranked = row_number_within(distinct, group_cols, [v], name)
+        ranked = row_number_within(distinct, group_cols, [v], name, max_group_rows=max_group_rows)
         return df.join(ranked, [*group_cols, value_col], "left")
     tmp = df.withColumn("_row", F.monotonically_increasing_id())
-    numbered = row_number_within(tmp, group_cols, [v, F.col("_row")], "_rn")
+    numbered = row_number_within(tmp, group_cols, [v, F.col("_row")], "_rn", max_group_rows=max_group_rows)
     first = numbered.groupBy(*group_cols, value_col).agg(F.min("_rn").alias(name))
     return numbered.join(first, [*group_cols, value_col]).drop("_row", "_rn")

@@ -174,3 +174,22 @@ def test_entry_contract(spark):
     assert set(o) <= set(q)
     assert not [k for k in q if k.lower().startswith("op")]
     _ = F
+
+
+def test_skew_safe_numbering_equals_windows(spark):
+    from pyspark.sql import Window
+    from fleetcat.operators.common import rank_within, row_numbers_within
+    rnd = random.Random(3)
+    data = [(rnd.choice([1, 1, 1, 2, 3]), rnd.randrange(5), i, float(rnd.randrange(20))) for i in range(400)]
+    df = spark.createDataFrame(data, "g long, b long, pos long, v double")
+    forced = row_numbers_within(df, ["g"], ["v", "pos"], [(["g"], "rn"), (["g", "b"], "rn_b")], partitions=7, max_group_rows=1)
+    w = Window.partitionBy("g").orderBy("v", "pos")
+    wb = Window.partitionBy("g", "b").orderBy("v", "pos")
+    plain = df.withColumn("rn", F.row_number().over(w)).withColumn("rn_b", F.row_number().over(wb))
+    assert rows(forced, "pos", "rn", "rn_b") == rows(plain, "pos", "rn", "rn_b")
+    r = rank_within(df, ["g"], "v", "r", descending=True, max_group_rows=1)
+    d = rank_within(df, ["g"], "v", "d", descending=True, dense=True, max_group_rows=1)
+    wd = Window.partitionBy("g").orderBy(F.col("v").desc())
+    want = df.withColumn("r", F.rank().over(wd)).withColumn("d", F.dense_rank().over(wd))
+    assert rows(r, "pos", "r") == rows(want, "pos", "r")
+    assert rows(d, "pos", "d") == rows(want, "pos", "d")
