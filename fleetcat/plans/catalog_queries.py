@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from fleetcat.operators import lineage, lint, usage
 from fleetcat.plans.registry import register
 from fleetcat.plans.sqlbits import case_map, clean_field, escape_html, is_system, pystrip, q, visual_description

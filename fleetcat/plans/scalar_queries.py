@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from fleetcat import functions as fx
 from fleetcat.functions.code import BINARY_MARKER, BINARY_PATTERNS, HANA_NAME_PATTERN, SOURCE_RULES
 from fleetcat.functions.names import (
-    SYSTEM_TABLE_PREFIXES, TECHNICAL_DENYLIST, TECHNICAL_PATTERN, WELL_LABELS, with_clean_field_name,
+    TECHNICAL_DENYLIST, TECHNICAL_PATTERN, WELL_LABELS, with_clean_field_name,
 )
 from fleetcat.functions.text import SECRET_KEYS, SENSITIVE_RULES
 from fleetcat.operators import descriptions, segment
@@ -367,5 +367,3 @@ from b
 def p26(spark, sf_dir):
     return segment.audit_embedded_blocks(read_table(spark, sf_dir, "pages"))
 
-
-_ = (SYSTEM_TABLE_PREFIXES,)

@@ -173,7 +173,6 @@ def test_entry_contract(spark):
     q, o = e.queries(), e.oracle_sql()
     assert set(o) <= set(q)
     assert not [k for k in q if k.lower().startswith("op")]
-    _ = F
 
 
 def test_skew_safe_numbering_equals_windows(spark):
