@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetcat.operators.common import row_number_within
-from fleetcat.functions import classify_parameter, classify_source, computed_excerpt, is_system_table, redact_sensitive
+from fleetcat.functions import (
+    classify_parameter, classify_source, computed_excerpt, is_system_table, parameter_excerpt, redact_sensitive,
+)
 
 # Fixed values that must equal the reference's rules.
 SOURCE_SECTIONS = ("File", "Database", "Power Platform", "Azure", "Online Services", "Other",
@@ -90,11 +92,22 @@ def computed_tables(partitions: DataFrame, include_system_tables: bool = False)
     return m.unionByName(d).select("model_id", "table_name", "table_type", computed_excerpt(F.col("expression")).alias("excerpt"))
 
 
+HELPER_FALLBACK = "Custom M function"
+
+
 def all_parameters(expressions: DataFrame) -> DataFrame:
-    """Parameters and helper functions together, each tagged by the ordered rules."""
+    """Parameters and helper functions together, each tagged by the ordered rules.
+
+    ``display`` is what the sources section shows: a parameter's first 150
+    characters (P19), a helper's description or a fixed fallback.
+    """
     kind = classify_parameter(F.col("name"), F.col("expression"))
-    params = expressions.where(kind == "parameter").select("model_id", "name", F.lit("parameter").alias("kind"), "expression")
-    helpers = expressions.where(kind == "helper").select("model_id", "name", F.lit("helper").alias("kind"), "expression")
+    desc = F.coalesce(F.col("description").cast("string"), F.lit("")) if "description" in expressions.columns else F.lit("")
+    params = expressions.where(kind == "parameter").select(
+        "model_id", "name", F.lit("parameter").alias("kind"), "expression", parameter_excerpt("expression").alias("display"))
+    helpers = expressions.where(kind == "helper").select(
+        "model_id", "name", F.lit("helper").alias("kind"), "expression",
+        F.when(desc != "", desc).otherwise(F.lit(HELPER_FALLBACK)).alias("display"))
     return params.unionByName(helpers)
 
 

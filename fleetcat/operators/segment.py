@@ -268,6 +268,14 @@ def table_names(lines: DataFrame, keys, file_col: str = "file") -> DataFrame:
         *keys, header_name(py_strip(F.col("line")), "table")["name"].alias("table_name"))
 
 
+def table_names_of_files(files: DataFrame, keys, file_col: str = "file", text_col: str = "value") -> DataFrame:
+    """T11 on whole files: the first line's header name; a file without lines is named by its stem."""
+    first = F.try_element_at(split_lines(F.col(text_col)), F.lit(1))
+    stem = F.regexp_extract(F.element_at(F.split(F.col(file_col), "/"), -1), r"^(.*?)(\.[^.]*)?$", 1)
+    return files.select(*keys, F.when(first.isNull(), stem)
+                        .otherwise(header_name(py_strip(first), "table")["name"]).alias("table_name"))
+
+
 def _block_lines(blocks: DataFrame, kind: str) -> DataFrame:
     return blocks.where(F.col("in_block") & (F.col("block_kind") == kind))
 

@@ -69,7 +69,10 @@ _KIND_SQL = f"""(case when contains(coalesce(expression, ''), 'meta [IsParameter
 
 
 @register("U1_all_parameters", oracle=oracle_ctes("cat_expressions")
-          + f"select model_id, name, {_KIND_SQL} as kind, expression from cat_expressions")
+          + f"""select model_id, name, {_KIND_SQL} as kind, expression,
+  case when {_KIND_SQL} = 'parameter' then substring(coalesce(cast(expression as varchar), ''), 1, 150)
+       when coalesce(description, '') <> '' then description else 'Custom M function' end as display
+from cat_expressions""")
 def u1(spark, sf_dir):
     return scope.all_parameters(_cat(spark, sf_dir, "cat_expressions")["cat_expressions"])
 

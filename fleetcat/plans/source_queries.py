@@ -194,7 +194,8 @@ def t10_expressions(spark, sf_dir):
 @register("T11_table_name_of_file", oracle=oracle_ctes("cat_measures")
           + "select distinct model_id, table_name as file, table_name from cat_measures")
 def t11_table_names(spark, sf_dir):
-    return seg.table_names(_measure_lines(spark, sf_dir), KEYS)
+    m = catalog(spark, sf_dir, "cat_measures")["cat_measures"]
+    return seg.table_names_of_files(defs.table_files(measures=m), KEYS)
 
 
 # ------------------------------------------------------------------ S2, S6: project discovery
@@ -361,3 +362,16 @@ def s8_write(spark, sf_dir):
 def p25_steps(spark, sf_dir):
     p = catalog(spark, sf_dir, "cat_partitions")["cat_partitions"]
     return seg.split_query_steps(p, ["model_id", "ordinal"])
+
+
+@register("P21_error_code", oracle=oracle_ctes("cat_definitions") + f"""
+select model_id, ordinal, 'PARSE' as stage,
+  'ERR-PARSE-' || upper(substring(sha1('JSONDecodeError:PARSE'), 1, 8)) as error_code
+from cat_definitions where not json_valid({_CORRUPT})
+""")
+def p21_error_code(spark, sf_dir):
+    """Error codes (stage + short hash of type and stage) of the units that fail to parse."""
+    from fleetcat.operators.scope import DEFINITION_SCHEMA
+    from fleetcat.sources.quarantine import parse_or_quarantine
+    d = catalog(spark, sf_dir, "cat_definitions")["cat_definitions"].withColumn("payload", F.expr(_CORRUPT))
+    return parse_or_quarantine(d, ["model_id", "ordinal"], "payload", DEFINITION_SCHEMA)[1]

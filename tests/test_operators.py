@@ -192,3 +192,39 @@ def test_skew_safe_numbering_equals_windows(spark):
     want = df.withColumn("r", F.rank().over(wd)).withColumn("d", F.dense_rank().over(wd))
     assert rows(r, "pos", "r") == rows(want, "pos", "r")
     assert rows(d, "pos", "d") == rows(want, "pos", "d")
+
+
+def test_table_name_of_empty_file_is_stem(spark):
+    files = spark.createDataFrame([(1, "tables/Sales.tmdl", "table 'Sales Fact'\n\tmeasure x = 1\n"),
+                                   (1, "tables/Empty.tmdl", "")], "model_id long, file string, value string")
+    assert rows(segment.table_names_of_files(files, ["model_id", "file"]), "file", "table_name") == [
+        ("tables/Empty.tmdl", "Empty"), ("tables/Sales.tmdl", "Sales Fact")]
+
+
+def test_text_export_keeps_line_order(spark, sf_small):
+    import glob
+    from fleetcat.plans.scope_queries import a10
+    from fleetcat.operators.scope import export_text_order
+    from fleetcat.sources.sink import shared_path, write_text_export
+    lines = a10(spark, sf_small)
+    path = write_text_export(lines, shared_path(spark, "export-test"), export_text_order())
+    want = [r["line"] for r in lines.where("model_id = 3").orderBy(*export_text_order()).collect()]
+    files = glob.glob(path.replace("file:", "") + "/model_id=3/*.txt")
+    text = "".join(open(f).read() for f in sorted(files))
+    assert text == "".join(x + "\n" for x in want)
+
+
+def test_layout_fallbacks(spark):
+    from fleetcat.sources.layout_json import scan_layout_json, scan_page_files
+    proto = ('{"singleVisual":{"visualType":"card","prototypeQuery":{"Select":[{"Measure":{"Expression":{"SourceRef":'
+             '{"Entity":"S"}},"Property":"Total"},"Name":"S.Total"}]}}}')
+    layout = '{"sections":[{"visualContainers":[{"config":' + __import__("json").dumps(proto) + '},{"x":1}]}]}'
+    docs = spark.createDataFrame([(1, layout)], "id long, layout string")
+    out = scan_layout_json(docs, ["id"]).collect()
+    assert len(out) == 1 and out[0]["page_name"] == "Unknown Page" and out[0]["fields"] == ["Values: S.Total -> S[Total]"]
+    vis = ('{"visual":{"visualType":"tableEx","query":{"queryState":{"projections":[{"queryRef":"T.c",'
+           '"field":{"Column":{"Expression":{"SourceRef":{"Entity":"T"}},"Property":"c"}}}]}}}}')
+    files = spark.createDataFrame([(1, "R/definition/pages/p/page.json", '{"displayName":"P"}'),
+                                   (1, "R/definition/pages/p/visuals/v/visual.json", vis)], "id long, path string, text string")
+    got = scan_page_files(files, ["id"]).collect()
+    assert got[0]["fields"] == ["T.c -> T[c]"] and got[0]["page_width"] == 1280.0
