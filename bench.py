@@ -29,8 +29,7 @@ HEADLINE = [
     "J2_unused_report",        # substring containment as exact equi-join
     "A3_threshold_observations",
     "J7_overlap_pairs",        # spatial grid join
-    "J8_consolidate_layers",   # iterative greedy absorption
-    "W1_W2_wireframe",
+    "W1_W2_wireframe",         # iterative greedy absorption (J8) + skew-safe numbering
     "T5_measures",             # definition-text segmentation (windows)
     "T7_calculation_items",
     "S1_scan_definition_lines",
