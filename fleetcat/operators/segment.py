@@ -545,5 +545,6 @@ def audit_embedded_blocks(pages: DataFrame, html_col: str = "html") -> DataFrame
         out = part if out is None else out.unionByName(part)
     body = F.col("body")
     skipped = body.contains("mermaidAPI") | (F.length(body) > MAX_BLOCK_CHARS)
-    return out.select("page_id", "tag", "block_no", F.length(body).alias("n_chars"), skipped.alias("skipped"),
+    return out.select("page_id", "tag", F.col("block_no").cast("long").alias("block_no"),
+                      F.length(body).cast("long").alias("n_chars"), skipped.alias("skipped"),
                       (~skipped & (body.contains("{{") | body.contains("}}"))).alias("double_brace"))

@@ -364,5 +364,5 @@ def m32(spark, sf_dir):
     o = _t(spark, sf_dir, "orders")
     today = TI.today(AS_OF)
     return (o.where(TI.as_date("o_orderdate") <= today)
-            .select("o_orderkey", F.datediff(today, TI.as_date("o_orderdate")).alias("days_before_as_of"),
+            .select("o_orderkey", F.datediff(today, TI.as_date("o_orderdate")).cast("long").alias("days_before_as_of"),
                     TI.blank().cast("string").alias("blank_value")))

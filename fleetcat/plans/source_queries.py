@@ -353,7 +353,9 @@ def s8_write(spark, sf_dir):
     from fleetcat.plans.catalog_queries import a9_lineage_summary
     from fleetcat.sources.sink import shared_path, write_catalog
     path = write_catalog(a9_lineage_summary(spark, sf_dir), shared_path(spark, "catalog-lineage"))
-    return spark.read.parquet(path).select("model_id", "measure", "depends_on_measures", "depends_on_columns")
+    # partition discovery infers a narrower type for model_id; keep the catalog's type
+    return spark.read.parquet(path).select(F.col("model_id").cast("long").alias("model_id"), "measure",
+                                           "depends_on_measures", "depends_on_columns")
 
 
 # ------------------------------------------------------------------ P25: M query steps (no DuckDB equivalent: lookahead)

@@ -116,7 +116,8 @@ def write_definition_files(files: DataFrame, path: str | None = None) -> str:
 def scan_definition_lines(spark: SparkSession, path: str) -> DataFrame:
     """(model_id, file, file_path, line_no, line) from a folder of definition files."""
     files = (spark.read.text(path, wholetext=True)
-             .select("model_id", "file", F.col("_metadata.file_path").alias("file_path"), "value"))
+             .select(F.col("model_id").cast("long").alias("model_id"), "file",
+                     F.col("_metadata.file_path").alias("file_path"), "value"))
     return lines_of(files, ["model_id", "file", "file_path"])
 
 

@@ -81,7 +81,7 @@ from {supplier} cross join (values
 # an order.  A coarse grid gives overlaps, full-page backgrounds and z ties.
 CAT_VISUALS = """
 select l_orderkey % 20 as model_id, l_orderkey as page_id,
- row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) as pos,
+ cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) as bigint) as pos,
  case l_suppkey % 6 when 0 then 'textbox' when 1 then 'actionButton' when 2 then 'slicer' when 3 then 'card' when 4 then 'barChart' else 'tableEx' end as type,
  case when l_linenumber % 2 = 0 then ''
       when l_partkey % 50 = 1 then 'tooltip ' || cast(l_partkey as string)
