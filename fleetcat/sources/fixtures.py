@@ -35,11 +35,8 @@ from {part}
 
 # cat_columns: five columns per model, one of them calculated.
 CAT_COLUMNS = """
-select m.model_id, v.table_name, v.column_name, v.data_type, v.is_calculated, v.expression
-from (select distinct p_partkey % 20 as model_id from {part}) m cross join
- (values ('part','p_partkey','int64',false,''), ('part','p_brand','string',false,''), ('part','p_type','string',false,''),
-         ('part','p_size','int64',true,'part[p_partkey] + 1'), ('part','p_retailprice','double',false,''))
- as v(table_name, column_name, data_type, is_calculated, expression)
+select model_id, v.table_name, v.column_name, v.data_type, v.is_calculated, v.expression
+from (select model_id, {expand_columns} as v from (select distinct p_partkey % 20 as model_id from {part}))
 """
 
 # cat_partitions: one M (or calculated) partition per supplier; eight source kinds.
@@ -69,12 +66,7 @@ select s_suppkey % 20 as model_id, s_suppkey * 10 + v.rel_id as rel_id, v.from_t
  case when (s_suppkey + v.rel_id) % 3 = 0 then 'Both' else 'Single' end as cross_filter,
  case when v.rel_id = 6 and s_suppkey % 2 = 0 then 'one' else 'many' end as from_cardinality,
  case when v.rel_id = 4 and s_suppkey % 9 = 0 then 'many' else 'one' end as to_cardinality
-from {supplier} cross join (values
- (1,'lineitem','l_orderkey','orders','o_orderkey'), (2,'lineitem','l_partkey','part','p_partkey'),
- (3,'lineitem','l_suppkey','supplier','s_suppkey'), (4,'orders','o_custkey','customer','c_custkey'),
- (5,'customer','c_nationkey','nation','n_nationkey'), (6,'nation','n_regionkey','region','r_regionkey'),
- (7,'orders','o_orderdate','LocalDateTable_1','Date'))
- as v(rel_id, from_table, from_column, to_table, to_column)
+from (select s_suppkey, {expand_relationships} as v from {supplier})
 """
 
 # cat_visuals: one visual per line item (every line of every order); a page is
@@ -101,19 +93,19 @@ from {lineitem}
 
 # cat_visual_fields: three bound fields per visual, in several roles, for per-role listings.
 CAT_VISUAL_FIELDS = """
-select v.model_id, v.page_id, v.pos, v.type, f.field_no,
- case (v.src_key + f.field_no) % 4
-  when 0 then 'Values: Sum(part.x) -> Agg(part[Measure ' || cast(v.src_key + f.field_no as string) || '])'
+select v.model_id, v.page_id, v.pos, v.type, v.f.field_no,
+ case (v.src_key + v.f.field_no) % 4
+  when 0 then 'Values: Sum(part.x) -> Agg(part[Measure ' || cast(v.src_key + v.f.field_no as string) || '])'
   when 1 then 'Category: part.p_brand -> part[p_brand]'
   when 2 then 'Y: Measure ' || cast(v.src_key as string) || ' -> part[Measure ' || cast(v.src_key as string) || ']'
   else 'Tooltips: Count(part.p_type)) -> part.p_type' end as field,
- case (v.src_key + f.field_no) % 4
+ case (v.src_key + v.f.field_no) % 4
   when 0 then '{{"Aggregation":{{"Expression":{{"Measure":{{"Expression":{{"SourceRef":{{"Entity":"part"}}}},"Property":"Measure '
-       || cast(v.src_key + f.field_no as string) || '"}}}},"Function":0}}}}'
+       || cast(v.src_key + v.f.field_no as string) || '"}}}},"Function":0}}}}'
   when 1 then '{{"Column":{{"Expression":{{"SourceRef":{{"Entity":"part"}}}},"Property":"p_brand"}}}}'
   when 2 then '{{"Measure":{{"Expression":{{"SourceRef":{{"Entity":"part"}}}},"Property":"Measure ' || cast(v.src_key as string) || '"}}}}'
   else '{{"HierarchyLevel":{{"Expression":{{"Hierarchy":{{"Hierarchy":"Dates"}}}},"Level":"Year"}}}}' end as field_json
-from ({visuals}) v cross join (values (1), (2), (3)) as f(field_no)
+from (select *, {expand_fields} as f from ({visuals})) v
 """
 
 # cat_pages: one page per order; page size 1280 x 720, some hidden.
@@ -151,6 +143,56 @@ select c_custkey % 20 as model_id, c_custkey as ordinal,
 from {customer}
 """
 
+# Row expansions (each input row becomes k rows): a generator over a literal array of structs, rendered per engine.
+# Fixed template rows:
+COLUMN_TEMPLATES = (
+    dict(table_name="part", column_name="p_partkey", data_type="int64", is_calculated=False, expression=""),
+    dict(table_name="part", column_name="p_brand", data_type="string", is_calculated=False, expression=""),
+    dict(table_name="part", column_name="p_type", data_type="string", is_calculated=False, expression=""),
+    dict(table_name="part", column_name="p_size", data_type="int64", is_calculated=True, expression="part[p_partkey] + 1"),
+    dict(table_name="part", column_name="p_retailprice", data_type="double", is_calculated=False, expression=""),
+)
+RELATIONSHIP_TEMPLATES = (
+    dict(rel_id=1, from_table="lineitem", from_column="l_orderkey", to_table="orders", to_column="o_orderkey"),
+    dict(rel_id=2, from_table="lineitem", from_column="l_partkey", to_table="part", to_column="p_partkey"),
+    dict(rel_id=3, from_table="lineitem", from_column="l_suppkey", to_table="supplier", to_column="s_suppkey"),
+    dict(rel_id=4, from_table="orders", from_column="o_custkey", to_table="customer", to_column="c_custkey"),
+    dict(rel_id=5, from_table="customer", from_column="c_nationkey", to_table="nation", to_column="n_nationkey"),
+    dict(rel_id=6, from_table="nation", from_column="n_regionkey", to_table="region", to_column="r_regionkey"),
+    dict(rel_id=7, from_table="orders", from_column="o_orderdate", to_table="LocalDateTable_1", to_column="Date"),
+)
+FIELD_TEMPLATES = (dict(field_no=1), dict(field_no=2), dict(field_no=3))
+
+
+def _sql_lit(v) -> str:
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    if isinstance(v, int):
+        return str(v)
+    return "'" + str(v).replace("'", "''") + "'"
+
+
+def expand(rows, engine: str) -> str:
+    """A generator expression producing one struct per template row (explode in Spark, unnest in DuckDB)."""
+    if engine == "spark":
+        items = ", ".join("named_struct(" + ", ".join(f"'{k}', {_sql_lit(v)}" for k, v in r.items()) + ")" for r in rows)
+        return f"explode(array({items}))"
+    # doubled braces: the SQL text is formatted once more (table placeholders) after this substitution
+    items = ", ".join("{{" + ", ".join(f"'{k}': {_sql_lit(v)}" for k, v in r.items()) + "}}" for r in rows)
+    return f"unnest([{items}])"
+
+
+EXPANSIONS = {"expand_columns": COLUMN_TEMPLATES, "expand_relationships": RELATIONSHIP_TEMPLATES,
+              "expand_fields": FIELD_TEMPLATES}
+
+
+def _render(sql: str, engine: str) -> str:
+    sql = sql.replace("{visuals}", CAT_VISUALS.strip())
+    for k, rows in EXPANSIONS.items():
+        sql = sql.replace("{" + k + "}", expand(rows, engine))
+    return sql
+
+
 FIXTURES: dict[str, tuple[str, tuple[str, ...]]] = {
     "cat_measures": (CAT_MEASURES, ("part",)),
     "cat_columns": (CAT_COLUMNS, ("part",)),
@@ -167,8 +209,7 @@ FIXTURES: dict[str, tuple[str, tuple[str, ...]]] = {
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Build one derived catalog table from the driver tables under ``sf_dir``."""
     sql, deps = FIXTURES[name]
-    if "{visuals}" in sql:
-        sql = sql.replace("{visuals}", CAT_VISUALS.strip())
+    sql = _render(sql, "spark")
     return spark.sql(sql, **{d: read_table(spark, sf_dir, d) for d in deps})
 
 
@@ -181,6 +222,6 @@ def oracle_ctes(*names: str) -> str:
     parts = []
     for n in names:
         sql, deps = FIXTURES[n]
-        sql = sql.replace("{visuals}", CAT_VISUALS.strip())
+        sql = _render(sql, "duckdb")
         parts.append(f"{n} AS ({sql.format(**{d: d for d in deps})})")
     return "WITH " + ",\n".join(parts) + "\n"
