@@ -99,5 +99,5 @@ def test_error_code_and_fingerprint(spark):
     import hashlib
     h = hashlib.sha1(b"ValueError:PARSE").hexdigest()[:8].upper()
     assert one(spark, fx.error_hash(F.lit("PARSE"), F.lit("ValueError")), "x") == h
-    fp = hashlib.sha256(b"m.pbix_3_2").hexdigest()[:8]
-    assert one(spark, fx.model_fingerprint(F.lit("m.pbix"), F.lit(3), F.lit(2)), "x") == fp
+    fp = hashlib.sha256(b"sales.model_3_2").hexdigest()[:8]
+    assert one(spark, fx.model_fingerprint(F.lit("sales.model"), F.lit(3), F.lit(2)), "x") == fp
