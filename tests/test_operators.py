@@ -228,3 +228,14 @@ def test_layout_fallbacks(spark):
                                    (1, "R/definition/pages/p/visuals/v/visual.json", vis)], "id long, path string, text string")
     got = scan_page_files(files, ["id"]).collect()
     assert got[0]["fields"] == ["T.c -> T[c]"] and got[0]["page_width"] == 1280.0
+
+
+def test_layout_select_without_roles_defaults_to_values(spark):
+    import json
+    from fleetcat.sources.layout_json import scan_layout_json
+    dt = {"selects": [{"displayName": "n", "roles": {}, "expr": {"Column": {"Expression": {"SourceRef": {"Entity": "T"}},
+                                                                            "Property": "c"}}}]}
+    vc = {"config": json.dumps({"singleVisual": {"visualType": "card"}}), "dataTransforms": json.dumps(dt)}
+    docs = spark.createDataFrame([(1, json.dumps({"sections": [{"displayName": "P", "visualContainers": [vc]}]}))],
+                                 "id long, layout string")
+    assert scan_layout_json(docs, ["id"]).first()["fields"] == ["Values: n -> T[c]"]
