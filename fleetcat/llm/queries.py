@@ -112,3 +112,26 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = read_table(spark, sf_dir, "documents")
     return score_documents(docs, train(docs, read_table(spark, sf_dir, "labels")))
+
+
+@register("op4_quality_rules")
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fleetcat.llm.op4 import judge, train
+
+    docs = read_table(spark, sf_dir, "documents")
+    return judge(docs, train(docs, read_table(spark, sf_dir, "labels")))
+
+
+@register("op10_lm_scoring")
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fleetcat.llm.op10 import score_documents, train
+
+    docs = read_table(spark, sf_dir, "documents")
+    return score_documents(docs, *train(docs))
+
+
+@register("op6_url_filters")
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fleetcat.llm.op6 import judge, rules_table
+
+    return judge(read_table(spark, sf_dir, "pages"), rules_table(spark))
