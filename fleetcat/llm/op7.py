@@ -45,15 +45,15 @@ def prefix_sums(df: DataFrame, group: str, order: list[str], value: str, name: s
     The rows are written range-sorted, one file per task, so that their order
     and their task numbers stay fixed for the passes that follow.
     """
-    rows = df.repartitionByRange(*[F.col(c) for c in [group, *order]]).withColumn("task", F.spark_partition_id())
+    rows = df.repartitionByRange(*[F.col(c) for c in [group, *order]]).withColumn("__task", F.spark_partition_id())
     rows = written(rows, name)
-    per_task = rows.groupBy("task", group).agg(F.sum(value).alias("s"))
-    earlier = Window.partitionBy(group).orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_task.select("task", F.col(group).alias("g"), F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("task", group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("own", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    return rows.join(offsets.withColumnRenamed("task", "t"), (F.col("task") == F.col("t")) & F.col(group).eqNullSafe(F.col("g"))) \
-        .withColumn("before", F.col("own") + F.col("offset")).drop("own", "offset", "t", "g", "task")
+    per_task = rows.groupBy("__task", group).agg(F.sum(value).alias("s"))
+    earlier = Window.partitionBy(group).orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_task.select(F.col("__task").alias("__t"), F.col(group).alias("__g"), F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("__offset"))
+    inside = Window.partitionBy("__task", group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("__own", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return rows.join(offsets, (F.col("__task") == F.col("__t")) & F.col(group).eqNullSafe(F.col("__g"))) \
+        .withColumn("before", F.col("__own") + F.col("__offset")).drop("__own", "__offset", "__t", "__g", "__task")
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: int = SHARE, max_epochs: int = MAX_EPOCHS) -> DataFrame:

@@ -135,3 +135,35 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fleetcat.llm.op6 import judge, rules_table
 
     return judge(read_table(spark, sf_dir, "pages"), rules_table(spark))
+
+
+_CHAT_SQL = """
+with a as (
+  select conv_id, turn, text, 'call_' || conv_id || '_' || turn as call_id,
+    case turn % 3 when 0 then 'search' when 1 then 'lookup' else 'summarise' end as name, length(text) % 10 as lim
+  from conversations where role = 'assistant'),
+r as (select conv_id, turn, text, 'call_' || conv_id || '_' || (turn - 1) as call_id from conversations where role = 'user' and turn >= 2),
+j as (
+  select coalesce(a.conv_id, r.conv_id) as conv_id, coalesce(a.call_id, r.call_id) as call_id, a.name, a.turn as call_turn, r.turn as result_turn,
+    a.text as q, r.text as res, a.lim, a.call_id is null as orphan
+  from a full join r on a.conv_id = r.conv_id and a.call_id = r.call_id),
+v as (
+  select j.*, case when orphan then null else (select count(*) from a p where p.conv_id = j.conv_id and p.turn < j.call_turn and p.turn % 2 = j.call_turn % 2) end as level from j)
+select conv_id, call_id, name, cast(level as integer) as level,
+  cast(row_number() over (partition by conv_id order by orphan, level, coalesce(call_turn, result_turn), call_id) - 1 as bigint) as position,
+  call_turn, result_turn,
+  case when orphan then 'orphan result' when result_turn is null then 'no result' when q = '' or lim = 0 then 'invalid arguments' else 'ok' end as status,
+  (case when not orphan and lim = 0 then 1 else 0 end) + (case when not orphan and q = '' then 1 else 0 end) as n_errors,
+  case when orphan then '{"id":' || to_json(call_id) || ',"result":' || to_json(res) || '}'
+  else '{"arguments":{' || case when call_turn >= 3 then '"after":"{{call_' || conv_id || '_' || (call_turn - 2) || '}}",' else '' end
+    || '"limit":' || lim || ',"query":' || to_json(q) || '},"id":' || to_json(call_id) || ',"name":' || to_json(name)
+    || ',"result":' || coalesce(cast(to_json(res) as varchar), 'null') || '}' end as record
+from v"""
+
+
+@register("op9_chat_tool_linking", _CHAT_SQL)
+def op9_chat_tool_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fleetcat.llm.op9 import TOOLS, conversation_calls, linked_calls
+
+    rows = linked_calls(conversation_calls(read_table(spark, sf_dir, "conversations")), TOOLS)
+    return rows.withColumn("n_errors", F.size("errors")).drop("errors")
