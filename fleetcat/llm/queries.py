@@ -167,3 +167,45 @@ def op9_chat_tool_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = linked_calls(conversation_calls(read_table(spark, sf_dir, "conversations")), TOOLS)
     return rows.withColumn("n_errors", F.size("errors")).drop("errors")
+
+
+def _licence_sql() -> str:
+    from fleetcat.llm.op2 import LICENCE_NAMES, TEMPLATES, TERM, THRESHOLD
+
+    low = _LOWER.format("{0}")
+    terms = f"regexp_extract_all({low}, '{TERM}')"
+    values = ", ".join("({}, '{}', '{}')".format(i, n, t.replace("'", "''")) for i, (n, t) in enumerate(TEMPLATES))
+    return f"""
+with temp as (select * from (values {values}) as v(tid, licence, body)),
+tt as (select tid, licence, term, count(*) as tf from (select tid, licence, unnest({terms.format("body")}) as term from temp) group by all),
+f as (select doc_id, text, coalesce(source, 'unknown') || '/' || coalesce(lang, 'unknown') || '/' as top, cast(doc_id // 100 as varchar) || '/' as h, cast(doc_id // 10 as varchar) || '/' as t from documents),
+p as (select doc_id, text, case when doc_id % 1000 = 0 then top || 'LICENSE' when doc_id % 100 = 0 then top || h || 'LICENSE' when doc_id % 10 = 0 then top || h || t || 'LICENSE'
+  else top || h || t || 'doc_' || doc_id || '.txt' end as path from f),
+files as (select *, regexp_extract(path, '^((?:[^/]*/)*)[^/]*$', 1) as folder, regexp_matches(lower(regexp_extract(path, '([^/]*)$', 1)), '{LICENCE_NAMES}') as lf from p),
+lines as (select doc_id, unnest(string_split(text, chr(10))) as line from files where text is not null),
+worded as (select row_number() over () as k, line from lines where length(trim(line, ' ')) > 0),
+vocab as (select distinct term from tt),
+df as (select term, count(*) as df from (select distinct k, unnest({terms.format("line")}) as term from worded) where term in (select term from vocab) group by term),
+n as (select count(*) as n from worded),
+idf as (select term, ln((n + 1) / (coalesce(df, 0) + 1)) + 1 as idf from vocab left join df using (term), n),
+tw as (select tid, licence, term, tf * idf / sqrt(sum(tf * idf * tf * idf) over (partition by tid)) as w from tt join idf using (term)),
+seg as (select row_number() over () as k, doc_id, s from (select doc_id, line as s from lines union all select doc_id, text from files where lf and text is not null)),
+st as (select k, doc_id, term, count(*) as tf from (select k, doc_id, unnest({terms.format("s")}) as term from seg) group by all),
+sv as (select k, doc_id, term, tf * coalesce(idf, ln(n + 1) + 1) as w from st left join idf using (term), n),
+sn as (select k, sqrt(sum(w * w)) as norm from sv group by k),
+cs as (select sv.k, sv.doc_id, tid, licence, round(sum(sv.w * tw.w) / any_value(norm), 6) as score from sv join tw using (term) join sn on sn.k = sv.k group by sv.k, sv.doc_id, tid, licence),
+own as (select doc_id, licence, score from cs where score >= {THRESHOLD} qualify row_number() over (partition by doc_id order by score desc, licence) = 1),
+dirs as (select folder, licence from files join own using (doc_id) where lf qualify row_number() over (partition by folder order by score desc, licence, path) = 1),
+up as (select distinct a.folder, d.folder as above, d.licence from (select distinct folder from files) a join dirs d on starts_with(a.folder, d.folder)),
+near as (select * from up qualify row_number() over (partition by folder order by length(above) desc) = 1)
+select files.doc_id, path, own.licence as own_licence, own.score, coalesce(own.licence, near.licence) as licence,
+  case when own.licence is not null and lf then 'licence file' when own.licence is not null then 'header' when near.licence is not null then 'inherited' else 'none' end as origin,
+  case when own.licence is null then near.above end as licence_folder
+from files left join own using (doc_id) left join near on near.folder = files.folder"""
+
+
+@register("op2_license_scan", _licence_sql())
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fleetcat.llm.op2 import document_files, scan
+
+    return scan(document_files(read_table(spark, sf_dir, "documents"))).withColumnRenamed("file_id", "doc_id")
