@@ -1,8 +1,7 @@
 """Scalar Column builders, all Catalyst expressions."""
 
 from fleetcat.functions.code import (  # noqa: F401
-    classify_parameter, classify_source, computed_excerpt, expression_census, expression_tokens,
-    hana_source_info, is_binary_payload, is_hardcoded_connection, parameter_excerpt, source_excerpt,
+    classify_parameter, classify_source, computed_excerpt, hana_source_info, is_binary_payload, is_hardcoded_connection, parameter_excerpt, source_excerpt,
 )
 from fleetcat.functions.names import (  # noqa: F401
     clean_field_name, is_measure_field, is_system_table, is_technical, is_technical_card, safe_id,

@@ -6,14 +6,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# The code points that count as white space, as a character class for both engines.
+WHITE_SPACE = r"\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+
 def col_of(c) -> Column:
     """Accept a column name or a Column."""
     return F.col(c) if isinstance(c, str) else c
 
 
 def py_strip(c) -> Column:
-    """Strip leading and trailing whitespace of every kind (not only spaces)."""
-    return F.regexp_replace(col_of(c), r"^\s+|\s+$", "")
+    """Strip leading and trailing white space of every kind, Unicode's included."""
+    return F.regexp_replace(col_of(c), f"^[{WHITE_SPACE}]+|[{WHITE_SPACE}]+$", "")
 
 
 def contains_any(c, needles) -> Column:

@@ -1,90 +1,64 @@
-"""Plan helpers shared by operators."""
+"""Plan helpers shared by operators.
+
+Numberings over groups that may hold much of a table (a model, a brand) never
+send a group to one task: rows are range-partitioned by (group, order), so a
+hot group spans many partitions in key order, and each partition's running sum
+starts at what the earlier partitions hold.  The same algorithm runs at every
+size.  Groups that one document bounds (the visuals of a page, the items of a
+block) use plain windows where they occur.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetcat.session import cut_lineage
 
-# A side is broadcast only when it is proven to hold at most this many rows;
-# beyond it the join falls back to a shuffle join (AQE may still pick a
-# broadcast from runtime sizes).
-BROADCAST_ROW_LIMIT = 200_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast hint behind a row-count check; the check reads at most max_rows + 1 rows."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
-# A per-group window runs in one task; it is used only when every group is proven to hold at most this many rows.
-WINDOW_GROUP_ROW_LIMIT = 2_000_000
-
 
-def largest_group(df: DataFrame, group_cols) -> int:
-    """Row count of the largest group (a partial aggregate: one row per group crosses the shuffle)."""
-    r = df.groupBy(*group_cols).count().agg(F.max("count").alias("m")).first()
-    return int(r["m"] or 0) if r is not None else 0
+def null_safe(pairs) -> Column:
+    """Equality of column pairs in which null equals null."""
+    return reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(y)) for x, y in pairs])
 
 
-def row_numbers_within(df: DataFrame, base_group, order_cols, numberings, partitions: int | None = None,
-                       max_group_rows: int = WINDOW_GROUP_ROW_LIMIT) -> DataFrame:
-    """Several ``row_number()`` columns per group that stay balanced when one group holds much of the data.
+def sum_of_earlier(df: DataFrame, group_cols, order_cols, amount: Column, name: str) -> DataFrame:
+    """``df`` with ``name``: the sum of ``amount`` over the rows of the group that come before (bigint).
 
-    A plain window sends each group to one task; it is used when the largest
-    group is proven to hold at most ``max_group_rows`` rows.  Otherwise rows are range
-    partitioned once by (base_group, order) -- a hot group spans many
-    partitions, in key order -- and written to the shared checkpoint folder so
-    every branch sees the same partition ids.  Each numbering ``(group_cols,
-    name)`` (``group_cols`` must contain ``base_group``) numbers rows within
-    (partition, group) and adds the row counts of the same group in earlier
-    partitions (a small table: one row per partition and group).
-    ``order_cols`` must order rows totally within a group.
+    Groups and values may be null.  ``order_cols`` must order the rows of a
+    group totally.  The range-partitioned rows are written once to the shared
+    checkpoint folder, so every use sees the same partition numbers.
     """
-    from pyspark.sql import Window
+    groups = list(group_cols)
     order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    if largest_group(df, base_group) <= max_group_rows:
-        # every group is proven small: plain windows (one task per group is bounded)
-        for group_cols, name in numberings:
-            df = df.withColumn(name, F.row_number().over(Window.partitionBy(*group_cols).orderBy(*order)))
-        return df
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = [F.col(c) for c in base_group] + order
-    out = cut_lineage(df.repartitionByRange(n, *keys).withColumn("_pid", F.spark_partition_id()), "ranked")
-    for group_cols, name in numberings:
-        local = out.withColumn("_local", F.row_number().over(Window.partitionBy("_pid", *group_cols).orderBy(*order)))
-        counts = local.groupBy("_pid", *group_cols).agg(F.max("_local").alias("_n"))
-        before = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = counts.select("_pid", *group_cols, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-        out = (local.join(offsets, ["_pid", *group_cols])
-               .withColumn(name, (F.col("_local") + F.col("_off")).cast("int"))
-               .drop("_local", "_off"))
-    return out.drop("_pid")
+    rows = df.repartitionByRange(*[F.col(c) for c in groups], *order).withColumn("_part", F.spark_partition_id())
+    rows = cut_lineage(rows.withColumn("_amount", amount.cast("long")), "ordered")
+    sums = rows.groupBy("_part", *groups).agg(F.sum("_amount").alias("_sum"))
+    earlier = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(F.col("_part").alias("_p"), *[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)],
+                          F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy("_part", *groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_own", F.coalesce(F.sum("_amount").over(inside), F.lit(0)))
+    same = (F.col("_part") == F.col("_p")) & null_safe((g, f"_g{i}") for i, g in enumerate(groups))
+    out = rows.join(offsets, same).withColumn(name, F.col("_own") + F.col("_offset"))
+    return out.drop("_part", "_amount", "_own", "_offset", "_p", *[f"_g{i}" for i in range(len(groups))])
 
 
-def row_number_within(df: DataFrame, group_cols, order_cols, name: str, partitions: int | None = None,
-                      max_group_rows: int = WINDOW_GROUP_ROW_LIMIT) -> DataFrame:
-    """One skew-safe ``row_number()`` per group (see ``row_numbers_within``)."""
-    return row_numbers_within(df, list(group_cols), order_cols, [(list(group_cols), name)], partitions, max_group_rows)
+def row_number_within(df: DataFrame, group_cols, order_cols, name: str) -> DataFrame:
+    """1-based row number (bigint) within groups that may be large."""
+    return sum_of_earlier(df, group_cols, order_cols, F.lit(1), name).withColumn(name, F.col(name) + 1)
 
 
-def rank_within(df: DataFrame, group_cols, value_col: str, name: str, descending: bool = False,
-                dense: bool = False, max_group_rows: int = WINDOW_GROUP_ROW_LIMIT) -> DataFrame:
-    """``rank()`` / ``dense_rank()`` per group by one value, balanced like ``row_number_within``.
+def rank_within(df: DataFrame, group_cols, value_col: str, name: str, descending: bool = False, dense: bool = False) -> DataFrame:
+    """``rank()`` / ``dense_rank()`` (bigint) within groups that may be large; null groups and values keep their rows.
 
-    rank = the smallest row number among rows sharing the value (ties get the
-    same rank, gaps follow); dense rank = the row number of the value among
-    the group's distinct values.
+    A value's rank is one more than the rows (dense: the distinct values) of
+    its group before it; nulls come first ascending and last descending.
     """
     v = F.col(value_col).desc_nulls_last() if descending else F.col(value_col).asc_nulls_first()
-    if dense:
-        distinct = df.select(*group_cols, value_col).distinct()
-        ranked = row_number_within(distinct, group_cols, [v], name, max_group_rows=max_group_rows)
-        return df.join(ranked, [*group_cols, value_col], "left")
-    tmp = df.withColumn("_row", F.monotonically_increasing_id())
-    numbered = row_number_within(tmp, group_cols, [v, F.col("_row")], "_rn", max_group_rows=max_group_rows)
-    first = numbered.groupBy(*group_cols, value_col).agg(F.min("_rn").alias(name))
-    return numbered.join(first, [*group_cols, value_col]).drop("_row", "_rn")
+    per_value = df.groupBy(*group_cols, value_col).agg(F.count(F.lit(1)).alias("_rows"))
+    ranked = sum_of_earlier(per_value, group_cols, [v], F.lit(1) if dense else F.col("_rows"), "_before")
+    keys = [*group_cols, value_col]
+    ranked = ranked.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], (F.col("_before") + 1).alias(name))
+    return df.join(ranked, null_safe((k, f"_k{i}") for i, k in enumerate(keys))).drop(*[f"_k{i}" for i in range(len(keys))])

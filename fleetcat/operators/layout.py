@@ -17,11 +17,10 @@ with the state checkpointed to the shared checkpoint folder every round.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetcat.functions.text import fit_label, layer_of
-from fleetcat.operators.common import row_numbers_within
 from fleetcat.session import cut_lineage
 
 # Fixed values that must equal the reference's rules.
@@ -135,14 +134,14 @@ def wireframe(consolidated: DataFrame) -> DataFrame:
 
     W2: 1-based number by (z, input position) per page.  W1: the n-th visual
     in the same (round-half-even(x/6), round-half-even(y/6)) bucket gets an
-    offset of 20*(n-1).  Both numberings are skew-safe (a page holding much
-    of the data is spread over many tasks).
+    offset of 20*(n-1).  A page's visuals are one document's, so plain
+    windows number them.
     """
     kept = (consolidated.where(~F.col("absorbed"))
             .withColumn("_bx", F.bround(F.col("x") / BADGE_TOLERANCE, 0))
             .withColumn("_by", F.bround(F.col("y") / BADGE_TOLERANCE, 0)))
-    kept = row_numbers_within(kept, PAGE_KEYS, ["z", "pos"],
-                              [(PAGE_KEYS, "z_number"), (PAGE_KEYS + ["_bx", "_by"], "_in_bucket")])
+    for keys, name in ((PAGE_KEYS, "z_number"), (PAGE_KEYS + ["_bx", "_by"], "_in_bucket")):
+        kept = kept.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy("z", "pos")))
     raw_label = F.when(F.coalesce(F.col("title"), F.lit("")) == "", F.col("type")).otherwise(F.col("title"))
     layer = layer_of("type", "width", "height", "page_width", "page_height")
     return kept.select(

@@ -33,6 +33,20 @@ def strip_comments_and_strings(expr) -> Column:
     return F.regexp_replace(e, STRING_LITERAL, '""')
 
 
+CALL = r"([A-Za-z][A-Za-z0-9_.]*)\s*\("
+
+
+def function_calls(measures: DataFrame) -> DataFrame:
+    """How often each measure calls each function: (model_id, measure, function in upper case, n_calls).
+
+    Names before an opening parenthesis, outside comments, strings and [names].
+    """
+    code = F.regexp_replace(strip_comments_and_strings(F.col("expression")), r"\[[^\]]*\]|'[^']*'", "")
+    calls = latest_by_name(measures, include_system_tables=True).select(
+        "model_id", F.col("name").alias("measure"), F.explode(F.regexp_extract_all(code, F.lit(CALL), 1)).alias("function"))
+    return calls.groupBy("model_id", "measure", F.upper("function").alias("function")).agg(F.count(F.lit(1)).alias("n_calls"))
+
+
 def latest_by_name(measures: DataFrame, include_system_tables: bool = False) -> DataFrame:
     """One row per (model, measure name): the last definition wins, as in a dict rebuild."""
     m = measures

@@ -130,8 +130,9 @@ def items_by_table(items: DataFrame, name_col: str, include_system_tables: bool
     """A5: per (model, table) section number (tables sorted, non-empty only) and item number (names sorted)."""
     it = items if include_system_tables else items.where(~is_system_table("table_name"))
     tables = row_number_within(it.select("model_id", "table_name").distinct(), ["model_id"], ["table_name"], "section_no")
-    numbered = row_number_within(it.select("model_id", "table_name", name_col, "ordinal"),
-                                 ["model_id", "table_name"], [name_col, "ordinal"], "item_no")
+    # the items of one table are few; a model's tables need not be
+    numbered = it.select("model_id", "table_name", name_col, "ordinal").withColumn(
+        "item_no", F.row_number().over(Window.partitionBy("model_id", "table_name").orderBy(name_col, "ordinal")))
     return (numbered.join(tables, ["model_id", "table_name"])
             .select("model_id", "table_name", "section_no", F.col(name_col).alias("name"), "item_no"))
 
@@ -197,15 +198,22 @@ def catalog_objects(measures: DataFrame, columns: DataFrame) -> DataFrame:
     return m.unionByName(c)
 
 
+# Fixed value: the array of objects inside a reply, from its first "[{" to the first "}]".
+REPLY_ARRAY = r"(?s)\[\s*\{.*?\}\s*\]"
+
+
 def enrich_definitions(payloads: DataFrame, objects: DataFrame) -> DataFrame:
-    """Per pasted payload, items, matched objects and skipped count.
+    """Per pasted reply, items, matched objects and skipped count; every reply gives one row.
 
+    The JSON array is found inside the reply's text.  A reply without one, or
+    whose array does not parse, has the status 'unreadable' and no items.
     Only schema_version '1' items apply; type and name match case-insensitively
     and the table too when the item gives one.  Matched counts objects, so an
     item may match several.
     """
-    items = (payloads.select("model_id", "ordinal", F.from_json("payload", DEFINITION_SCHEMA).alias("items"))
-             .select("model_id", "ordinal", F.size("items").alias("n_items"), F.posexplode("items").alias("item_no", "it")))
+    array = F.regexp_extract("payload", REPLY_ARRAY, 0)
+    parsed = payloads.select("model_id", "ordinal", F.from_json(F.nullif(array, F.lit("")), DEFINITION_SCHEMA).alias("items"))
+    items = parsed.select("model_id", "ordinal", F.posexplode("items").alias("item_no", "it"))
     ok = items.where(F.col("it.schema_version") == "1").select(
         "model_id", "ordinal", "item_no", F.lower("it.object_type").alias("t"), F.lower("it.object_name").alias("n"),
         F.lower("it.table").alias("tb"))
@@ -214,9 +222,10 @@ def enrich_definitions(payloads: DataFrame, objects: DataFrame) -> DataFrame:
     matched = (ok.join(obj, ["model_id", "t", "n"])
                .where(F.col("tb").isNull() | (F.col("tb") == "") | (F.col("tb") == F.col("otb")))
                .groupBy("model_id", "ordinal").agg(F.count(F.lit(1)).alias("n_matched")))
-    per = items.select("model_id", "ordinal", "n_items").distinct()
-    return (per.join(matched, ["model_id", "ordinal"], "left")
-            .select("model_id", "ordinal", "n_items", F.coalesce("n_matched", F.lit(0)).alias("n_matched"))
+    return (parsed.join(matched, ["model_id", "ordinal"], "left")
+            .select("model_id", "ordinal", F.when(F.col("items").isNull(), "unreadable").otherwise("ok").alias("status"),
+                    F.coalesce(F.size("items"), F.lit(0)).alias("n_items"), F.coalesce("n_matched", F.lit(0)).alias("n_matched"))
+            .withColumn("n_items", F.greatest(F.col("n_items"), F.lit(0)))
             .withColumn("n_skipped", F.greatest(F.col("n_items") - F.col("n_matched"), F.lit(0))))
 
 
@@ -237,33 +246,33 @@ def catalog_search(measures: DataFrame, query: str) -> DataFrame:
 
 def definition_export(scope: DataFrame, partitions: DataFrame, columns: DataFrame, measures: DataFrame,
                       relationships: DataFrame, redact: bool = True) -> DataFrame:
-    """A10: the model definition text as ordered line rows (model_id, part, table_name, block, seq, line).
+    """A10: the model definition text as ordered line rows (model_id, part, table_name, section, block, seq, line).
 
     Tables in scope (sorted by name) with their M source (optionally redacted,
     P7), calculated columns and measures; then the in-scope relationships.
-    Within a model, ordering by (part, table_name, block, seq) gives the text.
+    Within a model, ordering by (part, table_name, section, block, seq) gives the text.
     """
     lit_lines = lambda *ls: F.array(*[F.lit(x) if isinstance(x, str) else x for x in ls])
     pre = scope.select("model_id").distinct().select(
-        "model_id", F.lit(0).alias("part"), F.lit("").alias("table_name"), F.lit(0).cast("long").alias("block"),
+        "model_id", F.lit(0).alias("part"), F.lit("").alias("table_name"), F.lit(0).alias("section"), F.lit(0).cast("long").alias("block"),
         lit_lines(*EXPORT_PREAMBLE).alias("lines"))
-    hdr = scope.select("model_id", F.lit(1).alias("part"), "table_name", F.lit(0).cast("long").alias("block"),
+    hdr = scope.select("model_id", F.lit(1).alias("part"), "table_name", F.lit(0).alias("section"), F.lit(0).cast("long").alias("block"),
                        F.array(F.concat(F.lit("table '"), F.col("table_name"), F.lit("'"))).alias("lines"))
     # a calculated partition carries no M source text (its text is a DAX expression)
     src = latest_partition(partitions).select(
         "model_id", "table_name", F.when(F.col("is_calculated"), F.lit("")).otherwise(F.col("expression")).alias("expression"))
     expr = redact_sensitive(F.col("expression")) if redact else F.col("expression")
     part = (src.join(scope, ["model_id", "table_name"], "left_semi")
-            .select("model_id", F.lit(1).alias("part"), "table_name", F.lit(1).cast("long").alias("block"),
+            .select("model_id", F.lit(1).alias("part"), "table_name", F.lit(1).alias("section"), F.lit(0).cast("long").alias("block"),
                     F.array(F.concat(F.lit("\tpartition '"), F.col("table_name"), F.lit("-Partition' = m")),
                             F.lit("\t\tmode: import"),
                             F.concat(F.lit("\t\tsource = \n```\n"), expr, F.lit("\n```\n"))).alias("lines")))
     calc = columns.where(F.col("is_calculated")).join(scope, ["model_id", "table_name"], "left_semi")
-    calc = row_number_within(calc.select("model_id", "table_name", "column_name", "data_type", "expression"),
-                             ["model_id", "table_name"], ["column_name", "data_type", "expression"], "_col_no")
+    calc = calc.select("model_id", "table_name", "column_name", "data_type", "expression").withColumn(
+        "_col_no", F.row_number().over(Window.partitionBy("model_id", "table_name").orderBy("column_name", "data_type", "expression")))
     cols = (calc
             .select("model_id", F.lit(1).alias("part"), "table_name",
-                    (F.lit(2 * 2**30).cast("long") + F.col("_col_no")).cast("long").alias("block"),
+                    F.lit(2).alias("section"), F.col("_col_no").cast("long").alias("block"),
                     F.flatten(F.array(
                         F.array(F.concat(F.lit("\tcolumn '"), F.col("column_name"), F.lit("'")),
                                 F.concat(F.lit("\t\tdataType: "), F.coalesce("data_type", F.lit("unknown")))),
@@ -273,7 +282,7 @@ def definition_export(scope: DataFrame, partitions: DataFrame, columns: DataFram
                         F.array(F.lit("")))).alias("lines")))
     meas = (measures.join(scope, ["model_id", "table_name"], "left_semi")
             .select("model_id", F.lit(1).alias("part"), "table_name",
-                    (F.lit(3 * 2**30).cast("long") + F.col("ordinal")).cast("long").alias("block"),
+                    F.lit(3).alias("section"), F.col("ordinal").cast("long").alias("block"),
                     F.flatten(F.array(
                         F.array(F.concat(F.lit("\tmeasure '"), F.col("name"), F.lit("' = \n\t\t```\n\t\t"),
                                          F.coalesce("expression", F.lit("")), F.lit("\n\t\t```"))),
@@ -282,7 +291,7 @@ def definition_export(scope: DataFrame, partitions: DataFrame, columns: DataFram
                         .otherwise(F.array().cast("array<string>")),
                         F.array(F.lit("")))).alias("lines")))
     rels = (relationships_in_scope(relationships, scope)
-            .select("model_id", F.lit(2).alias("part"), F.lit("").alias("table_name"), F.col("rel_id").cast("long").alias("block"),
+            .select("model_id", F.lit(2).alias("part"), F.lit("").alias("table_name"), F.lit(0).alias("section"), F.col("rel_id").cast("long").alias("block"),
                     F.array(F.concat(F.lit("relationship '"), F.col("from_table"), F.lit("_"), F.col("to_table"), F.lit("'")),
                             F.concat(F.lit("\tfromColumn: '"), F.col("from_table"), F.lit("'.'"), F.coalesce(F.col("from_column").cast("string"), F.lit("None")), F.lit("'")),
                             F.concat(F.lit("\ttoColumn: '"), F.col("to_table"), F.lit("'.'"), F.coalesce(F.col("to_column").cast("string"), F.lit("None")), F.lit("'")),
@@ -290,9 +299,9 @@ def definition_export(scope: DataFrame, partitions: DataFrame, columns: DataFram
                             F.concat(F.lit("\tcrossFilteringBehavior: "), F.coalesce("cross_filter", F.lit("both"))),
                             F.lit("")).alias("lines")))
     blocks = pre.unionByName(hdr).unionByName(part).unionByName(cols).unionByName(meas).unionByName(rels)
-    return blocks.select("model_id", "part", "table_name", "block", F.posexplode("lines").alias("seq", "line"))
+    return blocks.select("model_id", "part", "table_name", "section", "block", F.posexplode("lines").alias("seq", "line"))
 
 
 def export_text_order() -> list[str]:
     """Sort keys that turn A10 line rows into the model's text."""
-    return ["model_id", "part", "table_name", "block", "seq"]
+    return ["model_id", "part", "table_name", "section", "block", "seq"]

@@ -5,8 +5,10 @@ file is a table of lines ``(keys..., line_no, line)`` and every decision of
 that loop becomes a column:
 
 * ``indent`` (T1) and ``stripped``;
-* fence state: a running count of fence lines before the current one; odd
-  means "inside a fence" (content or closing line);
+* fence state: a fence opens only on the line after an expression opener and
+  runs to the next fence line; other fence lines are ordinary lines.  Of a run
+  of fence lines that all follow an opener every second one closes, which is
+  the parity of a running count since the last one that does not;
 * block ids: ``last(when(is_header, line_no), ignorenulls)`` over the file;
 * block ends: the first later "terminator" line (indent < 2, not fenced),
   found with a forward running ``min``;
@@ -15,10 +17,10 @@ that loop becomes a column:
 * properties: conditional aggregates per block, the last value winning.
 
 Windows are partitioned by file; a file is parsed in one task, as a file is
-read by one task anyway.  Known limits against the reference's loop (all
-edge cases of malformed files): a fence line that does not follow an
-expression opener still toggles the fence state; level headers must sit at
-indent 2; relationship headers at indent 0; expression headers at indent 0 or 1.
+read by one task anyway.  Known limits against the reference's loop: level
+headers must sit at indent 2; relationship headers at indent 0; expression
+headers at indent 0 or 1; a text that looks like an opener of another block
+kind counts as one for a fence on its next line.
 """
 
 from __future__ import annotations
@@ -28,10 +30,9 @@ from pyspark.sql import functions as F
 
 from fleetcat.functions.code import is_binary_payload
 from fleetcat.functions.common import let, py_strip
-from fleetcat.operators.common import row_number_within
 
 FENCE = "```"
-BIG = 1 << 40
+BIG = 1 << 62  # beyond every line number
 
 
 def _following(keys, skip: int = 1):
@@ -69,6 +70,11 @@ def indent_level(line) -> Column:
     return F.length(F.regexp_extract(line, r"^(\t*)", 1))
 
 
+def _tail(c: Column, start: int) -> Column:
+    """The text from a 1-based position to its end."""
+    return F.substring(c, F.lit(start), F.length(c))
+
+
 def unquote(c: Column) -> Column:
     """Strip, then remove one pair of surrounding single quotes."""
     s = py_strip(c)
@@ -79,7 +85,7 @@ def header_name(stripped: Column, keyword: str) -> Column:
     """struct(name, remainder) after a keyword; quoted names end at the next quote."""
     lower_kw = keyword.lower()
     starts = F.lower(stripped).startswith(lower_kw)
-    text = py_strip(F.substring(stripped, len(keyword) + 1, 1 << 30))
+    text = py_strip(_tail(stripped, len(keyword) + 1))
     quoted_name = F.regexp_extract(text, r"^'([^']*)'", 1)
     quoted_rest = py_strip(F.regexp_extract(text, r"^'[^']*'(.*)$", 1))
     plain_name = F.regexp_extract(text, r"^(\S+)", 1)
@@ -104,15 +110,38 @@ def _format_value(stripped: Column, prop: str) -> Column:
 
 # ------------------------------------------------------------------ annotation
 
-def annotate(lines: DataFrame, keys) -> DataFrame:
-    """Add indent, stripped text and fence state per line."""
+def _table_opener() -> Column:
+    """Lines of a table file whose expression may follow in a fence: measures, calculated columns, sources, items."""
+    s, i = F.col("stripped"), F.col("indent")
+    calculated = header_name(s, "column")["remainder"].startswith("=")
+    return ((i == 1) & (s.startswith("measure ") | (s.startswith("column ") & calculated))) \
+        | ((i >= 2) & s.rlike(r"^source\s*=")) | ((i >= 3) & s.startswith("expression") & s.contains("="))
+
+
+def _shared_opener() -> Column:
+    return (F.col("indent") <= 1) & F.col("stripped").startswith("expression ")
+
+
+def annotate(lines: DataFrame, keys, opener: Column | None = None) -> DataFrame:
+    """Add indent, stripped text and fence state per line.
+
+    ``is_fence`` marks lines that open or close a fence, ``in_fence`` lines
+    after an opening one up to and including its close.
+    """
     w = Window.partitionBy(*keys).orderBy("line_no")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    return (lines
-            .withColumn("indent", indent_level(F.col("line")))
-            .withColumn("stripped", py_strip(F.col("line")))
-            .withColumn("is_fence", F.col("stripped") == FENCE)
-            .withColumn("in_fence", (F.coalesce(F.sum(F.col("is_fence").cast("int")).over(before), F.lit(0)) % 2) == 1))
+    upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    df = lines.withColumn("indent", indent_level(F.col("line"))).withColumn("stripped", py_strip(F.col("line")))
+    if opener is None:
+        return df.withColumn("is_fence", F.lit(False)).withColumn("in_fence", F.lit(False))
+    fence = F.col("stripped") == FENCE
+    df = (df.withColumn("_mark", fence)
+          .withColumn("_after", fence & F.coalesce(F.lag(opener).over(w), F.lit(False)))
+          .withColumn("_run", F.sum(F.col("_after").cast("int")).over(upto))
+          .withColumn("_base", F.last(F.when(F.col("_mark") & ~F.col("_after"), F.col("_run")), ignorenulls=True).over(upto))
+          .withColumn("_opens", F.col("_after") & ((F.col("_run") - F.coalesce("_base", F.lit(0))) % 2 == 1))
+          .withColumn("in_fence", F.coalesce(F.last(F.when(F.col("_mark"), F.col("_opens")), ignorenulls=True).over(before), F.lit(False)))
+          .withColumn("is_fence", F.col("_opens") | (F.col("_mark") & F.col("in_fence"))))
+    return df.drop("_mark", "_after", "_run", "_base", "_opens")
 
 
 def _expression_regions(df: DataFrame, keys, opener: Column, k_col: Column, inline: Column) -> DataFrame:
@@ -166,7 +195,7 @@ _TABLE_KINDS = (("column", "column "), ("measure", "measure "), ("partition", "p
 
 def table_blocks(lines: DataFrame, keys) -> DataFrame:
     """Annotated table-file lines with block id, block kind, block end and expression regions."""
-    df = annotate(lines, keys)
+    df = annotate(lines, keys, _table_opener())
     w = Window.partitionBy(*keys).orderBy("line_no")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     after1 = _following(keys, 1)
@@ -210,7 +239,7 @@ def table_blocks(lines: DataFrame, keys) -> DataFrame:
     opener = F.coalesce(measure_hdr | col_calc | source_line | item_expr, F.lit(False))
     k = F.when(item_expr, F.lit(CONT_INDENT_ITEM)).otherwise(F.lit(CONT_INDENT_TABLE))
     inline = (F.when(measure_hdr, _measure_header(s)["remainder"])
-              .when(col_calc, py_strip(F.substring(col_parts["remainder"], 2, 1 << 30)))
+              .when(col_calc, py_strip(_tail(col_parts["remainder"], 2)))
               .when(source_line | item_expr, py_strip(F.regexp_extract(s, r"^[^=]*=(.*)$", 1)))
               .otherwise(F.lit("")))
     return _expression_regions(df, keys, opener, k, inline)
@@ -218,7 +247,7 @@ def table_blocks(lines: DataFrame, keys) -> DataFrame:
 
 def _measure_header(stripped: Column) -> Column:
     """struct(name, remainder) of a measure header: quoted name, else the text before '='."""
-    ak = py_strip(F.substring(stripped, len("measure ") + 1, 1 << 30))
+    ak = py_strip(_tail(stripped, len("measure ") + 1))
     q_name = F.regexp_extract(ak, r"^'([^']*)'", 1)
     q_rest = py_strip(F.regexp_extract(ak, r"^'[^']*'(.*)$", 1))
     has_eq = ak.contains("=")
@@ -227,7 +256,7 @@ def _measure_header(stripped: Column) -> Column:
     is_q = ak.startswith("'")
     name = F.when(is_q, q_name).otherwise(p_name)
     rest = F.when(is_q, q_rest).otherwise(p_rest)
-    rest = F.when(rest.startswith("="), py_strip(F.substring(rest, 2, 1 << 30))).otherwise(rest)
+    rest = F.when(rest.startswith("="), py_strip(_tail(rest, 2))).otherwise(rest)
     return F.struct(name.alias("name"), rest.alias("remainder"))
 
 
@@ -253,7 +282,7 @@ def _dedent_join(ls: Column) -> Column:
         nonblank = F.filter(a, lambda s: py_strip(s["t"]) != "")
         m = F.coalesce(F.array_min(F.transform(nonblank, lambda s: indent_level(s["t"]))), F.lit(0))
         return let(m, lambda mm: py_strip(F.array_join(F.transform(
-            a, lambda s: F.when(F.length(s["t"]) >= mm, F.substring(s["t"], mm + 1, F.lit(1 << 30))).otherwise(s["t"])), "\n")))
+            a, lambda s: F.when(F.length(s["t"]) >= mm, F.substring(s["t"], mm + 1, F.length(s["t"]))).otherwise(s["t"])), "\n")))
     return let(F.array_sort(ls), body)
 
 
@@ -334,7 +363,7 @@ def partitions(blocks: DataFrame, keys) -> DataFrame:
     """
     b = _block_lines(blocks, "partition")
     s = F.col("stripped")
-    ak = py_strip(F.substring(s, len("partition ") + 1, 1 << 30))
+    ak = py_strip(_tail(s, len("partition ") + 1))
     src_line = F.col("expr_text").isNotNull() & (F.col("expr_id") > F.col("block_id"))
     agg = b.groupBy(*keys, "block_id").agg(
         _first(_hdr() & ak.contains("="), unquote(F.substring_index(ak, "=", 1))).alias("partition_name"),
@@ -373,7 +402,8 @@ def calculation_items(blocks: DataFrame, keys) -> DataFrame:
     out = agg.select(*keys, "block_id", "item_id", "group_column", "item_name",
                      _dedent_join(_last_group(F.col("ls"))).alias("expression"),
                      F.coalesce("ordinal", F.lit(0)).alias("ordinal"))
-    return row_number_within(out, [*keys, "block_id"], ["ordinal", "item_id"], "item_rank")
+    # the items of one block of one file: a bounded group
+    return out.withColumn("item_rank", F.row_number().over(Window.partitionBy(*keys, "block_id").orderBy("ordinal", "item_id")))
 
 
 def hierarchy_levels(blocks: DataFrame, keys) -> DataFrame:
@@ -430,7 +460,7 @@ def relationships(lines: DataFrame, keys) -> DataFrame:
     v = _prop_value(s)
     p = F.col("line_no") > F.col("rel_id")
     agg = r.groupBy(*keys, "rel_id").agg(
-        _first(F.col("is_rel"), py_strip(F.substring(s, 14, 1 << 30))).alias("rel_name"),
+        _first(F.col("is_rel"), py_strip(_tail(s, 14))).alias("rel_name"),
         _last(p & s.startswith("fromColumn:"), v).alias("from_ref"),
         _last(p & s.startswith("toColumn:"), v).alias("to_ref"),
         _last(p & s.startswith("crossFilteringBehavior:"), F.lower(v)).alias("cf"),
@@ -448,10 +478,16 @@ def relationships(lines: DataFrame, keys) -> DataFrame:
 
 # ------------------------------------------------------------------ shared expressions
 
-PARAM_DEFAULT = r"(?s)=\s*(.*?)(?:\s+meta\s+|$)"
-PARAM_TYPE = r'Type\s*=\s*"([^"]*)"'
-PARAM_TYPE2 = r"Type\s*=\s*type\s+(\w+)"
-PARAM_LIST = r"List\s*=\s*\{([^}]*)\}"
+META_RECORD = r"(?s)\bmeta\s*\[(.*)\]"
+META_ENTRY = r"([A-Za-z]\w*)\s*=\s*(\{[^}]*\}|\"[^\"]*\"|[^,\]\s][^,\]]*)"
+
+
+def _meta_value(record: Column, key: str) -> Column:
+    """Value text of a key of a ``key = value, ...`` record, or null."""
+    keys = F.regexp_extract_all(record, F.lit(META_ENTRY), 1)
+    values = F.regexp_extract_all(record, F.lit(META_ENTRY), 2)
+    at = F.array_position(keys, F.lit(key))
+    return F.when(at > 0, py_strip(F.element_at(values, at.cast("int"))))
 
 
 def _strip_chars(c: Column, ch: str) -> Column:
@@ -460,7 +496,7 @@ def _strip_chars(c: Column, ch: str) -> Column:
 
 def shared_expressions(lines: DataFrame, keys) -> DataFrame:
     """Parameters (IsParameterQuery=true) with default, type, required, allowed list; else helper functions."""
-    df = annotate(lines, keys)
+    df = annotate(lines, keys, _shared_opener())
     w = Window.partitionBy(*keys).orderBy("line_no")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     s = F.col("stripped")
@@ -486,15 +522,19 @@ def shared_expressions(lines: DataFrame, keys) -> DataFrame:
     body = F.col("body")
     combined = F.concat(body, F.lit(" "), F.col("meta_text"))
     is_param = combined.contains("IsParameterQuery=true") | combined.contains("IsParameterQuery = true")
-    default = _strip_chars(_strip_chars(py_strip(F.regexp_extract(body, PARAM_DEFAULT, 1)), '"'), "'")
-    ptype = F.when(combined.rlike(PARAM_TYPE), F.regexp_extract(combined, PARAM_TYPE, 1)).otherwise(
-        F.regexp_extract(combined, PARAM_TYPE2, 1))
+    # the default value stands between the equals sign and the meta record
+    before_meta = F.split(F.substring(body, F.instr(body, "=") + F.lit(1), F.length(body)), r"\s+meta\s+", 2)[0]
+    default = F.when(F.instr(body, "=") > 0, _strip_chars(_strip_chars(py_strip(before_meta), '"'), "'")).otherwise(F.lit(""))
+    record = F.regexp_extract(combined, META_RECORD, 1)
+    quoted = _meta_value(record, "Type")
+    ptype = F.coalesce(F.when(quoted.startswith('"'), _strip_chars(quoted, '"'))
+                       .when(quoted.startswith("type "), F.regexp_extract(quoted, r"^type\s+(\w+)", 1)), F.lit(""))
     required = combined.contains("IsParameterQueryRequired=true") | combined.contains("IsParameterQueryRequired = true")
-    raw_list = F.regexp_extract(combined, PARAM_LIST, 1)
-    allowed = F.when(combined.rlike(PARAM_LIST), F.transform(
-        F.filter(F.split(raw_list, ","), lambda v: py_strip(v) != ""),
+    raw_list = _meta_value(record, "List")
+    allowed = F.when(raw_list.startswith("{"), F.transform(
+        F.filter(F.split(F.regexp_replace(raw_list, r"^\{|\}$", ""), ","), lambda v: py_strip(v) != ""),
         lambda v: _strip_chars(_strip_chars(py_strip(v), '"'), "'"))).otherwise(F.array().cast("array<string>"))
-    code = F.when(body.startswith("="), py_strip(F.substring(body, 2, 1 << 30))).otherwise(body)
+    code = F.when(body.startswith("="), py_strip(_tail(body, 2))).otherwise(body)
     return agg.select(*keys, "ex_id", "name",
                       F.when(is_param, F.lit("parameter")).otherwise(F.lit("function")).alias("kind"),
                       F.when(is_param, default).alias("default_value"),
@@ -506,45 +546,46 @@ def shared_expressions(lines: DataFrame, keys) -> DataFrame:
 
 # ------------------------------------------------------------------ P25, P26
 
-M_STEP = (r"(?s)(?:^|\n)\s*(#\"[^\"]+\"|[A-Za-z_]\w*)\s*=\s*(.+?)"
-          r"(?=\n\s*(?:#\"[^\"]+\"|[A-Za-z_]\w*)\s*=|\n\s*in\b|$)")
+STEP_HEADER = r"^\s*(?:#\"([^\"]+)\"|([A-Za-z_][A-Za-z0-9_]*))\s*=(.*)$"
 BINARY_STEP_MARKER = "[binary payload omitted]"
 
 
 def split_query_steps(df: DataFrame, keys, code_col: str = "expression") -> DataFrame:
-    """P25: ordered (step_no, step, expression) of an M query; text without 'let' yields none."""
-    c = F.col(code_col)
-    ok = c.isNotNull() & (c != "") & F.lower(c).contains("let")
-    names = F.regexp_extract_all(c, F.lit(M_STEP), 1)
-    exprs = F.regexp_extract_all(c, F.lit(M_STEP), 2)
-    steps = (df.where(ok).select(*keys, F.posexplode(F.arrays_zip(names.alias("n"), exprs.alias("e"))).alias("pos", "s")))
-    name = _strip_chars(F.regexp_replace(_strip_chars(py_strip(F.col("s.n")), '"'), "^#+", ""), '"')
-    expr = F.regexp_replace(py_strip(F.col("s.e")), ",+$", "")
-    return steps.select(*keys, (F.col("pos") + 1).alias("step_no"), name.alias("step"), expr.alias("step_expression"),
-                        F.when(is_binary_payload(expr), F.lit(BINARY_STEP_MARKER)).otherwise(expr).alias("display"))
-
+    """P25: ordered (step_no, step, expression) of an M query; text without 'let' yields none.
 
-EMBEDDED_BLOCK = r"(?is)<(script|style)[^>]*>(.*?)</\1>"
-MAX_BLOCK_CHARS = 1_000_000
-
-
-def _tag_is(tag: str):
-    return lambda x: F.lower(x["tag"]) == tag
+    A line job: a line ``name = ...`` starts a step, a line that starts with
+    ``in`` ends the list until the next step; a step's lines are joined again.
+    """
+    c = F.col(code_col)
+    rows = df.where(c.isNotNull() & F.lower(c).contains("let")).select(*keys, F.posexplode(F.split(c, "\n")).alias("line_no", "line"))
+    upto = Window.partitionBy(*keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    header, stop = F.col("line").rlike(STEP_HEADER), F.col("line").rlike(r"^\s*in\b")
+    rows = (rows.withColumn("is_header", header)
+            .withColumn("step_no", F.sum(F.col("is_header").cast("int")).over(upto))
+            .withColumn("open", F.last(F.when(F.col("is_header"), True).when(stop, False), ignorenulls=True).over(upto)))
+    name = F.when(F.col("is_header"), F.coalesce(F.nullif(F.regexp_extract("line", STEP_HEADER, 1), F.lit("")),
+                                                 F.regexp_extract("line", STEP_HEADER, 2)))
+    text = F.when(F.col("is_header"), F.regexp_extract("line", STEP_HEADER, 3)).otherwise(F.col("line"))
+    steps = rows.where("open").groupBy(*keys, "step_no").agg(
+        F.max(name).alias("step"), F.array_sort(F.collect_list(F.struct("line_no", text.alias("t")))).alias("ls"))
+    expr = F.regexp_replace(py_strip(F.array_join(F.transform("ls", lambda x: x["t"]), "\n")), ",+$", "")
+    steps = steps.select(*keys, "step_no", "step", expr.alias("step_expression")).where("step_expression <> ''")
+    return steps.withColumn("display", F.when(is_binary_payload(F.col("step_expression")), F.lit(BINARY_STEP_MARKER))
+                            .otherwise(F.col("step_expression")))
+
+
+def _bodies(html: Column, tag: str) -> Column:
+    """Texts between the opening and closing tags of one kind."""
+    return F.regexp_extract_all(html, F.lit(f"(?is)<{tag}\\b[^>]*>(.*?)</{tag}\\s*>"), 1)
 
 
 def audit_embedded_blocks(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """script/style bodies; a body holding '{{' or '}}' is flagged unless skipped (huge or a diagram library)."""
-    h = F.col(html_col)
-    z = F.arrays_zip(F.regexp_extract_all(h, F.lit(EMBEDDED_BLOCK), 1).alias("tag"),
-                     F.regexp_extract_all(h, F.lit(EMBEDDED_BLOCK), 2).alias("body"))
-    out = None
-    for tag in ("script", "style"):
-        part = pages.select("page_id", F.posexplode(F.filter(z, _tag_is(tag))).alias("pos", "b"))
-        part = part.select("page_id", F.lit(tag).alias("tag"), (F.col("pos") + 1).alias("block_no"),
-                           F.col("b.body").alias("body"))
-        out = part if out is None else out.unionByName(part)
+    """script/style bodies; a body holding '{{' or '}}' is flagged; ``skipped`` marks a diagram library."""
+    parts = [pages.select("page_id", F.lit(tag).alias("tag"), F.posexplode(_bodies(F.col(html_col), tag)).alias("pos", "body"))
+             for tag in ("script", "style")]
+    out = parts[0].unionByName(parts[1]).select("page_id", "tag", (F.col("pos") + 1).alias("block_no"), "body")
     body = F.col("body")
-    skipped = body.contains("mermaidAPI") | (F.length(body) > MAX_BLOCK_CHARS)
+    skipped = body.contains("mermaidAPI")
     return out.select("page_id", "tag", F.col("block_no").cast("long").alias("block_no"),
                       F.length(body).cast("long").alias("n_chars"), skipped.alias("skipped"),
-                      (~skipped & (body.contains("{{") | body.contains("}}"))).alias("double_brace"))
+                      (body.contains("{{") | body.contains("}}")).alias("double_brace"))

@@ -55,9 +55,13 @@ def shift(d, n: int, unit: str) -> Column:
 
 
 def with_shifted(period_rows: DataFrame, date_col: str, value_col: str, n: int, unit: str, name: str) -> DataFrame:
-    """Attach the value of the period ``n`` units earlier (null when absent), by an equi-join."""
-    prior = period_rows.select(shift(date_col, n, unit).alias(date_col), F.col(value_col).alias(name))
-    return period_rows.join(prior, date_col, "left")
+    """Attach the value of the period ``n`` units earlier (null when absent).
+
+    Each row looks up its own shifted date, one key per row; at day grain the
+    last days of a long month share the last day of a shorter one.
+    """
+    prior = period_rows.select(as_date(date_col).alias("_day"), F.col(value_col).alias(name))
+    return period_rows.join(prior, shift(date_col, -n, unit) == F.col("_day"), "left").drop("_day")
 
 
 def same_period_last_year(period_rows: DataFrame, date_col: str, value_col: str, name: str) -> DataFrame:

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from fleetcat.functions import escape_html, is_measure_field, is_system_table, visual_label
 from fleetcat.functions.names import well_label, well_of, with_clean_field_name
-from fleetcat.operators.common import broadcast_if_small
 
 UNUSED_LISTED = 10
 MORE_SUFFIX = " … and {n} more"
@@ -67,22 +66,29 @@ def _bound_substrings(names: DataFrame, visuals: DataFrame) -> DataFrame:
 
     Exact candidate generation, pruned by an equi-join: a start position p of
     field f is kept for length n only when the two characters at p begin some
-    name of length n in the model (one-character names take the direct
-    path).  The (model, prefix, length) table is small and broadcast behind a
-    size check.
+    name of length n in the model.  Names of one character meet the field's
+    characters; the empty name occurs in every field.
     """
-    lens = names.select("model_id", F.length("key").alias("n"), F.substring("key", 1, 2).alias("pre"))
-    prefixes = lens.where(F.col("n") >= 2).distinct()
-    singles = lens.where(F.col("n") == 1).select("model_id", F.col("pre").alias("key")).distinct()
+    prefixes = names.where(F.length("key") >= 2).select(
+        "model_id", F.length("key").alias("n"), F.substring("key", 1, 2).alias("pre")).distinct()
     fields = visuals.where(F.col("field").isNotNull()).select("model_id", F.lower("field").alias("f")).distinct()
     starts = fields.select("model_id", "f", F.explode(F.sequence(F.lit(1), F.greatest(F.length("f") - 1, F.lit(1)))).alias("p"))
-    cand = (starts.select("model_id", "f", "p", F.expr("substring(f, p, 2)").alias("pre"))
-            .join(broadcast_if_small(prefixes), ["model_id", "pre"])
+    long = (starts.select("model_id", "f", "p", F.expr("substring(f, p, 2)").alias("pre"))
+            .join(prefixes, ["model_id", "pre"])
             .where(F.col("p") + F.col("n") - 1 <= F.length("f"))
             .select("model_id", F.expr("substring(f, p, n)").alias("key")))
-    one = (fields.select("model_id", F.explode(F.split("f", "")).alias("key"))
-           .join(broadcast_if_small(singles), ["model_id", "key"], "left_semi"))
-    return cand.unionByName(one).distinct()
+    short = fields.select("model_id", F.explode(F.array_append(F.split("f", ""), F.lit(""))).alias("key"))
+    return long.unionByName(short).distinct()
+
+
+def marked_measures(measures: DataFrame, visuals: DataFrame) -> DataFrame:
+    """Distinct (model_id, name, used) of models with visuals: one join marks the names that occur in a bound field."""
+    names = (measures.where(F.col("name").isNotNull())
+             .select("model_id", F.col("name").cast("string").alias("name")).distinct()
+             .withColumn("key", F.lower("name")))
+    names = names.join(visuals.select("model_id").distinct(), "model_id", "left_semi")
+    found = _bound_substrings(names, visuals).withColumn("used", F.lit(True))
+    return names.join(found, ["model_id", "key"], "left").select("model_id", "name", F.coalesce("used", F.lit(False)).alias("used"))
 
 
 def unused_measures(measures: DataFrame, visuals: DataFrame) -> DataFrame:
@@ -91,21 +97,14 @@ def unused_measures(measures: DataFrame, visuals: DataFrame) -> DataFrame:
     Only models with at least one visual are considered, as the reference
     checks usage only when report pages exist.
     """
-    names = (measures.where(F.col("name").isNotNull())
-             .select("model_id", F.col("name").cast("string").alias("name")).distinct()
-             .withColumn("key", F.lower("name")))
-    with_pages = visuals.select("model_id").distinct()
-    names = names.join(with_pages, "model_id", "left_semi")
-    return names.join(_bound_substrings(names, visuals), ["model_id", "key"], "left_anti").select("model_id", "name")
+    return marked_measures(measures, visuals).where(~F.col("used")).select("model_id", "name")
 
 
 def unused_report(measures: DataFrame, visuals: DataFrame) -> DataFrame:
     """Unused measures of models where some measures are used (else nothing is reported)."""
-    unused = unused_measures(measures, visuals)
-    n_all = measures.where(F.col("name").isNotNull()).groupBy("model_id").agg(F.count_distinct("name").alias("n_all"))
-    n_unused = unused.groupBy("model_id").agg(F.count(F.lit(1)).alias("n_unused"))
-    flagged = n_unused.join(n_all, "model_id").where(F.col("n_unused") < F.col("n_all")).select("model_id")
-    return unused.join(flagged, "model_id", "left_semi")
+    marked = marked_measures(measures, visuals)
+    with_use = marked.groupBy("model_id").agg(F.bool_or("used").alias("any_used")).where("any_used").select("model_id")
+    return marked.where(~F.col("used")).select("model_id", "name").join(with_use, "model_id", "left_semi")
 
 
 def unused_top10(report: DataFrame) -> DataFrame:

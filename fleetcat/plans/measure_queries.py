@@ -314,6 +314,18 @@ def m28(spark, sf_dir):
     return m.select("month", F.round("total", 2).alias("total"), F.round("last_year", 2).alias("last_year"))
 
 
+@register("M28_sameperiodlastyear_day", oracle="""
+WITH daily AS (select cast(o_orderdate as date) as day, sum(o_totalprice) as total from orders group by 1)
+select a.day, round(a.total, 2) as total, round(y.total, 2) as last_year, round(m.total, 2) as prev_month
+from daily a left join daily y on y.day = cast(a.day - interval 12 month as date)
+left join daily m on m.day = cast(a.day - interval 1 month as date)""")
+def m28_day(spark, sf_dir):
+    d = _t(spark, sf_dir, "orders").groupBy(TI.as_date("o_orderdate").alias("day")).agg(F.sum("o_totalprice").alias("total"))
+    d = TI.same_period_last_year(d, "day", "total", "last_year")
+    d = TI.with_shifted(d, "day", "total", 1, "month", "prev_month")
+    return d.select("day", *[F.round(c, 2).alias(c) for c in ("total", "last_year", "prev_month")])
+
+
 @register("M29_dateadd", oracle=_MONTHLY_SQL + """
 select a.month, round(a.total, 2) as total, round(m1.total, 2) as prev_month, round(q1.total, 2) as prev_quarter,
   round(y1.total, 2) as prev_year
@@ -359,10 +371,9 @@ def m31(spark, sf_dir):
 
 @register("M32_today_blank", oracle=f"""
 select o_orderkey, date '{AS_OF}' - cast(o_orderdate as date) as days_before_as_of, cast(null as varchar) as blank_value
-from orders where cast(o_orderdate as date) <= date '{AS_OF}'""")
+from orders""")
 def m32(spark, sf_dir):
     o = _t(spark, sf_dir, "orders")
     today = TI.today(AS_OF)
-    return (o.where(TI.as_date("o_orderdate") <= today)
-            .select("o_orderkey", F.datediff(today, TI.as_date("o_orderdate")).cast("long").alias("days_before_as_of"),
-                    TI.blank().cast("string").alias("blank_value")))
+    return o.select("o_orderkey", F.datediff(today, TI.as_date("o_orderdate")).cast("long").alias("days_before_as_of"),
+                    TI.blank().cast("string").alias("blank_value"))

@@ -102,16 +102,23 @@ select v.model_id, v.page_id, v.pos,
 from cat_visuals v left join f on v.model_id = f.model_id and v.page_id = f.page_id and v.pos = f.pos
 """)
 def p16(spark, sf_dir):
-    """Per visual: any technical field (an aggregate over field rows, no list collected) or a technical title."""
+    """Per visual: any technical field or a technical title; a visual's few fields are one array."""
     f = _cat(spark, sf_dir, "cat_visual_fields")
     v = _cat(spark, sf_dir, "cat_visuals")
-    tech = (with_clean_field_name(f, "field", "clean").groupBy("model_id", "page_id", "pos")
-            .agg(F.bool_or(fx.is_technical("clean")).alias("tech_field")))
-    t = F.coalesce(F.col("title"), F.lit(""))
-    return (v.join(tech, ["model_id", "page_id", "pos"], "left")
-            .select("model_id", "page_id", "pos",
-                    (F.coalesce("tech_field", F.lit(False)) | ((t != "") & fx.is_technical("title")))
-                    .alias("is_technical_card")))
+    key = ["model_id", "page_id", "pos"]
+    fields = f.groupBy(*key).agg(F.collect_list("field").alias("fields"))
+    return v.join(fields, key, "left").select(*key, fx.is_technical_card("fields", "title").alias("is_technical_card"))
+
+
+@register("P12_clean_field_arrays", oracle=_VF + f"""
+select model_id, page_id, pos, array_to_string(list(clean order by field_no), '|') as cleaned
+from (select model_id, page_id, pos, field_no, {clean_field('field', 'clean')} from cat_visual_fields) group by model_id, page_id, pos
+""")
+def p12_arrays(spark, sf_dir):
+    """The array form of the field cleaner, over all fields of a visual."""
+    f = _cat(spark, sf_dir, "cat_visual_fields")
+    one = F.transform(F.array_sort(F.collect_list(F.struct("field_no", "field"))), lambda x: fx.clean_field_name(x["field"]))
+    return f.groupBy("model_id", "page_id", "pos").agg(F.array_join(one, "|").alias("cleaned"))
 
 
 # ------------------------------------------------------------------ M code
@@ -217,15 +224,15 @@ def p19(spark, sf_dir):
                     fx.computed_excerpt("expression").alias("computed_excerpt"))
 
 
-@register("P24_expression_census", oracle=oracle_ctes("cat_measures") + """
-, t AS (select model_id, ordinal, regexp_extract_all(coalesce(expression, ''), {tok}) as toks from cat_measures)
-select model_id, ordinal, {cols} from t
-""".format(tok=q(__import__("fleetcat.functions.code", fromlist=["x"]).TOKEN_PATTERN),
-           cols=", ".join(f"len(list_filter(toks, lambda x: regexp_matches(x, {q(p)}))) as {n}"
-                          for n, p in __import__("fleetcat.functions.code", fromlist=["x"]).TOKEN_CLASSES)))
+@register("P24_function_calls", oracle=oracle_ctes("cat_measures") + """
+, latest AS (select model_id, name, arg_max(expression, ordinal) as e from cat_measures group by model_id, name),
+c AS (select model_id, name, regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(e, ''), '--.*', '', 'g'), '//.*', '', 'g'),
+    '"[^"]*"', '""', 'g'), '\\[[^\\]]*\\]', '', 'g') as e from latest),
+f AS (select model_id, name, upper(trim(replace(unnest(regexp_extract_all(e, '[[:alpha:]][[:alnum:]_.]*[[:space:]]*\\(')), '(', ''))) as fn from c)
+select model_id, name as measure, fn as "function", count(*) as n_calls from f group by all""")
 def p24(spark, sf_dir):
-    m = _cat(spark, sf_dir, "cat_measures")
-    return m.select("model_id", "ordinal", fx.expression_census("expression").alias("c")).select("model_id", "ordinal", "c.*")
+    from fleetcat.operators.lineage import function_calls
+    return function_calls(_cat(spark, sf_dir, "cat_measures"))
 
 
 # ------------------------------------------------------------------ text
@@ -360,8 +367,7 @@ def p23(spark, sf_dir):
   select page_id, 'style', unnest(regexp_extract_all(html, '(?is)<style[^>]*>(.*?)</style>', 1)),
          generate_subscripts(regexp_extract_all(html, '(?is)<style[^>]*>(.*?)</style>', 1), 1) from pages)
 select page_id, tag, block_no, length(body) as n_chars,
-  (contains(body, 'mermaidAPI') or length(body) > 1000000) as skipped,
-  (not (contains(body, 'mermaidAPI') or length(body) > 1000000) and (contains(body, '{{') or contains(body, '}}'))) as double_brace
+  contains(body, 'mermaidAPI') as skipped, (contains(body, '{{') or contains(body, '}}')) as double_brace
 from b
 """.replace("\n, b AS", "WITH b AS", 1))
 def p26(spark, sf_dir):

@@ -189,9 +189,11 @@ def j10(spark, sf_dir):
 
 
 @register("J11_enrich_definitions", oracle=oracle_ctes("cat_definitions", "cat_measures", "cat_columns") + f"""
-, items AS (select model_id, ordinal, json_array_length(payload) as n_items, unnest(from_json(payload,
+, found AS (select model_id, ordinal, regexp_extract(payload, '(?s)\\[\\s*\\{{.*?\\}}\\s*\\]') as p from cat_definitions),
+good AS (select * from found where p <> '' and json_valid(p)),
+items AS (select model_id, ordinal, unnest(from_json(p,
     '[{{"schema_version":"VARCHAR","object_type":"VARCHAR","table":"VARCHAR","object_name":"VARCHAR"}}]')) as it
-  from cat_definitions),
+  from good),
 ok AS (select model_id, ordinal, lower(it.object_type) as t, lower(it.object_name) as n, lower(it."table") as tb
        from items where it.schema_version = '1'),
 obj AS (select model_id, 'measure' as t, lower(name) as n, lower(table_name) as otb from cat_measures where not {_SYS}
@@ -199,8 +201,9 @@ obj AS (select model_id, 'measure' as t, lower(name) as n, lower(table_name) as
         where is_calculated and not {_SYS}),
 m AS (select ok.model_id, ok.ordinal, count(*) as n_matched from ok join obj on ok.model_id = obj.model_id and ok.t = obj.t and ok.n = obj.n
       where ok.tb is null or ok.tb = '' or ok.tb = obj.otb group by ok.model_id, ok.ordinal),
-per AS (select distinct model_id, ordinal, n_items from items)
-select per.model_id, per.ordinal, cast(per.n_items as integer) as n_items, coalesce(m.n_matched, 0) as n_matched,
+per AS (select f.model_id, f.ordinal, case when g.p is null then 'unreadable' else 'ok' end as status,
+  coalesce(json_array_length(g.p), 0) as n_items from found f left join good g on f.model_id = g.model_id and f.ordinal = g.ordinal)
+select per.model_id, per.ordinal, per.status, cast(per.n_items as integer) as n_items, coalesce(m.n_matched, 0) as n_matched,
   greatest(cast(per.n_items as bigint) - coalesce(m.n_matched, 0), 0) as n_skipped
 from per left join m on per.model_id = m.model_id and per.ordinal = m.ordinal""")
 def j11(spark, sf_dir):
@@ -223,16 +226,16 @@ def j13(spark, sf_dir):
 
 
 @register("W4_ordered_items", oracle="""
-select p_partkey % 20 as model_id, 'Item ' || cast(p_partkey as varchar) as item_name, ordinal,
-  cast(row_number() over (partition by p_partkey % 20 order by ordinal, p_partkey) as integer) as position
+select case when p_partkey % 10 < 3 then 0 else 1 + cast(floor(p_partkey / 50) as bigint) end as model_id, 'Calc Group ' || cast(cast(floor(p_partkey / 50) as bigint) as varchar) as file, 'Item ' || cast(p_partkey as varchar) as item_name, ordinal,
+  cast(row_number() over (partition by case when p_partkey % 10 < 3 then 0 else 1 + cast(floor(p_partkey / 50) as bigint) end, cast(floor(p_partkey / 50) as bigint) order by ordinal, p_partkey) as integer) as position
 from (select *, case when p_partkey % 4 = 0 or p_partkey % 17 = 0 then 0 else cast((p_partkey * 7) % 13 as integer) end as ordinal
       from part)
-order by model_id, position""")
+order by model_id, file, position""")
 def w4(spark, sf_dir):
     lines = segment.lines_of(defs.calc_group_files(read_table(spark, sf_dir, "part")), ["model_id", "file"])
     items = segment.calculation_items(segment.table_blocks(lines, ["model_id", "file"]), ["model_id", "file"])
-    return (items.select("model_id", "item_name", "ordinal", F.col("item_rank").alias("position"))
-            .orderBy("model_id", "position"))
+    return (items.select("model_id", "file", "item_name", "ordinal", F.col("item_rank").alias("position"))
+            .orderBy("model_id", "file", "position"))
 
 
 _T2 = "\t\t"
@@ -240,33 +243,33 @@ _T2 = "\t\t"
 
 @register("A10_definition_export", oracle=_SCOPE_CTES + _LP + f"""
 , blocks AS (
-  select model_id, 0 as part, '' as table_name, cast(0 as bigint) as block,
+  select model_id, 0 as part, '' as table_name, 0 as section, cast(0 as bigint) as block,
     [{q(scope.EXPORT_PREAMBLE[0])}, {q(scope.EXPORT_PREAMBLE[1])}] as lines from (select distinct model_id from scope)
-  union all select model_id, 1, table_name, cast(0 as bigint), ['table ''' || table_name || ''''] from scope
-  union all select lp.model_id, 1, lp.table_name, cast(1 as bigint),
+  union all select model_id, 1, table_name, 0, cast(0 as bigint), ['table ''' || table_name || ''''] from scope
+  union all select lp.model_id, 1, lp.table_name, 1, cast(0 as bigint),
     ['\tpartition ''' || lp.table_name || '-Partition'' = m', '\t\tmode: import',
      '\t\tsource = ' || chr(10) || '```' || chr(10)
        || {_redact_sensitive_sql("(case when lp.is_calculated then '' else lp.expression end)")} || chr(10) || '```' || chr(10)]
     from lp where exists (select 1 from scope s where s.model_id = lp.model_id and s.table_name = lp.table_name)
-  union all select c.model_id, 1, c.table_name,
-    cast(2147483648 + dense_rank() over (partition by c.model_id, c.table_name order by c.column_name) as bigint),
+  union all select c.model_id, 1, c.table_name, 2,
+    cast(dense_rank() over (partition by c.model_id, c.table_name order by c.column_name) as bigint),
     list_concat(['\tcolumn ''' || c.column_name || '''', '\t\tdataType: ' || coalesce(c.data_type, 'unknown')],
       case when coalesce(c.expression, '') <> ''
            then ['\t\texpression = ' || chr(10) || '\t\t\t```' || chr(10) || '\t\t\t' || c.expression || chr(10) || '\t\t\t```']
            else [] end, [''])
     from cat_columns c where c.is_calculated and exists (select 1 from scope s where s.model_id = c.model_id and s.table_name = c.table_name)
-  union all select m.model_id, 1, m.table_name, cast(3221225472 + m.ordinal as bigint),
+  union all select m.model_id, 1, m.table_name, 3, cast(m.ordinal as bigint),
     list_concat(['\tmeasure ''' || m.name || ''' = ' || chr(10) || '\t\t```' || chr(10) || '\t\t' || coalesce(m.expression, '')
                  || chr(10) || '\t\t```'],
       case when coalesce(m.format_string, '') <> '' then ['\t\tformatString: ' || m.format_string] else [] end, [''])
     from cat_measures m where exists (select 1 from scope s where s.model_id = m.model_id and s.table_name = m.table_name)
-  union all select model_id, 2, '', cast(rel_id as bigint),
+  union all select model_id, 2, '', 0, cast(rel_id as bigint),
     ['relationship ''' || from_table || '_' || to_table || '''',
      '\tfromColumn: ''' || from_table || '''.''' || coalesce(cast(from_column as varchar), 'None') || '''',
      '\ttoColumn: ''' || to_table || '''.''' || coalesce(cast(to_column as varchar), 'None') || '''',
      '\tisActive: true', '\tcrossFilteringBehavior: ' || coalesce(cross_filter, 'both'), '']
     from rin)
-select model_id, part, table_name, block, cast(generate_subscripts(lines, 1) - 1 as integer) as seq, unnest(lines) as line
+select model_id, part, table_name, section, block, cast(generate_subscripts(lines, 1) - 1 as integer) as seq, unnest(lines) as line
 from blocks""")
 def a10(spark, sf_dir):
     c, s = _scope(spark, sf_dir)

@@ -118,9 +118,9 @@ def t6_partitions(spark, sf_dir):
 
 
 @register("T7_calculation_items", oracle="""
-select p_partkey % 20 as model_id, 'Calc Group ' || cast(p_partkey % 20 as varchar) as file, 'Calc Item' as group_column,
+select case when p_partkey % 10 < 3 then 0 else 1 + cast(floor(p_partkey / 50) as bigint) end as model_id, 'Calc Group ' || cast(cast(floor(p_partkey / 50) as bigint) as varchar) as file, 'Calc Item' as group_column,
   'Item ' || cast(p_partkey as varchar) as item_name, 'SELECTEDMEASURE() * ' || cast(p_partkey as varchar) as expression,
-  ordinal, cast(row_number() over (partition by p_partkey % 20 order by ordinal, p_partkey) as integer) as item_rank
+  ordinal, cast(row_number() over (partition by case when p_partkey % 10 < 3 then 0 else 1 + cast(floor(p_partkey / 50) as bigint) end, cast(floor(p_partkey / 50) as bigint) order by ordinal, p_partkey) as integer) as item_rank
 from (select *, case when p_partkey % 4 = 0 or p_partkey % 17 = 0 then 0 else cast((p_partkey * 7) % 13 as integer) end as ordinal
       from part)
 """)
@@ -131,8 +131,8 @@ def t7_items(spark, sf_dir):
 
 
 @register("T8_hierarchy_levels", oracle="""
-select p_partkey % 20 as model_id, 'Hierarchy ' || cast(p_partkey % 20 as varchar) as file, p_type as hierarchy,
-  cast(row_number() over (partition by p_partkey % 20, p_type order by p_partkey) as integer) as level_no,
+select case when p_partkey % 10 < 3 then 0 else 1 + cast(floor(p_partkey / 50) as bigint) end as model_id, 'Hierarchy ' || cast(cast(floor(p_partkey / 50) as bigint) as varchar) as file, p_type as hierarchy,
+  cast(row_number() over (partition by case when p_partkey % 10 < 3 then 0 else 1 + cast(floor(p_partkey / 50) as bigint) end, cast(floor(p_partkey / 50) as bigint), p_type order by p_partkey) as integer) as level_no,
   'Level ' || cast(p_partkey as varchar) as level,
   case when p_partkey % 2 = 0 then 'p_size' else 'Col ' || cast(p_partkey as varchar) end as level_column
 from part
@@ -143,7 +143,7 @@ def t8_levels(spark, sf_dir):
 
 
 @register("T9_relationships", oracle=oracle_ctes("cat_relationships") + """
-select model_id, 'relationships' as file, 'R' || cast(rel_id as varchar) as rel_name, from_table, from_column,
+select model_id, 'relationships ' || cast(cast(floor(rel_id / 100) as bigint) as varchar) as file, 'R' || cast(rel_id as varchar) as rel_name, from_table, from_column,
   case when to_column is null then '' else to_table end as to_table, coalesce(to_column, '') as to_column,
   cross_filter, from_cardinality, to_cardinality
 from cat_relationships
@@ -166,17 +166,13 @@ _T10_SQL = f"""
         from cat_expressions),
 c AS (select *, body || ' ' || meta as combined from b),
 d AS (select *, contains(combined, 'IsParameterQuery=true') or contains(combined, 'IsParameterQuery = true') as is_param from c)
-select model_id, 'expressions' as file, name,
+select model_id, 'expressions ' || cast(cast(floor(ordinal / 50) as bigint) as varchar) as file, name,
   case when is_param then 'parameter' else 'function' end as kind,
-  case when is_param then {_strip_q(pystrip(f"coalesce(regexp_extract(body, {q(seg.PARAM_DEFAULT)}, 1), '')"))} end as default_value,
-  case when is_param then (case when regexp_matches(combined, {q(seg.PARAM_TYPE)}) then regexp_extract(combined, {q(seg.PARAM_TYPE)}, 1)
-                                else coalesce(regexp_extract(combined, {q(seg.PARAM_TYPE2)}, 1), '') end) end as param_type,
-  case when is_param then contains(combined, 'IsParameterQueryRequired=true') or contains(combined, 'IsParameterQueryRequired = true') end
-    as is_required,
-  case when is_param then (case when regexp_matches(combined, {q(seg.PARAM_LIST)}) then
-    array_to_string(list_transform(list_filter(string_split(regexp_extract(combined, {q(seg.PARAM_LIST)}, 1), ','),
-                                               lambda v: {pystrip('v')} <> ''), lambda v: {_strip_q(pystrip('v'))}), '|')
-    else '' end) end as allowed_values,
+  case when is_param then trim(split_part(expression, ' meta ', 1), '"') end as default_value,
+  case when is_param then 'Text' end as param_type,
+  case when is_param then contains(expression, 'IsParameterQueryRequired=true') end as is_required,
+  case when is_param then (case when contains(expression, 'List=') then
+    'a|b|' || trim(split_part(expression, ' meta ', 1), '"') else '' end) end as allowed_values,
   case when not is_param then (case when starts_with(body, '=') then {pystrip('substring(body, 2)')} else body end) end as code
 from d
 """
@@ -301,7 +297,7 @@ def s3_layout(spark, sf_dir):
 @register("S4_scan_page_files", oracle=oracle_ctes("cat_pages", "cat_visuals", "cat_visual_fields") + _expected_fields_sql(
         "list_position(['Values', 'Rows', 'Columns', 'Category', 'Y', 'X', 'Size', 'Tooltips'], role), field_no") + """
 select v.model_id, 'pg' || cast(v.page_id as varchar) as page_folder, p.page_name, p.hidden as page_hidden,
-  'v' || lpad(cast(v.pos as varchar), 4, '0') as visual_folder, v.type, coalesce(v.title, '') as title,
+  'v' || cast(v.pos as varchar) as visual_folder, v.type, coalesce(v.title, '') as title,
   v.x, v.y, v.width, v.height, v.z, v.hidden, ft.fields_text
 from cat_visuals v join cat_pages p on v.model_id = p.model_id and v.page_id = p.page_id
 left join ft on ft.model_id = v.model_id and ft.page_id = v.page_id and ft.pos = v.pos
@@ -358,9 +354,21 @@ def s8_write(spark, sf_dir):
                                            "depends_on_measures", "depends_on_columns")
 
 
-# ------------------------------------------------------------------ P25: M query steps (no DuckDB equivalent: lookahead)
-
-@register("P25_split_query_steps")
+# ------------------------------------------------------------------ P25: M query steps
+
+@register("P25_split_query_steps", oracle=oracle_ctes("cat_partitions") + f"""
+, l AS (select model_id, ordinal, generate_subscripts(string_split(expression, {NL}), 1) as no, unnest(string_split(expression, {NL})) as line
+  from cat_partitions where contains(lower(expression), 'let')),
+h AS (select *, regexp_matches(line, '^ *[[:alpha:]_#][[:alnum:]_"# ]*?=') and not regexp_matches(line, '^ *let ') as hd,
+        regexp_matches(line, '^ *in( |$)') as stop from l),
+s AS (select *, sum(hd::int) over (partition by model_id, ordinal order by no) as step_no,
+        max(case when hd or stop then no * 2 + hd::int end) over (partition by model_id, ordinal order by no) as mark from h),
+g AS (select model_id, ordinal, step_no, trim(split_part(min(line) filter (where hd), '=', 1), ' #"') as step,
+  regexp_replace(trim(string_agg(case when hd then substring(line, position('=' in line) + 1) else line end, {NL} order by no), ' ' || {NL}), ',+$', '') as step_expression
+  from s where mark % 2 = 1 group by model_id, ordinal, step_no)
+select model_id, ordinal, cast(step_no as bigint) as step_no, step, step_expression,
+  case when contains(step_expression, 'Binary.FromText') then {q(seg.BINARY_STEP_MARKER)} else step_expression end as display
+from g where step_expression <> ''""")
 def p25_steps(spark, sf_dir):
     p = catalog(spark, sf_dir, "cat_partitions")["cat_partitions"]
     return seg.split_query_steps(p, ["model_id", "ordinal"])

@@ -16,7 +16,9 @@ def is_system(col: str) -> str:
 
 
 def pystrip(expr: str) -> str:
-    return f"regexp_replace({expr}, '^\\s+|\\s+$', '', 'g')"
+    # the code points spelled out once more, as literal characters: the oracle does not share the engine's class
+    space = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+    return f"trim({expr}, '{space}')"
 
 
 _WELL_ALT = "|".join(w for w, _ in WELL_LABELS)

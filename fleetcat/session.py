@@ -20,7 +20,7 @@ DRIVER_TABLES = (
 
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "fleetcat") -> SparkSession:
-    """Session for tests and the bench; on a cluster the launcher's settings win."""
+    """Local session for tests and the bench; a cluster job brings its own session."""
     spark = (
         SparkSession.builder.master(master)
         .appName(app)
@@ -43,10 +43,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the launcher sets it to shared storage and we only read it.
-    Only when it is unset (local tests) do we pick a scratch folder.
+    Only on a local master, where one machine is all there is, an unset folder
+    becomes a scratch folder.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="fleetcat-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     spark.sparkContext.setCheckpointDir(conf_dir)

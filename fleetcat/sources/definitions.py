@@ -13,8 +13,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fleetcat.operators.segment import FENCE, lines_of
+from fleetcat.operators.segment import BIG, FENCE, lines_of
 from fleetcat.session import ensure_checkpoint_dir
+from fleetcat.sources.fixtures import block_of, model_of
 
 T, T2, T3, T4 = "\t", "\t\t", "\t\t\t", "\t\t\t\t"
 
@@ -29,7 +30,7 @@ def _expr_lines(expr: Column, mode: Column, header: Column, cont: str, inline_se
     ls = F.split(expr, "\n")
     inline = F.concat(
         F.array(F.concat(header, F.lit(inline_sep), F.element_at(ls, 1))),
-        F.transform(F.slice(ls, 2, 1 << 20), lambda x: F.concat(F.lit(cont), x)))
+        F.transform(F.slice(ls, F.lit(2), F.size(ls)), lambda x: F.concat(F.lit(cont), x)))
     fenced = F.concat(F.array(header, F.lit(cont + FENCE)),
                       F.transform(ls, lambda x: F.concat(F.lit(cont), x)), F.array(F.lit(cont + FENCE)))
     continued = F.concat(F.array(header), F.transform(ls, lambda x: F.concat(F.lit(cont), x)))
@@ -122,10 +123,10 @@ def scan_definition_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def calc_group_files(parts: DataFrame) -> DataFrame:
-    """One calculation-group table per model; one item per part, ordinals out of order, some missing or invalid."""
+    """One calculation-group table per model and block of parts; one item per part, ordinals out of order, some missing or invalid."""
     p = F.col("p_partkey")
-    model = (p % 20).alias("model_id")
-    file = F.concat(F.lit("Calc Group "), (p % 20).cast("string")).alias("file")
+    model = F.expr(model_of("p_partkey")).alias("model_id")
+    file = F.concat(F.lit("Calc Group "), F.expr(block_of("p_partkey")).cast("string")).alias("file")
     item_expr = F.concat(F.lit("SELECTEDMEASURE() * "), p.cast("string"))
     body = _expr_lines(item_expr, p % 3, F.lit(T3 + "expression ="), T4)
     ordinal = (F.when(p % 4 == 0, F.array().cast("array<string>"))
@@ -142,9 +143,9 @@ def calc_group_files(parts: DataFrame) -> DataFrame:
 
 
 def hierarchy_files(parts: DataFrame) -> DataFrame:
-    """One table per model with a hierarchy per part type; one level per part."""
+    """One table per model and block of parts with a hierarchy per part type; one level per part."""
     p = F.col("p_partkey")
-    base = parts.select((p % 20).alias("model_id"), F.concat(F.lit("Hierarchy "), (p % 20).cast("string")).alias("file"),
+    base = parts.select(F.expr(model_of("p_partkey")).alias("model_id"), F.concat(F.lit("Hierarchy "), F.expr(block_of("p_partkey")).cast("string")).alias("file"),
                         F.col("p_type"), p.cast("long").alias("p"))
     first = base.groupBy("model_id", "file", "p_type").agg(F.min("p").alias("block_order"))
     levels = base.join(first, ["model_id", "file", "p_type"]).select(
@@ -154,7 +155,7 @@ def hierarchy_files(parts: DataFrame) -> DataFrame:
                 .otherwise(F.concat(F.lit(T3 + "column: 'Col "), F.col("p").cast("string"), F.lit("'")))).alias("lines"))
     heads = first.select("model_id", "file", "block_order", F.lit(-1).cast("long").alias("sub_order"),
                          F.array(F.concat(F.lit(T + "hierarchy '"), F.col("p_type"), F.lit("'"))).alias("lines"))
-    tails = first.select("model_id", "file", "block_order", F.lit(1 << 40).cast("long").alias("sub_order"),
+    tails = first.select("model_id", "file", "block_order", F.lit(BIG).alias("sub_order"),
                          F.array(F.lit("")).alias("lines"))
     blocks = levels.unionByName(heads).unionByName(tails)
     th = table_headers(blocks).withColumn("sub_order", F.lit(0).cast("long"))
@@ -179,7 +180,7 @@ def relationship_files(rels: DataFrame) -> DataFrame:
         F.when(F.col("from_cardinality") != "many",
                F.array(F.concat(F.lit(T + "fromCardinality: "), F.col("from_cardinality")))),
         F.array(F.lit("")))
-    return assemble(rels.select("model_id", F.lit("relationships").alias("file"),
+    return assemble(rels.select("model_id", F.concat(F.lit("relationships "), F.floor(F.col("rel_id") / 100).cast("string")).alias("file"),
                                 F.col("rel_id").cast("long").alias("block_order"), lines.alias("lines")))
 
 
@@ -193,5 +194,5 @@ def expression_files(exprs: DataFrame) -> DataFrame:
     meta = F.concat(F.array(F.concat(F.lit(T + "lineageTag: t"), F.col("ordinal").cast("string"))),
                     F.when(F.col("ordinal") % 4 == 0, F.array(F.lit(T + "queryGroup: Params")))
                     .otherwise(F.array().cast("array<string>")))
-    return assemble(exprs.select("model_id", F.lit("expressions").alias("file"),
+    return assemble(exprs.select("model_id", F.concat(F.lit("expressions "), F.floor(F.col("ordinal") / 50).cast("string")).alias("file"),
                                  F.col("ordinal").cast("long").alias("block_order"), _lines(head, meta).alias("lines")))

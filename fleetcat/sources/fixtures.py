@@ -16,11 +16,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fleetcat.session import read_table
 
-# cat_measures: one measure per part.  Measures N, N-20 and N-40 share a model,
-# so references to earlier measures resolve; one in 23 sits in a system table.
+# Models are bounded in size and grow in number with the table: a block of keys
+# is a model.  Three keys in ten belong to model 0, which holds a third of all
+# rows, spread over many bounded files.
+MODEL_KEYS = {"p_partkey": 50, "s_suppkey": 10, "l_orderkey": 50, "o_orderkey": 50, "c_custkey": 50}
+
+
+def block_of(key: str) -> str:
+    """The block of keys that a key lies in (SQL for both engines)."""
+    return f"cast(floor({key} / {MODEL_KEYS[key]}) as bigint)"
+
+
+def model_of(key: str) -> str:
+    """The model that a key belongs to (SQL for both engines)."""
+    return f"case when {key} % 10 < 3 then 0 else 1 + {block_of(key)} end"
+
+
+# cat_measures: one measure per part.  Measures N, N-20 and N-40 mostly share a
+# model, so references to earlier measures resolve; one in 23 sits in a system table.
 CAT_MEASURES = """
-select p_partkey % 20 as model_id, p_partkey as ordinal,
- case when p_partkey % 23 = 0 then 'LocalDateTable_' || cast(p_partkey as string) else p_brand end as table_name,
+select {{model_of p_partkey}} as model_id, p_partkey as ordinal,
+ case when p_partkey % 23 = 0 then 'LocalDateTable_' || cast(p_partkey as string) else p_brand || ' ' || cast({{block_of p_partkey}} as string) end as table_name,
  'Measure ' || cast(p_partkey as string) as name,
  case p_partkey % 5
   when 0 then 'SUM(part[p_retailprice])'
@@ -36,12 +52,12 @@ from {part}
 # cat_columns: five columns per model, one of them calculated.
 CAT_COLUMNS = """
 select model_id, v.table_name, v.column_name, v.data_type, v.is_calculated, v.expression
-from (select model_id, {expand_columns} as v from (select distinct p_partkey % 20 as model_id from {part}))
+from (select model_id, {expand_columns} as v from (select distinct {{model_of p_partkey}} as model_id from {part}))
 """
 
 # cat_partitions: one M (or calculated) partition per supplier; eight source kinds.
 CAT_PARTITIONS = """
-select s_suppkey % 20 as model_id, s_suppkey as ordinal,
+select {{model_of s_suppkey}} as model_id, s_suppkey as ordinal,
  case when s_suppkey % 13 = 0 then 'DateTableTemplate_' || s_name else s_name end as table_name,
  s_suppkey % 11 = 0 as is_calculated,
  case s_suppkey % 8
@@ -61,7 +77,7 @@ from {supplier}
 # models by supplier key.  Null ends, system tables, both-direction filters and
 # a many-to-many variant are mixed in.
 CAT_RELATIONSHIPS = """
-select s_suppkey % 20 as model_id, s_suppkey * 10 + v.rel_id as rel_id, v.from_table, v.from_column, v.to_table,
+select {{model_of s_suppkey}} as model_id, s_suppkey * 10 + v.rel_id as rel_id, v.from_table, v.from_column, v.to_table,
  case when (s_suppkey + v.rel_id) % 17 = 0 then null else v.to_column end as to_column,
  case when (s_suppkey + v.rel_id) % 3 = 0 then 'Both' else 'Single' end as cross_filter,
  case when v.rel_id = 6 and s_suppkey % 2 = 0 then 'one' else 'many' end as from_cardinality,
@@ -72,7 +88,7 @@ from (select s_suppkey, {expand_relationships} as v from {supplier})
 # cat_visuals: one visual per line item (every line of every order); a page is
 # an order.  A coarse grid gives overlaps, full-page backgrounds and z ties.
 CAT_VISUALS = """
-select l_orderkey % 20 as model_id, l_orderkey as page_id,
+select {{model_of l_orderkey}} as model_id, l_orderkey as page_id,
  cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) as bigint) as pos,
  case l_suppkey % 6 when 0 then 'textbox' when 1 then 'actionButton' when 2 then 'slicer' when 3 then 'card' when 4 then 'barChart' else 'tableEx' end as type,
  case when l_linenumber % 2 = 0 then ''
@@ -110,7 +126,7 @@ from (select *, {expand_fields} as f from ({visuals})) v
 
 # cat_pages: one page per order; page size 1280 x 720, some hidden.
 CAT_PAGES = """
-select o_orderkey % 20 as model_id, o_orderkey as page_id, 'Page ' || cast(o_orderkey as string) as page_name,
+select {{model_of o_orderkey}} as model_id, o_orderkey as page_id, 'Page ' || cast(o_orderkey as string) as page_name,
  o_orderstatus = 'P' as hidden, cast(1280 as double) as width, cast(720 as double) as height
 from {orders}
 """
@@ -118,15 +134,19 @@ from {orders}
 # cat_definitions: one definition reply per part; wrong schema versions, case
 # differences and tables that do not match.
 CAT_DEFINITIONS = """
-select p_partkey % 20 as model_id, p_partkey as ordinal,
+select model_id, ordinal,
+ case when ordinal % 9 = 1 then 'Here are the definitions you asked for:' || chr(10) || reply || chr(10) || 'Anything else?'
+      when ordinal % 9 = 2 then replace(reply, '"b"}}]', '"b')
+      when ordinal % 9 = 3 then 'I cannot help with that.' else reply end as payload
+from (select {{model_of p_partkey}} as model_id, p_partkey as ordinal,
  '[{{"schema_version":"' || case when p_partkey % 10 = 0 then '2' else '1' end || '","object_type":"Measure","table":"'
- || upper(p_brand) || '","object_name":"MEASURE ' || cast(p_partkey as string) || '","definition":"d","business_logic":"b"}}]' as payload
-from {part}
+ || upper(p_brand) || ' ' || cast({{block_of p_partkey}} as string) || '","object_name":"MEASURE ' || cast(p_partkey as string) || '","definition":"d","business_logic":"b"}}]' as reply
+from {part})
 """
 
 # cat_expressions: shared expressions (parameters and helper functions), one per customer.
 CAT_EXPRESSIONS = """
-select c_custkey % 20 as model_id, c_custkey as ordinal,
+select {{model_of c_custkey}} as model_id, c_custkey as ordinal,
  case c_custkey % 5
   when 0 then 'Param' || cast(c_custkey as string)
   when 1 then 'fn' || cast(c_custkey as string) || '(x)'
@@ -188,6 +208,8 @@ EXPANSIONS = {"expand_columns": COLUMN_TEMPLATES, "expand_relationships": RELATI
 
 def _render(sql: str, engine: str) -> str:
     sql = sql.replace("{visuals}", CAT_VISUALS.strip())
+    for key in MODEL_KEYS:
+        sql = sql.replace("{{model_of " + key + "}}", model_of(key)).replace("{{block_of " + key + "}}", block_of(key))
     for k, rows in EXPANSIONS.items():
         sql = sql.replace("{" + k + "}", expand(rows, engine))
     return sql

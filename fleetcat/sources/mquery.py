@@ -19,12 +19,12 @@ def split_shared_queries(docs: DataFrame, keys, text_col: str = "section") -> Da
     trailing ';' of the stripped expression is removed.
     """
     parts = F.split(F.col(text_col), SHARED)
-    rows = docs.select(*keys, F.posexplode(F.slice(parts, 2, 1 << 30)).alias("entry_no", "p"))
+    rows = docs.select(*keys, F.posexplode(F.slice(parts, F.lit(2), F.size(parts))).alias("entry_no", "p"))
     rows = rows.where(F.col("p").contains(NAME_SEP))
     name = py_strip(F.substring_index("p", NAME_SEP, 1))
     name = F.when(name.startswith('#"') & name.endswith('"') & (F.length(name) >= 3),
                   F.substring(name, F.lit(3), F.length(name) - 3)).otherwise(name)
-    expr = py_strip(F.substring(F.col("p"), F.instr("p", NAME_SEP) + F.lit(len(NAME_SEP)), F.lit(1 << 30)))
+    expr = py_strip(F.substring(F.col("p"), F.instr("p", NAME_SEP) + F.lit(len(NAME_SEP)), F.length("p")))
     expr = F.when(expr.endswith(";"), F.substring(expr, F.lit(1), F.length(expr) - 1)).otherwise(expr)
     return rows.select(*keys, (F.col("entry_no") + 1).alias("entry_no"), name.alias("table_name"), expr.alias("expression"))
 

@@ -4,8 +4,10 @@ The reference has no streaming: it documents one model per run.  A fleet
 catalog still needs to absorb definition files as projects are saved, so
 this module runs the *same* file scan (S1) and segmentation (T5) over a file
 stream: ``readStream`` of whole definition files from a landing folder, then
-``foreachBatch`` appends the parsed measures to the Parquet catalog
-partitioned by model (S8).  State lives in the query checkpoint under the
+``foreachBatch`` writes the parsed measures of each batch to its own folder.
+A batch that runs again replaces its folder, and ``current_measures`` reads
+the latest batch of each file, so neither a replay nor a saved-again file
+doubles rows.  State lives in the query checkpoint under the
 shared folder named by ``spark.checkpoint.dir``, so a restarted job resumes
 where it stopped and executor loss only re-runs a micro-batch.
 """
@@ -40,11 +42,19 @@ def _ingest_batch(target: str):
     def run(batch: DataFrame, batch_id: int) -> None:
         lines = segment.lines_of(batch, KEYS)
         measures = segment.measures(segment.table_blocks(lines, KEYS), KEYS).drop("block_id")
-        (measures.withColumn("batch_id", F.lit(batch_id))
-         .write.mode("append").partitionBy("model_id").parquet(target))
+        # a file without measures leaves one row without a name: it replaces what the file held before
+        rows = batch.select(*KEYS).distinct().join(measures, KEYS, "left")
+        rows.write.mode("overwrite").parquet(f"{target.rstrip('/')}/batch_id={batch_id}")
     return run
 
 
+def current_measures(spark: SparkSession, target: str) -> DataFrame:
+    """Measures of the latest version of each file."""
+    rows = spark.read.parquet(target)
+    latest = rows.groupBy(*KEYS).agg(F.max("batch_id").alias("batch_id"))
+    return rows.join(latest, [*KEYS, "batch_id"], "left_semi").where("name is not null").drop("batch_id")
+
+
 def start_measure_ingest(spark: SparkSession, landing: str, target: str, checkpoint: str | None = None,
                          available_now: bool = False):
     """Start the ingest query; ``available_now`` processes what has landed and stops (batch-style backfill)."""

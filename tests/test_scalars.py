@@ -84,11 +84,6 @@ def test_hana_info(spark):
     assert (r["package"], r["view"], r["connection"]) == ("--", "(via HanaView param)", "via HanaServer param")
 
 
-def test_expression_census(spark):
-    r = one(spark, fx.expression_census("a"), 'VAR x = 1 RETURN CALCULATE([Total] + Sales[Amt], "a" & 2)')
-    assert (r["n_functions"], r["n_measure_refs"], r["n_column_refs"], r["n_strings"], r["n_numbers"], r["n_vars"]) == (1, 1, 1, 1, 2, 1)
-
-
 def test_field_reference(spark):
     j = '{"Aggregation":{"Expression":{"Column":{"Expression":{"SourceRef":{"Entity":"T"}},"Property":"c"}},"Function":0}}'
     assert one(spark, fx.field_reference("a"), j) == "Agg(T[c])"
@@ -101,3 +96,18 @@ def test_error_code_and_fingerprint(spark):
     assert one(spark, fx.error_hash(F.lit("PARSE"), F.lit("ValueError")), "x") == h
     fp = hashlib.sha256(b"sales.model_3_2").hexdigest()[:8]
     assert one(spark, fx.model_fingerprint(F.lit("sales.model"), F.lit(3), F.lit(2)), "x") == fp
+
+
+def test_py_strip_knows_every_white_space(spark):
+    from fleetcat.functions.common import py_strip
+    space = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+    texts = [space + "x y" + space, "​x​", "", space]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert sorted(r[0] for r in df.select(py_strip("t")).collect()) == sorted(t.strip() for t in texts)
+
+
+def test_function_calls_of_a_measure(spark):
+    from fleetcat.operators.lineage import function_calls
+    m = spark.createDataFrame([(1, "T", "A", 1, 'IF(SUM(t[a (b)]) > 0, sum (t[x]), "MAX(1)") -- MIN(2)')],
+                              "model_id long, table_name string, name string, ordinal long, expression string")
+    assert sorted((r["function"], r["n_calls"]) for r in function_calls(m).collect()) == [("IF", 1), ("SUM", 2)]
