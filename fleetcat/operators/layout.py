@@ -68,64 +68,63 @@ def overlap_pairs(visuals: DataFrame) -> DataFrame:
             .select(*PAGE_KEYS, "pos_a", "pos_b", ((ix2 - ix) * (iy2 - iy) / smaller).alias("ioa")))
 
 
-def consolidate_layers(visuals: DataFrame, pairs: DataFrame | None = None, max_rounds: int | None = None) -> DataFrame:
+def cover_pairs(visuals: DataFrame) -> DataFrame:
+    """(model_id, page_id, pos_a, pos_b, src_abs): a earlier element a and an absorbable later b that overlap by the threshold.
+
+    At least 95 % of the smaller element lies in the larger one, so its centre
+    does: the smaller side needs the one grid cell of its centre, the larger
+    side all its cells.  Types travel with the pair.
+    """
+    v = visuals.select(*PAGE_KEYS, "pos", "z", "x", "y", "width", "height", "page_width", "page_height",
+                       F.lower("type").isin(*ABSORBABLE_TYPES).alias("absorbable")).where("width * height > 0")
+    v = v.withColumn("box", F.struct("pos", "z", "x", "y", "width", "height", "absorbable"))
+    large = _with_cells(v).select(*PAGE_KEYS, "cx", "cy", F.col("box").alias("l"))
+    cw = F.greatest(F.col("page_width"), F.lit(1.0)) / GRID
+    ch = F.greatest(F.col("page_height"), F.lit(1.0)) / GRID
+    small = v.select(*PAGE_KEYS, _cell(F.col("x") + F.col("width") / 2, cw).alias("cx"),
+                     _cell(F.col("y") + F.col("height") / 2, ch).alias("cy"), F.col("box").alias("s"))
+    j = large.join(small, [*PAGE_KEYS, "cx", "cy"])
+    l, s = F.col("l"), F.col("s")
+    ix = F.least(l["x"] + l["width"], s["x"] + s["width"]) - F.greatest(l["x"], s["x"])
+    iy = F.least(l["y"] + l["height"], s["y"] + s["height"]) - F.greatest(l["y"], s["y"])
+    area_l, area_s = l["width"] * l["height"], s["width"] * s["height"]
+    covers = (area_s <= area_l) & (l["pos"] != s["pos"]) & (ix > 0) & (iy > 0) & (ix * iy / area_s >= COVER_THRESHOLD)
+    large_first = (l["z"] < s["z"]) | ((l["z"] == s["z"]) & (l["pos"] < s["pos"]))
+    first, then = F.when(large_first, l).otherwise(s), F.when(large_first, s).otherwise(l)
+    return (j.where(covers).select(*PAGE_KEYS, first.alias("a"), then.alias("b")).where("b.absorbable")
+            .select(*PAGE_KEYS, F.col("a.pos").alias("pos_a"), F.col("b.pos").alias("pos_b"), F.col("a.absorbable").alias("src_abs")).distinct())
+
+
+def consolidate_layers(visuals: DataFrame) -> DataFrame:
     """Visuals with ``absorbed`` (bool), by the greedy z-order rule.
 
     Rounds continue until every absorbable element is decided; each round
     decides at least the earliest undecided element of every chain, so the
     number of rounds is the longest chain of covering text/button elements.
+    A round works on undecided elements only.
     """
-    if pairs is None:
-        pairs = overlap_pairs(visuals)
     key = PAGE_KEYS + ["pos"]
-    node = visuals.select(*key, F.lower("type").isin(*ABSORBABLE_TYPES).alias("absorbable"))
-    cover = (pairs.where(F.col("ioa") >= COVER_THRESHOLD)
-             .join(node.select(*PAGE_KEYS, F.col("pos").alias("pos_b"), F.col("absorbable").alias("dst_abs")),
-                   PAGE_KEYS + ["pos_b"])
-             .where("dst_abs")
-             .join(node.select(*PAGE_KEYS, F.col("pos").alias("pos_a"), F.col("absorbable").alias("src_abs")),
-                   PAGE_KEYS + ["pos_a"])
-             .select(*PAGE_KEYS, "pos_a", "pos_b", "src_abs"))
-    # the covering pairs feed three branches below; materialise them once in the shared checkpoint folder
-    cover = cut_lineage(cover)
+    visuals = cut_lineage(visuals, "visuals")
+    cover = cut_lineage(cover_pairs(visuals), "cover")
     by_fixed = cover.where(~F.col("src_abs")).select(*PAGE_KEYS, F.col("pos_b").alias("pos")).distinct()
-    rest = node.where("absorbable").select(*key).join(by_fixed, key, "left_anti")
-    edges = (cover.where("src_abs")
-             .join(rest.select(*PAGE_KEYS, F.col("pos").alias("pos_a")), PAGE_KEYS + ["pos_a"], "left_semi")
-             .join(rest.select(*PAGE_KEYS, F.col("pos").alias("pos_b")), PAGE_KEYS + ["pos_b"], "left_semi")
-             .select(*PAGE_KEYS, "pos_a", "pos_b"))
-    edges = cut_lineage(edges)
-    if edges.limit(1).count() == 0:  # no chains among absorbable elements: nothing to iterate
-        absorbed = by_fixed.withColumn("absorbed", F.lit(True))
-        return (visuals.join(absorbed, key, "left")
-                .withColumn("absorbed", F.coalesce("absorbed", F.lit(False))))
-    # state: 'K' kept, 'A' absorbed, 'U' undecided
-    has_pred = edges.select(*PAGE_KEYS, F.col("pos_b").alias("pos")).distinct()
-    state = (rest.join(has_pred.withColumn("_p", F.lit(True)), key, "left")
-             .select(*key, F.when(F.col("_p"), F.lit("U")).otherwise(F.lit("K")).alias("state")))
-    state = cut_lineage(state)
-    rounds = 0
-    while state.where(F.col("state") == "U").limit(1).count() > 0:
-        if max_rounds is not None and rounds >= max_rounds:
-            raise RuntimeError("layer consolidation did not converge")
-        kept = state.where(F.col("state") == "K").select(*PAGE_KEYS, F.col("pos").alias("pos_a"))
-        undecided = state.where(F.col("state") == "U").select(*key)
-        absorbed_now = (edges.join(kept, PAGE_KEYS + ["pos_a"], "left_semi")
-                        .select(*PAGE_KEYS, F.col("pos_b").alias("pos")).distinct()
-                        .join(undecided, key, "left_semi"))
-        still = undecided.join(absorbed_now, key, "left_anti")
-        waiting = (edges.join(still.select(*PAGE_KEYS, F.col("pos").alias("pos_a")), PAGE_KEYS + ["pos_a"], "left_semi")
-                   .select(*PAGE_KEYS, F.col("pos_b").alias("pos")).distinct())
-        kept_now = still.join(waiting, key, "left_anti")
-        change = (absorbed_now.withColumn("new", F.lit("A"))
-                  .unionByName(kept_now.withColumn("new", F.lit("K"))))
-        state = (state.join(change, key, "left")
-                 .select(*key, F.coalesce("new", "state").alias("state")))
-        state = cut_lineage(state)
-        rounds += 1
-    absorbed = (by_fixed.unionByName(state.where(F.col("state") == "A").select(*key))
-                .withColumn("absorbed", F.lit(True)))
-    return (visuals.join(absorbed, key, "left")
+    edges = cover.where("src_abs").join(by_fixed.withColumnRenamed("pos", "pos_a"), PAGE_KEYS + ["pos_a"], "left_anti") \
+        .join(by_fixed.withColumnRenamed("pos", "pos_b"), PAGE_KEYS + ["pos_b"], "left_anti").select(*PAGE_KEYS, "pos_a", "pos_b")
+    edges = cut_lineage(edges, "edges")
+    absorbed = [by_fixed]
+    while not edges.isEmpty():
+        # undecided elements are the targets of the open edges; a source that is no target is kept
+        targets = edges.select(*PAGE_KEYS, F.col("pos_b").alias("pos")).distinct()
+        from_kept = edges.join(targets.withColumnRenamed("pos", "pos_a"), PAGE_KEYS + ["pos_a"], "left_anti")
+        now = cut_lineage(from_kept.select(*PAGE_KEYS, F.col("pos_b").alias("pos")).distinct(), "absorbed")
+        absorbed.append(now)
+        # edges into absorbed elements are settled; absorbed elements cover nothing; kept sources are used up
+        left = edges.join(now.withColumnRenamed("pos", "pos_b"), PAGE_KEYS + ["pos_b"], "left_anti") \
+            .join(now.withColumnRenamed("pos", "pos_a"), PAGE_KEYS + ["pos_a"], "left_anti")
+        edges = cut_lineage(left.select(*PAGE_KEYS, "pos_a", "pos_b"), "edges")
+    gone = absorbed[0]
+    for part in absorbed[1:]:
+        gone = gone.unionByName(part)
+    return (visuals.join(gone.withColumn("absorbed", F.lit(True)), key, "left")
             .withColumn("absorbed", F.coalesce("absorbed", F.lit(False))))
 
 

@@ -50,6 +50,15 @@ def duplicate_expressions(measures: DataFrame) -> DataFrame:
     return m.join(groups, ["model_id", "expression"]).select("model_id", "expression", "name", "ordinal", "n_sharing")
 
 
+def observation_items(partitions: DataFrame, measures: DataFrame, unused_report: DataFrame) -> DataFrame:
+    """A3 lists: one row per (model, observation, item): tables with hardcoded servers, measures that share logic, unused measures."""
+    hard = partitions.where(is_hardcoded_connection(F.col("expression"))).select(
+        "model_id", F.lit("Hardcoded Connections").alias("title"), F.col("table_name").alias("item"))
+    shared = duplicate_expressions(measures).select("model_id", F.lit("Duplicate DAX Logic"), "name")
+    unused = unused_report.select("model_id", F.lit("Unused Measures"), "name")
+    return hard.union(shared).union(unused)
+
+
 def threshold_observations(partitions: DataFrame, relationships: DataFrame, measures: DataFrame,
                            columns: DataFrame, unused_report: DataFrame | None = None) -> DataFrame:
     """A3: (model_id, severity, title, n) observations.

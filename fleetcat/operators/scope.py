@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetcat.operators.common import row_number_within
+from fleetcat.session import cut_lineage
 from fleetcat.functions import (
     classify_parameter, classify_source, computed_excerpt, is_system_table, parameter_excerpt, redact_sensitive,
 )
@@ -126,13 +127,18 @@ def source_sections(partitions: DataFrame, expressions: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ grouping (A5) and counts (A1)
 
-def items_by_table(items: DataFrame, name_col: str, include_system_tables: bool = False) -> DataFrame:
-    """A5: per (model, table) section number (tables sorted, non-empty only) and item number (names sorted)."""
+def columns_by_table(columns: DataFrame, include_system_tables: bool = False) -> DataFrame:
+    """A5 for columns: tables sorted, a table's columns in input order."""
+    return items_by_table(columns, "column_name", include_system_tables, by=("ordinal",))
+
+
+def items_by_table(items: DataFrame, name_col: str, include_system_tables: bool = False, by=None) -> DataFrame:
+    """A5: per (model, table) section number (tables sorted, non-empty only) and item number (names sorted, or ``by``)."""
     it = items if include_system_tables else items.where(~is_system_table("table_name"))
     tables = row_number_within(it.select("model_id", "table_name").distinct(), ["model_id"], ["table_name"], "section_no")
     # the items of one table are few; a model's tables need not be
     numbered = it.select("model_id", "table_name", name_col, "ordinal").withColumn(
-        "item_no", F.row_number().over(Window.partitionBy("model_id", "table_name").orderBy(name_col, "ordinal")))
+        "item_no", F.row_number().over(Window.partitionBy("model_id", "table_name").orderBy(*(by or (name_col, "ordinal")))))
     return (numbered.join(tables, ["model_id", "table_name"])
             .select("model_id", "table_name", "section_no", F.col(name_col).alias("name"), "item_no"))
 
@@ -244,6 +250,19 @@ def catalog_search(measures: DataFrame, query: str) -> DataFrame:
 
 # ------------------------------------------------------------------ export (A10)
 
+def _text(df: DataFrame, name: str):
+    """An optional column as text (null where the table has none)."""
+    return F.col(name).cast("string") if name in df.columns else F.lit(None).cast("string")
+
+
+def _flag(df: DataFrame, name: str):
+    return F.coalesce(F.lower(_text(df, name)) == "true", F.lit(False))
+
+
+def _line_if(condition, line):
+    return F.when(condition, F.array(line)).otherwise(F.array().cast("array<string>"))
+
+
 def definition_export(scope: DataFrame, partitions: DataFrame, columns: DataFrame, measures: DataFrame,
                       relationships: DataFrame, redact: bool = True) -> DataFrame:
     """A10: the model definition text as ordered line rows (model_id, part, table_name, section, block, seq, line).
@@ -252,6 +271,7 @@ def definition_export(scope: DataFrame, partitions: DataFrame, columns: DataFram
     P7), calculated columns and measures; then the in-scope relationships.
     Within a model, ordering by (part, table_name, section, block, seq) gives the text.
     """
+    scope = cut_lineage(scope, "scope")  # used by every block below
     lit_lines = lambda *ls: F.array(*[F.lit(x) if isinstance(x, str) else x for x in ls])
     pre = scope.select("model_id").distinct().select(
         "model_id", F.lit(0).alias("part"), F.lit("").alias("table_name"), F.lit(0).alias("section"), F.lit(0).cast("long").alias("block"),
@@ -268,7 +288,7 @@ def definition_export(scope: DataFrame, partitions: DataFrame, columns: DataFram
                             F.lit("\t\tmode: import"),
                             F.concat(F.lit("\t\tsource = \n```\n"), expr, F.lit("\n```\n"))).alias("lines")))
     calc = columns.where(F.col("is_calculated")).join(scope, ["model_id", "table_name"], "left_semi")
-    calc = calc.select("model_id", "table_name", "column_name", "data_type", "expression").withColumn(
+    calc = calc.select("model_id", "table_name", "column_name", "data_type", "expression", *(["is_hidden"] if "is_hidden" in columns.columns else [])).withColumn(
         "_col_no", F.row_number().over(Window.partitionBy("model_id", "table_name").orderBy("column_name", "data_type", "expression")))
     cols = (calc
             .select("model_id", F.lit(1).alias("part"), "table_name",
@@ -276,6 +296,7 @@ def definition_export(scope: DataFrame, partitions: DataFrame, columns: DataFram
                     F.flatten(F.array(
                         F.array(F.concat(F.lit("\tcolumn '"), F.col("column_name"), F.lit("'")),
                                 F.concat(F.lit("\t\tdataType: "), F.coalesce("data_type", F.lit("unknown")))),
+                        _line_if(_flag(columns, "is_hidden"), F.lit("\t\tisHidden")),
                         F.when(F.coalesce("expression", F.lit("")) != "",
                                F.array(F.concat(F.lit("\t\texpression = \n\t\t\t```\n\t\t\t"), F.col("expression"),
                                                 F.lit("\n\t\t\t```")))).otherwise(F.array().cast("array<string>")),
@@ -286,16 +307,20 @@ def definition_export(scope: DataFrame, partitions: DataFrame, columns: DataFram
                     F.flatten(F.array(
                         F.array(F.concat(F.lit("\tmeasure '"), F.col("name"), F.lit("' = \n\t\t```\n\t\t"),
                                          F.coalesce("expression", F.lit("")), F.lit("\n\t\t```"))),
+                        _line_if(F.coalesce(_text(measures, "display_folder"), F.lit("")) != "",
+                                 F.concat(F.lit("\t\tdisplayFolder: "), _text(measures, "display_folder"))),
                         F.when(F.coalesce("format_string", F.lit("")) != "",
                                F.array(F.concat(F.lit("\t\tformatString: "), F.col("format_string"))))
                         .otherwise(F.array().cast("array<string>")),
+                        _line_if(_flag(measures, "is_hidden"), F.lit("\t\tisHidden")),
                         F.array(F.lit("")))).alias("lines")))
+    active = F.coalesce(F.lower(_text(relationships, "is_active")), F.lit("true"))
     rels = (relationships_in_scope(relationships, scope)
             .select("model_id", F.lit(2).alias("part"), F.lit("").alias("table_name"), F.lit(0).alias("section"), F.col("rel_id").cast("long").alias("block"),
                     F.array(F.concat(F.lit("relationship '"), F.col("from_table"), F.lit("_"), F.col("to_table"), F.lit("'")),
                             F.concat(F.lit("\tfromColumn: '"), F.col("from_table"), F.lit("'.'"), F.coalesce(F.col("from_column").cast("string"), F.lit("None")), F.lit("'")),
                             F.concat(F.lit("\ttoColumn: '"), F.col("to_table"), F.lit("'.'"), F.coalesce(F.col("to_column").cast("string"), F.lit("None")), F.lit("'")),
-                            F.lit("\tisActive: true"),
+                            F.concat(F.lit("\tisActive: "), active),
                             F.concat(F.lit("\tcrossFilteringBehavior: "), F.coalesce("cross_filter", F.lit("both"))),
                             F.lit("")).alias("lines")))
     blocks = pre.unionByName(hdr).unionByName(part).unionByName(cols).unionByName(meas).unionByName(rels)

@@ -230,6 +230,16 @@ def a4_fields_by_well(spark, sf_dir):
 _HANA_SQL = "contains(expression, 'SapHana.Database(\"') or contains(expression, 'SapHana.Database(''')"
 
 
+@register("A3_observation_items", oracle=oracle_ctes("cat_measures", "cat_visuals", "cat_partitions") + _DUP_SQL + _UNUSED_SQL + f"""
+select model_id, 'Hardcoded Connections' as title, table_name as item from cat_partitions where {_HANA_SQL}
+union all select model_id, 'Duplicate DAX Logic', name from dups
+union all select model_id, 'Unused Measures', name from unused_report""")
+def a3_items(spark, sf_dir):
+    cat = catalog(spark, sf_dir, "cat_measures", "cat_visuals", "cat_partitions")
+    report = usage.unused_report(cat["cat_measures"], cat["cat_visuals"])
+    return lint.observation_items(cat["cat_partitions"], cat["cat_measures"], report)
+
+
 @register("A3_threshold_observations", oracle=oracle_ctes(
         "cat_measures", "cat_visuals", "cat_partitions", "cat_relationships", "cat_columns")
         + _DUP_SQL + _UNUSED_SQL + f"""

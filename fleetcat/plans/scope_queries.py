@@ -115,7 +115,7 @@ def w3(spark, sf_dir):
 
 @register("A5_measures_by_table", oracle=oracle_ctes("cat_measures") + f"""
 , m AS (select * from cat_measures where not {_SYS}),
-t AS (select model_id, table_name, cast(dense_rank() over (partition by model_id order by table_name) as integer) as section_no
+t AS (select model_id, table_name, cast(dense_rank() over (partition by model_id order by table_name) as bigint) as section_no
       from (select distinct model_id, table_name from m))
 select m.model_id, m.table_name, t.section_no, m.name,
   cast(row_number() over (partition by m.model_id, m.table_name order by m.name, m.ordinal) as integer) as item_no
@@ -124,6 +124,14 @@ def a5(spark, sf_dir):
     return scope.items_by_table(_cat(spark, sf_dir, "cat_measures")["cat_measures"], "name")
 
 
+@register("A5_columns_by_table", oracle=oracle_ctes("cat_columns") + f"""
+, c AS (select * from cat_columns where not {_SYS})
+select model_id, table_name, cast(dense_rank() over (partition by model_id order by table_name) as bigint) as section_no, column_name as name,
+  cast(row_number() over (partition by model_id, table_name order by ordinal) as integer) as item_no from c""")
+def a5_columns(spark, sf_dir):
+    return scope.columns_by_table(_cat(spark, sf_dir, "cat_columns")["cat_columns"])
+
+
 @register("A1_model_summary", oracle=oracle_ctes(
         "cat_measures", "cat_columns", "cat_partitions", "cat_relationships", "cat_expressions", "cat_pages", "cat_visuals")
         + _UNIVERSE + f"""
@@ -261,13 +269,15 @@ _T2 = "\t\t"
   union all select m.model_id, 1, m.table_name, 3, cast(m.ordinal as bigint),
     list_concat(['\tmeasure ''' || m.name || ''' = ' || chr(10) || '\t\t```' || chr(10) || '\t\t' || coalesce(m.expression, '')
                  || chr(10) || '\t\t```'],
-      case when coalesce(m.format_string, '') <> '' then ['\t\tformatString: ' || m.format_string] else [] end, [''])
+      case when m.display_folder <> '' then ['\t\tdisplayFolder: ' || m.display_folder] else [] end,
+      case when coalesce(m.format_string, '') <> '' then ['\t\tformatString: ' || m.format_string] else [] end,
+      case when m.is_hidden then ['\t\tisHidden'] else [] end, [''])
     from cat_measures m where exists (select 1 from scope s where s.model_id = m.model_id and s.table_name = m.table_name)
   union all select model_id, 2, '', 0, cast(rel_id as bigint),
     ['relationship ''' || from_table || '_' || to_table || '''',
      '\tfromColumn: ''' || from_table || '''.''' || coalesce(cast(from_column as varchar), 'None') || '''',
      '\ttoColumn: ''' || to_table || '''.''' || coalesce(cast(to_column as varchar), 'None') || '''',
-     '\tisActive: true', '\tcrossFilteringBehavior: ' || coalesce(cross_filter, 'both'), '']
+     '\tisActive: ' || is_active::varchar, '\tcrossFilteringBehavior: ' || coalesce(cross_filter, 'both'), '']
     from rin)
 select model_id, part, table_name, section, block, cast(generate_subscripts(lines, 1) - 1 as integer) as seq, unnest(lines) as line
 from blocks""")

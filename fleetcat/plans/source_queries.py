@@ -282,7 +282,8 @@ ft AS (select model_id, page_id, pos,
 @register("S3_scan_layout_json", oracle=oracle_ctes("cat_pages", "cat_visuals", "cat_visual_fields")
           + _expected_fields_sql("field_no") + """
 select v.model_id, v.page_id, p.page_name, cast(v.pos as integer) as vis_no, v.type, coalesce(v.title, '') as title,
-  v.x, v.y, v.width, v.height, v.z, v.hidden, ft.fields_text
+  v.x, v.y, v.width, v.height, v.z, v.hidden, ft.fields_text, p.width as page_width, p.height as page_height,
+  case when v.pos % 3 = 0 then 'part[p_type]' else '' end as filters_text
 from cat_visuals v join cat_pages p on v.model_id = p.model_id and v.page_id = p.page_id
 left join ft on ft.model_id = v.model_id and ft.page_id = v.page_id and ft.pos = v.pos
 """)
@@ -291,7 +292,28 @@ def s3_layout(spark, sf_dir):
     docs = render_layout_docs(*_layout_inputs(spark, sf_dir))
     out = scan_layout_json(docs, ["model_id", "page_id"])
     return out.select("model_id", "page_id", "page_name", "vis_no", "type", "title", "x", "y", "width", "height", "z",
-                      "hidden", F.array_join("fields", " | ").alias("fields_text"))
+                      "hidden", F.array_join("fields", " | ").alias("fields_text"), "page_width", "page_height",
+                      F.array_join("filters", " | ").alias("filters_text"))
+
+
+@register("S3_pages", oracle=oracle_ctes("cat_pages", "cat_visuals") + """
+, n AS (select model_id, page_id, count(*) as n from cat_visuals group by model_id, page_id)
+select p.model_id, p.page_id, 1 as page_no, p.page_name, p.width as page_width, p.height as page_height, false as page_hidden,
+  coalesce(n.n, 0) as n_visuals from cat_pages p left join n on n.model_id = p.model_id and n.page_id = p.page_id
+union all select model_id, page_id, 2, 'Empty', 1280, 720, false, 0 from cat_pages
+""")
+def s3_pages(spark, sf_dir):
+    from fleetcat.sources.layout_json import layout_pages, render_layout_docs
+    return layout_pages(render_layout_docs(*_layout_inputs(spark, sf_dir)), ["model_id", "page_id"])
+
+
+@register("S4_pages", oracle=oracle_ctes("cat_pages") + """
+select model_id, 'pg' || cast(page_id as varchar) as page_folder, page_name, hidden as page_hidden, width as page_width, height as page_height
+from cat_pages
+""")
+def s4_pages(spark, sf_dir):
+    from fleetcat.sources.layout_json import page_file_pages, render_page_files
+    return page_file_pages(render_page_files(*_layout_inputs(spark, sf_dir)), ["model_id"])
 
 
 @register("S4_scan_page_files", oracle=oracle_ctes("cat_pages", "cat_visuals", "cat_visual_fields") + _expected_fields_sql(

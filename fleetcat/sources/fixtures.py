@@ -45,13 +45,14 @@ select {{model_of p_partkey}} as model_id, p_partkey as ordinal,
   when 3 then 'CALCULATE([Measure ' || cast(p_partkey - 40 as string) || '], part[p_size] > ' || cast(p_size as string) || ')'
   else '"[Measure 1]" & [p_brand] // [p_type]' end as expression,
  case when p_partkey % 4 = 0 then '#,0.00' else '' end as format_string,
+ case when p_partkey % 6 = 0 then 'Folder ' || p_type else '' end as display_folder, p_partkey % 11 = 0 as is_hidden,
  case p_partkey % 7 when 0 then '' when 1 then 'nan' else 'About ' || p_name end as description
 from {part}
 """
 
 # cat_columns: five columns per model, one of them calculated.
 CAT_COLUMNS = """
-select model_id, v.table_name, v.column_name, v.data_type, v.is_calculated, v.expression
+select model_id, v.ordinal, v.table_name, v.column_name, v.data_type, v.is_calculated, v.expression
 from (select model_id, {expand_columns} as v from (select distinct {{model_of p_partkey}} as model_id from {part}))
 """
 
@@ -81,7 +82,8 @@ select {{model_of s_suppkey}} as model_id, s_suppkey * 10 + v.rel_id as rel_id,
  case when (s_suppkey + v.rel_id) % 17 = 0 then null else v.to_column end as to_column,
  case when (s_suppkey + v.rel_id) % 3 = 0 then 'Both' else 'Single' end as cross_filter,
  case when v.rel_id = 6 and s_suppkey % 2 = 0 then 'one' else 'many' end as from_cardinality,
- case when v.rel_id = 4 and s_suppkey % 9 = 0 then 'many' else 'one' end as to_cardinality
+ case when v.rel_id = 4 and s_suppkey % 9 = 0 then 'many' else 'one' end as to_cardinality,
+ (s_suppkey + v.rel_id) % 8 <> 0 as is_active
 from (select s_suppkey, {expand_relationships} as v from {supplier})
 """
 
@@ -166,11 +168,11 @@ from {customer}
 # Row expansions (each input row becomes k rows): a generator over a literal array of structs, rendered per engine.
 # Fixed template rows:
 COLUMN_TEMPLATES = (
-    dict(table_name="part", column_name="p_partkey", data_type="int64", is_calculated=False, expression=""),
-    dict(table_name="part", column_name="p_brand", data_type="string", is_calculated=False, expression=""),
-    dict(table_name="part", column_name="p_type", data_type="string", is_calculated=False, expression=""),
-    dict(table_name="part", column_name="p_size", data_type="int64", is_calculated=True, expression="part[p_partkey] + 1"),
-    dict(table_name="part", column_name="p_retailprice", data_type="double", is_calculated=False, expression=""),
+    dict(ordinal=3, table_name="part", column_name="p_partkey", data_type="int64", is_calculated=False, expression=""),
+    dict(ordinal=1, table_name="part", column_name="p_brand", data_type="string", is_calculated=False, expression=""),
+    dict(ordinal=2, table_name="part", column_name="p_type", data_type="string", is_calculated=False, expression=""),
+    dict(ordinal=5, table_name="part", column_name="p_size", data_type="int64", is_calculated=True, expression="part[p_partkey] + 1"),
+    dict(ordinal=4, table_name="part", column_name="p_retailprice", data_type="double", is_calculated=False, expression=""),
 )
 RELATIONSHIP_TEMPLATES = (
     dict(rel_id=1, from_table="lineitem", from_column="l_orderkey", to_table="orders", to_column="o_orderkey"),

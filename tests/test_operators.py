@@ -181,7 +181,7 @@ def test_shifted_days_do_not_multiply_rows(spark):
 
 
 def test_building_a_query_runs_no_job(spark, sf_small, monkeypatch):
-    """Building a query only plans; writers, rounds and range-partitioned numberings are the exceptions.
+    """Building a query only plans; writers, rounds, range-partitioned numberings and the export's scope are the exceptions.
 
     Opening a Parquet table reads one footer in a job of its own.
     """
@@ -190,10 +190,9 @@ def test_building_a_query_runs_no_job(spark, sf_small, monkeypatch):
     monkeypatch.setattr(DataFrameReader, "parquet", lambda self, *a, **k: (opened.append(a), parquet(self, *a, **k))[1])
     from fleetcat.plans.registry import QUERIES, load_all
     load_all()
-    eager = {"S1_scan_definition_lines", "S8_write_catalog", "J8_consolidate_layers", "W1_W2_wireframe", "M21_M23_rankx_earlier"}
     tracker = spark.sparkContext.statusTracker()
     for name in QUERIES:
-        if name in eager or name.startswith(("A5", "J8", "W1", "M21")):
+        if name.startswith(("S1_", "S8_", "A5", "A10", "J8", "W1", "M21")):
             continue
         spark.sparkContext.setJobGroup(f"build-{name}", name)
         opened.clear()
@@ -295,3 +294,39 @@ def test_layout_select_without_roles_defaults_to_values(spark):
     docs = spark.createDataFrame([(1, json.dumps({"sections": [{"displayName": "P", "visualContainers": [vc]}]}))],
                                  "id long, layout string")
     assert scan_layout_json(docs, ["id"]).first()["fields"] == ["Values: n -> T[c]"]
+
+
+def test_source_rules_can_be_extended(spark):
+    from fleetcat.functions.code import SOURCE_RULES, classify_source, source_rules
+    own = spark.createDataFrame([(2, "Sql.Database", "Ours", "Second"), (1, "My.Source", "Ours", "First")],
+                                "priority int, keyword string, category string, connection_type string")
+    df = spark.createDataFrame([("My.Source(Sql.Database)",), ("Sql.Database()",), ("none",)], "c string")
+    rules = source_rules(own)
+    got = [tuple(r[0]) for r in df.select(classify_source("c", rules)).collect()]
+    assert got == [("Ours", "First"), ("Ours", "Second"), ("Computed", None)]
+    assert [tuple(r[0]) for r in df.select(classify_source("c", (*rules[:1], *SOURCE_RULES))).collect()][1] == ("Database", "SQL Server")
+
+
+def test_optional_lines_of_the_export(spark):
+    from fleetcat.operators.scope import definition_export, export_text_order
+    scope = spark.createDataFrame([(1, "T")], "model_id long, table_name string")
+    parts = spark.createDataFrame([(1, 1, "T", False, "src")], "model_id long, ordinal long, table_name string, is_calculated boolean, expression string")
+    cols = spark.createDataFrame([(1, "T", "c", "int64", True, "1", "True")],
+                                 "model_id long, table_name string, column_name string, data_type string, is_calculated boolean, expression string, is_hidden string")
+    meas = spark.createDataFrame([(1, 1, "T", "m", "2", "0", "F", True)],
+                                 "model_id long, ordinal long, table_name string, name string, expression string, format_string string, display_folder string, is_hidden boolean")
+    rels = spark.createDataFrame([(1, 1, "T", "a", "T", "b", "Both", False)],
+                                 "model_id long, rel_id long, from_table string, from_column string, to_table string, to_column string, cross_filter string, is_active boolean")
+    lines = [r["line"] for r in definition_export(scope, parts, cols, meas, rels).orderBy(*export_text_order()).collect()]
+    text = "\n".join(lines)
+    assert "\t\tdataType: int64\n\t\tisHidden\n\t\texpression" in text
+    assert "\t\tdisplayFolder: F\n\t\tformatString: 0\n\t\tisHidden\n" in text and "\tisActive: false" in text
+
+
+def test_pages_without_visuals_stay(spark):
+    from fleetcat.sources.layout_json import layout_pages, page_file_pages
+    docs = spark.createDataFrame([(1, '{"sections":[{"displayName":"A"},{"displayName":"B","visualContainers":[{"x":1},{"config":"{}"}]}]}'),
+                                  (2, "broken")], "id long, layout string")
+    assert rows(layout_pages(docs, ["id"]), "id", "page_no", "page_name", "n_visuals") == [(1, 1, "A", 0), (1, 2, "B", 1)]
+    files = spark.createDataFrame([(1, "R/definition/pages/p/page.json", '{"displayName":"P"}')], "id long, path string, text string")
+    assert rows(page_file_pages(files, ["id"]), "page_folder", "page_name") == [("p", "P")]
