@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetcat.llm import words as W
-from fleetcat.llm.runtime import map_arrow
+from fleetcat.llm.runtime import map_arrow, prepare, written
 
 SHINGLE_WORDS = 5
 THRESHOLD = 80  # percent of an item's shingles
@@ -114,6 +114,22 @@ def _candidates(sh: np.ndarray, index: ItemIndex, a: np.ndarray, b: np.ndarray)
     return found
 
 
+def _hits(raw: np.ndarray, off: np.ndarray, index: ItemIndex, k: int, threshold: int, a: np.ndarray, b: np.ndarray):
+    """(row, item, shared shingles) of every verified hit."""
+    for i, j in W.slices(off):
+        w = W.Words(raw, off[i:j + 1])
+        sh = W.shingle_hashes(w.hashes, k)
+        for r in range(j - i):
+            own = sh[w.bounds[r]:max(w.bounds[r], w.bounds[r + 1] - k + 1)]
+            found = _candidates(own, index, a, b)
+            if found:
+                have = W.distinct(own)
+                for at in sorted(found):
+                    shared = W.intersection_size(index.sets[at], have)
+                    if 100 * shared >= threshold * len(index.sets[at]):
+                        yield i + r, at, shared
+
+
 def _search(index_of, k: int, threshold: int, hashes: int):
     def run(batches):
         index: ItemIndex = index_of.value
@@ -121,47 +137,56 @@ def _search(index_of, k: int, threshold: int, hashes: int):
         for batch in batches:
             raw, off = W.text_buffer(batch.column(1))
             ids = batch.column(0)
-            rows = []
-            for i, j in W.slices(off):
-                w = W.Words(raw, off[i:j + 1])
-                sh = W.shingle_hashes(w.hashes, k)
-                for r in range(j - i):
-                    own = sh[w.bounds[r]:max(w.bounds[r], w.bounds[r + 1] - k + 1)]
-                    hits = _candidates(own, index, a, b)
-                    if hits:
-                        have = W.distinct(own)
-                        for at in sorted(hits):
-                            n = len(index.sets[at])
-                            shared = W.intersection_size(index.sets[at], have)
-                            if 100 * shared >= threshold * n:
-                                rows.append((ids[i + r].as_py(), index.ids[at], shared, n))
+            rows = [(ids[r].as_py(), index.ids[at], shared, len(index.sets[at])) for r, at, shared in _hits(raw, off, index, k, threshold, a, b)]
             yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in rows], pa.int64()) for c in range(4)],
                                              names=["doc_id", "item_id", "n_shared", "n_item"])
     return run
 
 
+def _keep_clean(index_of, column: int, k: int, threshold: int, hashes: int):
+    def run(batches):
+        index: ItemIndex = index_of.value
+        a, b = W.universal(hashes, SEED)
+        for batch in batches:
+            raw, off = W.text_buffer(batch.column(column))
+            clean = np.ones(batch.num_rows, bool)
+            for r, _, _ in _hits(raw, off, index, k, threshold, a, b):
+                clean[r] = False
+            yield batch.filter(pa.array(clean))
+    return run
+
+
+def _blocks(benchmark: DataFrame, shingle: int, hashes: int, block_bytes: int):
+    """Broadcast indexes of the items, in blocks of bounded size."""
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")) \
+        .where("item_id is not null and text is not null")
+    size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+    blocks = max(1, math.ceil(size / block_bytes))
+    for at in range(blocks):
+        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == at).collect()  # one block: bounded by block_bytes
+        yield spark.sparkContext.broadcast(ItemIndex([r[0] for r in rows], [r[1] for r in rows], shingle, hashes))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE_WORDS, threshold: int = THRESHOLD,
                  hashes: int = HASHES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document and item it contains: doc_id, item_id, n_shared, n_item, containment."""
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")) \
-        .where("item_id is not null and text is not null")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
         .where("doc_id is not null and text is not null")
-    size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    blocks = max(1, math.ceil(size / block_bytes))
     out = None
-    for at in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == at).collect()  # one block: bounded by block_bytes
-        index = spark.sparkContext.broadcast(ItemIndex([r[0] for r in block], [r[1] for r in block], shingle, hashes))
+    for index in _blocks(benchmark, shingle, hashes, block_bytes):
         part = map_arrow(texts, _search(index, shingle, threshold, hashes), _SCHEMA)
         out = part if out is None else out.union(part)
     return out.distinct().withColumn("containment", F.round(F.col("n_shared") / F.col("n_item"), 6))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that contain no benchmark item (rows without an id are kept)."""
-    from fleetcat.llm.runtime import written
-
-    hits = written(contaminated(docs, benchmark).select("doc_id").distinct(), "contaminated")
-    return docs.join(hits, "doc_id", "left_anti").select(*docs.columns)
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE_WORDS, threshold: int = THRESHOLD,
+                      hashes: int = HASHES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` whose text contains no benchmark item; one filtering pass per block, without a shuffle."""
+    prepare(docs.sparkSession)
+    column = docs.columns.index("text")
+    left = docs
+    for n, index in enumerate(_blocks(benchmark, shingle, hashes, block_bytes)):
+        left = written(left, "clean") if n else left  # one block's index in a worker at a time
+        left = left.mapInArrow(_keep_clean(index, column, shingle, threshold, hashes), docs.schema)
+    return left

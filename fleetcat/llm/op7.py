@@ -115,8 +115,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     ends = written(p.drop("rest").join(at, F.col("s").eqNullSafe(F.col("s2")), "left").drop("s2"), "mix-plan")
     cols = list(docs.columns)
     rows = docs.select(*[F.col(f"`{c}`") for c in cols], random_key().alias("__key"), word_count(F.col("text")).alias("__size"))
-    rows = rows.join(ends.select("s", F.col("epochs").alias("__epochs"), F.col("cut_key").alias("__cut"), F.col("cut_size").alias("__cut_size")),
-                     F.col("source").cast("string").eqNullSafe(F.col("s")), "left").drop("s")
+    rows = rows.join(ends.select(F.col("s").alias("__s"), F.col("epochs").alias("__epochs"), F.col("cut_key").alias("__cut"), F.col("cut_size").alias("__cut_size")),
+                     F.col("source").cast("string").eqNullSafe(F.col("__s")), "left")
     partial = (F.col("__key") == F.col("__cut")) & (F.col("__cut_size") < F.col("__size"))
     last = F.when(F.col("__key") < F.col("__cut"), F.col("__size")).when(F.col("__key") == F.col("__cut"), F.least("__cut_size", "__size")).otherwise(0)
     copies = F.when(F.col("__size") == 0, 1).otherwise(F.col("__epochs") + F.when(last > 0, 1).otherwise(0))
