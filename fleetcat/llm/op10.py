@@ -153,14 +153,14 @@ def positions(keys: np.ndarray, level: np.ndarray | int, bits: np.ndarray | int)
     return np.stack([(a + np.uint64(i) * b) % np.asarray(bits, np.uint64) for i in range(PROBES)]).astype(np.int64)
 
 
-def _build(table: pa.Table) -> pa.Table:
+def _build(table, bits_per_key):
     seg = table.column("seg")[0].as_py()
     parts = {c: [x.as_py() for x in table.column(c)] for c in ("uh", "uc", "bh", "bc")}
     u, uc = _sums(np.concatenate([np.frombuffer(x, "<u8") for x in parts["uh"]]), np.concatenate([np.frombuffer(x, "<i8") for x in parts["uc"]]))
     b, bc = _sums(np.concatenate([_unpack48(x) for x in parts["bh"]]), np.concatenate([np.frombuffer(x, np.uint8) for x in parts["bc"]]).astype(np.int64))
     keys = np.concatenate([_filter_key(u, seg, 1), _filter_key(b, seg, 2)])
     top = level_of(np.concatenate([uc, bc]))
-    size = max(64, -(-int(top.sum()) * BITS_PER_KEY // 64) * 64)
+    size = max(64, -(-int(top.sum()) * bits_per_key // 64) * 64)
     flags = np.zeros(size, bool)
     for level in range(1, int(top.max()) + 1 if len(top) else 1):
         at = keys[top >= level]
@@ -179,19 +179,26 @@ def _filter_key(h: np.ndarray, seg: np.ndarray | int, order: int) -> np.ndarray:
 class Group:
     """Some segments: exact unigram counts and the Bloom filters."""
 
-    def __init__(self, rows: list, seg_bits: int):
-        rows = sorted(rows, key=lambda r: r["seg"])
+    def __init__(self, sizes: list, seg_bits: int, n: int):
+        """``sizes``: (seg, v, bits) of the segments; their tables are put in place one at a time."""
+        sizes = sorted(sizes)
         self.seg_bits = seg_bits
-        self.hash = np.concatenate([np.frombuffer(r["uh"], "<u8") for r in rows] or [np.zeros(0, np.uint64)])
-        self.count = np.concatenate([np.frombuffer(r["uc"], "<i8") for r in rows] or [np.zeros(0, np.int64)])
         self.bits = np.zeros(1 << seg_bits, np.int64)  # 0: not in this group
         self.start = np.zeros(1 << seg_bits, np.int64)
-        at, parts = 0, []
-        for r in rows:
-            self.bits[r["seg"]], self.start[r["seg"]] = r["bits"], at
-            parts.append(np.frombuffer(r["bloom"], np.uint8))
-            at += len(parts[-1])
-        self.bloom = np.concatenate(parts or [np.zeros(0, np.uint8)])
+        self.first = {}
+        words = at = 0
+        for seg, v, bits in sizes:
+            self.bits[seg], self.start[seg], self.first[seg] = bits, at, words
+            at, words = at + bits // 8, words + v
+        self.hash = np.empty(words, np.uint64)
+        self.count = np.empty(words, np.uint32 if n < 1 << 32 else np.int64)
+        self.bloom = np.empty(at, np.uint8)
+
+    def put(self, seg: int, uh: bytes, uc: bytes, bloom: bytes) -> None:
+        at, n = self.first[seg], len(uh) // 8
+        self.hash[at:at + n] = np.frombuffer(uh, "<u8")
+        self.count[at:at + n] = np.frombuffer(uc, "<i8")
+        self.bloom[self.start[seg]:self.start[seg] + len(bloom)] = np.frombuffer(bloom, np.uint8)
 
     def has(self, h: np.ndarray) -> np.ndarray:
         return self.bits[segment_of(h, self.seg_bits)] > 0
@@ -201,7 +208,7 @@ class Group:
             return np.zeros(len(h), np.int64)
         at = np.searchsorted(self.hash, h)
         at[at == len(self.hash)] = 0
-        return np.where(self.hash[at] == h, self.count[at], 0)
+        return np.where(self.hash[at] == h, self.count[at], 0).astype(np.int64)
 
     def levels(self, h: np.ndarray, order: int) -> np.ndarray:
         """Highest level up to which every probe hits; 0 for an n-gram that is not there (or not in this group)."""
@@ -267,13 +274,13 @@ def _score(group_of, n: int, v: int, unigrams: bool, pairs: bool, last: bool):
 _STATE = "doc_id long, text string, levels binary, n_known long, base_score double, score double, n_tokens long"
 
 
-def train(docs: DataFrame, segment_text: int = SEGMENT_TEXT) -> tuple[DataFrame, int]:
+def train(docs: DataFrame, segment_text: int = SEGMENT_TEXT, bits_per_key: int = BITS_PER_KEY) -> tuple[DataFrame, int]:
     """(segment table, bits of a hash that name the segment) from the documents outside the held-out fold."""
     texts = docs.where(~held_out()).select(F.col("text").cast("string").alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(16, max(0, math.ceil(math.log2(max(1, size / segment_text)))))
     packed = map_arrow(texts, _count(bits), _SEGMENT)
-    return written(packed.groupBy("seg").applyInArrow(_build, _TABLE), "lm-segments"), bits
+    return written(packed.groupBy("seg").applyInArrow(lambda t: _build(t, bits_per_key), _TABLE), "lm-segments"), bits
 
 
 def held_out(id_col: str = "doc_id"):
@@ -284,7 +291,7 @@ def score_documents(docs: DataFrame, segments: DataFrame, bits: int, group_bytes
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities)."""
     spark = docs.sparkSession
     prepare(spark)
-    sizes = segments.select("seg", "n", "v", (F.octet_length("uh") + F.octet_length("uc") + F.octet_length("bloom")).alias("bytes")).orderBy("seg").collect()
+    sizes = segments.select("seg", "n", "v", "bits", (F.octet_length("uh") + F.octet_length("uc") + F.octet_length("bloom")).alias("bytes")).orderBy("seg").collect()
     n, v = sum(r["n"] for r in sizes), sum(r["v"] for r in sizes)
     groups: list[list[int]] = [[]]
     room = group_bytes
@@ -296,8 +303,11 @@ def score_documents(docs: DataFrame, segments: DataFrame, bits: int, group_bytes
         room -= r["bytes"]
 
     def broadcast(group: list[int]):
-        rows = segments.where(F.col("seg").isin(group)).select("seg", "uh", "uc", "bits", "bloom").collect()  # group_bytes at most
-        return spark.sparkContext.broadcast(Group(rows, bits))
+        """group_bytes at most, which pass the driver a few segments at a time."""
+        out = Group([(r["seg"], r["v"], r["bits"]) for r in sizes if r["seg"] in set(group)], bits, n)
+        for r in segments.where(F.col("seg").isin(group)).select("seg", "uh", "uc", "bloom").toLocalIterator():
+            out.put(r["seg"], r["uh"], r["uc"], r["bloom"])
+        return spark.sparkContext.broadcast(out)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if len(groups) == 1:

@@ -33,13 +33,12 @@ def test_levels_are_the_floor_of_the_logarithm():
     assert (np.abs(op10.LEVEL_COUNT[op10.level_of(c)] / c - 1) < 0.5).all()
 
 
-def test_scores_equal_brute_force_up_to_false_positives(spark, monkeypatch):
-    monkeypatch.setattr(op10, "BITS_PER_KEY", 40)  # so few false positives that the model can be compared
+def test_scores_equal_brute_force_up_to_false_positives(spark):
     rows = near_copies(seed=6, groups=3)
     uni, bi = reference(rows)
     n, v = sum(uni.values()), len(uni)
     docs = docs_df(spark, rows).repartition(5)
-    segments, bits = op10.train(docs)
+    segments, bits = op10.train(docs, bits_per_key=40)  # so few false positives that the model can be compared
     got = op10.score_documents(docs, segments, bits).collect()
     assert len(got) == len(rows)
     texts = {}
