@@ -4,12 +4,18 @@ Method
   * Calls are the entries of an assistant message's ``tool_calls`` (a JSON
     array of {id, name, arguments}); results are messages with a
     ``tool_call_id``.  They meet by an equi-join on (conversation, id).
-  * A call depends on the calls that its arguments name as ``{{id}}``.  Rounds
-    of joins give each call its level: 0 without dependencies, else one more
-    than the highest it depends on.  A round handles only calls that are still
-    open; calls on a cycle stay open and are reported.
-  * Position in the conversation follows (level, turn, index), by range-sorted
-    prefix sums, so a conversation of any length needs no task of its own.
+  * A call depends on the calls that its arguments name as ``{{id}}``.  Where
+    all of them come earlier, the order of the calls (turn, index) is a
+    topological order already.  A reference to a later call spans a stretch
+    of the conversation; overlapping stretches are found by a sweep over
+    prefix sums.  Only inside a stretch are calls peeled in rounds of joins:
+    level 0 needs nothing in the stretch, else one more than the highest it
+    needs there.  A cycle has a reference to a later (or the same) call at
+    every step up, so it lies inside one stretch; its calls stay open and are
+    reported.
+  * Position in the conversation follows (stretch or own place, level, place),
+    by range-sorted prefix sums, so a conversation of any length needs no task
+    of its own, and rounds grow only with chains inside stretches.
   * Arguments are checked against the tool's JSON schema (type, properties,
     required, additionalProperties, enum, items, minimum, maximum, minLength,
     maxLength), and the linked call is written as canonical JSON: sorted keys,
@@ -106,64 +112,80 @@ def _check(batches, tools: dict):
                                          names=["info", "errors", "record"])
 
 
-def levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level); level is null on cycles and behind them.
-
-    ``calls``: distinct (conv_id, call_id); ``needs``: (conv_id, call_id, need).
-    """
-    key = ["conv_id", "call_id"]
-    target = calls.select("conv_id", F.col("call_id").alias("need"))
-    edges = written(needs.join(target, ["conv_id", "need"]).select(*key, "need").distinct(), "needs")
-    waiting = edges.select(*key).distinct()
-    level = 0
-    done = calls.join(waiting, key, "left_anti").withColumn("level", F.lit(0))
-    parts = [done]
-    latest, open_edges = done, edges
-    while not open_edges.isEmpty():
+def _peeled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(conv, call_id, level) of the nodes; level is null on cycles and behind them.  ``edges``: (conv, call_id, need)."""
+    key = ["conv", "call_id"]
+    latest = nodes.join(edges.select(*key).distinct(), key, "left_anti").select(*key, F.lit(0).alias("level"))
+    out, level = latest, 0
+    while not edges.isEmpty():
         level += 1
-        ready = latest.select("conv_id", F.col("call_id").alias("need"))
-        left = written(open_edges.join(ready, ["conv_id", "need"], "left_anti").select(*key, "need"), "needs")
-        latest = written(open_edges.select(*key).distinct().join(left.select(*key).distinct(), key, "left_anti")
-                         .withColumn("level", F.lit(level)), "level")
+        ready = latest.select("conv", F.col("call_id").alias("need"))
+        left = written(edges.join(ready, ["conv", "need"], "left_anti").select(*key, "need"), "needs")
+        latest = written(edges.select(*key).distinct().join(left.select(*key).distinct(), key, "left_anti").select(*key, F.lit(level).alias("level")), "level")
         if latest.isEmpty():
-            parts.append(left.select(*key).distinct().withColumn("level", F.lit(None).cast("int")))
-            break
-        parts.append(latest)
-        open_edges = left
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
+            return out.union(left.select(*key).distinct().withColumn("level", F.lit(None).cast("int")))
+        out, edges = out.union(latest), left
     return out
 
 
+def stretches(calls: DataFrame, needs: DataFrame) -> DataFrame | None:
+    """(conv, call_id, stretch, level) of the calls inside stretches; None if no reference points to a later call.
+
+    ``calls``: (conv, call_id, place), ids unique in a conversation;
+    ``needs``: (conv, call_id, need).  ``stretch`` is the place where it begins.
+    """
+    at = calls.select("conv", F.col("call_id").alias("need"), F.col("place").alias("need_place"))
+    edges = written(needs.join(calls, ["conv", "call_id"]).join(at, ["conv", "need"]).distinct(), "needs")
+    ahead = edges.where("need_place >= place")
+    if ahead.isEmpty():
+        return None
+    # a sweep over each conversation: +1 where a reference starts, -1 after it ends
+    event = lambda place, kind, step: [place.alias("place"), F.lit(kind).alias("kind"), F.lit(step).alias("step")]
+    none = F.lit(None).cast("string").alias("call_id")
+    events = ahead.select("conv", none, *event(F.col("place"), 0, 1)).union(ahead.select("conv", none, *event(F.col("need_place"), 2, -1)))
+    inside = calls.join(ahead.select("conv").distinct(), "conv", "left_semi").select("conv", "call_id", *event(F.col("place"), 1, 0))
+    swept = prefix_sums(events.union(inside), "conv", ["place", "kind", "call_id"], "step", "sweep").withColumnRenamed("before", "open") \
+        .withColumn("begins", ((F.col("kind") == 0) & (F.col("open") == 0)).cast("int"))
+    swept = prefix_sums(swept, "conv", ["place", "kind", "call_id", "open"], "begins", "sweep").withColumn("number", F.col("before") + F.col("begins"))
+    start = swept.where("begins = 1").select("conv", "number", F.col("place").alias("stretch"))
+    nodes = written(swept.where("kind = 1 and open > 0").join(start, ["conv", "number"]).select("conv", "call_id", "stretch"), "stretches")
+    same = nodes.select("conv", F.col("call_id").alias("need"), F.col("stretch").alias("need_stretch"))
+    own = written(edges.join(nodes, ["conv", "call_id"]).join(same, ["conv", "need"]).where("stretch = need_stretch").select("conv", "call_id", "need"), "needs")
+    return nodes.join(_peeled(nodes, own), ["conv", "call_id"])
+
+
 def linked_calls(messages: DataFrame, tools: dict) -> DataFrame:
     """Rows of calls and orphan results: conv_id, call_id, name, level, position, call_turn, result_turn, status, errors, record."""
     m = messages.select("conv_id", "turn", "text", F.col("tool_calls").cast("string").alias("tool_calls"), "tool_call_id")
     calls = m.select("conv_id", "turn", F.posexplode(F.from_json("tool_calls", _CALLS)).alias("at", "call")) \
         .select(F.coalesce(F.col("conv_id").cast("string"), F.lit("\x00")).alias("conv"), "conv_id", "turn", "at",
                 F.col("call.id").alias("call_id"), F.col("call.name").alias("name"), F.col("call.arguments").alias("arguments"))
+    order = ["turn", "at", "call_id", "name", "arguments"]
+    calls = prefix_sums(calls.withColumn("one", F.lit(1)), "conv", order, "one", "calls").withColumnRenamed("before", "place").drop("one")
     calls = written(calls, "calls")
     key = ["conv", "call_id"]
-    first = calls.where("call_id is not null").groupBy(*key).agg(F.min(F.struct("turn", "at", "name", "arguments")).alias("first"), F.count("*").alias("n"))
+    first = calls.where("call_id is not null").groupBy(*key).agg(F.min("place").alias("first_place"), F.min_by("arguments", "place").alias("arguments"))
     results = m.where("tool_call_id is not null").select(
         F.coalesce(F.col("conv_id").cast("string"), F.lit("\x00")).alias("conv"), F.col("tool_call_id").alias("call_id"), "turn", "text", "conv_id") \
         .groupBy(*key).agg(F.min(F.struct("turn", "text")).alias("got"), F.first("conv_id").alias("rc"))
 
-    unique = first.select(F.col("conv").alias("conv_id"), "call_id")
-    wanted = first.select(F.col("conv").alias("conv_id"), "call_id", F.explode(
-        F.expr(r"regexp_extract_all(first.arguments, r'\{\{([^{}]+)\}\}', 1)")).alias("need"))
-    level = levels(unique, wanted).withColumnRenamed("conv_id", "conv")
+    wanted = first.select(*key, F.explode(F.expr(r"regexp_extract_all(arguments, r'\{\{([^{}]+)\}\}', 1)")).alias("need")).distinct()
+    found = stretches(first.select(*key, F.col("first_place").alias("place")), wanted)
+    if found is None:
+        found = first.select(*key, F.col("first_place").alias("stretch"), F.lit(0).alias("level")).limit(0)
+    level = found.withColumn("in_stretch", F.lit(True))
 
-    rows = calls.join(first.select(*key, "first", "n"), key, "left") \
-        .withColumn("is_first", F.col("first").isNull() | (F.struct("turn", "at", "name", "arguments").eqNullSafe(F.col("first")))).drop("first", "n")
-    rows = rows.join(results, key, "full_outer").join(level.withColumn("levelled", F.lit(True)), key, "left")
+    rows = calls.join(first.select(*key, "first_place"), key, "left") \
+        .withColumn("is_first", F.col("first_place").isNull() | (F.col("place") == F.col("first_place"))).drop("first_place")
+    rows = rows.join(results, key, "full_outer").join(level, key, "left")
     rows = rows.withColumn("orphan", F.col("at").isNull()).withColumn("linked", F.col("orphan") | F.col("is_first"))
     result = F.when(F.col("linked"), F.col("got"))
     rows = rows.select(
         F.coalesce("conv_id", "rc").alias("conv_id"), "conv", "call_id", "name", "arguments", "orphan",
-        F.when(F.col("linked"), F.col("level")).alias("level"), F.col("turn").alias("call_turn"), "at",
+        F.when(F.col("linked") & ~F.col("orphan"), F.when(F.col("in_stretch"), F.col("level")).otherwise(0)).alias("level"),
+        F.coalesce(F.when(F.col("linked"), F.col("stretch")), F.col("place")).alias("stretch"), "place", F.col("turn").alias("call_turn"),
         result["turn"].alias("result_turn"), result["text"].alias("result"), "is_first",
-        (F.col("linked") & F.col("levelled").isNotNull() & F.col("level").isNull()).alias("cyclic"))
+        (F.col("linked") & F.coalesce("in_stretch", F.lit(False)) & F.col("level").isNull()).alias("cyclic"))
     info = [c for c in rows.columns if c not in ("name", "arguments", "result")] + ["name"]
     checked = map_arrow(
         rows.select(F.struct(*info).alias("info"), "call_id", "name", "arguments", "result", "orphan"), partial(_check, tools=tools),
@@ -172,9 +194,9 @@ def linked_calls(messages: DataFrame, tools: dict) -> DataFrame:
     status = F.when(F.col("orphan"), "orphan result").when(~F.col("is_first"), "duplicate id").when(F.col("cyclic"), "cycle") \
         .when(F.col("result_turn").isNull(), "no result").when(F.array_contains("errors", "unknown tool"), "unknown tool") \
         .when(F.size("errors") > 0, "invalid arguments").otherwise("ok")
-    rows = rows.withColumn("status", status).withColumn("one", F.lit(1)).withColumn("late", F.col("level").isNull()) \
-        .withColumn("t", F.coalesce("call_turn", "result_turn"))
-    rows = prefix_sums(rows, "conv", ["late", "level", "t", "at", "call_id", "record"], "one", "call-order")
+    rows = rows.withColumn("status", status).withColumn("one", F.lit(1))
+    rows = prefix_sums(rows.withColumn("open_level", F.col("level").isNull()), "conv",
+                       ["orphan", "stretch", "open_level", "level", "place", "result_turn", "call_id", "record"], "one", "call-order")
     return rows.select("conv_id", "call_id", "name", "level", F.col("before").cast("long").alias("position"), "call_turn", "result_turn",
                        "status", "errors", "record")
 

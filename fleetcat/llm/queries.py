@@ -147,10 +147,9 @@ j as (
   select coalesce(a.conv_id, r.conv_id) as conv_id, coalesce(a.call_id, r.call_id) as call_id, a.name, a.turn as call_turn, r.turn as result_turn,
     a.text as q, r.text as res, a.lim, a.call_id is null as orphan
   from a full join r on a.conv_id = r.conv_id and a.call_id = r.call_id),
-v as (
-  select j.*, case when orphan then null else (select count(*) from a p where p.conv_id = j.conv_id and p.turn < j.call_turn and p.turn % 2 = j.call_turn % 2) end as level from j)
+v as (select j.*, case when orphan then null else 0 end as level from j)
 select conv_id, call_id, name, cast(level as integer) as level,
-  cast(row_number() over (partition by conv_id order by orphan, level, coalesce(call_turn, result_turn), call_id) - 1 as bigint) as position,
+  cast(row_number() over (partition by conv_id order by orphan, coalesce(call_turn, result_turn)) - 1 as bigint) as position,
   call_turn, result_turn,
   case when orphan then 'orphan result' when result_turn is null then 'no result' when q = '' or lim = 0 then 'invalid arguments' else 'ok' end as status,
   (case when not orphan and lim = 0 then 1 else 0 end) + (case when not orphan and q = '' then 1 else 0 end) as n_errors,
