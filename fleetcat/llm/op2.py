@@ -8,6 +8,13 @@ Method
     hyphens.  A term's inverse document frequency, ln((N+1)/(df+1)) + 1, counts
     the lines of all files; a term that no template has weighs like an unseen
     one, so a line's other words lower its cosine.
+  * With ``windows`` the terms of the whole text, across line breaks, are
+    segments too: for each template every run of as many terms as it has, so a
+    notice inside a long line, in a text of one line or wrapped over lines is
+    compared without the words around it.  A window is compared with its own
+    template.  After "SPDX-License-Identifier" the identifier is looked up as
+    it is (score 1; of an expression the first).  Without ``windows`` a notice
+    that shares its line with many other words is not found.
   * Each segment is compared with every template as a sparse vector inside its
     row, without a shuffle.  Only segments with a key term are: a template's
     key terms are its heaviest ones, so many that the norm of the rest is below
@@ -59,6 +66,10 @@ TEMPLATES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 ]
 
+# Identifiers after "SPDX-License-Identifier", looked up by ``windows``.
+SPDX = {"apache-2.0": "Apache-2.0", "bsd-3-clause": "BSD-3-Clause", "cc-by-4.0": "CC-BY-4.0", "cc-by-nc-4.0": "CC-BY-NC-4.0",
+        "cc-by-sa-4.0": "CC-BY-SA-4.0", "gpl-3.0": "GPL-3.0", "gpl-3.0-only": "GPL-3.0", "gpl-3.0-or-later": "GPL-3.0", "mit": "MIT", "mpl-2.0": "MPL-2.0"}
+
 
 def _terms(text: str) -> str:
     return f"regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{TERM}', 0)"
@@ -91,16 +102,40 @@ def _weight_map(weights: dict[str, float]) -> str:
     return "map(" + ", ".join(f"'{t}', {w!r}D" for t, w in sorted(weights.items())) + ")"
 
 
-def _cosines(templates, idf: dict[str, float]) -> str:
-    """SQL for the array of (score, licence) of a segment's vector ``q`` (array of term t, weight w)."""
+def _cosine(tf: dict[str, int], idf: dict[str, float]) -> str:
+    """SQL for the cosine of a segment's vector ``q`` (array of term t, weight w) to a template."""
     norm = "sqrt(aggregate(q, 0D, (a, x) -> a + x.w * x.w))"
+    own = {t: n * idf[t] for t, n in tf.items()}
+    length = math.sqrt(sum(w * w for w in own.values()))
+    unit = _weight_map({t: w / length for t, w in own.items()})
+    return f"round(aggregate(q, 0D, (a, x) -> a + x.w * coalesce({unit}[x.t], 0D)) / {norm}, 6)"
+
+
+def _cosines(templates, idf: dict[str, float]) -> str:
+    """SQL for the array of (score, licence) of a segment's vector ``q``."""
+    return "array(" + ", ".join(f"struct({_cosine(tf, idf)} as score, '{name}' as licence)" for name, tf in templates) + ")"
+
+
+def _window_scores(templates, idf: dict[str, float], threshold: float, weight: str) -> str:
+    """SQL for the array of (score, licence) of the best window of each template over the terms ``words``, and of SPDX identifiers."""
     out = []
     for name, tf in templates:
-        own = {t: n * idf[t] for t, n in tf.items()}
-        length = math.sqrt(sum(w * w for w in own.values()))
-        unit = _weight_map({t: w / length for t, w in own.items()})
-        out.append(f"struct(round(aggregate(q, 0D, (a, x) -> a + x.w * coalesce({unit}[x.t], 0D)) / {norm}, 6) as score, '{name}' as licence)")
-    return f"array({', '.join(out)})"
+        size = sum(tf.values())
+        keys = ", ".join(f"'{t}'" for t in key_terms([(name, tf)], idf, threshold))
+        at = f"filter(sequence(1, size(words)), i -> get(words, i - 1) in ({keys}))"
+        # the starts of every window that holds a key term, each once; a shorter text is one window
+        first, last = f"greatest(1, p - {size - 1}, coalesce(get(k, j - 1), 0) + 1)", f"least(p, greatest(1, size(words) - {size - 1}))"
+        starts = f"flatten(flatten(transform(array({at}), k -> transform(k, (p, j) -> if({first} > {last}, array(), sequence({first}, {last}))))))"
+        # one window at a time, so that a long text's windows are never held together
+        vector = f"transform(array(slice(words, i, {size})), s -> transform(array_distinct(s), t -> struct(t as t, {weight} as w)))"
+        out.append(f"struct(array_max(transform({starts}, i -> get(transform({vector}, q -> {_cosine(tf, idf)}), 0))) as score, '{name}' as licence)")
+    names = {name for name, _ in templates}
+    spdx = ", ".join(f"'{k}', '{v}'" for k, v in SPDX.items() if v in names)
+    found = f"array({', '.join(out)})"
+    if spdx:
+        at = "filter(sequence(1, size(words)), i -> get(words, i - 1) = 'spdx-license-identifier')"
+        found = f"concat({found}, filter(transform({at}, i -> struct(1D as score, map({spdx})[get(words, i)] as licence)), c -> c.licence is not null))"
+    return found
 
 
 def key_terms(templates, idf: dict[str, float], threshold: float) -> list[str]:
@@ -126,7 +161,7 @@ _BEST_FIRST = ("case when a.score > b.score or (a.score = b.score and a.licence
                "when a.score = b.score and a.licence = b.licence then 0 else 1 end")
 
 
-def own_licences(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def own_licences(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, windows: bool = False) -> DataFrame:
     """Per file: file_id, path, is_licence_file, own (score, licence of the best segment, or null)."""
     files = files.select("file_id", F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
     temps = _template_terms(templates)
@@ -138,12 +173,17 @@ def own_licences(files: DataFrame, templates=TEMPLATES, threshold: float = THRES
     name = F.regexp_extract(F.lower("path"), r"([^/]*)$", 1)
     lines = "split(text, '\\n')"
     weight = f"size(filter(s, u -> u = t)) * coalesce({_weight_map(idf)}[t], {unseen!r}D)"
-    return files.withColumn("is_licence_file", F.coalesce(name.rlike(LICENCE_NAMES), F.lit(False))) \
+    found = files.withColumn("is_licence_file", F.coalesce(name.rlike(LICENCE_NAMES), F.lit(False))) \
         .withColumn("segments", F.expr(f"if(is_licence_file, concat({lines}, array(text)), {lines})")) \
         .withColumn("near", F.expr(f"filter(transform(segments, x -> {_terms('x')}), s -> arrays_overlap(s, {keys}))")) \
         .withColumn("vectors", F.expr(f"transform(near, s -> transform(array_distinct(s), t -> struct(t as t, {weight} as w)))")) \
-        .withColumn("scored", F.expr(f"filter(flatten(transform(vectors, q -> {_cosines(temps, idf)})), c -> c.score >= {threshold!r}D)")) \
-        .select("file_id", "path", "is_licence_file", F.expr(f"try_element_at(array_sort(scored, (a, b) -> {_BEST_FIRST}), 1)").alias("own"))
+        .withColumn("scored", F.expr(f"filter(flatten(transform(vectors, q -> {_cosines(temps, idf)})), c -> c.score >= {threshold!r}D)"))
+    if windows:
+        held = f"arrays_overlap(words, {_strings([*key_terms(temps, idf, threshold), 'spdx-license-identifier'])})"
+        found = found.withColumn("words", F.expr(_terms("text"))) \
+            .withColumn("inside", F.expr(f"if({held}, filter({_window_scores(temps, idf, threshold, weight)}, c -> c.score >= {threshold!r}D), null)")) \
+            .withColumn("scored", F.expr("concat(scored, coalesce(inside, array()))"))
+    return found.select("file_id", "path", "is_licence_file", F.expr(f"try_element_at(array_sort(scored, (a, b) -> {_BEST_FIRST}), 1)").alias("own"))
 
 
 def folder_licences(own: DataFrame) -> DataFrame:
@@ -158,12 +198,12 @@ def folder_licences(own: DataFrame) -> DataFrame:
         "folder", F.col("near.licence_folder").alias("licence_folder"), F.col("near.folder_licence").alias("folder_licence"))
 
 
-def scan(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def scan(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, windows: bool = False) -> DataFrame:
     """Per file (file_id, path, text): file_id, path, own_licence, score, licence, origin, licence_folder.
 
     ``origin``: licence file, header, inherited or none.
     """
-    own = written(own_licences(files, templates, threshold), "licences")
+    own = written(own_licences(files, templates, threshold, windows), "licences")
     rows = own.withColumn("folder", _folder(F.col("path"))).join(folder_licences(own), "folder", "left")
     has = F.col("own").isNotNull()
     return rows.select(

@@ -207,4 +207,4 @@ from files left join own using (doc_id) left join near on near.folder = files.fo
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fleetcat.llm.op2 import document_files, scan
 
-    return scan(document_files(read_table(spark, sf_dir, "documents"))).withColumnRenamed("file_id", "doc_id")
+    return scan(document_files(read_table(spark, sf_dir, "documents")), windows=True).withColumnRenamed("file_id", "doc_id")
