@@ -3,7 +3,9 @@
 Method
   * Calls are the entries of an assistant message's ``tool_calls`` (a JSON
     array of {id, name, arguments}); results are messages with a
-    ``tool_call_id``.  They meet by an equi-join on (conversation, id).
+    ``tool_call_id``, or with the role ``tool``.  They meet by an equi-join on
+    (conversation, id).  Results that repeat an id are numbered by the same
+    range-sorted prefix sums, so an id with many results needs no task of its own.
   * A call depends on the calls that its arguments name as ``{{id}}``.  Where
     all of them come earlier, the order of the calls (turn, index) is a
     topological order already.  A reference to a later call spans a stretch
@@ -21,16 +23,18 @@ Method
     maxLength), and the linked call is written as canonical JSON: sorted keys,
     no spaces, no escapes beyond what JSON needs.
 
-Output: one row per call, and one per result without a call.
+Output: one row per call, one per result without a call and, with
+``every_result``, one per further result of a call (default: without these).
 ``status``: ok, invalid arguments, unknown tool, no result, cycle, duplicate
-id, orphan result (in this order of precedence from the end).
+id, orphan result, duplicate result (in this order of precedence from the end).
 
 Defined cases: of calls that repeat an id in a conversation the first (turn,
 index) is linked, the others are ``duplicate id``; of results that repeat an
-id the first (turn, text) is linked.  Null or unreadable ``tool_calls`` hold
+id the first (turn, text) is linked, the others are ``duplicate result`` and
+come last in the conversation; without a call each is an ``orphan result``.  Null or unreadable ``tool_calls`` hold
 no calls; unreadable arguments are invalid and appear as the raw string.
-Null conversation ids form a conversation of their own; rows with null ids
-link with nothing.  A dependency on an unknown id is ignored.  Empty tables
+Null conversation ids form a conversation of their own; calls with null ids
+link with nothing, and results of the role ``tool`` with null ids are orphans.  A dependency on an unknown id is ignored.  Empty tables
 give no rows; extra columns are ignored.
 """
 
@@ -154,9 +158,20 @@ def stretches(calls: DataFrame, needs: DataFrame) -> DataFrame | None:
     return nodes.join(_peeled(nodes, own), ["conv", "call_id"])
 
 
-def linked_calls(messages: DataFrame, tools: dict) -> DataFrame:
-    """Rows of calls and orphan results: conv_id, call_id, name, level, position, call_turn, result_turn, status, errors, record."""
-    m = messages.select("conv_id", "turn", "text", F.col("tool_calls").cast("string").alias("tool_calls"), "tool_call_id")
+def _further_results(results: DataFrame, calls: DataFrame) -> DataFrame | None:
+    """(conv, call_id, conv_id, turn, text, copy, kind) of all results but the first of their id; None if no id repeats."""
+    key = ["conv", "call_id"]
+    repeated = written(results.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key), "repeated")
+    if repeated.isEmpty():
+        return None
+    again = results.join(repeated, key, "left_semi").withColumn("key", F.struct(*key)).withColumn("one", F.lit(1))
+    again = prefix_sums(again, "key", ["turn", "text"], "one", "results").where("before > 0").withColumnRenamed("before", "copy").drop("key", "one")
+    return again.join(calls.select(*key, F.lit(2).alias("kind")), key, "left").withColumn("kind", F.coalesce("kind", F.lit(1)))
+
+
+def linked_calls(messages: DataFrame, tools: dict, every_result: bool = False) -> DataFrame:
+    """Rows of calls and results without a call (``every_result``: and of further results of a call): conv_id, call_id, name, level, position, call_turn, result_turn, status, errors, record."""
+    m = messages.select("conv_id", "turn", "role", "text", F.col("tool_calls").cast("string").alias("tool_calls"), "tool_call_id")
     calls = m.select("conv_id", "turn", F.posexplode(F.from_json("tool_calls", _CALLS)).alias("at", "call")) \
         .select(F.coalesce(F.col("conv_id").cast("string"), F.lit("\x00")).alias("conv"), "conv_id", "turn", "at",
                 F.col("call.id").alias("call_id"), F.col("call.name").alias("name"), F.col("call.arguments").alias("arguments"))
@@ -165,9 +180,10 @@ def linked_calls(messages: DataFrame, tools: dict) -> DataFrame:
     calls = written(calls, "calls")
     key = ["conv", "call_id"]
     first = calls.where("call_id is not null").groupBy(*key).agg(F.min("place").alias("first_place"), F.min_by("arguments", "place").alias("arguments"))
-    results = m.where("tool_call_id is not null").select(
-        F.coalesce(F.col("conv_id").cast("string"), F.lit("\x00")).alias("conv"), F.col("tool_call_id").alias("call_id"), "turn", "text", "conv_id") \
-        .groupBy(*key).agg(F.min(F.struct("turn", "text")).alias("got"), F.first("conv_id").alias("rc"))
+    answers = m.where("tool_call_id is not null or role = 'tool'").select(
+        F.coalesce(F.col("conv_id").cast("string"), F.lit("\x00")).alias("conv"), F.col("tool_call_id").alias("call_id"), "turn", "text", "conv_id")
+    with_id = answers.where("call_id is not null")
+    results = with_id.groupBy(*key).agg(F.min(F.struct("turn", "text")).alias("got"), F.first("conv_id").alias("rc"))
 
     wanted = first.select(*key, F.explode(F.expr(r"regexp_extract_all(arguments, r'\{\{([^{}]+)\}\}', 1)")).alias("need")).distinct()
     found = stretches(first.select(*key, F.col("first_place").alias("place")), wanted)
@@ -181,22 +197,30 @@ def linked_calls(messages: DataFrame, tools: dict) -> DataFrame:
     rows = rows.withColumn("orphan", F.col("at").isNull()).withColumn("linked", F.col("orphan") | F.col("is_first"))
     result = F.when(F.col("linked"), F.col("got"))
     rows = rows.select(
-        F.coalesce("conv_id", "rc").alias("conv_id"), "conv", "call_id", "name", "arguments", "orphan",
+        F.coalesce("conv_id", "rc").alias("conv_id"), "conv", "call_id", "name", "arguments", "orphan", F.col("orphan").cast("int").alias("kind"), F.lit(0).cast("long").alias("copy"),
         F.when(F.col("linked") & ~F.col("orphan"), F.when(F.col("in_stretch"), F.col("level")).otherwise(0)).alias("level"),
         F.coalesce(F.when(F.col("linked"), F.col("stretch")), F.col("place")).alias("stretch"), "place", F.col("turn").alias("call_turn"),
         result["turn"].alias("result_turn"), result["text"].alias("result"), "is_first",
         (F.col("linked") & F.coalesce("in_stretch", F.lit(False)) & F.col("level").isNull()).alias("cyclic"))
+    others = answers.where("call_id is null").withColumn("copy", F.lit(0).cast("long")).withColumn("kind", F.lit(1))
+    further = _further_results(with_id, first)
+    if further is not None:
+        others = others.unionByName(further)
+    others = others.select("conv_id", "conv", "call_id", F.lit(True).alias("orphan"), "kind", "copy", F.col("turn").alias("result_turn"), F.col("text").alias("result"))
+    rows = rows.unionByName(others, allowMissingColumns=True)
+    if not every_result:
+        rows = rows.where("kind < 2")
     info = [c for c in rows.columns if c not in ("name", "arguments", "result")] + ["name"]
     checked = map_arrow(
         rows.select(F.struct(*info).alias("info"), "call_id", "name", "arguments", "result", "orphan"), partial(_check, tools=tools),
         "info struct<" + ", ".join(f"{c}: {dict(rows.dtypes)[c]}" for c in info) + ">, errors array<string>, record string")
     rows = checked.select("info.*", "errors", "record")
-    status = F.when(F.col("orphan"), "orphan result").when(~F.col("is_first"), "duplicate id").when(F.col("cyclic"), "cycle") \
+    status = F.when(F.col("kind") == 2, "duplicate result").when(F.col("orphan"), "orphan result").when(~F.col("is_first"), "duplicate id").when(F.col("cyclic"), "cycle") \
         .when(F.col("result_turn").isNull(), "no result").when(F.array_contains("errors", "unknown tool"), "unknown tool") \
         .when(F.size("errors") > 0, "invalid arguments").otherwise("ok")
     rows = rows.withColumn("status", status).withColumn("one", F.lit(1))
     rows = prefix_sums(rows.withColumn("open_level", F.col("level").isNull()), "conv",
-                       ["orphan", "stretch", "open_level", "level", "place", "result_turn", "call_id", "record"], "one", "call-order")
+                       ["kind", "stretch", "open_level", "level", "place", "result_turn", "call_id", "record", "copy"], "one", "call-order")
     return rows.select("conv_id", "call_id", "name", "level", F.col("before").cast("long").alias("position"), "call_turn", "result_turn",
                        "status", "errors", "record")
 
@@ -205,7 +229,7 @@ def conversation_calls(conversations: DataFrame) -> DataFrame:
     """Plain conversations (conv_id, turn, role, text) as messages with tool calls.
 
     An assistant turn calls a tool with its text; the user turn that follows is
-    the tool's result.  From the second call on, arguments name the call before.
+    the tool's result (role ``tool``).  From the second call on, arguments name the call before.
     """
     call = F.concat(F.lit("call_"), F.col("conv_id").cast("string"), F.lit("_"), F.col("turn").cast("string"))
     before = F.concat(F.lit("{{call_"), F.col("conv_id").cast("string"), F.lit("_"), (F.col("turn") - 2).cast("string"), F.lit("}}"))
@@ -213,10 +237,11 @@ def conversation_calls(conversations: DataFrame) -> DataFrame:
     args = F.to_json(F.struct(F.col("text").alias("query"), F.pmod(F.length("text"), F.lit(10)).alias("limit"), F.when(F.col("turn") >= 3, before).alias("after")))
     calls = F.to_json(F.array(F.struct(call.alias("id"), name.alias("name"), args.alias("arguments"))))
     answered = F.concat(F.lit("call_"), F.col("conv_id").cast("string"), F.lit("_"), (F.col("turn") - 1).cast("string"))
+    result = (F.col("role") == "user") & (F.col("turn") >= 2)
     return conversations.select(
-        "conv_id", "turn", "role", "text",
+        "conv_id", "turn", F.when(result, "tool").otherwise(F.col("role")).alias("role"), "text",
         F.when(F.col("role") == "assistant", calls).alias("tool_calls"),
-        F.when((F.col("role") == "user") & (F.col("turn") >= 2), answered).alias("tool_call_id"))
+        F.when(result, answered).alias("tool_call_id"))
 
 
 _ARGUMENTS = {"type": "object", "required": ["query", "limit"], "additionalProperties": False, "properties": {

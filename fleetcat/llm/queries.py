@@ -164,7 +164,7 @@ from v"""
 def op9_chat_tool_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fleetcat.llm.op9 import TOOLS, conversation_calls, linked_calls
 
-    rows = linked_calls(conversation_calls(read_table(spark, sf_dir, "conversations")), TOOLS)
+    rows = linked_calls(conversation_calls(read_table(spark, sf_dir, "conversations")), TOOLS, every_result=True)
     return rows.withColumn("n_errors", F.size("errors")).drop("errors")
 
 

@@ -1,6 +1,7 @@
 import json
 
 from fleetcat.llm import op9
+from fleetcat.llm.queries import QUERIES
 
 SCHEMA = "conv_id long, turn long, role string, text string, tool_calls string, tool_call_id string, level string, status string"
 
@@ -101,3 +102,28 @@ def test_order_is_topological_and_cycles_are_found_on_random_references(spark):
 
 def test_no_rows(spark):
     assert run(spark, [(1, 1, "user", "hi", None, None)]) == {}
+
+
+def test_every_result_has_a_row(spark):
+    rows = [(1, 1, "assistant", "", calls(("a", "f", {"q": "x"}), ("b", "f", {"q": "y"})), None)]
+    rows += [(1, 2 + i % 50, "tool", f"a{i}", None, "a") for i in range(150)] + [(1, 2, "tool", "same", None, "b")] * 3
+    rows += [(1, 9, "tool", f"g{i}", None, "ghost") for i in range(3)] + [(1, 9, "tool", f"n{i}", None, None) for i in range(2)]
+    rows += [(None, 2, "tool", "no conversation", None, None), (1, 3, "user", "no result", None, None), (2, 1, "user", "r", None, "a"), (2, None, "user", None, None, "a")]
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], SCHEMA).repartition(3)
+    got = op9.linked_calls(df, TOOLS, every_result=True).collect()
+    texts = lambda conv, status: sorted(json.loads(r.record)["result"] or "" for r in got if r.conv_id == conv and r.status == status)
+    assert texts(1, "ok") == ["a0", "same"] and texts(1, "orphan result") == ["g0", "g1", "g2", "n0", "n1"]
+    assert texts(1, "duplicate result") == sorted([f"a{i}" for i in range(1, 150)] + ["same"] * 2)
+    assert texts(None, "orphan result") == ["no conversation"] and texts(2, "orphan result") == ["", "r"]
+    one = sorted((r.position, r.status) for r in got if r.conv_id == 1)
+    assert [p for p, _ in one] == list(range(len(one))) and [s for _, s in one] == ["ok"] * 2 + ["orphan result"] * 5 + ["duplicate result"] * 151
+    assert {r.level for r in got if "result" in r.status} == {None} and {r.call_turn for r in got if "result" in r.status} == {None}
+    fewer = op9.linked_calls(df, TOOLS).collect()
+    assert sorted(map(str, fewer)) == sorted(str(r) for r in got if r.status != "duplicate result")
+
+
+def test_the_query_keeps_repeated_turns(spark, tmp_path):
+    rows = [(1, 1, "assistant", "question"), (1, 2, "user", "first"), (1, 2, "user", "second"), (None, 2, "user", "nobody's")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = QUERIES["op9_chat_tool_linking"](spark, str(tmp_path)).collect()
+    assert sorted((r.status, json.loads(r.record)["result"]) for r in got) == [("duplicate result", "second"), ("ok", "first"), ("orphan result", "nobody's")]
