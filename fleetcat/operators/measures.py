@@ -226,12 +226,28 @@ def count_higher_peers(partition_by: Sequence[str], order_col) -> Column:
 
 
 def concatenatex(c: str, separator: str = ", ", order_by: str | None = None, descending: bool = False) -> Column:
-    """M22 CONCATENATEX: the group's values joined by a separator, in a given order (column names)."""
+    """M22 CONCATENATEX: the group's values joined by a separator, in a given order (column names).
+
+    One task sorts a group and its string must fit a row: for groups that something bounds, else ``concatenatex_rows``.
+    """
     sep = separator.replace("'", "''")
     o = order_by or c
     return F.expr(f"listagg(`{c}`, '{sep}') within group (order by `{o}` {'desc' if descending else 'asc'})")
 
 
+def concatenatex_rows(df: DataFrame, group_by: Sequence[str], c: str, order_by: str | None = None, descending: bool = False) -> DataFrame:
+    """M22 CONCATENATEX for large groups: the values as rows (group, position, value), without sending a group to one task.
+
+    Joined by position they are the string of ``concatenatex``; nulls are left out like there, equal order values
+    follow the value.
+    """
+    from fleetcat.operators.common import row_number_within
+    value, order = F.col(c), F.col(order_by or c)
+    rows = df.where(value.isNotNull()).select(*group_by, value.alias("value"), order.alias("_order"))
+    order = F.col("_order").desc() if descending else F.col("_order").asc()
+    return row_number_within(rows, list(group_by), [order, "value"], "position").select(*group_by, "position", "value")
+
+
 # ------------------------------------------------------------------ relationships
 
 def treat_as(df: DataFrame, key: str, values_df: DataFrame, values_col: str) -> DataFrame:

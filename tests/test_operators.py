@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from conftest import rows
-from fleetcat.operators import layout, segment, usage
+from fleetcat.operators import layout, measures, segment, usage
 from fleetcat.sources.quarantine import unit_status
 
 PAGE = ("model_id long, page_id long, pos long, type string, title string, x double, y double, "
@@ -324,3 +324,23 @@ def test_pages_without_visuals_stay(spark):
     assert rows(layout_pages(docs, ["id"]), "id", "page_no", "page_name", "n_visuals") == [(1, 1, "A", 0), (1, 2, "B", 1)]
     files = spark.createDataFrame([(1, "R/definition/pages/p/page.json", '{"displayName":"P"}')], "id long, path string, text string")
     assert rows(page_file_pages(files, ["id"]), "page_folder", "page_name") == [("p", "P")]
+
+
+def test_concatenatex_as_ordered_rows(spark):
+    rng = random.Random(4)
+    data = [(rng.choice(["a", "a", "b", None]), rng.choice([None, *[f"v{i}" for i in range(400)]]), rng.randrange(9)) for _ in range(1500)]
+    df = spark.createDataFrame(data, "g string, v string, o long").repartition(5)
+    for order_by, descending in ((None, False), (None, True), ("o", False), ("o", True)):
+        got = measures.concatenatex_rows(df, ["g"], "v", order_by, descending).collect()
+        for g in ("a", "b", None):
+            want = sorted(v for k, v, _ in data if k == g and v is not None)
+            if order_by:
+                want = [v for o in sorted({o for _, _, o in data}, reverse=descending) for v in sorted(v for k, v, p in data if k == g and v is not None and p == o)]
+            elif descending:
+                want.reverse()
+            assert [(r.position, r.value) for r in sorted((r for r in got if r.g == g), key=lambda r: r.position)] == list(enumerate(want, 1))
+    joined = {r.g: r.s for r in df.groupBy("g").agg(measures.concatenatex("v", "|").alias("s")).collect()}
+    rows_of = measures.concatenatex_rows(df, ["g"], "v").orderBy("position").collect()
+    assert joined == {g: "|".join(r.value for r in rows_of if r.g == g) for g in joined}
+    plan = measures.concatenatex_rows(df, ["g"], "v")._jdf.queryExecution().toString()
+    assert "listagg" not in plan and "collect_list" not in plan
