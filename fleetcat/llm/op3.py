@@ -7,15 +7,16 @@ attention (tanh times sigmoid) weighs the embeddings inside the document, and
 a logistic layer scores the weighted mean.  Encoder, gates and output are
 learned together from document labels with Adam; no passage has a label.
 
-Only the fit is bounded: it uses the ``SAMPLE_DOCS`` labelled documents with
-the smallest hash of their id (outside the held-out fold, at most
-``SAMPLE_PASSAGES`` passages each).  Scoring covers every passage of every
+Only the fit is bounded: it uses the ``SAMPLE_DOCS`` labelled documents of the
+table with the smallest hash of their id (outside the held-out fold).  Of a
+document with more than ``SAMPLE_PASSAGES`` passages it uses that many, the
+ones with the smallest hash of their place.  Scoring covers every passage of every
 text in one pass without a shuffle; the model is a few kilobytes.
 
 Defined cases: null, empty and blank texts are one empty passage.  An id
 labelled more than once has the label 1 if the mean is at least 0.5.  Without
 labels, or with one class, every score is the smoothed share of 1 among the
-labels.  Rows with a null id are scored and are not held out.  Repeated rows
+labels, and ``keep_quality`` keeps every row.  Rows with a null id are scored and are not held out.  Repeated rows
 are scored alike; extra columns are never read.
 """
 
@@ -176,26 +177,35 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def sampled_passages(n: int) -> np.ndarray:
+    """Places, in order, of the passages of a document of ``n`` that the fit uses."""
+    if n <= SAMPLE_PASSAGES:
+        return np.arange(n)
+    h = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return np.sort(np.argsort(h ^ (h >> np.uint64(31)), kind="stable")[:SAMPLE_PASSAGES])
+
+
 def _bags(batches):
     for batch in batches:
         raw, off = W.text_buffer(batch.column(1))
         for i, j in W.slices(off):
             x, first = passage_features(raw, off[i:j + 1])
             ends = np.append(first[1:], len(x))
-            keep = ends - first <= SAMPLE_PASSAGES
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(i, j - i), pa.array([x[a:b].astype(np.float16).tobytes() if k else None for a, b, k in zip(first, ends, keep)], pa.binary())],
-                names=["y", "bag"])
+            bags = [x[a:b][sampled_passages(b - a)].astype(np.float16).tobytes() for a, b in zip(first, ends)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(bags, pa.binary())], names=["y", "bag"])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict:
     """Fit on a bounded sample of the labelled documents outside the held-out fold."""
     known = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("l"), F.col("quality").cast("double").alias("q"))
     known = known.withColumn("out", held_out("l")).where("not out").groupBy("l").agg(F.avg("q").alias("q"))
-    known = known.orderBy(F.xxhash64("l"), "l").limit(sample_docs)
+    present = docs.select(F.col("doc_id").cast("long").alias("l")).join(known, "l").select("l", "q").distinct()  # labels of no document take no place
+    known = present.orderBy(F.xxhash64("l"), "l").limit(sample_docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("l"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "l")
     got = map_arrow(rows.select((F.col("q") >= 0.5).cast("double").alias("y"), "text"), _bags, "y double, bag binary") \
-        .where("bag is not null").limit(sample_docs).collect()  # sample_docs bags of SAMPLE_PASSAGES at most
+        .limit(sample_docs).collect()  # sample_docs bags of SAMPLE_PASSAGES at most
     got.sort(key=lambda r: (bytes(r[1]), r[0]))  # the fit does not depend on the order in which tasks end
     return fit([np.frombuffer(r[1], np.float16).reshape(-1, FEATURES).astype(np.float32) for r in got], np.array([r[0] for r in got]))
 
@@ -220,7 +230,9 @@ def _keep(batches, model: dict, accept: float, column: int):
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text the classifier accepts."""
+    """The rows of ``docs``, all columns, whose text the classifier accepts; all rows if there is nothing to learn from."""
     model = train(docs, labels)
+    if "constant" in model:
+        return docs
     prepare(docs.sparkSession)
     return docs.mapInArrow(partial(_keep, model=model, accept=accept, column=docs.columns.index("text")), docs.schema)

@@ -139,3 +139,30 @@ def test_keep_returns_the_columns_of_documents(spark):
     kept = op3.keep_quality(docs, labels_df(spark, [(i, i % 2, 0, "", 0.0) for i in range(14)]))
     assert kept.schema == docs.schema
     kept.collect()
+
+
+def test_long_documents_train(spark):
+    n = op3.SAMPLE_PASSAGES
+    at = op3.sampled_passages(n * 5)
+    assert len(set(at.tolist())) == n and (np.diff(at) > 0).all() and at[0] < n and at[-1] >= 4 * n
+    assert op3.sampled_passages(n).tolist() == list(range(n)) and op3.sampled_passages(1).tolist() == [0]
+    rng = random.Random(6)
+    text = lambda i: "\n".join(" ".join(rng.choice(["alpha", "beta"] if i % 2 else ["#", "|| 9"]) for _ in range(6)) for _ in range(n + 50))
+    rows = [(i, text(i)) for i in range(60)]
+    model = op3.train(docs_df(spark, rows), labels_df(spark, [(i, i % 2, 0, "", 0.0) for i in range(60)]))
+    assert "constant" not in model
+    scored = op3.score_documents(docs_df(spark, rows), model).collect()
+    assert all(r.predicted == r.doc_id % 2 for r in scored)
+
+
+def test_labels_of_no_document_take_no_place(spark):
+    docs = docs_df(spark, [(i, "alpha beta\n" * 9 if i % 2 else "# | 9\n" * 9) for i in range(40)])
+    labels = labels_df(spark, [(i, i % 2, 0, "", 0.0) for i in range(3000)])
+    assert "constant" not in op3.train(docs, labels, sample_docs=25)
+
+
+@pytest.mark.parametrize("labels", [[], [(99, 0, 0, "", 0.0)], [(1, 0, 0, "", 0.0)]])
+def test_without_usable_labels_every_row_is_kept(spark, labels):
+    docs = docs_df(spark, near_copies(seed=2, groups=2))
+    kept = op3.keep_quality(docs, labels_df(spark, labels))
+    assert kept.schema == docs.schema and kept.count() == docs.count()
