@@ -28,7 +28,8 @@ checkpoint folder.
 Defined cases: null, empty and blank texts have an empty set and link with
 nothing.  Texts with fewer words than a shingle have their whole sequence as
 one shingle.  Rows with a null id link with nothing and have a null
-component.  Rows that repeat an id are one node, whatever their texts; extra
+component.  Rows that repeat an id are one node, whatever their texts
+(``drop_near_duplicates`` makes one of each distinct text); extra
 columns are ignored.  An empty table gives no rows.
 """
 
@@ -42,6 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetcat.llm import words as W
+from fleetcat.llm.op7 import prefix_sums
 from fleetcat.llm.runtime import map_arrow, written
 
 SHINGLE_WORDS = 5
@@ -268,16 +270,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, threshold: int = THRESHOLD) -> DataFrame:
-    """The documents without near-duplicates: of each group the row with the smallest id stays (one row of a repeated id).
+    """The documents without near-duplicates: of each group the row with the smallest id stays.
 
-    Rows without an id are kept.
+    Rows that share an id are a node per distinct text, so they are dropped
+    only if their texts are equal or near; of equal ones one row stays.  Rows
+    without an id are kept.
     """
-    found = near_duplicates(docs, shingle=shingle, threshold=threshold)
-    gone = found.groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("rows_of_id")).where(
-        "doc_id is not null and (c <> doc_id or rows_of_id > 1)")
-    gone = written(gone.select("doc_id", (F.col("c") != F.col("doc_id")).alias("drop")), "dropped")
-    left = docs.join(gone.select("doc_id"), "doc_id", "left_anti")
-    again = docs.join(gone.where("not drop").select("doc_id"), "doc_id", "left_semi")
+    keyed = docs.withColumn("__node", F.col("doc_id").cast("long"))
+    if not docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        # numbers of the distinct (id, text), in the order of the ids
+        text = F.coalesce(F.sha2(F.col("text").cast("string"), 256), F.lit(""))
+        nodes = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("__id"), text.alias("__text")).distinct()
+        nodes = prefix_sums(nodes.withColumn("__all", F.lit(0)).withColumn("__one", F.lit(1)), "__all", ["__id", "__text"], "__one", "nodes")
+        keyed = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__text", text) \
+            .join(nodes.select("__id", "__text", F.col("before").cast("long").alias("__node")), ["__id", "__text"], "left")
+    found = near_duplicates(keyed, id_col="__node", shingle=shingle, threshold=threshold)
+    gone = found.groupBy("__node").agg(F.min("component_id").alias("c"), F.count("*").alias("rows_of_node")).where(
+        "__node is not null and (c <> __node or rows_of_node > 1)")
+    gone = written(gone.select("__node", (F.col("c") != F.col("__node")).alias("drop")), "dropped")
+    left = keyed.join(gone.select("__node"), "__node", "left_anti")
+    again = keyed.join(gone.where("not drop").select("__node"), "__node", "left_semi")
     tie = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    once = again.groupBy("doc_id").agg(F.min(tie).alias("row")).select("row.*")
+    once = again.groupBy("__node").agg(F.min(tie).alias("row")).select("row.*")
     return left.select(*docs.columns).union(once.select(*docs.columns))

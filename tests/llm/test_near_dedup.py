@@ -69,3 +69,15 @@ def test_one_document_of_each_group_stays(spark):
     ids = [r.doc_id for r in kept.collect()]
     assert sorted(i for i in ids if i is not None) == sorted(set(want.values()))
     assert ids.count(None) == 2
+
+
+def test_rows_that_share_an_id_are_dropped_only_if_their_texts_are_near(spark):
+    rng = random.Random(8)
+    texts = [" ".join(f"w{i}_{rng.randrange(10 ** 6)}" for _ in range(80)) for i in range(6)]
+    near = texts[1] + " more"
+    rows = [(0, texts[0]), (0, texts[1]), (0, texts[2]), (0, texts[2]), (0, near), (5, texts[1]), (5, texts[3]), (7, texts[4]), (8, texts[5]), (8, None), (8, None), (8, "")]
+    kept = op8.drop_near_duplicates(docs_df(spark, rows).repartition(3))
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    ones = [x for x in got if x not in ((0, texts[1]), (0, near))]
+    assert sorted(map(str, ones)) == sorted(map(str, [(0, texts[0]), (0, texts[2]), (5, texts[3]), (7, texts[4]), (8, texts[5]), (8, None), (8, "")]))
+    assert len(got) == len(ones) + 1
