@@ -208,3 +208,94 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fleetcat.llm.op2 import document_files, scan
 
     return scan(document_files(read_table(spark, sf_dir, "documents")), windows=True).withColumnRenamed("file_id", "doc_id")
+
+
+def _merkle_sql(levels: int = 9, upper_levels: int = 4) -> str:
+    """Trees of up to 8^levels leaves and 8^upper_levels groups, one pair of table expressions per level."""
+    def field(c):
+        return f"coalesce(cast(strlen(cast({c} as varchar)) as varchar) || ':' || cast({c} as varchar), '-')"
+
+    def tree(prefix, n):
+        out = []
+        for k in range(n):
+            run = "over (partition by grp, pos // 8 order by pos rows between"
+            out.append(f"""{prefix}x{k} as (select *, case when n = 1 then null else coalesce(string_agg(d, '') {run} unbounded preceding and 1 preceding), '') end as l,
+    case when n = 1 then null else coalesce(string_agg(d, '') {run} 1 following and unbounded following), '') end as r from {prefix}{k})""")
+            out.append(f"""{prefix}{k + 1} as (select grp, pos // 8 as pos, (any_value(n) + 7) // 8 as n,
+    case when any_value(n) = 1 then any_value(d) else sha256(string_agg(d, '' order by pos)) end as d from {prefix}{k} group by grp, pos // 8)""")
+        return ",\n".join(out)
+
+    def fold(prefix, n, start):
+        """One table expression per level: the siblings so far and the two nodes as folded so far."""
+        out = []
+        for k in range(n):
+            out.append(f"""{prefix}f{k + 1} as (select f.* exclude (proof, o), proof || coalesce(x.l || x.r, '') as proof,
+    case when x.l is null then o else sha256(x.l || o || x.r) end as o
+  from {start if k == 0 else f"{prefix}f{k}"} f join {prefix}x{k} x on x.grp is not distinct from f.{prefix}grp and x.pos = f.{prefix}pos // {8 ** k})""")
+        return ",\n".join(out)
+
+    leaf = " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    bit = "list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda v, z: case when v % 2 = 1 then xor(v // 2, 3988292384) else v // 2 end)"
+    # crc32 keeps its low byte apart from the rest, so each byte of the decimal id is one reduction over its bits
+    crc = ("xor(4294967295, list_reduce(list_prepend(cast(4294967295 as bigint), list_transform(string_split(cast(doc_id as varchar), ''), lambda ch: cast(ord(ch) as bigint))), "
+           f"lambda c, b: {bit}))")
+    return f"""
+with d as (select doc_id, lang, text, case when {crc} % 3 = 0 then {_LOWER.format("text")} else text end as later, {leaf} as head from documents),
+h as (select doc_id, lang as grp, sha256(head || {field("text")}) as d, sha256(head || {field("later")}) as o from d),
+leaves as (select *, row_number() over (partition by grp order by doc_id nulls first, d, o) - 1 as pos, count(*) over (partition by grp) as n from h),
+a0 as (select grp, pos, n, d from leaves),
+{tree("a", levels)},
+u as (select grp as lang, d, row_number() over (order by grp nulls first) - 1 as pos, count(*) over () as n from a{levels}),
+b0 as (select 0 as grp, pos, n, d from u),
+{tree("b", upper_levels)},
+start as (select l.doc_id, l.d as leaf, u.d as subroot, l.grp as agrp, l.pos as apos, 0 as bgrp, u.pos as bpos, '' as proof, l.o from leaves l join u on u.lang is not distinct from l.grp),
+{fold("a", levels, "start")},
+{fold("b", upper_levels, f"af{levels}")}
+select f.doc_id, f.leaf, f.subroot, t.d as root, sha256(f.proof) as proof_sha256, f.o as folded_root, f.o = t.d as verified
+from bf{upper_levels} f cross join b{upper_levels} t"""
+
+
+@register("op11_merkle_manifest", _merkle_sql())
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fleetcat.llm.op11 import build, folded, proof_text
+
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    tampered = F.when(hit, F.translate("text", upper, lower)).otherwise(F.col("text"))
+    rows = build(read_table(spark, sf_dir, "documents"), changed={"text": tampered})
+    rows = rows.select("doc_id", "leaf", "subroot", "root", F.sha2(proof_text(F.col("proof")), 256).alias("proof_sha256"),
+                       folded(F.col("other_leaf"), F.col("proof")).alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@register("op12_html_extraction")
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fleetcat.llm.op12 import extract
+
+    return extract(read_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+_FIM_SQL = """
+with t as (
+  select doc_id, coalesce(text, '') as text, sha256('42:' || coalesce(cast(doc_id as varchar), '')) as h,
+    regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as u from documents),
+h as (select *, cast(len(u) as bigint) as n, cast('0x' || substr(h, 1, 8) as bigint) as h1, cast('0x' || substr(h, 9, 8) as bigint) as h2,
+  cast('0x' || substr(h, 17, 8) as bigint) as h3, cast('0x' || substr(h, 25, 8) as bigint) as h4 from t),
+c as (select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+  case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 50 then 'plain'
+    when h4 % 100 < 80 then 'spm' else 'psm' end as form from h),
+p as (select *, array_to_string(u[1:a], '') as pre, array_to_string(u[a + 1:b], '') as mid, array_to_string(u[b + 1:], '') as suf from c)
+select doc_id, n, form, case when form <> 'plain' then cast(length(pre) as bigint) end as prefix_chars,
+  case when form <> 'plain' then cast(length(mid) as bigint) end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end)
+    as output_sha256, sha256(text) as restored_sha256
+from p"""
+
+
+@register("op13_fill_in_middle", _FIM_SQL)
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fleetcat.llm.op13 import fill_in_middle, restored
+
+    rows = fill_in_middle(read_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))

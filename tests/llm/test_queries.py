@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_every_operator_has_a_query():
     names = __spark_entry__.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(q.startswith(f"op{n}_") for q in names) == 1
     assert "pipeline" in names and "pipeline" not in __spark_entry__.oracle_sql()
 
