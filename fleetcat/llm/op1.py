@@ -18,8 +18,10 @@ Items are the stated query set.  They are dealt into blocks of bounded size by
 a hash of their id; each block is broadcast and meets all documents in one
 pass, so a larger benchmark means more passes, not more memory.
 
-Defined cases: texts are lower-cased (A-Z); null and blank texts, and items of
-fewer words than a shingle, match nothing.  Items that repeat an id are
+An item of fewer words than a shingle is one shingle of its own length; such
+shingles are looked up in the same pass.
+
+Defined cases: texts are lower-cased (A-Z); null and blank texts match nothing.  Items that repeat an id are
 separate items with the same id; identical result rows come once.  Rows
 without an id take no part.  Empty tables give no rows; extra columns are
 ignored.
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetcat.llm import words as W
-from fleetcat.llm.runtime import map_arrow, prepare, written
+from fleetcat.llm.runtime import map_arrow, written
 
 SHINGLE_WORDS = 5
 THRESHOLD = 80  # percent of an item's shingles
@@ -53,15 +55,29 @@ class ItemIndex:
         a, b = W.universal(hashes, SEED)
         raw, off = W.text_buffer(pa.array(texts, pa.string()))
         self.ids, self.sets = [], []
+        short: dict[int, list] = {}  # items of fewer words than a shingle, by their length
+        long = []
         for i, j in W.slices(off):
-            for row, s in zip(ids[i:j], W.shingle_sets(W.Words(raw, off[i:j + 1]), k, short=False)):
+            w = W.Words(raw, off[i:j + 1])
+            sizes = np.diff(w.bounds)
+            for row, n, lo, s in zip(ids[i:j], sizes.tolist(), w.bounds.tolist(), W.shingle_sets(w, k, short=False)):
                 if len(s):
-                    self.ids.append(row)
-                    self.sets.append(s)
-        self.classes = sorted({len(s).bit_length() - 1 for s in self.sets})
+                    long.append(len(self.ids))
+                elif n:
+                    s = W.shingle_hashes(w.hashes[lo:lo + n], n)
+                    short.setdefault(n, []).append((s[0], len(self.ids)))
+                else:
+                    continue
+                self.ids.append(row)
+                self.sets.append(s)
+        self.short = {}
+        for n, entries in short.items():
+            entries.sort()
+            self.short[n] = (np.array([x for x, _ in entries], np.uint64), np.array([at for _, at in entries], np.int64))
+        self.classes = sorted({len(self.sets[at]).bit_length() - 1 for at in long})
         keys: dict[int, list] = {c: [] for c in self.classes}
-        for at, s in enumerate(self.sets):
-            keys[len(s).bit_length() - 1].append((at, probe_keys(W.minima(s, a, b)[None, :])[0]))
+        for at in long:
+            keys[len(self.sets[at]).bit_length() - 1].append((at, probe_keys(W.minima(self.sets[at], a, b)[None, :])[0]))
         self.probes = {}
         for c, entries in keys.items():
             key = np.concatenate([x for _, x in entries])
@@ -103,14 +119,16 @@ def _candidates(sh: np.ndarray, index: ItemIndex, a: np.ndarray, b: np.ndarray)
         while level < c:  # a block of the next class is two of this one
             blocks = np.minimum.reduceat(blocks, np.arange(0, len(blocks), 2), axis=0)
             level += 1
-        window = np.minimum(blocks[:-1], blocks[1:]) if len(blocks) > 1 else blocks
-        key = probe_keys(window).reshape(-1)
         known, item, seen, mask = index.probes[c]
-        key = key[seen[(key & mask).astype(np.int64)]]
-        if len(key):
-            lo, hi = np.searchsorted(known, key, "left"), np.searchsorted(known, key, "right")
-            for x, y in zip(lo[hi > lo].tolist(), hi[hi > lo].tolist()):
-                found.update(item[x:y].tolist())
+        last = max(1, len(blocks) - 1)
+        for lo in range(0, last, 1024):
+            window = np.minimum(blocks[lo:lo + 1024][:last - lo], blocks[lo + 1:lo + 1025]) if len(blocks) > 1 else blocks
+            key = probe_keys(window).reshape(-1)
+            key = key[seen[(key & mask).astype(np.int64)]]
+            if len(key):
+                left, right = np.searchsorted(known, key, "left"), np.searchsorted(known, key, "right")
+                for x, y in zip(left[right > left].tolist(), right[right > left].tolist()):
+                    found.update(item[x:y].tolist())
     return found
 
 
@@ -119,6 +137,17 @@ def _hits(raw: np.ndarray, off: np.ndarray, index: ItemIndex, k: int, threshold:
     for i, j in W.slices(off):
         w = W.Words(raw, off[i:j + 1])
         sh = W.shingle_hashes(w.hashes, k)
+        for n, (known, item) in index.short.items():  # one shingle of the item's own length
+            runs = W.shingle_hashes(w.hashes, n)
+            at = np.searchsorted(known, runs)
+            at[at == len(known)] = 0
+            hit = np.flatnonzero(known[at] == runs)
+            row = np.searchsorted(w.bounds, hit, side="right") - 1
+            inside = hit + n <= w.bounds[row + 1]
+            for r, key in sorted(set(zip(row[inside].tolist(), runs[hit[inside]].tolist()))):
+                lo, hi = np.searchsorted(known, np.uint64(key), "left"), np.searchsorted(known, np.uint64(key), "right")
+                for x in item[lo:hi].tolist():
+                    yield i + r, x, 1
         for r in range(j - i):
             own = sh[w.bounds[r]:max(w.bounds[r], w.bounds[r + 1] - k + 1)]
             found = _candidates(own, index, a, b)
@@ -183,10 +212,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE_W
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE_WORDS, threshold: int = THRESHOLD,
                       hashes: int = HASHES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` whose text contains no benchmark item; one filtering pass per block, without a shuffle."""
-    prepare(docs.sparkSession)
     column = docs.columns.index("text")
     left = docs
     for n, index in enumerate(_blocks(benchmark, shingle, hashes, block_bytes)):
         left = written(left, "clean") if n else left  # one block's index in a worker at a time
-        left = left.mapInArrow(_keep_clean(index, column, shingle, threshold, hashes), docs.schema)
+        left = map_arrow(left, _keep_clean(index, column, shingle, threshold, hashes), docs.schema)
     return left

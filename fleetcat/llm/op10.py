@@ -116,14 +116,15 @@ def _count(bits: int):
         u, uc = _tally(uni)
         b, bc = _tally(bi)
         useg, bseg = segment_of(u, bits), segment_of(b, bits)
-        ends = np.arange((1 << bits) + 1)
+        segments = np.union1d(useg, bseg)  # those that occur
+        ends = np.append(segments, 1 << bits)
         ua, ba = np.searchsorted(useg, ends), np.searchsorted(bseg, ends)
         rows = []
-        for s in range(1 << bits):
-            uh, c = u[ua[s]:ua[s + 1]], uc[ua[s]:ua[s + 1]]
-            bh, bcount = _pack48(b[ba[s]:ba[s + 1]], bc[ba[s]:ba[s + 1]])
+        for at, s in enumerate(segments.tolist()):
+            uh, c = u[ua[at]:ua[at + 1]], uc[ua[at]:ua[at + 1]]
+            bh, bcount = _pack48(b[ba[at]:ba[at + 1]], bc[ba[at]:ba[at + 1]])
             rows.append((s, uh.tobytes(), c.astype("<i8").tobytes(), bh, bcount))
-            if len(rows) == 64 or s + 1 == 1 << bits:
+            if len(rows) == 64 or at + 1 == len(segments):
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(x, pa.binary()) for x in cols[1:]]],
                                                  names=["seg", "uh", "uc", "bh", "bc"])
@@ -278,7 +279,7 @@ def train(docs: DataFrame, segment_text: int = SEGMENT_TEXT, bits_per_key: int =
     """(segment table, bits of a hash that name the segment) from the documents outside the held-out fold."""
     texts = docs.where(~held_out()).select(F.col("text").cast("string").alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(16, max(0, math.ceil(math.log2(max(1, size / segment_text)))))
+    bits = max(0, math.ceil(math.log2(max(1, size / segment_text))))
     packed = map_arrow(texts, _count(bits), _SEGMENT)
     return written(packed.groupBy("seg").applyInArrow(lambda t: _build(t, bits_per_key), _TABLE), "lm-segments"), bits
 

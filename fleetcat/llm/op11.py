@@ -57,8 +57,7 @@ def leaf_digest(fields: list[Column]) -> Column:
 
 def _numbered(nodes: DataFrame, order: list[str]) -> DataFrame:
     """``nodes`` (grp, digest, ...) with pos (from 0 within the group) and n (nodes of the group)."""
-    nodes = row_number_within(nodes, ["grp"], order, "pos").withColumn("pos", F.col("pos") - 1)
-    nodes = written(nodes, "merkle-nodes")
+    nodes = written(row_number_within(nodes, ["grp"], order, "pos").withColumn("pos", F.col("pos") - 1), "merkle-nodes")
     sizes = nodes.groupBy(F.col("grp").alias("g")).agg(F.count(F.lit(1)).alias("n"))
     return nodes.join(sizes, null_safe([("grp", "g")])).drop("g")
 
@@ -91,7 +90,6 @@ def _down(pivot: DataFrame, paths: DataFrame) -> DataFrame:
 
 def _tree(nodes: DataFrame, keep: list[str]) -> tuple[list[DataFrame], DataFrame]:
     """(pivots from the leaves up, one row per group that remains: grp, digest) of numbered nodes."""
-    nodes = written(nodes, "merkle-leaves")
     size = nodes.agg(F.max("n")).first()[0] or 0
     pivots, tops, level = [], [nodes.where("n = 1").select("grp", "digest")], nodes
     while size > 1:
@@ -131,18 +129,18 @@ def build(docs: DataFrame, group_col: str = "lang", id_col: str = "doc_id", fiel
     """
     own = [F.col(c) for c in fields]
     later = [(changed or {}).get(c, F.col(c)) for c in fields]
+    # written before they are sorted: sampling for the ranges would hash all texts once more
     leaves = docs.select(F.col(group_col).cast("string").alias("grp"), F.col(id_col).cast("long").alias("id"),
                          leaf_digest(own).alias("digest"), leaf_digest(later).alias("other"))
     keep = ["digest", "id", "other"]
-    nodes = written(_numbered(leaves, ["id", "digest", "other"]), "merkle-numbered")
+    nodes = _numbered(written(leaves, "merkle-leaves"), ["id", "digest", "other"])
     pivots, subroots = _tree(nodes, keep)
     # the groups' remaining nodes are the leaves of the tree above; its only group is the constant 0
     upper = subroots.select(F.lit(0).alias("grp"), F.col("grp").alias("lang"), "digest")
-    upper = written(_numbered(upper, ["lang"]), "merkle-subroots")
+    upper = _numbered(upper, ["lang"])
     upper_pivots, root = _tree(upper, ["digest", "lang"])
     over = _paths(upper_pivots, upper, root.select("grp", F.array().cast("array<struct<left:string,right:string>>").alias("path")), ["digest", "lang"])
-    over = written(over.join(root.select(F.col("digest").alias("root"))
-                             .withColumn("one", F.lit(0)), F.col("grp") == F.col("one")), "merkle-groups")
+    over = written(over.join(root.select("grp", F.col("digest").alias("root")), "grp"), "merkle-groups")
     rows = _paths(pivots, nodes, over.select(F.col("lang").alias("grp"), "path"), keep)
     marks = over.select(F.col("lang").alias("g"), F.col("digest").alias("subroot"), "root")
     rows = rows.join(marks, null_safe([("grp", "g")]))

@@ -10,18 +10,21 @@ learned together from document labels with Adam; no passage has a label.
 Only the fit is bounded: it uses the ``SAMPLE_DOCS`` labelled documents of the
 table with the smallest hash of their id (outside the held-out fold).  Of a
 document with more than ``SAMPLE_PASSAGES`` passages it uses that many, the
-ones with the smallest hash of their place.  Scoring covers every passage of every
-text in one pass without a shuffle; the model is a few kilobytes.
+ones with the smallest hash of their place (both bounds are parameters of
+``train``).  Scoring covers every passage of every text in one pass without a
+shuffle; a long text is read in pieces that begin with a passage, over which
+the attention is added up.  The model is a few kilobytes.
 
 Defined cases: null, empty and blank texts are one empty passage.  An id
 labelled more than once has the label 1 if the mean is at least 0.5.  Without
 labels, or with one class, every score is the smoothed share of 1 among the
 labels, and ``keep_quality`` keeps every row.  Rows with a null id are scored and are not held out.  Repeated rows
-are scored alike; extra columns are never read.
+are scored alike; rows that repeat an id are one row of the fit; extra columns are never read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
@@ -30,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetcat.llm import words as W
-from fleetcat.llm.runtime import map_arrow, prepare
+from fleetcat.llm.runtime import map_arrow
 
 PASSAGE_WORDS = 64
 SAMPLE_DOCS = 6000
@@ -59,8 +62,7 @@ def passage_features(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.n
     first_word = np.zeros(n + 1, bool)
     row = np.repeat(np.arange(rows), np.diff(w.bounds))
     if n:
-        newline = np.concatenate([[0], np.cumsum(w.raw == 10)])
-        line = newline[w.starts]
+        line = np.searchsorted(np.flatnonzero(w.raw == 10), w.starts)
         first_word[:n] = np.concatenate([[True], (line[1:] != line[:-1]) | (row[1:] != row[:-1])])
         heads = np.flatnonzero(first_word[:n])
         since = np.arange(n) - np.repeat(heads, np.diff(np.append(heads, n)))
@@ -72,9 +74,10 @@ def passage_features(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.n
         count = (hi - lo).astype(np.float32)
         kinds = _CLASS[w.raw]
         a, b = w.starts[lo], w.ends[hi - 1]
+        spans = np.stack([a, b], axis=1).reshape(-1)  # each passage, and what lies between it and the next
         for k in range(8):
-            c = np.concatenate([[0], np.cumsum(kinds == k)])
-            x[:, k] = c[b] - c[a]
+            hit = np.append(kinds == k, False)
+            x[:, k] = np.add.reduceat(hit, spans, dtype=np.int64)[::2]
         letters = np.maximum(x[:, :8].sum(axis=1), 1)
         x[:, :8] /= letters[:, None]
         size = (w.ends - w.starts).astype(np.float32)
@@ -106,17 +109,22 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def forward(m: dict, x: np.ndarray, first: np.ndarray) -> dict:
-    """Scores of bags (``first``: first passage of each) and what the gradient needs."""
-    bag = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(x))))
+def _encoded(m: dict, x: np.ndarray) -> dict:
+    """Embeddings of passages, their gates and their attention before it is normalised."""
     z = (x - m["mean"]) / m["scale"]
     h = np.tanh(z @ m["W"] + m["b"])
     t, g = np.tanh(h @ m["V"]), _sigmoid(h @ m["U"])
-    e = (t * g) @ m["w"]
-    e = np.exp(e - np.maximum.reduceat(e, first)[bag])
+    return {"z": z, "h": h, "t": t, "g": g, "e": (t * g) @ m["w"]}
+
+
+def forward(m: dict, x: np.ndarray, first: np.ndarray) -> dict:
+    """Scores of bags (``first``: first passage of each) and what the gradient needs."""
+    bag = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(x))))
+    f = _encoded(m, x)
+    e = np.exp(f["e"] - np.maximum.reduceat(f["e"], first)[bag])
     a = e / np.add.reduceat(e, first)[bag]
-    pooled = np.add.reduceat(a[:, None] * h, first, axis=0)
-    return {"z": z, "h": h, "t": t, "g": g, "a": a, "bag": bag, "pooled": pooled, "score": _sigmoid(pooled @ m["c"] + m["d"])}
+    pooled = np.add.reduceat(a[:, None] * f["h"], first, axis=0)
+    return f | {"a": a, "bag": bag, "pooled": pooled, "score": _sigmoid(pooled @ m["c"] + m["d"])}
 
 
 def _gradient(m: dict, f: dict, first: np.ndarray, y: np.ndarray) -> dict:
@@ -163,13 +171,59 @@ def fit(bags: list[np.ndarray], y: np.ndarray) -> dict:
     return m
 
 
+def pieces(raw: np.ndarray, lo: int, hi: int, limit: int) -> Iterator[tuple[int, int]]:
+    """Cuts a long text at the starts of passages, into pieces of about ``limit`` bytes."""
+    size = limit
+    while lo < hi:
+        end = min(lo + size, hi)
+        if end < hi:
+            lines = np.flatnonzero(raw[lo:end] == 10)
+            if len(lines):
+                end = lo + int(lines[-1]) + 1
+            else:
+                w = W.Words(raw, np.array([lo, end]))
+                whole = (len(w.starts) - 1) // PASSAGE_WORDS * PASSAGE_WORDS
+                if whole <= 0:  # not yet a passage: look at more of the line
+                    size *= 2
+                    continue
+                end = lo + int(w.starts[whole])
+        yield lo, end
+        lo, size = end, limit
+
+
+def _piece_features(raw: np.ndarray, lo: int, hi: int) -> Iterator[np.ndarray]:
+    """Features of a long text's passages, piece by piece (none for blank pieces)."""
+    for a, b in pieces(raw, lo, hi, W.SLICE_BYTES):
+        if not W.IS_SPACE[raw[a:b]].all():
+            yield passage_features(raw, np.array([a, b]))[0]
+
+
+def _long_score(m: dict, raw: np.ndarray, lo: int, hi: int) -> float:
+    """Score of one long text: attention is added up over its pieces, relative to the greatest so far."""
+    top, total, pooled = -np.inf, 0.0, np.zeros(HIDDEN)
+    for x in _piece_features(raw, lo, hi):
+        f = _encoded(m, x.astype(np.float64))
+        now = max(top, float(f["e"].max()))
+        e = np.exp(f["e"] - now)
+        shrink = np.exp(top - now)
+        total, pooled, top = total * shrink + e.sum(), pooled * shrink + e @ f["h"], now
+    return float(_sigmoid(pooled / total @ m["c"] + m["d"]))
+
+
+def _is_long(raw: np.ndarray, off: np.ndarray) -> bool:
+    return len(off) == 2 and off[1] - off[0] > 2 * W.SLICE_BYTES and not W.IS_SPACE[raw[off[0]:off[1]]].all()
+
+
 def scores(m: dict, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     if "constant" in m:
         return np.full(len(off) - 1, m["constant"])
     out = []
     for i, j in W.slices(off):
-        x, first = passage_features(raw, off[i:j + 1])
-        out.append(forward(m, x.astype(np.float64), first)["score"])
+        if _is_long(raw, off[i:j + 1]):
+            out.append(np.array([_long_score(m, raw, int(off[i]), int(off[j]))]))
+        else:
+            x, first = passage_features(raw, off[i:j + 1])
+            out.append(forward(m, x.astype(np.float64), first)["score"])
     return np.round(np.concatenate(out), 9) if out else np.zeros(0)
 
 
@@ -177,35 +231,55 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def sampled_passages(n: int) -> np.ndarray:
-    """Places, in order, of the passages of a document of ``n`` that the fit uses."""
-    if n <= SAMPLE_PASSAGES:
-        return np.arange(n)
-    h = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return np.sort(np.argsort(h ^ (h >> np.uint64(31)), kind="stable")[:SAMPLE_PASSAGES])
+def passage_order(first: int, n: int) -> np.ndarray:
+    """Hash of the places first, ..., first + n - 1 of a document's passages; the fit takes the smallest."""
+    return W.mix64(np.arange(first + 1, first + n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _sampled(parts: Iterator[np.ndarray], limit: int) -> np.ndarray:
+    """``limit`` passages at most of one document, in order, from the features of its pieces."""
+    place, kept, order = 0, [], np.zeros(0, np.uint64)
+    for x in parts:
+        kept.append(x)
+        order = np.concatenate([order, passage_order(place, len(x))])
+        place += len(x)
+        if len(order) > limit:
+            least = np.sort(np.argsort(order, kind="stable")[:limit])
+            kept, order = [np.concatenate(kept)[least]], order[least]
+    return np.concatenate(kept)
 
 
-def _bags(batches):
+def _bags(batches, limit: int):
     for batch in batches:
         raw, off = W.text_buffer(batch.column(1))
         for i, j in W.slices(off):
-            x, first = passage_features(raw, off[i:j + 1])
-            ends = np.append(first[1:], len(x))
-            bags = [x[a:b][sampled_passages(b - a)].astype(np.float16).tobytes() for a, b in zip(first, ends)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(bags, pa.binary())], names=["y", "bag"])
+            if _is_long(raw, off[i:j + 1]):
+                bags = [_sampled(_piece_features(raw, int(off[i]), int(off[j])), limit)]
+            else:
+                x, first = passage_features(raw, off[i:j + 1])
+                bags = [_sampled(iter([x[a:b]]), limit) for a, b in zip(first, np.append(first[1:], len(x)))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(i, j - i), pa.array([x.astype(np.float16).tobytes() for x in bags], pa.binary())], names=["y", "bag"])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict:
-    """Fit on a bounded sample of the labelled documents outside the held-out fold."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, sample_docs: int) -> DataFrame:
+    """(y, text) of the ``sample_docs`` labelled documents of the table with the smallest id hash, outside the held-out fold.
+
+    Labels of documents that are not in the table take no place; of rows that
+    repeat an id the one with the smallest text hash is taken.
+    """
     known = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("l"), F.col("quality").cast("double").alias("q"))
     known = known.withColumn("out", held_out("l")).where("not out").groupBy("l").agg(F.avg("q").alias("q"))
-    present = docs.select(F.col("doc_id").cast("long").alias("l")).join(known, "l").select("l", "q").distinct()  # labels of no document take no place
-    known = present.orderBy(F.xxhash64("l"), "l").limit(sample_docs)
-    rows = docs.select(F.col("doc_id").cast("long").alias("l"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "l")
-    got = map_arrow(rows.select((F.col("q") >= 0.5).cast("double").alias("y"), "text"), _bags, "y double, bag binary") \
-        .limit(sample_docs).collect()  # sample_docs bags of SAMPLE_PASSAGES at most
+    texts = docs.select(F.col("doc_id").cast("long").alias("l"), F.col("text").cast("string").alias("text"))
+    present = texts.select("l").distinct().join(known, "l").orderBy(F.xxhash64("l"), "l").limit(sample_docs)
+    rows = texts.join(F.broadcast(present), "l").groupBy("l").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("row"), F.first("q").alias("q"))
+    return rows.select((F.col("q") >= 0.5).cast("double").alias("y"), "row.text")
+
+
+def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_passages: int = SAMPLE_PASSAGES) -> dict:
+    """Fit on a bounded sample of the labelled documents outside the held-out fold."""
+    rows = labelled_sample(docs, labels, sample_docs)
+    got = map_arrow(rows, partial(_bags, limit=sample_passages), "y double, bag binary").collect()  # sample_docs bags of sample_passages at most
     got.sort(key=lambda r: (bytes(r[1]), r[0]))  # the fit does not depend on the order in which tasks end
     return fit([np.frombuffer(r[1], np.float16).reshape(-1, FEATURES).astype(np.float32) for r in got], np.array([r[0] for r in got]))
 
@@ -234,5 +308,4 @@ def keep_quality(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT) ->
     model = train(docs, labels)
     if "constant" in model:
         return docs
-    prepare(docs.sparkSession)
-    return docs.mapInArrow(partial(_keep, model=model, accept=accept, column=docs.columns.index("text")), docs.schema)
+    return map_arrow(docs, partial(_keep, model=model, accept=accept, column=docs.columns.index("text")), docs.schema)

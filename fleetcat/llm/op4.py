@@ -8,14 +8,15 @@ all trees one level at a time.  ``MONOTONE`` features may only lower the score
 as they grow: a split that breaks this is not allowed, and the bounds of a
 monotone split hold in its whole subtree.
 
-Only the fit is bounded: the ``SAMPLE_DOCS`` labelled documents with the
-smallest hash of their id, outside the held-out fold (crc32(id) % 4 = 2).
+Only the fit is bounded: the ``SAMPLE_DOCS`` labelled documents of the table
+with the smallest hash of their id, outside the held-out fold (crc32(id) % 4 = 2).
 
 Defined cases: a null text has no words and fails the base rule, as does any
 text under 50 words.  An id labelled more than once has the label 1 if the
 mean is at least 0.5.  Without labels, or with one class, the method keeps
 whatever the base rule keeps.  Rows with a null id are judged; repeated rows
-are judged alike; extra columns are never read.
+are judged alike; rows that repeat an id are one row of the fit; extra columns
+are never read.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetcat.llm import words as W
-from fleetcat.llm.op3 import held_out
+from fleetcat.llm.op3 import labelled_sample
 from fleetcat.llm.runtime import map_arrow
 
 SAMPLE_DOCS = 20_000
@@ -47,9 +48,15 @@ _PUNCT = np.zeros(256, bool)
 _PUNCT[list(b".,;:?!'\"()-")] = True
 
 
-def _per_row(flags: np.ndarray, off: np.ndarray) -> np.ndarray:
-    c = np.concatenate([[0], np.cumsum(flags)])
-    return c[off[1:]] - c[off[:-1]]
+def _per_row(flags, b: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Positions of each row at which ``flags`` of the bytes (and of the byte before) holds, block by block."""
+    out = np.zeros(len(off) - 1, np.int64)
+    for lo in range(0, len(b), W.BLOCK_BYTES):
+        part = b[lo:lo + W.BLOCK_BYTES]
+        c = np.concatenate([[0], np.cumsum(flags(part, np.concatenate([b[lo - 1:lo] if lo else np.zeros(1, np.uint8), part[:-1]])), dtype=np.int64)])
+        at = np.clip(off - lo, 0, len(part))
+        out += c[at[1:]] - c[at[:-1]]
+    return out
 
 
 def _repeats(keys: np.ndarray) -> np.ndarray:
@@ -68,9 +75,8 @@ def statistics(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     w = W.Words(raw, off, lower=False)
     b, off, rows = w.bytes, w.off, len(off) - 1
     n_words = np.diff(w.bounds)
-    ink = ~W.IS_SPACE[b]
-    chars = _per_row(ink & ((b & 0xC0) != 0x80), off)
-    symbols = _per_row(_SYMBOLS[b], off)
+    chars = _per_row(lambda x, _: ~W.IS_SPACE[x] & ((x & 0xC0) != 0x80), b, off)
+    symbols = _per_row(lambda x, _: _SYMBOLS[x], b, off)
     # lines with a word; a line equal to an earlier one of its text
     cuts = np.flatnonzero(b == 10)
     lo = np.sort(np.concatenate([off[:-1], cuts + 1]))
@@ -80,8 +86,8 @@ def statistics(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     inside = hi > lo
     newline_before_next[inside] = b[hi[inside] - 1] == 10
     hi = hi - newline_before_next
-    c = np.concatenate([[0], np.cumsum(ink)])
-    worded = (hi > lo) & (c[hi] > c[lo])
+    at = np.minimum(np.searchsorted(w.ends, lo, side="right"), max(len(w.ends) - 1, 0))
+    worded = (hi > lo) & (w.starts[at] < hi) & (w.ends[at] > lo) if len(w.ends) else np.zeros(len(lo), bool)
     lo, hi, lo_row = lo[worded], hi[worded], lo_row[worded]
     line_key = W.mix64(W.range_hashes(b, lo, hi) + lo_row.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
     n_lines = np.bincount(lo_row, minlength=rows)
@@ -110,13 +116,11 @@ def statistics(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
         same[1:] = (h[1:] == h[:-1]) & (row[1:] == row[:-1])
     base = np.stack([n_words, chars, symbols, dup_lines, repeat], axis=1).astype(np.int64)
     nw, nc = np.maximum(n_words, 1), np.maximum(chars, 1)
-    high_upper = np.zeros(len(b), bool)
-    if len(b) > 1:
-        high_upper[1:] = (b[:-1] == 0xC3) & (b[1:] >= 0x80) & (b[1:] <= 0x9E)
     ratios = np.stack([
-        symbols / nc, repeat / nw, dup_lines / np.maximum(n_lines, 1), _per_row(((b >= 65) & (b <= 90)) | high_upper, off) / nc,
-        _per_row(b == ord("!"), off) / nc, words_with(same) / nw, np.log1p(n_words), chars / nw,
-        _per_row((b >= 48) & (b <= 57), off) / nc, _per_row(_PUNCT[b], off) / nc, n_words / np.maximum(n_lines, 1),
+        symbols / nc, repeat / nw, dup_lines / np.maximum(n_lines, 1),
+        _per_row(lambda x, before: ((x >= 65) & (x <= 90)) | ((before == 0xC3) & (x >= 0x80) & (x <= 0x9E)), b, off) / nc,
+        _per_row(lambda x, _: x == ord("!"), b, off) / nc, words_with(same) / nw, np.log1p(n_words), chars / nw,
+        _per_row(lambda x, _: (x >= 48) & (x <= 57), b, off) / nc, _per_row(lambda x, _: _PUNCT[x], b, off) / nc, n_words / np.maximum(n_lines, 1),
         words_with(w.ends - w.starts <= 3) / nw], axis=1)
     return base, ratios
 
@@ -227,11 +231,7 @@ def _sample(batches):
 
 def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Trees:
     """Fit on a bounded sample of the labelled documents outside the held-out fold."""
-    known = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("l"), F.col("quality").cast("double").alias("q"))
-    known = known.withColumn("out", held_out("l")).where("not out").groupBy("l").agg(F.avg("q").alias("q"))
-    known = known.orderBy(F.xxhash64("l"), "l").limit(sample_docs)
-    rows = docs.select(F.col("doc_id").cast("long").alias("l"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "l")
-    got = map_arrow(rows.select((F.col("q") >= 0.5).cast("double").alias("y"), "text"), _sample, "y double, x array<double>").limit(sample_docs).collect()
+    got = map_arrow(labelled_sample(docs, labels, sample_docs), _sample, "y double, x array<double>").collect()  # sample_docs rows at most
     got.sort()  # the fit does not depend on the order in which tasks end
     return fit(np.array([r[1] for r in got]).reshape(-1, len(RATIOS)), np.array([r[0] for r in got]))
 

@@ -39,11 +39,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetcat.llm import words as W
-from fleetcat.llm.runtime import map_arrow, shared_dir, written
+from fleetcat.llm.runtime import map_arrow, shared_dir, worker_object, written
 
 SEQUENCE = 2048
 BATCH_ROWS = 256
-CACHE_PIECES = 1_500_000  # pieces a worker remembers
+CACHE_PIECES = 400_000  # pieces a worker remembers
 END_ID = 2
 
 MANIFEST = "shard long, n_sequences long, n_docs long, n_tokens long, ids_path string, docs_path string"
@@ -52,7 +52,6 @@ _SURE_INK = np.zeros(256, bool)
 _SURE_INK[0x21:0x7F] = True
 _TWO_BYTE_LEAD = np.zeros(256, bool)
 _TWO_BYTE_LEAD[0xC3:0xE0] = True  # U+00C0 to U+07FF: no white space among them
-_encoders: dict[tuple, Encoder] = {}
 
 
 class Encoder:
@@ -105,16 +104,38 @@ class Encoder:
         n = counts[back]
         return _gather(flat, starts[back], n), n
 
-    def encode(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all rows in turn, each row followed by the end id; ids per row)."""
+    def stream(self, raw: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray | None]]:
+        """(first row, row after the last, ids, ids per row) in slices; of a long text the ids come in pieces, the count with the last."""
+        for i, j in W.slices(off):
+            lo, hi = int(off[i]), int(off[j])
+            if j - i > 1 or hi - lo <= 2 * W.SLICE_BYTES:
+                yield i, j, *self.encode(raw, off[i:j + 1])
+                continue
+            total, size = 0, W.SLICE_BYTES
+            while hi - lo > size:
+                part = raw[lo:lo + size]
+                at = np.flatnonzero(W.IS_SPACE[part[1:]] & _SURE_INK[part[:-1]])
+                if not len(at):  # no place to cut yet
+                    size *= 2
+                    continue
+                end = lo + int(at[-1]) + 1
+                ids, _ = self.encode(raw, np.array([lo, end]), end=False)
+                yield i, j, ids, None
+                total, lo, size = total + len(ids), end, W.SLICE_BYTES
+            ids, counts = self.encode(raw, np.array([lo, hi]))
+            yield i, j, ids, counts + total
+
+    def encode(self, raw: np.ndarray, off: np.ndarray, end: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rows in turn, each row followed by the end id, if there is one and ``end`` is set; ids per row)."""
+        end_id = self.end_id if end else None
         rows = len(off) - 1
         base = int(off[0])
         b = raw[base:int(off[-1])]
         off = off - base
         n = len(b)
         if not n:
-            counts = np.full(rows, 0 if self.end_id is None else 1, np.int64)
-            return np.full(int(counts.sum()), self.end_id or 0, np.uint32), counts
+            counts = np.full(rows, 0 if end_id is None else 1, np.int64)
+            return np.full(int(counts.sum()), end_id or 0, np.uint32), counts
         cut = np.zeros(n, bool)
         cut[1:] = W.IS_SPACE[b[1:]] & _SURE_INK[b[:-1]]
         cut[2:] |= W.IS_SPACE[b[2:]] & _TWO_BYTE_LEAD[b[:-2]] & (b[1:-1] >= 0x80)
@@ -147,8 +168,8 @@ class Encoder:
         piece_of_row = np.searchsorted(lo, off)
         reach = np.concatenate([[0], np.cumsum(size)])[piece_of_row]
         counts = np.diff(reach)
-        if self.end_id is not None:
-            ids = np.insert(ids, reach[1:], np.uint32(self.end_id))
+        if end_id is not None:
+            ids = np.insert(ids, reach[1:], np.uint32(end_id))
             counts = counts + 1
         return ids, counts
 
@@ -160,11 +181,7 @@ def _gather(pool: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def worker_encoder(tokenizer_json: str, end_id: int | None) -> Encoder:
-    key = (hash(tokenizer_json), end_id)
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(tokenizer_json, end_id)
-    return _encoders[key]
+    return worker_object((hash(tokenizer_json), end_id), lambda: Encoder(tokenizer_json, end_id))
 
 
 class _ShardWriter:
@@ -242,9 +259,10 @@ def _write_shard(tokenizer, folder: str, end_id: int | None, length: int):
                 def consume(batch):
                     nonlocal offset, docs
                     raw, off = W.text_buffer(batch.column(1))
-                    for i, j in W.slices(off):
-                        ids, counts = enc.encode(raw, off[i:j + 1])
+                    for i, j, ids, counts in enc.stream(raw, off):
                         out.add(ids)
+                        if counts is None:
+                            continue
                         reach = offset + np.concatenate([[0], np.cumsum(counts)])
                         docs_out.write_batch(pa.RecordBatch.from_arrays(
                             [batch.column(0).slice(i, j - i), pa.array(reach[:-1]), pa.array(counts)], schema=index))
@@ -273,7 +291,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str | None = None
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     order = [F.col("doc_id"), F.xxhash64("text"), F.col("part")]  # the input partition splits even one id's equal rows
     rows = rows.withColumn("part", F.spark_partition_id()).repartitionByRange(*order).sortWithinPartitions(*order)
-    shards = written(map_arrow(rows.select("doc_id", "text"), _write_shard(tokenizer, folder, end_id, length), MANIFEST), "manifest")
+    shards = written(map_arrow(rows.select("doc_id", "text"), _write_shard(tokenizer, folder, end_id, length), MANIFEST, keep=True), "manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row per shard
     return shards.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 

@@ -22,6 +22,8 @@ has target 0.  No rows give no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +33,7 @@ WEIGHTS = (3, 1, 2)
 SHARE = 150  # percent of all words
 MAX_EPOCHS = 2
 SEED = "mix-7"
+_TAG = uuid.uuid4().hex  # ends the names of columns that stand beside a caller's
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -114,19 +117,21 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
         F.min("cut_key").alias("cut_key"), F.floor((F.max("rest") - F.min("before")) / F.count("*")).cast("long").alias("cut_size"))
     ends = written(p.drop("rest").join(at, F.col("s").eqNullSafe(F.col("s2")), "left").drop("s2"), "mix-plan")
     cols = list(docs.columns)
-    rows = docs.select(*[F.col(f"`{c}`") for c in cols], random_key().alias("__key"), word_count(F.col("text")).alias("__size"))
-    rows = rows.join(ends.select(F.col("s").alias("__s"), F.col("epochs").alias("__epochs"), F.col("cut_key").alias("__cut"), F.col("cut_size").alias("__cut_size")),
-                     F.col("source").cast("string").eqNullSafe(F.col("__s")), "left")
-    partial = (F.col("__key") == F.col("__cut")) & (F.col("__cut_size") < F.col("__size"))
-    last = F.when(F.col("__key") < F.col("__cut"), F.col("__size")).when(F.col("__key") == F.col("__cut"), F.least("__cut_size", "__size")).otherwise(0)
-    copies = F.when(F.col("__size") == 0, 1).otherwise(F.col("__epochs") + F.when(last > 0, 1).otherwise(0))
-    rows = rows.withColumn("__n", copies.cast("int")).where("__n > 0") \
-        .withColumn("__part", F.when(partial, F.col("__cut_size"))) \
-        .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
-    cut = F.when((F.col("__copy") == F.col("__n")) & F.col("__part").isNotNull(),
-                 F.array_join(F.expr(r"slice(regexp_extract_all(text, r'[\x20\x09-\x0D]*[^\x20\x09-\x0D]+', 0), 1, cast(__part as int))"), "")) \
-        .otherwise(F.col("text"))
-    out = rows.withColumn("text", cut)
+    own = lambda name: f"{name}_{_TAG}"
+    key, size, epochs, cut, cut_size, n, part, copy = (F.col(own(x)) for x in ("key", "size", "epochs", "cut", "cut_size", "n", "part", "copy"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in cols], random_key().alias(own("key")), word_count(F.col("text")).alias(own("size")))
+    rows = rows.join(ends.select(F.col("s").alias(own("s")), F.col("epochs").alias(own("epochs")), F.col("cut_key").alias(own("cut")),
+                                 F.col("cut_size").alias(own("cut_size"))),
+                     F.col("source").cast("string").eqNullSafe(F.col(own("s"))), "left")
+    partial = (key == cut) & (cut_size < size)
+    last = F.when(key < cut, size).when(key == cut, F.least(cut_size, size)).otherwise(0)
+    copies = F.when(size == 0, 1).otherwise(epochs + F.when(last > 0, 1).otherwise(0))
+    rows = rows.withColumn(own("n"), copies.cast("int")).where(n > 0) \
+        .withColumn(own("part"), F.when(partial, cut_size)) \
+        .withColumn(own("copy"), F.explode(F.sequence(F.lit(1), n)))
+    is_cut = (copy == n) & part.isNotNull()
+    words = F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    out = rows.withColumn("text", F.when(is_cut, F.array_join(F.slice(words, F.lit(1), part.cast("int")), "")).otherwise(F.col("text")))
     if "n_chars" in cols:
-        out = out.withColumn("n_chars", F.when(F.col("__part").isNotNull() & (F.col("__copy") == F.col("__n")), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(is_cut, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*[F.col(f"`{c}`") for c in cols])

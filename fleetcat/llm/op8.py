@@ -35,6 +35,8 @@ columns are ignored.  An empty table gives no rows.
 
 from __future__ import annotations
 
+import uuid
+
 from functools import partial
 
 import numpy as np
@@ -276,20 +278,22 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, threshol
     only if their texts are equal or near; of equal ones one row stays.  Rows
     without an id are kept.
     """
-    keyed = docs.withColumn("__node", F.col("doc_id").cast("long"))
+    node, doc, digest = (f"{x}_{uuid.uuid4().hex}" for x in ("node", "id", "text"))
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.withColumn(node, F.col("doc_id").cast("long"))
     if not docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         # numbers of the distinct (id, text), in the order of the ids
         text = F.coalesce(F.sha2(F.col("text").cast("string"), 256), F.lit(""))
-        nodes = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("__id"), text.alias("__text")).distinct()
-        nodes = prefix_sums(nodes.withColumn("__all", F.lit(0)).withColumn("__one", F.lit(1)), "__all", ["__id", "__text"], "__one", "nodes")
-        keyed = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__text", text) \
-            .join(nodes.select("__id", "__text", F.col("before").cast("long").alias("__node")), ["__id", "__text"], "left")
-    found = near_duplicates(keyed, id_col="__node", shingle=shingle, threshold=threshold)
-    gone = found.groupBy("__node").agg(F.min("component_id").alias("c"), F.count("*").alias("rows_of_node")).where(
-        "__node is not null and (c <> __node or rows_of_node > 1)")
-    gone = written(gone.select("__node", (F.col("c") != F.col("__node")).alias("drop")), "dropped")
-    left = keyed.join(gone.select("__node"), "__node", "left_anti")
-    again = keyed.join(gone.where("not drop").select("__node"), "__node", "left_semi")
-    tie = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    once = again.groupBy("__node").agg(F.min(tie).alias("row")).select("row.*")
-    return left.select(*docs.columns).union(once.select(*docs.columns))
+        nodes = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), text.alias("digest")).distinct()
+        nodes = prefix_sums(nodes.withColumn("all", F.lit(0)).withColumn("one", F.lit(1)), "all", ["id", "digest"], "one", "nodes")
+        keyed = docs.withColumn(doc, F.col("doc_id").cast("long")).withColumn(digest, text) \
+            .join(nodes.select(F.col("id").alias(doc), F.col("digest").alias(digest), F.col("before").cast("long").alias(node)), [doc, digest], "left")
+    found = near_duplicates(keyed.select(F.col(node).alias("node"), "text"), id_col="node", shingle=shingle, threshold=threshold)
+    gone = found.groupBy("node").agg(F.min("component_id").alias("c"), F.count("*").alias("rows_of_node")).where(
+        "node is not null and (c <> node or rows_of_node > 1)")
+    gone = written(gone.select(F.col("node").alias(node), (F.col("c") != F.col("node")).alias("drop")), "dropped")
+    left = keyed.join(gone.select(node), node, "left_anti")
+    again = keyed.join(gone.where("not drop").select(node), node, "left_semi")
+    # equal rows are told apart by their JSON, which any column type has
+    once = again.groupBy(node).agg(F.min_by(F.struct(*cols), F.to_json(F.struct(*cols))).alias("row")).select("row.*")
+    return left.select(*cols).union(once.select(*cols))

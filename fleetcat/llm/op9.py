@@ -23,8 +23,8 @@ Method
     maxLength), and the linked call is written as canonical JSON: sorted keys,
     no spaces, no escapes beyond what JSON needs.
 
-Output: one row per call, one per result without a call and, with
-``every_result``, one per further result of a call (default: without these).
+Output: one row per call, one per result without a call and one per further
+result of a call (left out with ``every_result=False``).
 ``status``: ok, invalid arguments, unknown tool, no result, cycle, duplicate
 id, orphan result, duplicate result (in this order of precedence from the end).
 
@@ -32,7 +32,11 @@ Defined cases: of calls that repeat an id in a conversation the first (turn,
 index) is linked, the others are ``duplicate id``; of results that repeat an
 id the first (turn, text) is linked, the others are ``duplicate result`` and
 come last in the conversation; without a call each is an ``orphan result``.  Null or unreadable ``tool_calls`` hold
-no calls; unreadable arguments are invalid and appear as the raw string.
+no calls; arguments that are not strict JSON (NaN, Infinity, numbers beyond a
+double, integers of more than 4,300 digits) are invalid and appear as the raw
+string; integers of any size below are kept digit by digit; a lone surrogate is
+written as its escape; of a repeated key the last value counts and the key is
+an error.
 Null conversation ids form a conversation of their own; calls with null ids
 link with nothing, and results of the role ``tool`` with null ids are orphans.  A dependency on an unknown id is ignored.  Empty tables
 give no rows; extra columns are ignored.
@@ -41,6 +45,9 @@ give no rows; extra columns are ignored.
 from __future__ import annotations
 
 import json
+import math
+import re
+from collections import Counter
 from functools import partial
 
 import pyarrow as pa
@@ -51,18 +58,47 @@ from fleetcat.llm.op7 import prefix_sums
 from fleetcat.llm.runtime import map_arrow, written
 
 _CALLS = "array<struct<id string, name string, arguments string>>"
+_SURROGATE = re.compile("[\ud800-\udfff]")
 _TYPES = {"string": str, "boolean": bool, "array": list, "object": dict, "null": type(None)}
 
 
+def _well_formed(text: str) -> str:
+    """``text`` with lone surrogates, which UTF-8 cannot hold, as JSON escapes."""
+    return _SURROGATE.sub(lambda m: f"\\u{ord(m.group()):04x}", text)
+
+
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return _well_formed(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
+
+
+def parsed(text: str) -> tuple[object, list[str]]:
+    """(value, keys that an object repeats) of strict JSON: no NaN or Infinity, no number beyond a double."""
+    repeated: list[str] = []
+
+    def number(x: str) -> float:
+        value = float(x)
+        if not math.isfinite(value):
+            raise ValueError(x)
+        return value
+
+    def refuse(x: str):
+        raise ValueError(x)
+
+    def members(pairs: list) -> dict:
+        seen = dict(pairs)
+        if len(seen) < len(pairs):
+            repeated.extend(k for k, n in Counter(k for k, _ in pairs).items() if n > 1)
+        return seen
+
+    value = json.loads(text, parse_float=number, parse_constant=refuse, object_pairs_hook=members)
+    return value, sorted(repeated)
 
 
 def violations(value, schema: dict, at: str = "$") -> list[str]:
     """What in ``value`` breaks the schema, as texts, in the order of the keys."""
     kind = schema.get("type")
     if kind in ("number", "integer"):
-        good = isinstance(value, (int, float)) and not isinstance(value, bool) and (kind == "number" or float(value).is_integer())
+        good = isinstance(value, (int, float)) and not isinstance(value, bool) and (kind == "number" or isinstance(value, int) or value.is_integer())
     else:
         good = kind not in _TYPES or isinstance(value, _TYPES[kind])
     if not good:
@@ -104,14 +140,17 @@ def _check(batches, tools: dict):
                 records.append(canonical({"id": r["call_id"], "result": r["result"]}))
                 continue
             try:
-                args = json.loads(r["arguments"])
-                bad = violations(args, tools[r["name"]]) if r["name"] in tools else []
+                args, repeated = parsed(r["arguments"])
+                bad = [f"$: repeated key {k}" for k in repeated] + (violations(args, tools[r["name"]]) if r["name"] in tools else [])
+                record = {"arguments": args, "id": r["call_id"], "name": r["name"], "result": r["result"]}
+                record = canonical(record)
             except (TypeError, ValueError, RecursionError):
-                args, bad = r["arguments"], ["$: not JSON"]
+                bad = ["$: not JSON"]
+                record = canonical({"arguments": r["arguments"], "id": r["call_id"], "name": r["name"], "result": r["result"]})
             if r["name"] not in tools:
                 bad = ["unknown tool", *bad]
-            errors.append(bad)
-            records.append(canonical({"arguments": args, "id": r["call_id"], "name": r["name"], "result": r["result"]}))
+            errors.append([_well_formed(x) for x in bad])
+            records.append(record)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(errors, pa.list_(pa.string())), pa.array(records, pa.string())],
                                          names=["info", "errors", "record"])
 
@@ -169,8 +208,8 @@ def _further_results(results: DataFrame, calls: DataFrame) -> DataFrame | None:
     return again.join(calls.select(*key, F.lit(2).alias("kind")), key, "left").withColumn("kind", F.coalesce("kind", F.lit(1)))
 
 
-def linked_calls(messages: DataFrame, tools: dict, every_result: bool = False) -> DataFrame:
-    """Rows of calls and results without a call (``every_result``: and of further results of a call): conv_id, call_id, name, level, position, call_turn, result_turn, status, errors, record."""
+def linked_calls(messages: DataFrame, tools: dict, every_result: bool = True) -> DataFrame:
+    """Rows of calls, of results without a call and (unless ``every_result`` is off) of further results of a call: conv_id, call_id, name, level, position, call_turn, result_turn, status, errors, record."""
     m = messages.select("conv_id", "turn", "role", "text", F.col("tool_calls").cast("string").alias("tool_calls"), "tool_call_id")
     calls = m.select("conv_id", "turn", F.posexplode(F.from_json("tool_calls", _CALLS)).alias("at", "call")) \
         .select(F.coalesce(F.col("conv_id").cast("string"), F.lit("\x00")).alias("conv"), "conv_id", "turn", "at",

@@ -53,10 +53,13 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LEAK_SQL = f"""
 with b as (select item_id, {_WORDS.format(_LOWER.format("text"))} as w from benchmark),
 d as (select doc_id, {_WORDS.format(_LOWER.format("text"))} as w from documents),
-bs as (select distinct item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) as s from b),
-ds as (select distinct doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) as s from d),
+k as (select distinct least(len(w), 5) as k from b where len(w) > 0),
+bs as (select distinct item_id, least(len(w), 5) as k,
+  unnest(list_transform(range(1, len(w) - least(len(w), 5) + 2), lambda i: array_to_string(w[i:i + least(len(w), 5) - 1], ' '))) as s from b where len(w) > 0),
+ds as (select distinct doc_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) as s
+  from d join k on len(w) >= k),
 n as (select item_id, count(*) as n_item from bs group by item_id),
-h as (select doc_id, item_id, count(*) as n_shared from ds join bs using (s) group by doc_id, item_id)
+h as (select doc_id, item_id, count(*) as n_shared from ds join bs using (k, s) group by doc_id, item_id)
 select doc_id, item_id, n_shared, n_item, round(n_shared / n_item, 6) as containment
 from h join n using (item_id) where 100 * n_shared >= 80 * n_item"""
 
@@ -164,7 +167,7 @@ from v"""
 def op9_chat_tool_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fleetcat.llm.op9 import TOOLS, conversation_calls, linked_calls
 
-    rows = linked_calls(conversation_calls(read_table(spark, sf_dir, "conversations")), TOOLS, every_result=True)
+    rows = linked_calls(conversation_calls(read_table(spark, sf_dir, "conversations")), TOOLS)
     return rows.withColumn("n_errors", F.size("errors")).drop("errors")
 
 

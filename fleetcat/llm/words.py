@@ -15,7 +15,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20  # working set of one vectorised step; a longer text is one slice of its own
+SLICE_BYTES = 1 << 18  # working set of one vectorised step; a longer text is one slice of its own
+BLOCK_BYTES = 1 << 18  # bytes of a text that are looked at together
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -37,14 +38,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "p" not in _powers or len(_powers["p"]) < n:
-        size = 1 << max(12, int(n - 1).bit_length())
+def _power_table() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, up to one block."""
+    if not _powers:
         for key, base in (("p", _BASE), ("i", _BASE_INV)):
-            t = np.full(size, base, dtype=np.uint64)
+            t = np.full(BLOCK_BYTES + 1, base, dtype=np.uint64)
             t[0] = 1
             _powers[key] = np.multiply.accumulate(t)
-    return _powers["p"][:n], _powers["i"][:n]
+    return _powers["p"], _powers["i"]
 
 
 def text_buffer(arr: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,65 +69,87 @@ def slices(off: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
 
 
 class Words:
-    """Words of the rows [i, j) of a text buffer: byte ranges, hashes and row bounds."""
+    """Words of the rows [i, j) of a text buffer: byte ranges, hashes and row bounds.
 
-    def __init__(self, raw: np.ndarray, off: np.ndarray, lower: bool = True, breaks: np.ndarray | None = None):
-        """``breaks``: further byte positions at which a word ends (none inside words by default)."""
+    Beside the words' places and hashes only one block of bytes is held at a time.
+    """
+
+    def __init__(self, raw: np.ndarray, off: np.ndarray, lower: bool = True):
         base, end = int(off[0]), int(off[-1])
-        b = raw[base:end]
         self.off = off - base
-        self.raw = b
-        if lower:
-            b = LOWER[b]
-        self.bytes = b
-        n = len(b)
-        ink = ~IS_SPACE[b]
-        edge = np.empty(n + 1, dtype=bool)
-        if n:
-            edge[0], edge[n] = ink[0], ink[n - 1]
-            np.not_equal(ink[1:], ink[:-1], out=edge[1:n])
-            cut = self.off[1:-1]
-            cut = cut[(cut > 0) & (cut < n)]
-            cut = np.unique(cut[ink[cut] & ink[cut - 1]])  # texts that touch: a word ends and one starts there
-            if len(cut):
-                pos = np.sort(np.concatenate([np.flatnonzero(edge), cut, cut]))
-            else:
-                pos = np.flatnonzero(edge)
-        else:
-            pos = np.zeros(0, np.int64)
+        self.raw = raw[base:end]
+        self.lower = lower
+        n = len(self.raw)
+        cut = self.off[1:-1]
+        cut = cut[(cut > 0) & (cut < n)]
+        cut = np.unique(cut[~IS_SPACE[self.raw[cut]] & ~IS_SPACE[self.raw[cut - 1]]])  # texts that touch: a word ends and one starts there
+        parts = [cut, cut]
+        for lo in range(0, n, BLOCK_BYTES):
+            ink = ~IS_SPACE[self.raw[max(lo - 1, 0):lo + BLOCK_BYTES]]
+            if lo == 0:
+                ink = np.concatenate([[False], ink])
+            parts.append(np.flatnonzero(ink[1:] != ink[:-1]) + lo)
+        if n and not IS_SPACE[self.raw[n - 1]]:
+            parts.append(np.array([n]))
+        pos = np.sort(np.concatenate(parts)) if len(cut) else np.concatenate(parts)
         self.starts, self.ends = pos[0::2], pos[1::2]
         self.bounds = np.searchsorted(self.starts, self.off)  # words of row r: bounds[r]:bounds[r+1]
         self._hash: np.ndarray | None = None
 
+    @property
+    def bytes(self) -> np.ndarray:
+        return LOWER[self.raw] if self.lower else self.raw
+
     @property
     def hashes(self) -> np.ndarray:
         if self._hash is None:
-            self._hash = range_hashes(self.bytes, self.starts, self.ends)
+            self._hash = range_hashes(self.raw, self.starts, self.ends, self.lower)
         return self._hash
 
 
-def range_hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte range b[start:end]."""
-    n = len(b)
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    p, inv = _power_table(n + 1)
-    acc = np.empty(n + 1, dtype=np.uint64)
-    acc[0] = 0
-    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * p[:n], out=acc[1:])
-    h = (acc[ends] - acc[starts]) * inv[starts]
-    return mix64(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def range_hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
+    """64-bit hash of each byte range b[start:end]; the ranges ascend and do not overlap.
+
+    A polynomial over the bytes, relative to the start of the range, so that
+    ranges of one block share the powers of that block.
+    """
+    out = np.empty(len(starts), np.uint64)
+    p, inv = _power_table()
+    i = 0
+    while i < len(starts):
+        base = int(starts[i])
+        j = int(np.searchsorted(ends, base + BLOCK_BYTES, side="right"))
+        if j <= i:  # one range beyond a block: block by block
+            total, factor = 0, 1
+            for lo in range(base, int(ends[i]), BLOCK_BYTES):
+                part = b[lo:min(lo + BLOCK_BYTES, int(ends[i]))]
+                part = LOWER[part] if lower else part
+                total += int(((part.astype(np.uint64) + np.uint64(1)) * p[:len(part)]).sum(dtype=np.uint64)) * factor
+                factor = factor * int(p[BLOCK_BYTES]) % (1 << 64)
+            out[i] = np.uint64(total % (1 << 64))
+            i += 1
+            continue
+        part = b[base:int(ends[j - 1])]
+        part = LOWER[part] if lower else part
+        acc = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * p[:len(part)], out=acc[1:])
+        lo = starts[i:j] - base
+        out[i:j] = (acc[ends[i:j] - base] - acc[lo]) * inv[lo]
+        i = j
+    return mix64(out + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def shingle_hashes(word_hashes: np.ndarray, k: int) -> np.ndarray:
     """Hash of each run of k words; entry i covers words i..i+k-1 (row bounds are the caller's)."""
-    n = len(word_hashes) - k + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for j in range(k):
-        out = out * np.uint64(0xA24BAED4963EE407) + word_hashes[j:j + n]
-    return mix64(out)
+    n = max(0, len(word_hashes) - k + 1)
+    out = np.empty(n, np.uint64)
+    for lo in range(0, n, BLOCK_BYTES):
+        hi = min(lo + BLOCK_BYTES, n)
+        acc = np.zeros(hi - lo, np.uint64)
+        for j in range(k):
+            acc = acc * np.uint64(0xA24BAED4963EE407) + word_hashes[lo + j:hi + j]
+        out[lo:hi] = mix64(acc)
+    return out
 
 
 def shingle_sets(w: Words, k: int, short: bool = True) -> Iterator[np.ndarray]:

@@ -17,7 +17,7 @@ TOOLS = {"f": {"type": "object", "required": ["q"], "additionalProperties": Fals
 
 def run(spark, rows):
     df = spark.createDataFrame([(*r, "x", "y") for r in rows], SCHEMA)
-    return {(r.conv_id, r.call_id, r.call_turn): r for r in op9.linked_calls(df.repartition(3), TOOLS).collect()}
+    return {(r.conv_id, r.call_id, r.call_turn): r for r in op9.linked_calls(df.repartition(3), TOOLS, every_result=False).collect()}
 
 
 def test_links_order_and_status(spark):
@@ -110,7 +110,7 @@ def test_every_result_has_a_row(spark):
     rows += [(1, 9, "tool", f"g{i}", None, "ghost") for i in range(3)] + [(1, 9, "tool", f"n{i}", None, None) for i in range(2)]
     rows += [(None, 2, "tool", "no conversation", None, None), (1, 3, "user", "no result", None, None), (2, 1, "user", "r", None, "a"), (2, None, "user", None, None, "a")]
     df = spark.createDataFrame([(*r, "x", "y") for r in rows], SCHEMA).repartition(3)
-    got = op9.linked_calls(df, TOOLS, every_result=True).collect()
+    got = op9.linked_calls(df, TOOLS).collect()
     texts = lambda conv, status: sorted(json.loads(r.record)["result"] or "" for r in got if r.conv_id == conv and r.status == status)
     assert texts(1, "ok") == ["a0", "same"] and texts(1, "orphan result") == ["g0", "g1", "g2", "n0", "n1"]
     assert texts(1, "duplicate result") == sorted([f"a{i}" for i in range(1, 150)] + ["same"] * 2)
@@ -118,7 +118,7 @@ def test_every_result_has_a_row(spark):
     one = sorted((r.position, r.status) for r in got if r.conv_id == 1)
     assert [p for p, _ in one] == list(range(len(one))) and [s for _, s in one] == ["ok"] * 2 + ["orphan result"] * 5 + ["duplicate result"] * 151
     assert {r.level for r in got if "result" in r.status} == {None} and {r.call_turn for r in got if "result" in r.status} == {None}
-    fewer = op9.linked_calls(df, TOOLS).collect()
+    fewer = op9.linked_calls(df, TOOLS, every_result=False).collect()
     assert sorted(map(str, fewer)) == sorted(str(r) for r in got if r.status != "duplicate result")
 
 
@@ -127,3 +127,28 @@ def test_the_query_keeps_repeated_turns(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     got = QUERIES["op9_chat_tool_linking"](spark, str(tmp_path)).collect()
     assert sorted((r.status, json.loads(r.record)["result"]) for r in got) == [("duplicate result", "second"), ("ok", "first"), ("orphan result", "nobody's")]
+
+
+def test_arguments_of_any_kind(spark):
+    many = "7" * 400
+    cases = {
+        "digits": ('{"q": "x", "n": %s}' % many, [], '{"n":%s,"q":"x"}' % many), "surrogate": ('{"q": "a\\ud83d"}', [], '{"q":"a\\ud83d"}'),
+        "pair": ('{"q": "\\ud83d\\ude00"}', [], '{"q":"\U0001f600"}'), "nan": ('{"q": NaN}', ["$: not JSON"], None), "infinity": ("[-Infinity]", ["$: not JSON"], None),
+        "large": ('{"q": 1e400}', ["$: not JSON"], None), "twice": ('{"q": "a", "q": "b", "in": {"z": 1, "z": 2}}', ["$: repeated key q", "$: repeated key z"], None),
+        "longest": ("9" * 5000, ["$: not JSON"], None), "deep": ("[" * 100_000, ["$: not JSON"], None), "key": ('{"\\udc00": 1}', [], '{"\\udc00":1}')}
+    tools = {"f": {"type": "object", "properties": {"n": {"type": "integer", "minimum": 0}}}}
+    rows = [(1, i, "assistant", "", calls_raw(name, text), None) for i, (name, (text, _, _)) in enumerate(cases.items())]
+    rows.append((1, 99, "tool", "r", None, "digits"))
+    got = {r.call_id: r for r in op9.linked_calls(spark.createDataFrame([(*r, "x", "y") for r in rows], SCHEMA), tools).collect()}
+    for name, (text, errors, body) in cases.items():
+        assert got[name].errors == errors, name
+        json.loads(got[name].record)
+        if body:
+            assert f'"arguments":{body},' in got[name].record
+        elif errors == ["$: not JSON"]:
+            assert json.loads(got[name].record)["arguments"] == text
+    assert got["digits"].status == "ok" and got["nan"].status == "no result"
+
+
+def calls_raw(name, arguments):
+    return json.dumps([{"id": name, "name": "f", "arguments": arguments}])

@@ -11,7 +11,7 @@ from fleetcat.llm import op3, op4
 from fleetcat.llm import words as W
 from fleetcat.session import read_table
 
-from .helpers import docs_df, near_copies, prose, words
+from .helpers import ASCII_LOWER, docs_df, near_copies, prose, words
 
 
 def statistics(text):
@@ -143,9 +143,11 @@ def test_keep_returns_the_columns_of_documents(spark):
 
 def test_long_documents_train(spark):
     n = op3.SAMPLE_PASSAGES
-    at = op3.sampled_passages(n * 5)
+    place = np.arange(n * 5)[:, None]
+    at = op3._sampled(iter([place]), n)[:, 0]
     assert len(set(at.tolist())) == n and (np.diff(at) > 0).all() and at[0] < n and at[-1] >= 4 * n
-    assert op3.sampled_passages(n).tolist() == list(range(n)) and op3.sampled_passages(1).tolist() == [0]
+    assert op3._sampled(iter(np.split(place, [7, 8, 900])), n)[:, 0].tolist() == at.tolist()
+    assert op3._sampled(iter([place[:n]]), n).tolist() == place[:n].tolist()
     rng = random.Random(6)
     text = lambda i: "\n".join(" ".join(rng.choice(["alpha", "beta"] if i % 2 else ["#", "|| 9"]) for _ in range(6)) for _ in range(n + 50))
     rows = [(i, text(i)) for i in range(60)]
@@ -166,3 +168,73 @@ def test_without_usable_labels_every_row_is_kept(spark, labels):
     docs = docs_df(spark, near_copies(seed=2, groups=2))
     kept = op3.keep_quality(docs, labels_df(spark, labels))
     assert kept.schema == docs.schema and kept.count() == docs.count()
+
+
+def test_a_repeated_id_is_one_row_of_the_fit(spark):
+    rows = [(i, "alpha beta gamma delta\n" * 20 if i % 2 else "# | 9 ! 7\n" * 20) for i in range(200)]
+    rows = [(1, "alpha\n" * 20)] * 3000 + rows
+    docs, labels = docs_df(spark, rows).coalesce(1), labels_df(spark, [(i, i % 2, 0, "", 0.0) for i in range(200)])
+    assert "constant" not in op3.train(docs, labels, sample_docs=100)
+    assert op3.labelled_sample(docs, labels, 100).count() == 100
+    assert len(op4.train(docs, labels, sample_docs=100).roots) == op4.TREES
+
+
+def test_rules_learn_beside_labels_of_other_documents(spark):
+    docs = docs_df(spark, [(i, "alpha beta\n" * 60 if i % 2 else "# | 9\n" * 60) for i in range(120)])
+    labels = labels_df(spark, [(i, i % 2, 0, "", 0.0) for i in range(20_000)])
+    assert len(op4.train(docs, labels, sample_docs=100).roots) == op4.TREES
+
+
+def plain_passages(text):
+    out = []
+    for line in (text or "").split("\n"):
+        w = words(line, lower=False)
+        out += [(line, w[i:i + op3.PASSAGE_WORDS]) for i in range(0, len(w), op3.PASSAGE_WORDS)]
+    return out
+
+
+def test_features_and_scores_by_plain_python():
+    """Features of each passage, and attention pooling, written out word by word."""
+    kind_of = {**{c: 0 for c in range(65, 91)}, **{c: 1 for c in range(97, 123)}, **{c: 2 for c in range(48, 58)}, **{c: 7 for c in range(128, 256)}}
+    kind_of |= {c: 3 for c in b"#*$%&<>@^~=+_\\"} | {c: 6 for c in b".,;:?'\"()-/[]{}`"} | {ord("|"): 4, ord("!"): 5}
+    rng = random.Random(8)
+    m = {"mean": np.zeros(op3.FEATURES), "scale": np.ones(op3.FEATURES)}
+    r = np.random.default_rng(1)
+    for k, shape in (("W", (op3.FEATURES, op3.HIDDEN)), ("b", op3.HIDDEN), ("V", (op3.HIDDEN, op3.GATE)), ("U", (op3.HIDDEN, op3.GATE)),
+                     ("w", op3.GATE), ("c", op3.HIDDEN), ("d", ())):
+        m[k] = r.normal(0, 0.5, shape)
+    texts = ["A cat, the CAT! sat sat | on 42 #mats", "é Ü " * 70 + "\n\n one", None, "", " \n ", "x\ny y y\n" * 40]
+    texts += [" ".join(rng.choice(["a", "Bc", "9", "d,", "long-word", "\n"]) for _ in range(200)) for _ in range(5)]
+    raw, off = W.text_buffer(pa.array(texts, pa.string()))
+    x, first = op3.passage_features(raw, off)
+    at, want = 0, []
+    for t in texts:
+        bags = []
+        for _, w in plain_passages(t):
+            low = [v.translate(ASCII_LOWER) for v in w]
+            counts = [0] * 8
+            for i, b in enumerate(" ".join(w).encode()):
+                if b in kind_of:
+                    counts[kind_of[b]] += 1
+            total = max(sum(counts), 1)
+            n = len(w)
+            shape = [np.log1p(n) / 5, sum(len(v.encode()) for v in w) / n / 10, sum(a == b for a, b in zip(low, low[1:])) / n, len(set(low)) / n,
+                     sum("A" <= v[0] <= "Z" for v in w) / n, sum(len(v.encode()) <= 3 for v in w) / n]
+            hashes = W.Words(*W.text_buffer(pa.array([" ".join(w)]))).hashes
+            buckets = np.bincount((hashes >> np.uint64(59)).astype(int), minlength=op3.BUCKETS) / n
+            bags.append(np.concatenate([np.array(counts) / total, shape, buckets]))
+        bags = np.array(bags) if bags else np.zeros((1, op3.FEATURES))
+        assert np.allclose(x[at:at + len(bags)], bags, atol=1e-6)
+        at += len(bags)
+        h = np.tanh(bags @ m["W"] + m["b"])
+        e = np.array([sum(m["w"][k] * np.tanh(row @ m["V"][:, k]) / (1 + np.exp(-row @ m["U"][:, k])) for k in range(op3.GATE)) for row in h])
+        a = np.exp(e) / np.exp(e).sum()
+        want.append(1 / (1 + np.exp(-((a[:, None] * h).sum(axis=0) @ m["c"] + m["d"]))))
+    assert at == len(x)
+    assert np.allclose(op3.scores(m, raw, off), want, atol=1e-6)
+    # a long text is read in pieces; the score is that of the whole
+    for text in ("Some words, 7 of them!\n" * 40_000, "no line break but MANY words " * 30_000, "\n" * 600_000 + "x"):
+        raw, off = W.text_buffer(pa.array([text]))
+        assert op3._is_long(raw, off)
+        f, g = op3.passage_features(raw, off)
+        assert abs(op3.scores(m, raw, off)[0] - op3.forward(m, f.astype(np.float64), g)["score"][0]) < 1e-6
