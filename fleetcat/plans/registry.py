@@ -31,5 +31,5 @@ def register(name: str, oracle: str | None = None):
 def load_all() -> None:
     """Import every plan module so its queries register."""
     from fleetcat.plans import (  # noqa: F401
-        catalog_queries, layout_queries, measure_queries, scalar_queries, scope_queries, source_queries,
+        catalog_queries, large_file_queries, layout_queries, measure_queries, scalar_queries, scope_queries, source_queries,
     )

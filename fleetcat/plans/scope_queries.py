@@ -233,6 +233,49 @@ def j13(spark, sf_dir):
     return scope.catalog_search(_cat(spark, sf_dir, "cat_measures")["cat_measures"], SEARCH_QUERY)
 
 
+_ENTRIES_SQL = _LP + _CLASSIFIED + f"""
+, sec AS (select model_id, case when category = 'Computed' then 'Computed Tables' else category end as section from cls
+        union select model_id, 'Computed Tables' from dax where not {_SYS}
+        union select model_id, case when {_KIND_SQL} = 'parameter' then 'Parameters' else 'Helper Functions' end from cat_expressions),
+leaf AS (select model_id, ['Data Sources', section] as path from sec
+  union all select model_id, ['Power Query Transformations', table_name] from cat_partitions where not {_SYS}
+  union all select model_id, ['DAX Measures', table_name, name] from cat_measures where not {_SYS}
+  union all select model_id, ['DAX Calculated Columns', table_name, column_name] from cat_columns where is_calculated and not {_SYS}
+  union all select model_id, ['Report Pages', page_name] from cat_pages
+  union all select case when p_partkey % 10 < 3 then 0 else 1 + cast(floor(p_partkey / 50) as bigint) end,
+    ['Calculation Groups', 'Calc Group ' || cast(cast(floor(p_partkey / 50) as bigint) as varchar), 'Item ' || cast(p_partkey as varchar)] from part),
+entries AS (select distinct model_id, path[1:n] as path, path[n] as label from (select model_id, path, unnest(range(1, len(path) + 1)) as n from leaf)),
+queries AS (select distinct query from (
+  select substring(p_type, 1, 1 + p_partkey % 9) as query from part union all select upper(substring(s_name, 9, 10)) from supplier
+  union all select ' age ' || cast(c_custkey % 90 as varchar) || ' ' from customer union all select 'm ' || cast(p_partkey % 97 as varchar) from part)),
+labels AS (select distinct label from entries),
+found AS (select query, label from queries, labels where contains(lower(label), trim(lower(query)))),
+hits AS (select query, model_id, path from found join entries using (label))
+select query, model_id, array_to_string(path, ' / ') as path, path[len(path)] as label, bool_or(own) as is_match
+from (select query, model_id, path[1:n] as path, n = len(path) as own from (select *, unnest(range(1, len(path) + 1)) as n from hits))
+group by query, model_id, path"""
+
+
+@register("J13_search_whole_catalog", oracle=oracle_ctes("cat_measures", "cat_columns", "cat_partitions", "cat_expressions", "cat_pages") + _ENTRIES_SQL)
+def j13_whole(spark, sf_dir):
+    """Many queries in one join over an n-gram posting table of all navigation entries."""
+    from fleetcat.operators import search
+    from fleetcat.sources.sink import shared_path
+
+    c = _cat(spark, sf_dir, "cat_measures", "cat_columns", "cat_partitions", "cat_expressions", "cat_pages")
+    part, supplier, customer = (read_table(spark, sf_dir, t) for t in ("part", "supplier", "customer"))
+    lines = segment.lines_of(defs.calc_group_files(part), ["model_id", "file"])
+    items = segment.calculation_items(segment.table_blocks(lines, ["model_id", "file"]), ["model_id", "file"])
+    items = items.select("model_id", F.col("file").alias("group"), F.col("item_name").alias("name"))
+    entries = search.catalog_entries(*(c[f"cat_{t}"] for t in ("measures", "columns", "partitions", "expressions", "pages")), items)
+    index = search.build_index(entries, shared_path(spark, "search-index"))
+    queries = part.select(F.substring("p_type", F.lit(1), 1 + F.col("p_partkey") % 9).alias("query")) \
+        .union(supplier.select(F.upper(F.substring("s_name", 9, 10)))) \
+        .union(customer.select(F.concat(F.lit(" age "), (F.col("c_custkey") % 90).cast("string"), F.lit(" ")))) \
+        .union(part.select(F.concat(F.lit("m "), (F.col("p_partkey") % 97).cast("string"))))
+    return search.search(index, queries).withColumn("path", F.array_join("path", " / "))
+
+
 @register("W4_ordered_items", oracle="""
 select case when p_partkey % 10 < 3 then 0 else 1 + cast(floor(p_partkey / 50) as bigint) end as model_id, 'Calc Group ' || cast(cast(floor(p_partkey / 50) as bigint) as varchar) as file, 'Item ' || cast(p_partkey as varchar) as item_name, ordinal,
   cast(row_number() over (partition by case when p_partkey % 10 < 3 then 0 else 1 + cast(floor(p_partkey / 50) as bigint) end, cast(floor(p_partkey / 50) as bigint) order by ordinal, p_partkey) as integer) as position
