@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetcat.functions.common import col_of
+from fleetcat.operators.common import null_safe
+from fleetcat.session import cut_lineage
 
 
 # ------------------------------------------------------------------ aggregates (M1-M6)
@@ -171,6 +173,36 @@ def with_total_except(grouped: DataFrame, kept: Sequence[str], value: str, name:
     return grouped.withColumn(name, F.sum(value).over(Window.partitionBy(*kept)))
 
 
+def totals_in_contexts(df: DataFrame, keys: Sequence[str], measures: dict[str, Column], contexts: dict[str, Sequence[str]]) -> DataFrame:
+    """Measures per ``keys``, each beside its total in several filter contexts, from one scan.
+
+    ``contexts`` names, per context, the keys whose filters stay: all but one
+    is ALLEXCEPT, none is ALL.  One aggregate over grouping sets (an Expand
+    before the partial aggregate) computes the detail and every total, so a
+    measure may be any aggregate: totals are not sums of the detail.  The
+    aggregated rows are written once; each context's rows are joined back to
+    the detail on its own keys (null keys are values).
+
+    Result: keys, measures, and ``<measure>_<context>`` per context.
+    """
+    keys = list(keys)
+    kept = {name: [k for k in keys if k in set(cols)] for name, cols in contexts.items()}
+    sets = list(dict.fromkeys(tuple(c) for c in [tuple(keys), *map(tuple, kept.values())]))
+    rows = df.groupingSets([list(s) for s in sets], *keys).agg(F.grouping_id(*keys).alias("_set"), *[c.alias(m) for m, c in measures.items()])
+    rows = cut_lineage(rows, "contexts")
+    mask = {s: sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in s) for s in sets}  # a set bit: the key is rolled up
+    out = rows.where(F.col("_set") == 0).drop("_set")
+    for name, cols in kept.items():
+        total = rows.where(F.col("_set") == mask[tuple(cols)])
+        total = total.select(*[F.col(k).alias(f"_{name}_{k}") for k in cols], *[F.col(m).alias(f"{m}_{name}") for m in measures])
+        if cols:
+            out = out.join(total, null_safe((k, f"_{name}_{k}") for k in cols)).drop(*[f"_{name}_{k}" for k in cols])
+        else:
+            for m in measures:
+                out = out.withColumn(f"{m}_{name}", total.select(f"{m}_{name}").scalar())
+    return out
+
+
 def values(df: DataFrame, *cols: str) -> DataFrame:
     """M16 VALUES: each unique value (combination)."""
     return df.select(*cols).distinct()
@@ -248,6 +280,31 @@ def concatenatex_rows(df: DataFrame, group_by: Sequence[str], c: str, order_by:
     return row_number_within(rows, list(group_by), [order, "value"], "position").select(*group_by, "position", "value")
 
 
+# ------------------------------------------------------------------ DISTINCTCOUNT that rolls up (M4)
+
+def distinct_buckets(df: DataFrame, keys: Sequence[str], c: str) -> DataFrame:
+    """M4 in stored form: (keys, bucket, bits, has_blank), the integers of ``c`` as bitmaps of 2^15 values each.
+
+    Rows per key and bucket are mergeable, so a table of them (per day and
+    model, say) answers the exact distinct count of any coarser group without
+    the detail.  A blank counts as one value and is a flag; negative values have
+    buckets of their own.
+    """
+    v = F.col(c).cast("long")
+    # -1, -2, ... mirror 0, 1, ...: the bitmap functions number from 1 and take no negative value
+    place = F.when(v < 0, -v).otherwise(v + 1)
+    rows = df.select(*keys, (v < 0).alias("negative"), F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit"))
+    return rows.groupBy(*keys, "negative", "bucket").agg(
+        F.bitmap_construct_agg("bit").alias("bits"), F.max(F.col("bit").isNull()).alias("has_blank"))
+
+
+def distinct_count(buckets: DataFrame, group_by: Sequence[str], name: str) -> DataFrame:
+    """M4 from stored buckets: (group_by, ``name``), equal to the distinct count over the detail rows."""
+    merged = buckets.groupBy(*group_by, "negative", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"), F.max("has_blank").alias("blank"))
+    amount = F.when(F.col("blank"), F.lit(1)).otherwise(F.bitmap_count("bits"))
+    return merged.groupBy(*group_by).agg(F.sum(amount).cast("long").alias(name))
+
+
 # ------------------------------------------------------------------ relationships
 
 def treat_as(df: DataFrame, key: str, values_df: DataFrame, values_col: str) -> DataFrame:

@@ -13,6 +13,8 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetcat.operators.common import null_safe
+
 from fleetcat.functions.common import col_of
 
 _UNITS = {"year": "year", "quarter": "quarter", "month": "month"}
@@ -90,3 +92,37 @@ def today(as_of: dt.date | str) -> Column:
 def blank() -> Column:
     """M32 BLANK."""
     return F.lit(None)
+
+
+# ------------------------------------------------------------------ periods without rows (M27-M30 on gaps)
+
+def on_calendar(per_period: DataFrame, entity: Sequence[str], period: str, unit: str = "month") -> DataFrame:
+    """Sparse period rows on a full calendar: every ``unit`` from an entity's first to its last, blank where it has no row.
+
+    ``per_period``: one row per entity and period (a date, the first of its
+    unit).  The spine is generated per entity by ``sequence``; its length is
+    bounded by the calendar, not by the facts.
+    """
+    if unit not in ("day", "week", "month", "quarter", "year"):
+        raise ValueError(f"unknown unit {unit}")
+    step = F.expr({"quarter": "interval 3 months"}.get(unit, f"interval 1 {unit}"))
+    spans = per_period.where(F.col(period).isNotNull()).groupBy(*entity).agg(F.min(period).alias("_first"), F.max(period).alias("_last"))
+    spine = spans.select(*entity, F.explode(F.sequence(as_date("_first"), as_date("_last"), step)).alias("_at"))
+    own = per_period.select(*[F.col(e).alias(f"_e{i}") for i, e in enumerate(entity)], F.col(period).alias("_p"),
+                            *[c for c in per_period.columns if c not in (*entity, period)])
+    same = null_safe([*((e, f"_e{i}") for i, e in enumerate(entity)), ("_at", "_p")])
+    return spine.join(own, same, "left").drop("_p", *[f"_e{i}" for i in range(len(entity))]).withColumnRenamed("_at", period)
+
+
+def shifted_on_calendar(calendar: DataFrame, entity: Sequence[str], period: str, value: str, months: int, name: str) -> DataFrame:
+    """M28-M30 on a calendar: the value of the period ``months`` earlier (later if negative); blank where there is none."""
+    before = calendar.select(*[F.col(e).alias(f"_e{i}") for i, e in enumerate(entity)],
+                             F.add_months(period, months).alias("_p"), F.col(value).alias(name))
+    same = null_safe([*((e, f"_e{i}") for i, e in enumerate(entity)), (period, "_p")])
+    return calendar.join(before, same, "left").drop("_p", *[f"_e{i}" for i in range(len(entity))])
+
+
+def to_date_on_calendar(calendar: DataFrame, entity: Sequence[str], period: str, value: str, name: str) -> DataFrame:
+    """M27 TOTALYTD on a calendar: running total inside the year, carried over blank periods (12 months, or 366 days, a window)."""
+    w = Window.partitionBy(*entity, F.year(period)).orderBy(period).rowsBetween(Window.unboundedPreceding, 0)
+    return calendar.withColumn(name, F.sum(value).over(w))

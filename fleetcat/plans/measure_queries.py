@@ -186,6 +186,26 @@ def m14(spark, sf_dir):
                     F.round(F.col("s") / F.col("type_total"), 6).alias("share_of_type"))
 
 
+@register("M12_M13_M14_contexts", oracle="""
+with l as (select l_returnflag, l_linestatus, l_linenumber, l_quantity, l_orderkey from lineitem),
+d as (select l_returnflag, l_linestatus, l_linenumber, sum(l_quantity) as q, count(distinct l_orderkey) as n from l group by all),
+f as (select l_returnflag, sum(l_quantity) as q, count(distinct l_orderkey) as n from l group by all),
+g as (select l_linestatus, l_linenumber, sum(l_quantity) as q, count(distinct l_orderkey) as n from l group by all),
+a as (select sum(l_quantity) as q, count(distinct l_orderkey) as n from l)
+select d.l_returnflag, d.l_linestatus, d.l_linenumber, round(d.q, 2) as quantity, d.n as orders, round(d.q / f.q, 6) as share_of_flag,
+  round(d.q / g.q, 6) as share_without_flag, round(d.q / a.q, 6) as share_of_all, f.n as orders_of_flag, a.n as orders_of_all
+from d join f using (l_returnflag) join g using (l_linestatus, l_linenumber), a""")
+def m12_m13_m14(spark, sf_dir):
+    rows = M.totals_in_contexts(
+        _t(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus", "l_linenumber"],
+        {"quantity": F.sum("l_quantity"), "orders": F.count_distinct("l_orderkey")},
+        {"flag": ["l_returnflag"], "rest": ["l_linestatus", "l_linenumber"], "all": []})
+    share = lambda c: F.round(F.col("quantity") / F.col(c), 6)
+    return rows.select("l_returnflag", "l_linestatus", "l_linenumber", F.round("quantity", 2).alias("quantity"), "orders",
+                       share("quantity_flag").alias("share_of_flag"), share("quantity_rest").alias("share_without_flag"),
+                       share("quantity_all").alias("share_of_all"), F.col("orders_flag").alias("orders_of_flag"), F.col("orders_all").alias("orders_of_all"))
+
+
 # ------------------------------------------------------------------ M16, M17
 
 @register("M16_values", oracle="select distinct o_orderpriority from orders")
@@ -242,6 +262,48 @@ def m22(spark, sf_dir):
     return d.groupBy("p_brand").agg(M.concatenatex("p_name", ", ").alias("names"), F.count(F.lit(1)).alias("n_names"))
 
 
+@register("M22_concatenatex_rows", oracle="""
+select p_brand, row_number() over (partition by p_brand order by p_name) as position, p_name as value
+from (select distinct p_brand, p_name from part where p_name is not null)""")
+def m22_rows(spark, sf_dir):
+    """The values in order as rows: no brand meets in one task or one string."""
+    return M.concatenatex_rows(M.values(_t(spark, sf_dir, "part"), "p_brand", "p_name"), ["p_brand"], "p_name")
+
+
+# ------------------------------------------------------------------ M4 rolled up, M27-M30 on gaps
+
+@register("M4_distinctcount_rollup", oracle="""
+select cast(date_trunc('month', o_orderdate) as date) as month, count(distinct o_custkey) as customers from orders group by 1""")
+def m4_rollup(spark, sf_dir):
+    """Customers per month from bitmaps stored per day."""
+    from fleetcat.session import cut_lineage
+    stored = cut_lineage(M.distinct_buckets(_t(spark, sf_dir, "orders"), ["o_orderdate"], "o_custkey"), "distinct-buckets")
+    monthly = stored.withColumn("month", F.trunc("o_orderdate", "month"))
+    return M.distinct_count(monthly, ["month"], "customers")
+
+
+@register("M27_M30_on_calendar", oracle="""
+with m as (select o_custkey, cast(date_trunc('month', o_orderdate) as date) as month, sum(o_totalprice) as total from orders group by all),
+s as (select o_custkey, cast(unnest(generate_series(min(month), max(month), interval 1 month)) as date) as month from m group by o_custkey),
+c as (select s.o_custkey, s.month, m.total from s left join m on m.o_custkey = s.o_custkey and m.month = s.month)
+select c.o_custkey, c.month, round(c.total, 2) as total, round(p.total, 2) as prior_month, round(y.total, 2) as prior_year,
+  round(sum(c.total) over (partition by c.o_custkey, year(c.month) order by c.month), 2) as year_to_date
+from c left join c p on p.o_custkey = c.o_custkey and p.month = cast(c.month - interval 1 month as date)
+left join c y on y.o_custkey = c.o_custkey and y.month = cast(c.month - interval 12 month as date)""")
+def m27_m30_calendar(spark, sf_dir):
+    """Monthly totals per customer with the months without orders; prior month, prior year and year to date."""
+    from fleetcat.operators import time_intel as T
+    from fleetcat.session import cut_lineage
+    o = _t(spark, sf_dir, "orders")
+    monthly = o.groupBy("o_custkey", F.trunc("o_orderdate", "month").alias("month")).agg(F.sum("o_totalprice").alias("total"))
+    calendar = cut_lineage(T.on_calendar(monthly, ["o_custkey"], "month"), "calendar")
+    rows = T.shifted_on_calendar(calendar, ["o_custkey"], "month", "total", 1, "prior_month")
+    rows = rows.join(T.shifted_on_calendar(calendar, ["o_custkey"], "month", "total", 12, "prior_year").select("o_custkey", "month", "prior_year"),
+                     ["o_custkey", "month"])
+    rows = T.to_date_on_calendar(rows, ["o_custkey"], "month", "total", "year_to_date")
+    return rows.select("o_custkey", "month", *[F.round(c, 2).alias(c) for c in ("total", "prior_month", "prior_year", "year_to_date")])
+
+
 # ------------------------------------------------------------------ M24, M25
 
 @register("M24_treatas", oracle="""

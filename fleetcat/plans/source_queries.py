@@ -15,7 +15,7 @@ from fleetcat.plans.registry import register
 from fleetcat.plans.sqlbits import field_ref_sql, pystrip, q
 from fleetcat.session import read_table
 from fleetcat.sources import definitions as defs
-from fleetcat.sources.fixtures import catalog, oracle_ctes
+from fleetcat.sources.fixtures import catalog, oracle_ctes, written_once
 
 KEYS = ["model_id", "file"]
 NL, TAB = "chr(10)", "chr(9)"
@@ -42,10 +42,12 @@ _MEASURE_LINES_SQL = """
 select model_id, table_name as file, cast(1 + sum(n) as bigint) as n_lines from per group by model_id, table_name
 """)
 def s1_scan(spark, sf_dir):
-    """Render definition files, write them to the shared folder, scan them back, count lines per file."""
-    m = catalog(spark, sf_dir, "cat_measures")["cat_measures"]
-    path = defs.write_definition_files(defs.table_files(measures=m))
-    lines = defs.scan_definition_lines(spark, path)
+    """Scan a folder of definition files (rendered and written once per application), count lines per file."""
+    def write():
+        m = catalog(spark, sf_dir, "cat_measures")["cat_measures"]
+        return defs.write_definition_files(defs.table_files(measures=m))
+
+    lines = defs.scan_definition_lines(spark, written_once(spark, sf_dir, "definitions", write))
     return lines.groupBy("model_id", "file").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
@@ -263,6 +265,19 @@ def s6_resolve(spark, sf_dir):
 
 # ------------------------------------------------------------------ S3, S4: report layouts
 
+def _rendered(spark, sf_dir, name, render):
+    """The rendered documents as a table: a scan reads documents, it does not make them."""
+    path = written_once(spark, sf_dir, name, lambda: _write(render(*_layout_inputs(spark, sf_dir)), spark, name))
+    return spark.read.parquet(path)
+
+
+def _write(df, spark, name):
+    from fleetcat.sources.sink import shared_path
+    path = shared_path(spark, name)
+    df.write.parquet(path)
+    return path
+
+
 def _layout_inputs(spark, sf_dir):
     c = catalog(spark, sf_dir, "cat_pages", "cat_visuals", "cat_visual_fields")
     return c["cat_pages"], c["cat_visuals"], c["cat_visual_fields"]
@@ -289,7 +304,7 @@ left join ft on ft.model_id = v.model_id and ft.page_id = v.page_id and ft.pos =
 """)
 def s3_layout(spark, sf_dir):
     from fleetcat.sources.layout_json import render_layout_docs, scan_layout_json
-    docs = render_layout_docs(*_layout_inputs(spark, sf_dir))
+    docs = _rendered(spark, sf_dir, "layout-docs", render_layout_docs)
     out = scan_layout_json(docs, ["model_id", "page_id"])
     return out.select("model_id", "page_id", "page_name", "vis_no", "type", "title", "x", "y", "width", "height", "z",
                       "hidden", F.array_join("fields", " | ").alias("fields_text"), "page_width", "page_height",
@@ -304,7 +319,7 @@ union all select model_id, page_id, 2, 'Empty', 1280, 720, false, 0 from cat_pag
 """)
 def s3_pages(spark, sf_dir):
     from fleetcat.sources.layout_json import layout_pages, render_layout_docs
-    return layout_pages(render_layout_docs(*_layout_inputs(spark, sf_dir)), ["model_id", "page_id"])
+    return layout_pages(_rendered(spark, sf_dir, "layout-docs", render_layout_docs), ["model_id", "page_id"])
 
 
 @register("S4_pages", oracle=oracle_ctes("cat_pages") + """
@@ -313,7 +328,7 @@ from cat_pages
 """)
 def s4_pages(spark, sf_dir):
     from fleetcat.sources.layout_json import page_file_pages, render_page_files
-    return page_file_pages(render_page_files(*_layout_inputs(spark, sf_dir)), ["model_id"])
+    return page_file_pages(_rendered(spark, sf_dir, "page-files", render_page_files), ["model_id"])
 
 
 @register("S4_scan_page_files", oracle=oracle_ctes("cat_pages", "cat_visuals", "cat_visual_fields") + _expected_fields_sql(
@@ -327,7 +342,7 @@ where (v.page_id + v.pos) % 10 <> 0
 """)
 def s4_page_files(spark, sf_dir):
     from fleetcat.sources.layout_json import render_page_files, scan_page_files
-    files = render_page_files(*_layout_inputs(spark, sf_dir))
+    files = _rendered(spark, sf_dir, "page-files", render_page_files)
     out = scan_page_files(files, ["model_id"])
     return out.select("model_id", "page_folder", "page_name", "page_hidden", "visual_folder", "type", "title",
                       "x", "y", "width", "height", "z", "hidden", F.array_join("fields", " | ").alias("fields_text"))
@@ -376,6 +391,45 @@ def s8_write(spark, sf_dir):
                                            "depends_on_measures", "depends_on_columns")
 
 
+_GONE = "right(measure, 1) = '3'"
+
+
+@register("S8_update_catalog", oracle=f"""
+with base AS ({A9_SQL}),
+hit AS (select distinct model_id from base where model_id % 3 = 1)
+select model_id, case when model_id in (select model_id from hit) then measure || ' v2' else measure end as measure,
+  depends_on_measures, depends_on_columns
+from base where not (model_id in (select model_id from hit) and {_GONE})""")
+def s8_update(spark, sf_dir):
+    """Write the lineage summary, write some models anew (renamed, some measures gone), read the table back."""
+    from fleetcat.plans.catalog_queries import a9_lineage_summary
+    from fleetcat.session import cut_lineage
+    from fleetcat.sources.sink import read_catalog, shared_path, update_catalog
+
+    rows = cut_lineage(a9_lineage_summary(spark, sf_dir), "lineage")
+    path = update_catalog(rows, shared_path(spark, "catalog-updates"), ["measure"])
+    again = rows.where(f"model_id % 3 = 1 and not ({_GONE})").withColumn("measure", F.concat("measure", F.lit(" v2")))
+    update_catalog(again, path, ["measure"])
+    return read_catalog(spark, path, rows.schema)
+
+
+@register("S7_counted_quarantine", oracle=oracle_ctes("cat_definitions") + f"""
+, u AS (select 'DEFINITION' as stage, {_CORRUPT} as t from cat_definitions
+        union all select 'REPLY', case when ordinal % 5 = 0 then null else payload end from cat_definitions)
+select stage, count(*) as n_units, count(*) - count(t) as n_empty, count(*) filter (where t is not null and not json_valid(t)) as n_quarantined
+from u group by stage""")
+def s7_counted(spark, sf_dir):
+    """Units and bad units per stage, observed while the parsed rows are written."""
+    from fleetcat.operators.scope import DEFINITION_SCHEMA
+    from fleetcat.sources.quarantine import CountedParse, stage_counts
+    from fleetcat.sources.sink import shared_path
+
+    d = catalog(spark, sf_dir, "cat_definitions")["cat_definitions"]
+    stages = {"DEFINITION": d.withColumn("payload", F.expr(_CORRUPT)), "REPLY": d.withColumn("payload", F.when(F.col("ordinal") % 5 != 0, F.col("payload")))}
+    return stage_counts(CountedParse(units, ["model_id", "ordinal"], "payload", DEFINITION_SCHEMA, shared_path(spark, f"parsed-{stage}"), stage)
+                        for stage, units in stages.items())
+
+
 # ------------------------------------------------------------------ P25: M query steps
 
 @register("P25_split_query_steps", oracle=oracle_ctes("cat_partitions") + f"""

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetcat.session import read_table
+from fleetcat.session import delete_at_end, read_table
 
 # Models are bounded in size and grow in number with the table: a block of keys
 # is a model.  Three keys in ten belong to model 0, which holds a third of all
@@ -249,3 +249,15 @@ def oracle_ctes(*names: str) -> str:
         sql = _render(sql, "duckdb")
         parts.append(f"{n} AS ({sql.format(**{d: d for d in deps})})")
     return "WITH " + ",\n".join(parts) + "\n"
+
+
+_written: dict[tuple[str, str, str], str] = {}
+
+
+def written_once(spark: SparkSession, sf_dir: str, name: str, write) -> str:
+    """The folder that ``write()`` returns, written once per application and input: a scan's input is not part of the scan."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _written:
+        _written[key] = write()
+        delete_at_end(spark, _written[key])
+    return _written[key]
