@@ -63,7 +63,7 @@ def _with_ancestors(df: DataFrame, *columns: str) -> DataFrame:
         .withColumn("path", F.slice("path", F.lit(1), F.col("n"))).select(*columns)
 
 
-def _grams(text: Column, sizes) -> Column:
+def grams_of(text: Column, sizes) -> Column:
     """Distinct substrings of the sizes (a size beyond the text has none)."""
     def of_size(n):
         count = F.length(text) - n + 1
@@ -88,7 +88,7 @@ def build_index(entries: DataFrame, path: str) -> SearchIndex:
     entries.withColumn("lower_label", F.lower("label")).write.mode("overwrite").parquet(f"{index.path}/entries")
     labels = index.table(spark, "entries").where("lower_label is not null").select("lower_label").distinct()
     sizes = range(1, GRAM + 1)
-    postings = labels.select(F.explode(F.concat(F.array(F.lit("")), _grams(F.col("lower_label"), sizes))).alias("gram"), "lower_label")
+    postings = labels.select(F.explode(F.concat(F.array(F.lit("")), grams_of(F.col("lower_label"), sizes))).alias("gram"), "lower_label")
     # sorted by gram: a gram's labels lie together, and a lookup skips the other row groups
     postings.repartitionByRange("gram", "lower_label").sortWithinPartitions("gram", "lower_label").write.mode("overwrite").parquet(f"{index.path}/labels")
     index.table(spark, "labels").groupBy("gram").agg(F.count(F.lit(1)).alias("n_labels")).write.mode("overwrite").parquet(f"{index.path}/grams")
@@ -107,7 +107,7 @@ def search(index: SearchIndex, queries: DataFrame, query_col: str = "query") ->
     size = F.least(F.length(text), F.lit(GRAM))
     grams = F.when(size == 0, F.array(F.lit("")))
     for n in range(1, GRAM + 1):
-        grams = grams.when(size == n, _grams(text, [n]))
+        grams = grams.when(size == n, grams_of(text, [n]))
     parts = asked.select("query", "text", F.explode(grams).alias("gram")).join(index.table(spark, "grams"), "gram", "left")
     rarest = Window.partitionBy("query").orderBy(F.coalesce("n_labels", F.lit(0)), "gram")  # the grams of one query
     parts = parts.withColumn("k", F.row_number().over(rarest)).where(F.col("k") <= LOOKUPS)

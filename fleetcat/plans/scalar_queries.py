@@ -185,6 +185,29 @@ def _classify_sql(col):
 _CAT_SQL, _CONN_SQL = _classify_sql("coalesce(expression, '')")
 
 
+@register("P10_classify_by_rule_table", oracle=oracle_ctes("cat_measures") + """
+, rules AS (select p_partkey as priority, '[Measure ' || cast(p_partkey as varchar) || ']' as keyword, p_brand as category, p_type as connection_type from part
+            union all select p_partkey + 1000000000, 'p_size] > ' || cast(p_size as varchar), 'Filter', 'size ' || cast(p_size as varchar) from part),
+texts AS (select distinct expression from cat_measures where expression is not null),
+hit AS (select expression, priority, category, connection_type,
+          row_number() over (partition by expression order by priority, keyword, category, connection_type) as k
+        from texts join rules on contains(expression, keyword))
+select m.model_id, m.ordinal, coalesce(h.category, 'Computed') as category, h.connection_type
+from cat_measures m left join hit h on h.expression = m.expression and h.k = 1""")
+def p10_rule_table(spark, sf_dir):
+    """As many rules as the table has parts, first match by priority."""
+    from fleetcat.operators.rules import classify_by_rules
+
+    part = read_table(spark, sf_dir, "part")
+    key = F.col("p_partkey")
+    rules = part.select(key.alias("priority"), F.concat(F.lit("[Measure "), key.cast("string"), F.lit("]")).alias("keyword"),
+                        F.col("p_brand").alias("category"), F.col("p_type").alias("connection_type"))
+    size = F.col("p_size").cast("string")
+    rules = rules.union(part.select(key + 1000000000, F.concat(F.lit("p_size] > "), size), F.lit("Filter"), F.concat(F.lit("size "), size)))
+    measures = catalog(spark, sf_dir, "cat_measures")["cat_measures"].select("model_id", "ordinal", "expression")
+    return classify_by_rules(measures, "expression", rules).select("model_id", "ordinal", "category", "connection_type")
+
+
 @register("P10_classify_source", oracle=_P
           + f"select model_id, ordinal, {_CAT_SQL} as category, {_CONN_SQL} as connection_type from cat_partitions")
 def p10(spark, sf_dir):

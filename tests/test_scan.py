@@ -52,7 +52,7 @@ def test_pieces_are_whole_blocks_and_many(spark):
     text = [x for k in range(400) for x in (f"\tmeasure m{k} =", "\t\t\t```", "\tmeasure not one = 1", "\t\t\t```", "")]
     got = scan.with_pieces(lines_df(spark, {"f": ["table T", *text]}), KEYS, "table", 64, 100)
     rows = got.collect()
-    assert len(rows) == len(text) + 1 and len({r.piece for r in rows}) == 21
+    assert len(rows) == len(text) + 1 and len({r.piece for r in rows}) == 20
     heads = {r.line_no for r in rows if r.line.startswith("\tmeasure m")}
     first = {}
     for r in rows:
