@@ -5,10 +5,12 @@ Method
     by an equi-join on the host and its parent domains; of the rules whose path
     starts the url's path, the longest wins.
   * Names run words together.  A unigram model (counts of the words in the
-    pages' own texts) and Viterbi search split each distinct run of letters:
-    its substrings of up to ``MAX_WORD`` letters are joined to the counts, so
-    the vocabulary is never broadcast; an unknown word of n letters has the
-    probability 10 / (N * 10^n).
+    pages' own texts, of any length) and Viterbi search split each distinct run
+    of letters.  A run is cut into chunks, and its substrings of the lengths
+    that words have (up to ``LONG``) are joined to the counts under the run's
+    hash, so the vocabulary is never broadcast and no row holds a long run;
+    longer words are found by their first ``LONG`` letters and compared whole.
+    An unknown word of n letters has the probability 10 / (N * 10^n).
   * Urls that a rule decides are the labelled examples of a multinomial naive
     Bayes model (add-one) over host words and path words, kept apart; numbers
     count by their length.  Urls without a rule get its verdict.
@@ -32,7 +34,9 @@ from pyspark.sql import functions as F
 
 from fleetcat.llm.runtime import map_arrow, written
 
-MAX_WORD = 20
+LONG = 64  # letters of a word that are looked up as such
+CHUNK = 256  # starts of substrings that one row generates
+HEAVY = 200  # a url part that is more than one in so many is joined by broadcast
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -66,20 +70,32 @@ def word_counts(texts: DataFrame) -> DataFrame:
     """(word, c): letters-only words of the column ``html`` without tags, scripts and styles."""
     plain = F.regexp_replace(F.col("html"), r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<[^>]*>|&[a-z]+;", " ")
     words = F.explode(F.split(lower(plain), r"[^\p{L}]+"))
-    return texts.select(words.alias("word")).where(f"length(word) between 1 and {MAX_WORD}").groupBy("word").agg(F.count("*").alias("c"))
+    return texts.select(words.alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("c"))
 
 
 def split_run(run: str, hits: list[dict], total: float) -> list[str]:
-    """Most probable split of a run of letters; ties go to the longer last word."""
-    known = {(h["at"], h["word"]): h["c"] for h in hits}
+    """Most probable split of a run of letters; ties go to the longer last word.
+
+    ``hits``: known words by place (``at`` from 1, ``n`` letters, count ``c``).
+    The best unknown last word begins where best + start is greatest, which is
+    kept while the run is read, so the work is linear in letters and hits.
+    """
+    by_end: dict[int, list] = {}
+    for h in hits:
+        by_end.setdefault(h["at"] - 1 + h["n"], []).append((h["at"] - 1, h["c"]))
     log_total = math.log10(max(total, 1))
-    best, back = [0.0] + [-math.inf] * len(run), [0] * (len(run) + 1)
+    best, back = [0.0] * (len(run) + 1), [0] * (len(run) + 1)
+    lead, start_of_lead = 0.0, 0  # greatest best[start] + start so far
     for end in range(1, len(run) + 1):
-        for start in range(max(0, end - MAX_WORD), end):
-            c = known.get((start + 1, run[start:end]))
-            p = best[start] + (math.log10(c) - log_total if c else 1 - log_total - (end - start))
-            if p > best[end] + 1e-12:
-                best[end], back[end] = p, start
+        options = [(start, best[start] + math.log10(c) - log_total) for start, c in by_end.get(end, ())]
+        options.append((start_of_lead, lead - end + 1 - log_total))
+        top = -math.inf
+        for start, p in sorted(options):
+            if p > top + 1e-12:
+                top, back[end] = p, start
+        best[end] = top
+        if top + end > lead + 1e-12:
+            lead, start_of_lead = top + end, end
     out, end = [], len(run)
     while end:
         out.append(run[back[end]:end])
@@ -89,19 +105,37 @@ def split_run(run: str, hits: list[dict], total: float) -> list[str]:
 
 def _viterbi(batches, total: float):
     for batch in batches:
-        runs, hits = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([split_run(r, h or [], total) for r, h in zip(runs, hits)], pa.list_(pa.string()))], names=["run", "words"])
+        runs, hits = batch.column(0), batch.column(1)
+        for i in range(batch.num_rows):  # a run and its hits at a time
+            words = split_run(runs[i].as_py(), hits[i].as_py() or [], total)
+            yield pa.RecordBatch.from_arrays([runs.slice(i, 1), pa.array([words], pa.list_(pa.string()))], names=["run", "words"])
 
 
 def segmented(runs: DataFrame, counts: DataFrame) -> DataFrame:
     """(run, words) for distinct runs of letters."""
+    counts = counts.withColumn("n", F.length("word"))
     total = counts.agg(F.sum("c")).first()[0] or 0
-    subs = F.flatten(F.transform(F.sequence(F.lit(1), F.length("run")), lambda i: F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(MAX_WORD), F.length("run") - i + 1)), lambda n: F.struct(i.alias("at"), F.col("run").substr(i, n).alias("word")))))
-    pieces = runs.select("run", F.explode(subs).alias("s")).select("run", "s.at", "s.word")
-    hits = pieces.join(counts, "word").groupBy("run").agg(F.collect_list(F.struct("at", "word", "c")).alias("hits"))  # MAX_WORD per letter at most
-    return map_arrow(runs.join(hits, "run", "left").select("run", "hits"), partial(_viterbi, total=float(total)), "run string, words array<string>")
+    lengths = sorted(r[0] for r in counts.select(F.least("n", F.lit(LONG)).alias("n")).distinct().collect())  # LONG at most
+    keyed = written(runs.select(F.unhex(F.md5("run")).alias("id"), "run"), "url-runs")
+    if not lengths:
+        return map_arrow(keyed.select("run", F.lit(None).cast("array<struct<at:int,n:int,c:bigint>>").alias("hits")), partial(_viterbi, total=0.0), "run string, words array<string>")
+    n = F.length("run")
+    chunks = keyed.select("id", n.alias("length"), "run", F.explode(F.sequence(F.lit(0), F.ceil(n / CHUNK).cast("int") - 1)).alias("chunk"))
+    chunks = chunks.select("id", "length", "chunk", F.substring("run", F.col("chunk") * CHUNK + 1, F.lit(CHUNK + LONG - 1)).alias("part"))
+    starts = F.sequence(F.lit(1), F.least(F.lit(CHUNK), F.col("length") - F.col("chunk") * CHUNK))
+    sizes = F.array(*[F.lit(x) for x in lengths])
+    subs = F.flatten(F.transform(starts, lambda i: F.transform(
+        F.filter(sizes, lambda k: k <= F.length("part") - i + 1),
+        lambda k: F.struct((F.col("chunk") * CHUNK + i).alias("at"), F.col("part").substr(i, k).alias("word")))))
+    pieces = chunks.select("id", F.explode(subs).alias("s")).select("id", "s.at", "s.word")
+    known = pieces.join(counts.where(F.col("n") <= LONG), "word").select("id", "at", "n", "c")
+    if lengths[-1] == LONG:  # words that are longer: the rest is compared in the run
+        long = counts.where(F.col("n") > LONG).select(F.substring("word", 1, LONG).alias("head"), "word", "n", "c")
+        seeds = pieces.where(F.length("word") == LONG).withColumnRenamed("word", "head").join(long, "head")
+        whole = seeds.join(keyed, "id").where(F.col("run").substr(F.col("at"), F.col("n")) == F.col("word"))
+        known = known.unionAll(whole.select("id", "at", "n", "c"))
+    hits = known.groupBy("id").agg(F.collect_list(F.struct("at", "n", "c")).alias("hits"))  # of one run
+    return map_arrow(keyed.join(hits, "id", "left").select("run", "hits"), partial(_viterbi, total=float(total)), "run string, words array<string>")
 
 
 def judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
@@ -116,7 +150,8 @@ def judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
     parts = ruled.withColumn("path_lower", lower(F.col("path"))).select("url", "pages", "rule_verdict", F.explode(F.concat(side("host", "h"), side("path_lower", "p"))).alias("t")) \
         .select("url", "pages", "rule_verdict", "t.tag", "t.run")
     letters = parts.where(F.col("run").rlike(r"^\p{L}")).select("run").distinct()
-    words = written(segmented(letters, word_counts(pages.select(F.col("html").cast("string").alias("html")))), "url-words")
+    counts = written(word_counts(pages.select(F.col("html").cast("string").alias("html"))), "url-unigrams")  # used twice
+    words = written(segmented(letters, counts), "url-words")
 
     # naive Bayes: one row per (tag, word); training rows are added up per run before words are
     runs = parts.where("rule_verdict is not null").groupBy("tag", "run").agg(
@@ -134,8 +169,16 @@ def judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
         odds = lambda b, a: F.log((b + 1) / F.lit(float(n_block + v))) - F.log((a + 1) / F.lit(float(n_allow + v)))
         weight = with_words(parts.select("tag", "run").distinct()).join(seen, ["tag", "word"], "left") \
             .groupBy("tag", "run").agg(F.sum(odds(F.coalesce("block", F.lit(0)), F.coalesce("allow", F.lit(0)))).alias("w"))
-        open_parts = parts.where("rule_verdict is null")
-        scored = open_parts.join(weight, ["tag", "run"]).groupBy(F.col("url").alias("u")).agg(F.sum("w").alias("w"))
+        # parts that are in very many urls (HEAVY of them at most) meet their weight by broadcast, the others by a shuffle
+        weight = written(weight, "url-weights")
+        open_parts = parts.where("rule_verdict is null").select("url", "tag", "run")
+        often = open_parts.groupBy("tag", "run").agg(F.count("*").alias("n"))
+        every = open_parts.select(F.count("*")).scalar()
+        heavy = weight.join(written(often.where(F.col("n") * HEAVY > every), "url-heavy"), ["tag", "run"]).select("tag", "run", F.col("w").alias("heavy_w"))
+        marked = open_parts.join(F.broadcast(heavy), ["tag", "run"], "left")
+        scored = marked.where("heavy_w is null").join(weight, ["tag", "run"]).select("url", "w") \
+            .unionAll(marked.where("heavy_w is not null").select("url", F.col("heavy_w").alias("w")))
+        scored = scored.groupBy(F.col("url").alias("u")).agg(F.sum("w").alias("w"))
         score = F.round(F.coalesce("w", F.lit(0.0)) + math.log(prior[0] / prior[1]), 6)
         judged = ruled.join(scored, F.col("url") == F.col("u"), "left").withColumn("block_score", F.when(F.col("rule").isNull(), score)).drop("u", "w")
     else:

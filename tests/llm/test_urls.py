@@ -94,5 +94,46 @@ def test_viterbi_equals_all_splits():
         return sum(math.log10(counts[w] / total) if w in counts else 1 - math.log10(total) - len(w) for w in ws)
 
     for s in ("abc", "cabab", "zabzz", "bcabca", "q"):
-        hits = [{"at": i + 1, "word": s[i:i + n], "c": counts[s[i:i + n]]} for i in range(len(s)) for n in range(1, 4) if s[i:i + n] in counts and i + n <= len(s)]
+        hits = [{"at": i + 1, "n": n, "c": counts[s[i:i + n]]} for i in range(len(s)) for n in range(1, 4) if s[i:i + n] in counts and i + n <= len(s)]
         assert abs(p(op6.split_run(s, hits, total)) - max(map(p, splits(s)))) < 1e-9
+
+
+def test_words_of_any_length(spark):
+    """Words around the lookup length and beyond, inside runs that span chunks, against all lengths tried in plain Python."""
+    import random
+    rng = random.Random(9)
+    letters = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    vocabulary = {letters(n): rng.randrange(1, 50) for n in (1, 2, 3, 5, 8, 20, 21, 40, 63, 64, 65, 66, 100, 300, 700)}
+    long = next(w for w in vocabulary if len(w) == 300)
+    vocabulary[long[:200]] = 7
+    names = list(vocabulary)
+    runs = {"".join(rng.choice([*names, letters(4)]) for _ in range(rng.randrange(1, 9))) for _ in range(25)} | {long, long[:-1], "x", letters(1000)}
+    total = sum(vocabulary.values())
+    counts = spark.createDataFrame(list(vocabulary.items()), "word string, c long")
+    got = {r.run: r.words for r in op6.segmented(spark.createDataFrame([(r,) for r in runs], "run string"), counts).collect()}
+    for run in runs:
+        best, back = [0.0], [0]
+        for end in range(1, len(run) + 1):
+            top, at = -math.inf, 0
+            for start in range(end):
+                c = vocabulary.get(run[start:end])
+                p = best[start] + (math.log10(c) - math.log10(total) if c else 1 - math.log10(total) - (end - start))
+                if p > top + 1e-12:
+                    top, at = p, start
+            best.append(top)
+            back.append(at)
+        words, end = [], len(run)
+        while end:
+            words.append(run[back[end]:end])
+            end = back[end]
+        assert got[run] == words[::-1]
+    assert op6.segmented(spark.createDataFrame([("abc",)], "run string"), counts.limit(0)).collect()[0].words == ["a", "b", "c"]  # no unigram model: N is 1
+
+
+def test_a_very_long_run(spark):
+    import time
+    run = "casinowin" * 22_000
+    counts = spark.createDataFrame([("casino", 5), ("win", 9), ("in", 2), ("a", 1)], "word string, c long")
+    began = time.time()
+    words = op6.segmented(spark.createDataFrame([(run,)], "run string"), counts).collect()[0].words
+    assert words == ["casino", "win"] * 22_000 and time.time() - began < 60
