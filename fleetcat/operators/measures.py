@@ -298,7 +298,7 @@ def distinct_buckets(df: DataFrame, keys: Sequence[str], c: str) -> DataFrame:
         F.bitmap_construct_agg("bit").alias("bits"), F.max(F.col("bit").isNull()).alias("has_blank"))
 
 
-def distinct_count(buckets: DataFrame, group_by: Sequence[str], name: str) -> DataFrame:
+def distinct_count_of_buckets(buckets: DataFrame, group_by: Sequence[str], name: str) -> DataFrame:
     """M4 from stored buckets: (group_by, ``name``), equal to the distinct count over the detail rows."""
     merged = buckets.groupBy(*group_by, "negative", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"), F.max("has_blank").alias("blank"))
     amount = F.when(F.col("blank"), F.lit(1)).otherwise(F.bitmap_count("bits"))

@@ -279,7 +279,7 @@ def m4_rollup(spark, sf_dir):
     from fleetcat.session import cut_lineage
     stored = cut_lineage(M.distinct_buckets(_t(spark, sf_dir, "orders"), ["o_orderdate"], "o_custkey"), "distinct-buckets")
     monthly = stored.withColumn("month", F.trunc("o_orderdate", "month"))
-    return M.distinct_count(monthly, ["month"], "customers")
+    return M.distinct_count_of_buckets(monthly, ["month"], "customers")
 
 
 @register("M27_M30_on_calendar", oracle="""

@@ -114,7 +114,7 @@ def test_distinct_counts_roll_up(spark):
     rows = [(d, m, rng.choice(values)) for d in range(12) for m in "ab" for _ in range(60)]
     stored = M.distinct_buckets(spark.createDataFrame(rows, "day int, model string, v long"), ["day", "model"], "v")
     for group in (["day", "model"], ["model"], ["day"], []):
-        got = {tuple(r[:-1]): r.n for r in M.distinct_count(stored, group, "n").collect()}
+        got = {tuple(r[:-1]): r.n for r in M.distinct_count_of_buckets(stored, group, "n").collect()}
         at = [("day", "model").index(g) for g in group]
         want = {}
         for r in rows:
