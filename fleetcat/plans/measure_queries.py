@@ -254,6 +254,18 @@ def m21_m23(spark, sf_dir):
                     (F.col("rank_desc") - 1).alias("n_higher"))
 
 
+@register("M23_earlier_two_conditions", oracle="""
+select a.o_orderkey, count(b.o_orderkey) as n_peers
+from orders a left join orders b on a.o_orderpriority is not distinct from b.o_orderpriority
+  and b.o_totalprice > a.o_totalprice and b.o_orderdate < a.o_orderdate
+group by a.o_orderkey""")
+def m23_two(spark, sf_dir):
+    """Earlier orders of the same priority with a larger total, counted without pairs."""
+    from fleetcat.operators.peers import count_dominating_peers
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice", "o_orderdate")
+    return count_dominating_peers(o, ["o_orderpriority"], "o_totalprice", "o_orderdate", "n_peers").select("o_orderkey", "n_peers")
+
+
 @register("M22_concatenatex", oracle="""
 select p_brand, string_agg(p_name, ', ' order by p_name) as names, count(*) as n_names
 from (select distinct p_brand, p_name from part) group by p_brand""")
