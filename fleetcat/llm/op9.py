@@ -12,12 +12,14 @@ Method
     of the conversation; overlapping stretches are found by a sweep over
     prefix sums.  Only inside a stretch are calls peeled in rounds of joins:
     level 0 needs nothing in the stretch, else one more than the highest it
-    needs there.  A cycle has a reference to a later (or the same) call at
+    needs there; chains of calls with one need each are contracted before, by
+    pointer doubling in log rounds.  A cycle has a reference to a later (or the same) call at
     every step up, so it lies inside one stretch; its calls stay open and are
     reported.
   * Position in the conversation follows (stretch or own place, level, place),
     by range-sorted prefix sums, so a conversation of any length needs no task
-    of its own, and rounds grow only with chains inside stretches.
+    of its own, and rounds grow only with chains of calls that have several
+    needs inside a stretch.
   * Arguments are checked against the tool's JSON schema (type, properties,
     required, additionalProperties, enum, items, minimum, maximum, minLength,
     maxLength), and the linked call is written as canonical JSON: sorted keys,
@@ -155,20 +157,47 @@ def _check(batches, tools: dict):
                                          names=["info", "errors", "record"])
 
 
+def _chains(single: DataFrame) -> DataFrame:
+    """(conv, call_id, to, dist) of calls with one need: the first call down the chain that has none or several, by pointer doubling.
+
+    ``single``: (conv, call_id, need).  On and behind a cycle of such calls ``to`` is one of them.
+    """
+    jumps = written(single.select("conv", "call_id", F.col("need").alias("to"), F.lit(1).cast("long").alias("dist")), "chains")
+    for _ in range(jumps.count().bit_length()):
+        step = jumps.select("conv", F.col("call_id").alias("to"), F.col("to").alias("next"), F.col("dist").alias("more"))
+        doubled = written(jumps.join(step, ["conv", "to"], "left"), "chains")
+        jumps = doubled.select("conv", "call_id", F.coalesce("next", "to").alias("to"), (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist"))
+        if doubled.where("next is not null").isEmpty():
+            break
+    return jumps
+
+
 def _peeled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(conv, call_id, level) of the nodes; level is null on cycles and behind them.  ``edges``: (conv, call_id, need)."""
+    """(conv, call_id, level) of the nodes; level is null on cycles and behind them.  ``edges``: (conv, call_id, need), distinct.
+
+    Chains of calls with one need each are contracted first, so rounds grow only with calls that have several.
+    """
     key = ["conv", "call_id"]
-    latest = nodes.join(edges.select(*key).distinct(), key, "left_anti").select(*key, F.lit(0).alias("level"))
-    out, level = latest, 0
-    while not edges.isEmpty():
-        level += 1
-        ready = latest.select("conv", F.col("call_id").alias("need"))
-        left = written(edges.join(ready, ["conv", "need"], "left_anti").select(*key, "need"), "needs")
-        latest = written(edges.select(*key).distinct().join(left.select(*key).distinct(), key, "left_anti").select(*key, F.lit(level).alias("level")), "level")
+    degree = written(edges.groupBy(*key).agg(F.count("*").alias("n"), F.min("need").alias("need")), "degrees")
+    chains = _chains(degree.where("n = 1"))
+    roots = nodes.join(degree, key, "left_anti").select(*key, F.lit(0).cast("long").alias("level"))
+    through = chains.select("conv", F.col("call_id").alias("need"), "to", "dist")
+    several = edges.join(degree.where("n > 1").select(*key), key, "left_semi").join(through, ["conv", "need"], "left")
+    several = several.select(*key, F.coalesce("to", "need").alias("need"), (F.coalesce("dist", F.lit(0)) + 1).alias("dist"), F.lit(None).cast("long").alias("got"))
+    latest = levels = roots
+    while True:
+        known = latest.select("conv", F.col("call_id").alias("need"), F.col("level").alias("below"))
+        several = written(several.join(known, ["conv", "need"], "left").select(
+            *key, "need", "dist", F.coalesce("got", F.col("below") + F.col("dist")).alias("got")), "needs")
+        latest = written(several.groupBy(*key).agg(F.max("got").alias("level"), F.count_if(F.col("got").isNull()).alias("open"))
+                         .where("open = 0").select(*key, "level"), "level")
         if latest.isEmpty():
-            return out.union(left.select(*key).distinct().withColumn("level", F.lit(None).cast("int")))
-        out, edges = out.union(latest), left
-    return out
+            break
+        levels = levels.union(latest)
+        several = several.join(latest, key, "left_anti")
+    behind = chains.join(levels.withColumnRenamed("call_id", "to"), ["conv", "to"], "left").select(*key, (F.col("level") + F.col("dist")).alias("level"))
+    never = several.select(*key).distinct().withColumn("level", F.lit(None).cast("long"))
+    return levels.union(behind).union(never).withColumn("level", F.col("level").cast("int"))
 
 
 def stretches(calls: DataFrame, needs: DataFrame) -> DataFrame | None:

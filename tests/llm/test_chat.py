@@ -62,6 +62,33 @@ def test_a_long_chain_needs_no_rounds(spark):
     assert all(got[(1, f"c{i}", 2 * i)].position == i and got[(1, f"c{i}", 2 * i)].level == 0 for i in range(300))
 
 
+def test_levels_of_chains_take_log_rounds(spark, monkeypatch):
+    """Forward chains, calls with several needs, cycles and what hangs behind them: levels equal a walk in plain Python."""
+    import random
+    rng = random.Random(11)
+    needs = {(1, i): [i + 1] for i in range(300)} | {(1, 300): []}  # one chain, each call names the next
+    needs |= {(1, 400 + i): [rng.randrange(301)] for i in range(50)}  # many calls hang on the chain
+    needs |= {(2, i): rng.sample(range(i), min(i, rng.choice([0, 1, 1, 1, 2, 3]))) for i in range(80)}
+    needs |= {(3, 0): [0], (3, 1): [0], (3, 2): [3], (3, 3): [4], (3, 4): [2], (3, 5): [4], (3, 6): [5, 7], (3, 7): [], (3, 8): [7], (3, 9): [8, 7], (3, 10): [9]}
+    level = {}
+    for _ in range(len(needs)):
+        ready = {k: max([level[k[0], j] + 1 for j in js], default=0) for k, js in needs.items() if k not in level and all((k[0], j) in level for j in js)}
+        if not ready:
+            break
+        level |= ready
+    tables = []
+    monkeypatch.setattr(op9, "written", lambda df, name, _written=op9.written: (tables.append(name), _written(df, name))[1])
+    nodes = spark.createDataFrame([(str(c), str(i)) for c, i in needs], "conv string, call_id string")
+    edges = spark.createDataFrame([(str(c), str(i), str(j)) for (c, i), js in needs.items() for j in js], "conv string, call_id string, need string")
+    got = op9._peeled(nodes, edges).collect()
+    assert {(int(r.conv), int(r.call_id)): r.level for r in got} == {k: level.get(k) for k in needs} and len(got) == len(needs)
+    assert tables.count("chains") <= 12
+    tables.clear()
+    assert {(r.call_id, r.level) for r in op9._peeled(nodes.where("conv = '1'"), edges.where("conv = '1'")).collect()} >= {("0", 300), ("300", 0)}
+    assert len(tables) <= 14
+    assert op9._peeled(nodes, edges.limit(0)).where("level = 0").count() == len(needs)
+
+
 def test_order_is_topological_and_cycles_are_found_on_random_references(spark):
     import random
     rng = random.Random(7)
