@@ -248,6 +248,12 @@ def rankx_df(df: DataFrame, partition_by: Sequence[str], value_col: str, name: s
     return rank_within(df, list(partition_by), value_col, name, descending=descending, dense=dense)
 
 
+def rankx_many(df: DataFrame, partition_by: Sequence[str], value_col: str, ranks: dict[str, tuple[bool, bool]]) -> DataFrame:
+    """M21 RANKX several times over one value: name -> (descending, dense), from one sorted table."""
+    from fleetcat.operators.common import ranks_within
+    return ranks_within(df, list(partition_by), value_col, ranks)
+
+
 def count_higher_peers(partition_by: Sequence[str], order_col) -> Column:
     """M23 EARLIER: for each row, how many peers in the group have a strictly higher value.
 

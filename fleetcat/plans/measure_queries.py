@@ -247,9 +247,7 @@ from part""")
 def m21_m23(spark, sf_dir):
     """Ranks within a brand computed skew-safe (a brand may hold much of the table); EARLIER = rank_desc - 1."""
     p = _t(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_retailprice")
-    p = M.rankx_df(p, ["p_brand"], "p_retailprice", "rank_desc")
-    p = M.rankx_df(p, ["p_brand"], "p_retailprice", "dense_desc", dense=True)
-    p = M.rankx_df(p, ["p_brand"], "p_retailprice", "rank_asc", descending=False)
+    p = M.rankx_many(p, ["p_brand"], "p_retailprice", {"rank_desc": (True, False), "dense_desc": (True, True), "rank_asc": (False, False)})
     return p.select("p_partkey", "p_brand", "rank_desc", "dense_desc", "rank_asc",
                     (F.col("rank_desc") - 1).alias("n_higher"))
 

@@ -220,7 +220,7 @@ def test_entry_contract(spark):
 
 def test_numbering_and_ranks_equal_windows_with_nulls(spark):
     from pyspark.sql import Window
-    from fleetcat.operators.common import rank_within, row_number_within
+    from fleetcat.operators.common import rank_within, ranks_within, row_number_within
     rnd = random.Random(3)
     data = [(rnd.choice([1, 1, 1, 2, None]), i, rnd.choice([None, *map(float, range(12))])) for i in range(400)]
     df = spark.createDataFrame(data, "g long, pos long, v double")
@@ -231,6 +231,13 @@ def test_numbering_and_ranks_equal_windows_with_nulls(spark):
         want = df.withColumn("r", F.rank().over(wd)).withColumn("d", F.dense_rank().over(wd))
         assert rows(rank_within(df, ["g"], "v", "r", descending=descending), "pos", "r") == rows(want, "pos", "r")
         assert rows(rank_within(df, ["g"], "v", "d", descending=descending, dense=True), "pos", "d") == rows(want, "pos", "d")
+    spark.sparkContext.setJobGroup("ranks", "ranks")
+    several = ranks_within(df, ["g"], "v", {"a": (False, False), "ad": (False, True), "d": (True, False), "dd": (True, True)})
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("ranks")) <= 8
+    spark.sparkContext.setJobGroup("tests", "tests")
+    for asc, dense, c in ((True, False, "a"), (True, True, "ad"), (False, False, "d"), (False, True, "dd")):
+        wd = Window.partitionBy("g").orderBy(F.col("v").asc_nulls_first() if asc else F.col("v").desc_nulls_last())
+        assert rows(several, "pos", c) == rows(df.withColumn(c, (F.dense_rank() if dense else F.rank()).over(wd)), "pos", c)
 
 
 def test_a_large_model_is_written_by_several_tasks(spark, tmp_path):
