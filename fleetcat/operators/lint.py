@@ -7,6 +7,8 @@ ever gathered in one place.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,12 @@ MIN_DUPLICATE_EXPR_CHARS = 10  # trimmed expression must be longer than this
 BIDIRECTIONAL_LIMIT = 3
 MEASURE_LIMIT = 30
 CALC_COLUMN_LIMIT = 10
+HARDCODED, BIDIRECTIONAL, MEASURE_COUNT = "Hardcoded Connections", "Bidirectional Relationships", "Measure Count"
+CALC_COLUMNS, DUPLICATES, UNUSED = "Calculated Columns", "Duplicate DAX Logic", "Unused Measures"
+OBSERVATIONS = {  # title: severity, and the count that must be exceeded
+    HARDCODED: ("warning", 0), BIDIRECTIONAL: ("important", BIDIRECTIONAL_LIMIT), MEASURE_COUNT: ("note", MEASURE_LIMIT),
+    CALC_COLUMNS: ("tip", CALC_COLUMN_LIMIT), DUPLICATES: ("tip", 0), UNUSED: ("note", 0),
+}
 REL_END_COLUMNS = ("from_table", "from_column", "to_table", "to_column")
 
 
@@ -53,9 +61,9 @@ def duplicate_expressions(measures: DataFrame) -> DataFrame:
 def observation_items(partitions: DataFrame, measures: DataFrame, unused_report: DataFrame) -> DataFrame:
     """A3 lists: one row per (model, observation, item): tables with hardcoded servers, measures that share logic, unused measures."""
     hard = partitions.where(is_hardcoded_connection(F.col("expression"))).select(
-        "model_id", F.lit("Hardcoded Connections").alias("title"), F.col("table_name").alias("item"))
-    shared = duplicate_expressions(measures).select("model_id", F.lit("Duplicate DAX Logic"), "name")
-    unused = unused_report.select("model_id", F.lit("Unused Measures"), "name")
+        "model_id", F.lit(HARDCODED).alias("title"), F.col("table_name").alias("item"))
+    shared = duplicate_expressions(measures).select("model_id", F.lit(DUPLICATES), "name")
+    unused = unused_report.select("model_id", F.lit(UNUSED), "name")
     return hard.union(shared).union(unused)
 
 
@@ -66,28 +74,23 @@ def threshold_observations(partitions: DataFrame, relationships: DataFrame, meas
     Hardcoded HANA server (any), bidirectional relationships (> 3), measure
     count (> 30), calculated columns (> 10), duplicated logic (any group),
     unused measures (any, from J2).  Observations do not drop system tables.
+    What the rules count is one tagged union, summed once per (model, title).
     """
-    hard = (partitions.groupBy("model_id")
-            .agg(F.count_if(is_hardcoded_connection(F.col("expression"))).alias("n"))
-            .where(F.col("n") > 0)
-            .select("model_id", F.lit("warning").alias("severity"), F.lit("Hardcoded Connections").alias("title"), "n"))
-    bidir = (relationships.groupBy("model_id")
-             .agg(F.count_if(cross_filter_label("cross_filter") == "Both").alias("n"))
-             .where(F.col("n") > BIDIRECTIONAL_LIMIT)
-             .select("model_id", F.lit("important"), F.lit("Bidirectional Relationships"), "n"))
-    mcount = (measures.groupBy("model_id").agg(F.count(F.lit(1)).alias("n"))
-              .where(F.col("n") > MEASURE_LIMIT)
-              .select("model_id", F.lit("note"), F.lit("Measure Count"), "n"))
-    ccount = (columns.groupBy("model_id").agg(F.count_if(F.col("is_calculated")).alias("n"))
-              .where(F.col("n") > CALC_COLUMN_LIMIT)
-              .select("model_id", F.lit("tip"), F.lit("Calculated Columns"), "n"))
-    dups = (duplicate_expressions(measures).select("model_id", "expression").distinct()
-            .groupBy("model_id").agg(F.count(F.lit(1)).alias("n"))
-            .select("model_id", F.lit("tip"), F.lit("Duplicate DAX Logic"), "n"))
-    out = hard.unionByName(bidir.toDF(*hard.columns)).unionByName(mcount.toDF(*hard.columns))
-    out = out.unionByName(ccount.toDF(*hard.columns)).unionByName(dups.toDF(*hard.columns))
+    shared = measures.select("model_id", py_strip(F.coalesce(F.col("expression").cast("string"), F.lit("None"))).alias("expression"))
+    shared = (shared.groupBy("model_id", F.when(F.length("expression") > MIN_DUPLICATE_EXPR_CHARS, F.col("expression")).alias("expression"))
+              .agg(F.count(F.lit(1)).alias("n")))
+    repeated = F.when(F.col("expression").isNotNull() & (F.col("n") > 1), 1).otherwise(0)
+    one = F.lit(1)
+    found = [
+        partitions.where(is_hardcoded_connection(F.col("expression"))).select("model_id", F.lit(HARDCODED).alias("title"), one.alias("n")),
+        relationships.where(cross_filter_label("cross_filter") == "Both").select("model_id", F.lit(BIDIRECTIONAL), one),
+        columns.where("is_calculated").select("model_id", F.lit(CALC_COLUMNS), one),
+        # both counts of a group of equal expressions: its measures, and whether it repeats
+        shared.select("model_id", F.explode(F.create_map(F.lit(MEASURE_COUNT), F.col("n"), F.lit(DUPLICATES), repeated.cast("long")))),
+    ]
     if unused_report is not None:
-        unused = (unused_report.groupBy("model_id").agg(F.count(F.lit(1)).alias("n"))
-                  .select("model_id", F.lit("note"), F.lit("Unused Measures"), "n"))
-        out = out.unionByName(unused.toDF(*hard.columns))
-    return out
+        found.append(unused_report.select("model_id", F.lit(UNUSED), one))
+    counted = reduce(DataFrame.union, found).groupBy("model_id", "title").agg(F.sum("n").alias("n"))
+    rule = F.create_map(*[x for title, (severity, limit) in OBSERVATIONS.items() for x in (F.lit(title), F.struct(F.lit(severity).alias("severity"), F.lit(limit).alias("limit")))])
+    return (counted.withColumn("rule", rule[F.col("title")]).where(F.col("n") > F.col("rule.limit"))
+            .select("model_id", "rule.severity", "title", "n"))
