@@ -353,3 +353,26 @@ def test_concatenatex_as_ordered_rows(spark):
     assert joined == {g: "|".join(r.value for r in rows_of if r.g == g) for g in joined}
     plan = measures.concatenatex_rows(df, ["g"], "v")._jdf.queryExecution().toString()
     assert "listagg" not in plan and "collect_list" not in plan
+
+
+def test_lineage_edges_literal(spark):
+    from fleetcat.operators.lineage import lineage_edges
+    expressions = {
+        "Total": "SUM(Sales[Amount])",
+        "Margin": "[total] - [Cost] // [Late]",
+        "Quoted": "SUM('Fact Table'[Net Price]) + \"[Total]\" & [Nothing]",
+        "Vars": "VAR base = [Total] RETURN [base] + [Both]",
+        "Both": "/* [Total] */ [Margin] -- [Vars]",
+        "Cut": "\"http://x\" & [Total]",  # comments go before strings, so the line ends at the slashes
+        "Qualified": "Sales[Total] + [Cost] + [Cost]",
+    }
+    measures = spark.createDataFrame([(1, i, "Sales", n, e) for i, (n, e) in enumerate(expressions.items())] + [
+        (1, 90, "LocalDateTable_1", "Hidden", "[Total]"), (2, 1, "Sales", "Other", "[Total] + [Cost]"), (1, -1, "Sales", "Total", "[Cost]"),
+        (1, 91, "Sales", None, "[Total]"), (1, 92, "Sales", "Empty", None)],
+        "model_id long, ordinal long, table_name string, name string, expression string")
+    columns = spark.createDataFrame([(1, "Sales", "COST"), (1, "Sales", "Both"), (1, "Sales", None)], "model_id long, table_name string, column_name string")
+    got = rows(lineage_edges(measures, columns), "model_id", "measure", "dep_kind", "dep")
+    assert got == sorted([
+        (1, "Total", "column", "Amount"), (1, "Margin", "measure", "total"), (1, "Margin", "column", "Cost"),
+        (1, "Quoted", "column", "Net Price"), (1, "Vars", "measure", "Total"), (1, "Vars", "measure", "Both"),
+        (1, "Both", "measure", "Margin"), (1, "Qualified", "column", "Total"), (1, "Qualified", "column", "Cost")])

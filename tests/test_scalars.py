@@ -111,3 +111,28 @@ def test_function_calls_of_a_measure(spark):
     m = spark.createDataFrame([(1, "T", "A", 1, 'IF(SUM(t[a (b)]) > 0, sum (t[x]), "MAX(1)") -- MIN(2)')],
                               "model_id long, table_name string, name string, ordinal long, expression string")
     assert sorted((r["function"], r["n_calls"]) for r in function_calls(m).collect()) == [("IF", 1), ("SUM", 2)]
+
+
+def test_binary_payloads(spark):
+    cases = {
+        'Table.FromRows(Json.Document(Binary.Decompress(Binary.FromText("i45W", BinaryEncoding.Base64))))': True,
+        'Table.FromRows( \n Json.Document(\n Binary.Decompress(x, Compression.Deflate)))': True,
+        'Binary.Decompress(\n  Binary.FromText("a"))': True,
+        'Binary.Decompress(File.Contents("a")) & later(Binary.FromText("b"))': True,  # the lazy span crosses anything
+        'Binary.FromText("a") then Binary.Decompress(x)': False,
+        'Table.FromRows(Json.Document(x))': False, 'binary.decompress(binary.fromtext(': False, "": False,
+    }
+    for code, want in cases.items():
+        assert one(spark, fx.is_binary_payload("a"), code) is want, code
+    assert one(spark, fx.is_binary_payload("a"), None) is False
+
+
+def test_wells_and_their_labels(spark):
+    assert one(spark, fx.well_of("a"), "Category: x -> T[c]") == "Category"
+    assert one(spark, fx.well_of("a"), "Y: Sum(T.c)") == "Y"
+    for raw in ("T[c]", "category: T[c]", "Category:T[c]", " Category: T[c]", "Nowhere: T[c]", ""):
+        assert one(spark, fx.well_of("a"), raw) == "Values", raw
+    labels = {"Category": "X-axis", "X": "X-axis", "Axis": "X-axis", "Y": "Y-axis", "Y2": "Y-axis (secondary)", "Series": "Legend", "Legend": "Legend",
+              "Values": "Value", "Rows": "Rows", "Columns": "Columns", "Tooltips": "Tooltips", "Details": "Detail", "Size": "Size", "Nowhere": "Nowhere"}
+    df = spark.createDataFrame([(w,) for w in labels], "a string").select("a", fx.well_label("a").alias("r"))
+    assert {r.a: r.r for r in df.collect()} == labels
