@@ -354,6 +354,22 @@ def p22(spark, sf_dir):
     return f.select("model_id", "page_id", "pos", "field_no", fx.field_reference("field_json").alias("ref"))
 
 
+_NESTED = "pos % 5"  # wrappers put round a reference
+
+
+@register("P22_nested_references", oracle=_VF + f"""
+select model_id, page_id, pos, field_no, repeat('Agg(', cast({_NESTED} as integer)) || {field_ref_sql("field_json")}
+  || repeat(')', cast({_NESTED} as integer)) as ref
+from cat_visual_fields
+""")
+def p22_nested(spark, sf_dir):
+    from fleetcat.sources.layout_variant import field_reference_any
+    f = _cat(spark, sf_dir, "cat_visual_fields")
+    times = F.expr(f"cast({_NESTED} as int)")
+    nested = F.concat(F.repeat(F.lit('{"Aggregation":{"Expression":'), times), F.col("field_json"), F.repeat(F.lit(',"Function":0}}'), times))
+    return f.select("model_id", "page_id", "pos", "field_no", field_reference_any(nested).alias("ref"))
+
+
 @register("P27_format_geometry", oracle=oracle_ctes("cat_visuals") + """
 select model_id, page_id, pos, case when coalesce(title, '') = '' then type else title end as label,
   cast(cast(trunc(width) as bigint) as varchar) || '×' || cast(cast(trunc(height) as bigint) as varchar) || ' @ '

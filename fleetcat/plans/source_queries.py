@@ -294,23 +294,49 @@ ft AS (select model_id, page_id, pos,
 """
 
 
-@register("S3_scan_layout_json", oracle=oracle_ctes("cat_pages", "cat_visuals", "cat_visual_fields")
-          + _expected_fields_sql("field_no") + """
+_S3_SQL = (oracle_ctes("cat_pages", "cat_visuals", "cat_visual_fields") + _expected_fields_sql("field_no") + """
 select v.model_id, v.page_id, p.page_name, cast(v.pos as integer) as vis_no, v.type, coalesce(v.title, '') as title,
   v.x, v.y, v.width, v.height, v.z, v.hidden, ft.fields_text, p.width as page_width, p.height as page_height,
   case when v.pos % 3 = 0 then 'part[p_type]' else '' end as filters_text
 from cat_visuals v join cat_pages p on v.model_id = p.model_id and v.page_id = p.page_id
 left join ft on ft.model_id = v.model_id and ft.page_id = v.page_id and ft.pos = v.pos
 """)
-def s3_layout(spark, sf_dir):
-    from fleetcat.sources.layout_json import render_layout_docs, scan_layout_json
-    docs = _rendered(spark, sf_dir, "layout-docs", render_layout_docs)
-    out = scan_layout_json(docs, ["model_id", "page_id"])
+
+
+def _s3_columns(out):
     return out.select("model_id", "page_id", "page_name", "vis_no", "type", "title", "x", "y", "width", "height", "z",
                       "hidden", F.array_join("fields", " | ").alias("fields_text"), "page_width", "page_height",
                       F.array_join("filters", " | ").alias("filters_text"))
 
 
+@register("S3_scan_layout_json", oracle=_S3_SQL)
+def s3_layout(spark, sf_dir):
+    from fleetcat.sources.layout_json import render_layout_docs, scan_layout_json
+    docs = _rendered(spark, sf_dir, "layout-docs", render_layout_docs)
+    return _s3_columns(scan_layout_json(docs, ["model_id", "page_id"]))
+
+
+def _parsed_layouts(spark, sf_dir):
+    from fleetcat.sources.layout_json import render_layout_docs
+    from fleetcat.sources.layout_variant import parse_layouts
+    return parse_layouts(_rendered(spark, sf_dir, "layout-docs", render_layout_docs), ["model_id", "page_id"], "layout")
+
+
+@register("S3_scan_layout_variant", oracle=_S3_SQL)
+def s3_variant(spark, sf_dir):
+    from fleetcat.sources.layout_variant import scan_layouts
+    return _s3_columns(scan_layouts(_parsed_layouts(spark, sf_dir), ["model_id", "page_id"]))
+
+
+@register("S3_unknown_fields", oracle=oracle_ctes("cat_visuals", "cat_pages") + """
+select v.model_id, v.page_id, 1 as page_no, cast(v.pos as integer) as vis_no, 'config' as part, 'visibility' as name, '1' as value
+from cat_visuals v join cat_pages p on v.model_id = p.model_id and v.page_id = p.page_id where v.hidden
+""")
+def s3_unknown(spark, sf_dir):
+    from fleetcat.sources.layout_variant import unknown_fields
+    return unknown_fields(_parsed_layouts(spark, sf_dir), ["model_id", "page_id"])
+
+
 @register("S3_pages", oracle=oracle_ctes("cat_pages", "cat_visuals") + """
 , n AS (select model_id, page_id, count(*) as n from cat_visuals group by model_id, page_id)
 select p.model_id, p.page_id, 1 as page_no, p.page_name, p.width as page_width, p.height as page_height, false as page_hidden,
@@ -331,7 +357,7 @@ def s4_pages(spark, sf_dir):
     return page_file_pages(_rendered(spark, sf_dir, "page-files", render_page_files), ["model_id"])
 
 
-@register("S4_scan_page_files", oracle=oracle_ctes("cat_pages", "cat_visuals", "cat_visual_fields") + _expected_fields_sql(
+_S4_SQL = (oracle_ctes("cat_pages", "cat_visuals", "cat_visual_fields") + _expected_fields_sql(
         "list_position(['Values', 'Rows', 'Columns', 'Category', 'Y', 'X', 'Size', 'Tooltips'], role), field_no") + """
 select v.model_id, 'pg' || cast(v.page_id as varchar) as page_folder, p.page_name, p.hidden as page_hidden,
   'v' || cast(v.pos as varchar) as visual_folder, v.type, coalesce(v.title, '') as title,
@@ -340,12 +366,26 @@ from cat_visuals v join cat_pages p on v.model_id = p.model_id and v.page_id = p
 left join ft on ft.model_id = v.model_id and ft.page_id = v.page_id and ft.pos = v.pos
 where (v.page_id + v.pos) % 10 <> 0
 """)
+
+
+def _s4_columns(out):
+    return out.select("model_id", "page_folder", "page_name", "page_hidden", "visual_folder", "type", "title",
+                      "x", "y", "width", "height", "z", "hidden", F.array_join("fields", " | ").alias("fields_text"))
+
+
+@register("S4_scan_page_files", oracle=_S4_SQL)
 def s4_page_files(spark, sf_dir):
     from fleetcat.sources.layout_json import render_page_files, scan_page_files
     files = _rendered(spark, sf_dir, "page-files", render_page_files)
-    out = scan_page_files(files, ["model_id"])
-    return out.select("model_id", "page_folder", "page_name", "page_hidden", "visual_folder", "type", "title",
-                      "x", "y", "width", "height", "z", "hidden", F.array_join("fields", " | ").alias("fields_text"))
+    return _s4_columns(scan_page_files(files, ["model_id"]))
+
+
+@register("S4_scan_page_variant", oracle=_S4_SQL)
+def s4_variant(spark, sf_dir):
+    from fleetcat.sources.layout_json import render_page_files
+    from fleetcat.sources.layout_variant import parse_layouts, scan_page_documents
+    parsed = parse_layouts(_rendered(spark, sf_dir, "page-files", render_page_files), ["model_id"], "text", extra=["path"])
+    return _s4_columns(scan_page_documents(parsed, ["model_id"]))
 
 
 # ------------------------------------------------------------------ S5: shared queries of a section document
