@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fleetcat.operators import layout
+from fleetcat.operators import crowded, layout
 from fleetcat.operators.usage import visuals_with_page
 from fleetcat.plans.registry import register
 from fleetcat.sources.fixtures import catalog, oracle_ctes
@@ -40,6 +40,23 @@ def j7_overlap(spark, sf_dir):
     return p.select("model_id", "page_id", "pos_a", "pos_b", F.round("ioa", 6).alias("ioa"))
 
 
+@register("J7_overlap_classes", oracle=oracle_ctes("cat_visuals", "cat_pages") + _V_SQL + """
+, c AS (select model_id, page_id, x, y, width, height, min(pos) as pos, count(*) as members from v group by all)
+select a.model_id, a.page_id, a.pos as class_a, b.pos as class_b, a.members as members_a, b.members as members_b,
+  round((least(a.x + a.width, b.x + b.width) - greatest(a.x, b.x)) * (least(a.y + a.height, b.y + b.height) - greatest(a.y, b.y))
+        / least(a.width * a.height, b.width * b.height), 6) as ioa
+from c a join c b on a.model_id = b.model_id and a.page_id = b.page_id and a.pos < b.pos
+where least(a.x + a.width, b.x + b.width) > greatest(a.x, b.x) and least(a.y + a.height, b.y + b.height) > greatest(a.y, b.y)
+  and least(a.width * a.height, b.width * b.height) > 0
+""")
+def j7_classes(spark, sf_dir):
+    pairs, members = crowded.overlap_classes(_visuals(spark, sf_dir))
+    sizes = members.groupBy(*layout.PAGE_KEYS, "class_pos").agg(F.count(F.lit(1)).alias("n"))
+    for side in ("a", "b"):
+        pairs = pairs.join(sizes.withColumnsRenamed({"class_pos": f"class_{side}", "n": f"members_{side}"}), [*layout.PAGE_KEYS, f"class_{side}"])
+    return pairs.select("model_id", "page_id", "class_a", "class_b", "members_a", "members_b", F.round("ioa", 6).alias("ioa"))
+
+
 _IOA = """(case when least(k.x + k.w, o.x + o.width) < greatest(k.x, o.x) or least(k.y + k.h, o.y + o.height) < greatest(k.y, o.y) then 0
      when least(k.w * k.h, o.width * o.height) = 0 then 0
      else (least(k.x + k.w, o.x + o.width) - greatest(k.x, o.x)) * (least(k.y + k.h, o.y + o.height) - greatest(k.y, o.y))
@@ -66,12 +83,19 @@ def _recursive(sql: str) -> str:
     return sql.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-@register("J8_consolidate_layers", oracle=_recursive(oracle_ctes("cat_visuals", "cat_pages") + _WALK_SQL
-                                                     + "select model_id, page_id, pos, absorbed from cons"))
+_J8_SQL = _recursive(oracle_ctes("cat_visuals", "cat_pages") + _WALK_SQL + "select model_id, page_id, pos, absorbed from cons")
+
+
+@register("J8_consolidate_layers", oracle=_J8_SQL)
 def j8_consolidate(spark, sf_dir):
     return layout.consolidate_layers(_visuals(spark, sf_dir)).select("model_id", "page_id", "pos", "absorbed")
 
 
+@register("J8_consolidate_crowded", oracle=_J8_SQL)
+def j8_crowded(spark, sf_dir):
+    return crowded.consolidate_crowded(_visuals(spark, sf_dir)).select("model_id", "page_id", "pos", "absorbed")
+
+
 @register("W1_W2_wireframe", oracle=_recursive(oracle_ctes("cat_visuals", "cat_pages") + _WALK_SQL + """
 , kept AS (select * from cons where not absorbed),
 lab AS (select *, case when coalesce(title, '') = '' then type else title end as raw,
