@@ -5,10 +5,12 @@ then position) is open: a later text or button is absorbed by the first if that
 is kept, and otherwise by what absorbs the first.  So 100,000 visuals in one
 place are one box with members.
 
-Different boxes meet in the leaves of a quadtree per page.  A cell splits while
-more than ``CELL_LOAD`` box centres lie in it.  Of a covering pair the smaller
-box's centre lies in the larger one (its area is covered to 95 %), so a box has
-one leaf as the smaller and the leaves it touches as the larger side.
+Different boxes meet in the cells of a quadtree per page.  A cell splits while
+more than ``CELL_LOAD`` centres of boxes that are small beside it lie in it; a
+box stays in the cell of its own size, so a stack does not split into cells that
+each of its boxes touches.  Of a covering pair the smaller box's centre lies in
+the larger one (its area is covered to 95 %), so a box has one cell as the
+smaller and the cells it touches as the larger side.
 
 The greedy rule runs in rounds of semi-joins, which stop at a row's first match
 and give no pairs: open boxes that an earlier kept box covers are absorbed;
@@ -71,38 +73,44 @@ def _at(i: Column, level: Column) -> Column:
     return F.floor(i / F.pow(F.lit(2), F.lit(MAX_LEVEL) - level)).cast("int")
 
 
+def _own_level(length: Column, size: Column) -> Column:
+    """The deepest level at which a cell is at least half as long as the box."""
+    return F.least(F.greatest(F.floor(F.log2(F.greatest(size, F.lit(1.0)) / length)) + 1, F.lit(0)), F.lit(MAX_LEVEL)).cast("int")
+
+
 def _centre_cells(boxes: DataFrame, levels: int) -> DataFrame:
     level = F.col("level")
-    return (boxes.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels))))
+    return (boxes.withColumn("level", F.explode(F.sequence(F.lit(0), F.least(F.lit(levels), "own"))))
             .withColumns({"cx": _at(F.col("mid_x"), level), "cy": _at(F.col("mid_y"), level)}))
 
 
 def quadtree(boxes: DataFrame) -> DataFrame:
-    """The occupied cells of every page's tree: (page keys, level, cx, cy, leaf), each below a split cell."""
-    loads = cut_lineage(_centre_cells(boxes, MAX_LEVEL).groupBy(*CELL).agg(F.count(F.lit(1)).alias("n")), "loads")
-    split = loads.where((F.col("n") > CELL_LOAD) & (F.col("level") < MAX_LEVEL)).select(
+    """The occupied cells of every page's tree: (page keys, level, cx, cy, split), each below a split cell."""
+    deeper = F.count(F.when(F.col("own") > F.col("level"), 1))
+    loads = cut_lineage(_centre_cells(boxes, MAX_LEVEL).groupBy(*CELL).agg((deeper > CELL_LOAD).alias("split")), "loads")
+    split = loads.where("split").select(
         *PAGE_KEYS, (F.col("level") + 1).alias("level"), F.col("cx").alias("px"), F.col("cy").alias("py"))
     half = lambda c: F.floor(F.col(c) / 2).cast("int")
     below = loads.withColumns({"px": half("cx"), "py": half("cy")}).join(split, [*PAGE_KEYS, "level", "px", "py"], "left_semi")
     tree = loads.where("level = 0").unionByName(below.drop("px", "py"))
-    return cut_lineage(tree.select(*CELL, ((F.col("n") <= CELL_LOAD) | (F.col("level") == MAX_LEVEL)).alias("leaf")), "tree")
+    return cut_lineage(tree.select(*CELL, "split"), "tree")
 
 
 def _placed(boxes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Boxes as smaller side (the leaf of their centre) and as larger side (all leaves they touch), both written."""
+    """Boxes as smaller side (one cell of their centre) and as larger side (the cells they touch), both written."""
     tree = quadtree(boxes)
     deepest = tree.agg(F.max("level")).first()[0] or 0  # one number
-    leaves = tree.where("leaf").drop("leaf")
-    small = cut_lineage(_centre_cells(boxes, deepest).join(leaves, CELL).select(*CELL, "box"), "small")
+    chain = _centre_cells(boxes, deepest).join(tree, CELL)
+    small = cut_lineage(chain.where(~F.col("split") | (F.col("level") == F.col("own"))).select(*CELL, "box"), "small")
     # from the root down: a box enters the occupied cells it touches, and their children where they are split
     reached = boxes.withColumns({"level": F.lit(0), "cx": F.lit(0), "cy": F.lit(0)})
     large = None
     for level in range(deepest + 1):
         met = cut_lineage(reached.join(tree.where(F.col("level") == level), CELL), "met")
-        part = met.where("leaf").select(*CELL, "box")
+        part = met.select(*CELL, "box")
         large = part if large is None else large.unionByName(part)
         two = lambda c, n: F.explode(F.array(F.col(c) * 2, F.col(c) * 2 + 1)).alias(n)
-        down = met.where("not leaf").select(*[c for c in boxes.columns], "cy", two("cx", "nx")).select(*boxes.columns, "nx", two("cy", "ny"))
+        down = met.where("split").select(*[c for c in boxes.columns], "cy", two("cx", "nx")).select(*boxes.columns, "nx", two("cy", "ny"))
         deeper = F.lit(level + 1)
         reached = down.where((F.col("nx") >= _at(F.col("lo_x"), deeper)) & (F.col("nx") <= _at(F.col("hi_x"), deeper))
                              & (F.col("ny") >= _at(F.col("lo_y"), deeper)) & (F.col("ny") <= _at(F.col("hi_y"), deeper))
@@ -153,7 +161,8 @@ def consolidate_crowded(visuals: DataFrame) -> DataFrame:
     pw, ph = F.col("page_width"), F.col("page_height")
     boxes = opened.unionByName(fixed).select(
         *PAGE_KEYS, _index(x + w / 2, pw).alias("mid_x"), _index(y + h / 2, ph).alias("mid_y"), _index(x, pw).alias("lo_x"), _index(x + w, pw).alias("hi_x"),
-        _index(y, ph).alias("lo_y"), _index(y + h, ph).alias("hi_y"), F.struct("at.z", "at.pos", *BOX, "open").alias("box"))
+        _index(y, ph).alias("lo_y"), _index(y + h, ph).alias("hi_y"),
+        F.least(_own_level(w, pw), _own_level(h, ph)).alias("own"), F.struct("at.z", "at.pos", *BOX, "open").alias("box"))
     placed = _placed(cut_lineage(boxes, "boxes"))
     is_open, kept = tuple(p.where("box.open") for p in placed), tuple(p.where("not box.open") for p in placed)
     absorbed = [later.select(*key)]

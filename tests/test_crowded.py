@@ -68,11 +68,13 @@ def test_one_place_and_jittered_stacks(spark):
 
 
 def test_a_crowded_cell_splits(spark):
-    boxes = spark.createDataFrame([(1, 1, i % 64, i // 64) for i in range(1000)], "model_id long, page_id long, mid_x int, mid_y int")
+    boxes = spark.createDataFrame([(1, 1, i % 64, i // 64, 12) for i in range(1000)], "model_id long, page_id long, mid_x int, mid_y int, own int")
     tree = crowded.quadtree(boxes)
-    assert tree.where("level = 0").first()["leaf"] is False
-    centres = crowded._centre_cells(boxes, crowded.MAX_LEVEL).join(tree.where("leaf").drop("leaf"), crowded.CELL)
+    assert tree.where("level = 0").first()["split"] is True
+    centres = crowded._centre_cells(boxes, crowded.MAX_LEVEL).join(tree.where("not split").drop("split"), crowded.CELL)
     assert centres.count() == 1000  # one leaf per centre
+    stacked = boxes.withColumn("own", F.lit(0))  # boxes of the page's size do not split it
+    assert crowded.quadtree(stacked).count() == 1
     assert centres.groupBy(*crowded.CELL).count().agg(F.max("count")).first()[0] <= crowded.CELL_LOAD
 
 
