@@ -101,7 +101,9 @@ def on_calendar(per_period: DataFrame, entity: Sequence[str], period: str, unit:
 
     ``per_period``: one row per entity and period (a date, the first of its
     unit).  The spine is generated per entity by ``sequence``; its length is
-    bounded by the calendar, not by the facts.
+    bounded by the calendar, not by the facts.  Joined by a merge: the size of
+    a packed file says little about the rows in it, and a broadcast of periods
+    would pass them all through the driver.
     """
     if unit not in ("day", "week", "month", "quarter", "year"):
         raise ValueError(f"unknown unit {unit}")
@@ -111,15 +113,18 @@ def on_calendar(per_period: DataFrame, entity: Sequence[str], period: str, unit:
     own = per_period.select(*[F.col(e).alias(f"_e{i}") for i, e in enumerate(entity)], F.col(period).alias("_p"),
                             *[c for c in per_period.columns if c not in (*entity, period)])
     same = null_safe([*((e, f"_e{i}") for i, e in enumerate(entity)), ("_at", "_p")])
-    return spine.join(own, same, "left").drop("_p", *[f"_e{i}" for i in range(len(entity))]).withColumnRenamed("_at", period)
+    return spine.join(own.hint("merge"), same, "left").drop("_p", *[f"_e{i}" for i in range(len(entity))]).withColumnRenamed("_at", period)
 
 
-def shifted_on_calendar(calendar: DataFrame, entity: Sequence[str], period: str, value: str, months: int, name: str) -> DataFrame:
-    """M28-M30 on a calendar: the value of the period ``months`` earlier (later if negative); blank where there is none."""
-    before = calendar.select(*[F.col(e).alias(f"_e{i}") for i, e in enumerate(entity)],
+def shifted_on_calendar(calendar: DataFrame, entity: Sequence[str], period: str, value: str, months: int, name: str, source: DataFrame | None = None) -> DataFrame:
+    """M28-M30 on a calendar: the value of the period ``months`` earlier (later if negative); blank where there is none.
+
+    ``source``: the calendar to look values up in, if ``calendar`` already has shifted values.
+    """
+    before = (calendar if source is None else source).select(*[F.col(e).alias(f"_e{i}") for i, e in enumerate(entity)],
                              F.add_months(period, months).alias("_p"), F.col(value).alias(name))
     same = null_safe([*((e, f"_e{i}") for i, e in enumerate(entity)), (period, "_p")])
-    return calendar.join(before, same, "left").drop("_p", *[f"_e{i}" for i in range(len(entity))])
+    return calendar.join(before.hint("merge"), same, "left").drop("_p", *[f"_e{i}" for i in range(len(entity))])
 
 
 def to_date_on_calendar(calendar: DataFrame, entity: Sequence[str], period: str, value: str, name: str) -> DataFrame:

@@ -306,10 +306,9 @@ def m27_m30_calendar(spark, sf_dir):
     from fleetcat.session import cut_lineage
     o = _t(spark, sf_dir, "orders")
     monthly = o.groupBy("o_custkey", F.trunc("o_orderdate", "month").alias("month")).agg(F.sum("o_totalprice").alias("total"))
-    calendar = cut_lineage(T.on_calendar(monthly, ["o_custkey"], "month"), "calendar")
+    calendar = cut_lineage(T.on_calendar(monthly.where(F.col("o_custkey").isNotNull()), ["o_custkey"], "month"), "calendar")
     rows = T.shifted_on_calendar(calendar, ["o_custkey"], "month", "total", 1, "prior_month")
-    rows = rows.join(T.shifted_on_calendar(calendar, ["o_custkey"], "month", "total", 12, "prior_year").select("o_custkey", "month", "prior_year"),
-                     ["o_custkey", "month"])
+    rows = T.shifted_on_calendar(rows, ["o_custkey"], "month", "total", 12, "prior_year", source=calendar)
     rows = T.to_date_on_calendar(rows, ["o_custkey"], "month", "total", "year_to_date")
     return rows.select("o_custkey", "month", *[F.round(c, 2).alias(c) for c in ("total", "prior_month", "prior_year", "year_to_date")])
 
