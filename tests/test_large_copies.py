@@ -30,3 +30,17 @@ def test_calendar_periods_are_not_broadcast(spark):
     assert "Broadcast" not in plan(out)
     got = {(r.e, r.p): r for r in out.collect()}
     assert all(r.month is None and (r.seven is None) == (r.v is None or r.v < 7) for r in got.values() if r.v is not None)
+
+
+def test_bloom_filters_of_small_models_are_small(spark, tmp_path):
+    rows = spark.range(400).select((F.col("id") % 40).alias("model_id"), F.concat(F.lit("n"), F.col("id").cast("string")).alias("name"))
+    path = sink.update_catalog(rows, str(tmp_path / "t"), ["name"])
+    files = stored(path)
+    assert spark.read.parquet(path).count() == 400 and sum(os.path.getsize(f) for f in files) < 8192 * len(files)
+
+
+def test_large_models_are_split(spark):
+    rows = spark.range(1000).select(F.when(F.col("id") < 900, F.lit(None).cast("int")).otherwise(F.col("id").cast("int")).alias("model_id"), "id")
+    dealt = sink._by_model(rows, "model_id", rows_a_task=100)
+    parts = dealt.withColumn("p", F.spark_partition_id()).groupBy("model_id").agg(F.count_distinct("p").alias("n"), F.count("id").alias("rows")).collect()
+    assert sum(r.rows for r in parts) == 1000 and all((r.n > 1) == (r.model_id is None) for r in parts)
