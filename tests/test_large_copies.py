@@ -44,3 +44,10 @@ def test_large_models_are_split(spark):
     dealt = sink._by_model(rows, "model_id", rows_a_task=100)
     parts = dealt.withColumn("p", F.spark_partition_id()).groupBy("model_id").agg(F.count_distinct("p").alias("n"), F.count("id").alias("rows")).collect()
     assert sum(r.rows for r in parts) == 1000 and all((r.n > 1) == (r.model_id is None) for r in parts)
+
+
+def test_pages_are_not_broadcast(spark):
+    files = [(1, "R.Report/definition/pages/a/page.json", '{"displayName":"A"}'), (1, "R.Report/definition/pages/a/visuals/v/visual.json", "{}")]
+    parsed = parse_layouts(spark.createDataFrame(files, "model_id int, path string, text string"), ["model_id"], "text", extra=["path"])
+    out = scan_page_documents(parsed, ["model_id"])
+    assert "Broadcast" not in plan(out) and [r.page_name for r in out.collect()] == ["A"]
