@@ -2,8 +2,8 @@
 
 ``functions.code.classify_source`` tries every rule on every text, one CASE
 branch per rule.  Here rules are a table.  Each rule is filed under the one of
-its grams (3 characters, or the whole of a shorter keyword) that the fewest
-rules have; each distinct text is exploded into its distinct grams, without the
+its grams that the fewest rules have, of the longest size of ``GRAMS`` that
+fits it (short grams alone would be shared by ever more rules); each distinct text is exploded into its distinct grams, without the
 text itself, and meets the rules filed there by an equi-join.  Only these pairs
 are checked with ``contains``.  The result equals trying all rules.
 """
@@ -17,6 +17,8 @@ from fleetcat.functions.code import classify_source
 from fleetcat.operators.search import GRAM, grams_of
 from fleetcat.session import cut_lineage
 
+GRAMS = (1, 2, 3, 6, 12, 24)  # a keyword is filed under grams of the longest of these sizes that fits it
+
 
 def first_rules(texts: DataFrame, text_col: str, rules: DataFrame) -> DataFrame:
     """(text, priority, keyword, category, connection_type) of the first matching rule of each distinct text that has one.
@@ -26,24 +28,28 @@ def first_rules(texts: DataFrame, text_col: str, rules: DataFrame) -> DataFrame:
     ones everything.
     """
     rule = ["priority", "keyword", "category", "connection_type"]
-    own = cut_lineage(rules.where(F.col("keyword").isNotNull()).select(*rule).distinct(), "rules")
+    first = F.min(F.struct("priority", "category", "connection_type"))  # of the rules of one keyword only the first can win
+    own = rules.where(F.col("keyword").isNotNull()).groupBy("keyword").agg(first.alias("r"))
+    own = cut_lineage(own.select("r.priority", "keyword", "r.category", "r.connection_type"), "rules")
     key = F.col("keyword")
-    size = F.least(F.length(key), F.lit(GRAM))
-    grams = F.when(size == 0, F.array(F.lit("")))
-    for n in range(1, GRAM + 1):
-        grams = grams.when(size == n, grams_of(key, [n]))
-    filed = own.select("keyword").distinct().select("keyword", F.explode(grams).alias("gram"))
+    size = F.length(key)
+    fits = F.lit(0)
+    for n in GRAMS:
+        fits = F.when(size >= n, F.lit(n)).otherwise(fits)
+    own_grams = F.when(fits == 0, F.array(F.lit(""))).otherwise(grams_of(key, [F.greatest(fits, F.lit(1))]))
+    filed = own.select("keyword", F.explode(own_grams).alias("gram"))
     shared = filed.groupBy("gram").agg(F.count(F.lit(1)).alias("n_rules"))
-    rarest = Window.partitionBy("keyword").orderBy("n_rules", "gram")  # the grams of one keyword
-    filed = cut_lineage(filed.join(shared, "gram").withColumn("k", F.row_number().over(rarest)).where("k = 1").select("keyword", "gram"), "rule-grams")
-    sizes = [r[0] for r in filed.select(F.length("gram").alias("n")).distinct().collect()]  # GRAM + 1 sizes at most
+    rarest = Window.partitionBy("keyword").orderBy("n_rules", F.length("gram").desc(), "gram")  # the grams of one keyword
+    filed = filed.join(shared.hint("merge"), "gram").withColumn("k", F.row_number().over(rarest)).where("k = 1").select("keyword", "gram")
+    filed = cut_lineage(filed, "rule-grams")
+    sizes = [r[0] for r in filed.select(F.length("gram").alias("n")).distinct().collect()]  # GRAMS and 0 at most
     every = texts.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text")).distinct()
-    every = cut_lineage(every.withColumn("digest", F.unhex(F.sha2("text", 256))), "rule-texts")
+    every = cut_lineage(every.withColumn("id", F.monotonically_increasing_id()), "rule-texts")
     gram = F.explode(F.concat(F.array(F.lit("")), grams_of(F.col("text"), [n for n in sizes if n])) if 0 in sizes else grams_of(F.col("text"), sizes or [GRAM]))
-    pairs = every.select("digest", gram.alias("gram")).join(filed, "gram").select("digest", "keyword")
-    found = pairs.join(every, "digest").where(F.col("text").contains(F.col("keyword"))).select("digest", "keyword").join(own, "keyword")
-    first = found.groupBy("digest").agg(F.min(F.struct(*rule)).alias("rule"))
-    return first.join(every, "digest").select("text", "rule.*")
+    # merges: the size of a packed file says little about its rows, a broadcast would pass them all through the driver
+    pairs = every.select("id", gram.alias("gram")).join(filed.hint("merge"), "gram").select("id", "keyword")
+    found = pairs.join(every.hint("merge"), "id").where(F.col("text").contains(F.col("keyword"))).select("text", "keyword")
+    return found.join(own.hint("merge"), "keyword").groupBy("text").agg(F.min(F.struct(*rule)).alias("rule")).select("text", "rule.*")
 
 
 def classify_by_rules(df: DataFrame, text_col: str, rules: DataFrame) -> DataFrame:
@@ -51,6 +57,6 @@ def classify_by_rules(df: DataFrame, text_col: str, rules: DataFrame) -> DataFra
     found = first_rules(df, text_col, rules).select(F.col("text").alias("_text"), F.col("category").alias("_c"), F.col("connection_type").alias("_t"))
     rest = classify_source(text_col, rules=())
     matched = F.col("_text").isNotNull()
-    return df.join(found, F.col(text_col) == F.col("_text"), "left") \
+    return df.join(found.hint("merge"), F.col(text_col) == F.col("_text"), "left") \
         .withColumn("category", F.when(matched, F.col("_c")).otherwise(rest["category"])) \
         .withColumn("connection_type", F.when(matched, F.col("_t")).otherwise(rest["connection_type"])).drop("_text", "_c", "_t")
