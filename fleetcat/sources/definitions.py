@@ -114,8 +114,21 @@ def write_definition_files(files: DataFrame, path: str | None = None) -> str:
     return path
 
 
-def scan_definition_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(model_id, file, file_path, line_no, line) from a folder of definition files."""
+def pack_definition_files(files: DataFrame, path: str) -> str:
+    """Write (model_id, file, value) as packs: a row is a whole definition file, a stored file holds many of them.
+
+    A fleet has a file per table; a stored file for each costs more in opening,
+    committing and listing than its few lines.
+    """
+    files.select("model_id", "file", "value").write.parquet(path)
+    return path
+
+
+def scan_definition_lines(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
+    """(model_id, file, file_path, line_no, line) from a folder of definition files, or of packs of them."""
+    if packed:
+        packs = spark.read.parquet(path).select("model_id", "file", F.col("_metadata.file_path").alias("file_path"), "value")
+        return lines_of(packs, ["model_id", "file", "file_path"])
     files = (spark.read.text(path, wholetext=True)
              .select(F.col("model_id").cast("long").alias("model_id"), "file",
                      F.col("_metadata.file_path").alias("file_path"), "value"))
