@@ -118,9 +118,10 @@ def pack_definition_files(files: DataFrame, path: str) -> str:
     """Write (model_id, file, value) as packs: a row is a whole definition file, a stored file holds many of them.
 
     A fleet has a file per table; a stored file for each costs more in opening,
-    committing and listing than its few lines.
+    committing and listing than its few lines.  A file ends with a line break,
+    as the text writer ends it.
     """
-    files.select("model_id", "file", "value").write.parquet(path)
+    files.select("model_id", "file", F.concat(F.coalesce("value", F.lit("")), F.lit("\n")).alias("value")).write.parquet(path)
     return path
 
 
