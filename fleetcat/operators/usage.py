@@ -71,7 +71,9 @@ def _bound_substrings(names: DataFrame, visuals: DataFrame) -> DataFrame:
     """
     prefixes = names.where(F.length("key") >= 2).select(
         "model_id", F.length("key").alias("n"), F.substring("key", 1, 2).alias("pre")).distinct()
-    fields = visuals.where(F.col("field").isNotNull()).select("model_id", F.lower("field").alias("f")).distinct()
+    # a model without names finds none: its fields are left out before they are cut up
+    fields = visuals.where(F.col("field").isNotNull()).join(names.select("model_id").distinct(), "model_id", "left_semi")
+    fields = fields.select("model_id", F.lower("field").alias("f")).distinct()
     starts = fields.select("model_id", "f", F.explode(F.sequence(F.lit(1), F.greatest(F.length("f") - 1, F.lit(1)))).alias("p"))
     long = (starts.select("model_id", "f", "p", F.expr("substring(f, p, 2)").alias("pre"))
             .join(prefixes, ["model_id", "pre"])
