@@ -6,30 +6,31 @@ with it come the entries above it.
 
 The index is written once and answers many queries in one join:
 
-* ``labels``: the distinct lower-cased labels with their grams of 1 to 3
-  characters (and the empty gram, which every label has).  A label of n
-  characters has 3n + 1 postings at most.
-* ``grams``: how many labels have each gram.
+* ``labels``: the distinct lower-cased labels, posted once per character under
+  the GRAM characters from there on (fewer at the end).
+* ``grams``: how many postings each gram has.
 * ``entries``: every entry with its label.
 
-A query is looked up by its rarest grams (``LOOKUPS`` at most) of the longest
-size that fits it; labels with all of them are candidates and are checked with
-``contains``, so the result is exact.
+A query is looked up by its rarest gram; one shorter than a gram by the grams
+that it begins.  A posting is tried once per distinct (gram, offset, length) of
+the queries: the text of that length at that place is joined to the queries, so
+work follows postings and matches, never queries times postings.  A label's
+first match of a text counts, so each (query, label) comes once.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetcat.functions.common import py_strip
 from fleetcat.functions.names import is_system_table
 from fleetcat.operators.scope import source_sections
+from fleetcat.session import cut_lineage
 
 GRAM = 3
-LOOKUPS = 3
 
 # titles of the documentation's sections (fixed values)
 SOURCES, QUERIES, MEASURES, COLUMNS, PAGES, GROUPS = (
@@ -57,10 +58,8 @@ def catalog_entries(measures: DataFrame, columns: DataFrame, partitions: DataFra
 
 
 def _with_ancestors(df: DataFrame, *columns: str) -> DataFrame:
-    """One row per prefix of ``path``; ``own`` marks the whole path if it is asked for."""
-    size = F.size("path")
-    return df.withColumn("n", F.explode(F.sequence(F.lit(1), size))).withColumn("own", F.col("n") == size) \
-        .withColumn("path", F.slice("path", F.lit(1), F.col("n"))).select(*columns)
+    """One row per prefix of ``path``."""
+    return df.withColumn("n", F.explode(F.sequence(F.lit(1), F.size("path")))).withColumn("path", F.slice("path", F.lit(1), F.col("n"))).select(*columns)
 
 
 def grams_of(text: Column, sizes) -> Column:
@@ -82,19 +81,33 @@ class SearchIndex:
 
 
 def build_index(entries: DataFrame, path: str) -> SearchIndex:
-    """Write the index of ``entries`` (model_id, path, label, ...) below ``path``."""
+    """Write the index of ``entries`` (model_id, path, label, ...; with the entries above them) below ``path``."""
     spark = entries.sparkSession
     index = SearchIndex(path.rstrip("/"))
     entries.withColumn("lower_label", F.lower("label")).write.mode("overwrite").parquet(f"{index.path}/entries")
     labels = index.table(spark, "entries").where("lower_label is not null").select("lower_label").distinct()
-    sizes = range(1, GRAM + 1)
-    postings = labels.select(F.explode(F.concat(F.array(F.lit("")), grams_of(F.col("lower_label"), sizes))).alias("gram"), "lower_label")
-    # sorted by gram: a gram's labels lie together, and a lookup skips the other row groups
-    postings.repartitionByRange("gram", "lower_label").sortWithinPartitions("gram", "lower_label").write.mode("overwrite").parquet(f"{index.path}/labels")
+    at = F.explode(F.sequence(F.lit(1), F.greatest(F.length("lower_label"), F.lit(1)))).alias("at")
+    postings = labels.select("lower_label", at).select(F.substring("lower_label", F.col("at"), F.lit(GRAM)).alias("gram"), "at", "lower_label")
+    # sorted by gram: a lookup skips the other row groups of a file
+    postings.sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{index.path}/labels")
     index.table(spark, "labels").groupBy("gram").agg(F.count(F.lit(1)).alias("n_labels")).write.mode("overwrite").parquet(f"{index.path}/grams")
     return index
 
 
+def _lookups(index: SearchIndex, asked: DataFrame) -> DataFrame:
+    """(query, text, gram, offset, n): where each text is looked up, by its rarest gram or the grams that it begins."""
+    grams = index.table(asked.sparkSession, "grams")
+    n = F.length("text")
+    texts = asked.select("text", n.alias("n")).distinct()
+    parts = texts.where(F.col("n") >= GRAM).select("text", "n", F.explode(F.sequence(F.lit(0), F.col("n") - GRAM)).alias("offset"))
+    parts = parts.withColumn("gram", F.substring("text", F.col("offset") + 1, F.lit(GRAM))).join(grams, "gram", "left")
+    rarest = parts.groupBy("text", "n").agg(F.min(F.struct(F.coalesce("n_labels", F.lit(0)).alias("n_labels"), "offset", "gram")).alias("best"))
+    begun = grams.select("gram", F.explode(F.array_distinct(F.array(*[F.substring("gram", 1, k) for k in range(GRAM)]))).alias("text"))
+    short = texts.where(F.col("n") < GRAM).join(begun, "text").select("text", "gram", F.lit(0).alias("offset"), "n")
+    places = rarest.select("text", "best.gram", "best.offset", "n").unionByName(short)
+    return asked.join(places, "text").select("query", "text", "gram", "offset", "n")
+
+
 def search(index: SearchIndex, queries: DataFrame, query_col: str = "query") -> DataFrame:
     """(query, model_id, path, label, is_match) of the entries that match each distinct query, and of the entries above them.
 
@@ -103,18 +116,17 @@ def search(index: SearchIndex, queries: DataFrame, query_col: str = "query") ->
     """
     spark = queries.sparkSession
     asked = queries.where(F.col(query_col).isNotNull()).select(F.col(query_col).alias("query")).distinct().withColumn("text", F.lower(py_strip(F.col("query"))))
-    text = F.col("text")
-    size = F.least(F.length(text), F.lit(GRAM))
-    grams = F.when(size == 0, F.array(F.lit("")))
-    for n in range(1, GRAM + 1):
-        grams = grams.when(size == n, grams_of(text, [n]))
-    parts = asked.select("query", "text", F.explode(grams).alias("gram")).join(index.table(spark, "grams"), "gram", "left")
-    rarest = Window.partitionBy("query").orderBy(F.coalesce("n_labels", F.lit(0)), "gram")  # the grams of one query
-    parts = parts.withColumn("k", F.row_number().over(rarest)).where(F.col("k") <= LOOKUPS)
-    parts = parts.withColumn("need", F.max("k").over(Window.partitionBy("query")))
-    found = parts.join(index.table(spark, "labels"), "gram").groupBy("query", "text", "need", "lower_label").agg(F.count(F.lit(1)).alias("have"))
-    found = found.where((F.col("have") == F.col("need")) & F.col("lower_label").contains(F.col("text"))).select("query", "lower_label")
-    hits = found.join(index.table(spark, "entries"), "lower_label").select("query", "model_id", "path")
-    rows = _with_ancestors(hits, "query", "model_id", "path", "own")
-    return rows.groupBy("query", "model_id", "path").agg(F.max("own").alias("is_match")) \
-        .select("query", "model_id", "path", F.element_at("path", -1).alias("label"), "is_match")
+    # written, so that their sizes are known where the joins with the postings are planned
+    lookups = cut_lineage(_lookups(index, asked), "lookups")
+    places = cut_lineage(lookups.select("gram", "offset", "n").distinct(), "places")
+    label, first, n = F.col("lower_label"), F.col("first"), F.col("n")
+    tried = index.table(spark, "labels").join(places, "gram").withColumn("first", F.col("at") - F.col("offset"))
+    tried = tried.where((first >= 1) & (first + n - 1 <= F.length(label))).withColumn("text", F.substring(label, first, n))
+    tried = tried.where(F.instr(label, F.col("text")) == first)
+    found = tried.join(lookups, ["gram", "offset", "n", "text"]).select("query", "text", "lower_label")
+    hits = found.join(index.table(spark, "entries"), "lower_label").select("query", "text", "model_id", "path")
+    above = _with_ancestors(hits.where(F.size("path") > 1).withColumn("path", F.slice("path", F.lit(1), F.size("path") - 1)), "query", "text", "model_id", "path")
+    # an entry above that matches too is among the hits
+    above = above.distinct().where(~F.coalesce(F.lower(F.element_at("path", -1)).contains(F.col("text")), F.lit(False)))
+    rows = hits.withColumn("is_match", F.lit(True)).unionByName(above.withColumn("is_match", F.lit(False)))
+    return rows.select("query", "model_id", "path", F.element_at("path", -1).alias("label"), "is_match")
