@@ -18,6 +18,7 @@ from fleetcat.functions.names import well_label, well_of, with_clean_field_name
 
 UNUSED_LISTED = 10
 MORE_SUFFIX = " … and {n} more"
+FIELD_SHARES = 16  # shares that a model's fields are dealt into (a tuning knob)
 
 
 def visual_description(vtype, title) -> F.Column:
@@ -64,22 +65,26 @@ def sorted_usage(usage: DataFrame) -> DataFrame:
 def _bound_substrings(names: DataFrame, visuals: DataFrame) -> DataFrame:
     """Distinct (model_id, key) substrings of bound fields that could equal a measure name of the model.
 
-    Exact candidate generation, pruned by an equi-join: a start position p of
-    field f is kept for length n only when the two characters at p begin some
-    name of length n in the model.  Names of one character meet the field's
-    characters; the empty name occurs in every field.
+    Exact candidate generation: a start position p of field f is kept for
+    length n only when the two characters at p begin some name of length n in
+    the model.  A field meets its model's name starts as one map before it is
+    cut up, so no position is shuffled; a model's fields are dealt into shares,
+    so that a model with much of the table is not one task's.  Only models with
+    names of one or no character look at the field's characters (the empty name
+    occurs in every field).
     """
-    prefixes = names.where(F.length("key") >= 2).select(
-        "model_id", F.length("key").alias("n"), F.substring("key", 1, 2).alias("pre")).distinct()
+    starts = names.where(F.length("key") >= 2).groupBy("model_id", F.substring("key", 1, 2).alias("pre")).agg(F.collect_set(F.length("key")).alias("ns"))
+    starts = starts.groupBy("model_id").agg(F.map_from_entries(F.collect_list(F.struct("pre", "ns"))).alias("starts"))
+    starts = starts.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(FIELD_SHARES - 1))))
+    fields = visuals.where(F.col("model_id").isNotNull() & F.col("field").isNotNull()).select("model_id", F.lower("field").alias("f")).distinct()
     # a model without names finds none: its fields are left out before they are cut up
-    fields = visuals.where(F.col("field").isNotNull()).join(names.select("model_id").distinct(), "model_id", "left_semi")
-    fields = fields.select("model_id", F.lower("field").alias("f")).distinct()
-    starts = fields.select("model_id", "f", F.explode(F.sequence(F.lit(1), F.greatest(F.length("f") - 1, F.lit(1)))).alias("p"))
-    long = (starts.select("model_id", "f", "p", F.expr("substring(f, p, 2)").alias("pre"))
-            .join(prefixes, ["model_id", "pre"])
+    at = F.explode(F.sequence(F.lit(1), F.greatest(F.length("f") - 1, F.lit(1)))).alias("p")
+    long = (fields.withColumn("share", F.pmod(F.hash("f"), F.lit(FIELD_SHARES))).join(starts, ["model_id", "share"]).select("model_id", "f", "starts", at)
+            .select("model_id", "f", "p", F.explode(F.col("starts")[F.expr("substring(f, p, 2)")]).alias("n"))
             .where(F.col("p") + F.col("n") - 1 <= F.length("f"))
             .select("model_id", F.expr("substring(f, p, n)").alias("key")))
-    short = fields.select("model_id", F.explode(F.array_append(F.split("f", ""), F.lit(""))).alias("key"))
+    tiny = names.where(F.length("key") <= 1).select("model_id").distinct()
+    short = fields.join(tiny, "model_id", "left_semi").select("model_id", F.explode(F.array_append(F.split("f", ""), F.lit(""))).alias("key"))
     return long.unionByName(short).distinct()
 
 

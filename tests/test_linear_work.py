@@ -13,3 +13,11 @@ def test_search_tries_postings_once_per_place(spark, tmp_path):
     got = search.search(index, spark.createDataFrame([(x,) for x in asked], "query string")).collect()
     want = {(x, label) for x in asked for label in labels if x.strip() in label}
     assert {(r.query, r.label) for r in got} == want and len(got) == len(want) and all(r.is_match for r in got)
+
+
+def test_names_meet_fields_before_they_are_cut_up(spark):
+    """Characters of fields are listed only for models with names of one character."""
+    names = spark.createDataFrame([(1, "total"), (1, "tot"), (2, "x")], "model_id long, key string")
+    visuals = spark.createDataFrame([(1, "Sum: Total"), (1, "to"), (2, "Ax"), (2, None), (3, "total")], "model_id long, field string")
+    found = {tuple(r) for r in usage._bound_substrings(names, visuals).collect()}
+    assert found == {(1, "total"), (1, "tot"), (2, "a"), (2, "x"), (2, "")}
