@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,9 +17,13 @@ def col_of(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# the same code points as characters, for trimming without a pattern
+_SPACES = "".join(chr(c) for first, last in re.findall(r"\\x\{(\w+)\}(?:-\\x\{(\w+)\})?", WHITE_SPACE) for c in range(int(first, 16), int(last or first, 16) + 1))
+
+
 def py_strip(c) -> Column:
     """Strip leading and trailing white space of every kind, Unicode's included."""
-    return F.regexp_replace(col_of(c), f"^[{WHITE_SPACE}]+|[{WHITE_SPACE}]+$", "")
+    return F.btrim(col_of(c), F.lit(_SPACES))
 
 
 def contains_any(c, needles) -> Column:

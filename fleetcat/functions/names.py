@@ -56,6 +56,7 @@ VISUAL_LABELS = (
 AGG_WRAPPERS = ("Sum", "Count", "Min", "Max", "Average", "Agg")
 
 _WELL_ALT = "|".join(w for w, _ in WELL_LABELS)
+_AGG = rf"(?id)^(?:{'|'.join(AGG_WRAPPERS)})\((.+)\)$"
 
 
 def _map_lit(pairs) -> Column:
@@ -88,8 +89,7 @@ def safe_id(name) -> Column:
 def well_of(raw) -> Column:
     """Role prefix of a raw field string ('Values' when none)."""
     c = col_of(raw)
-    w = F.regexp_extract(c, rf"^({_WELL_ALT}): ", 1)
-    return F.when(w == "", F.lit("Values")).otherwise(w)
+    return F.when(_has_well(c), F.substring_index(c, ": ", 1)).when(c.isNotNull(), F.lit("Values"))
 
 
 def well_label(well) -> Column:
@@ -110,6 +110,59 @@ def is_measure_field(raw) -> Column:
     return c.contains("Agg(") | c.contains("Measure")
 
 
+# The steps of P12.  Each asks by plain string functions whether a pattern can match, and runs the pattern only then.
+
+def _has_well(c: Column) -> Column:
+    """A role and ': ' lead the text (no role holds ': ', so the first one ends it)."""
+    return c.contains(": ") & F.substring_index(c, ": ", 1).isin(*[w for w, _ in WELL_LABELS])
+
+
+def _drop_well(c: Column) -> Column:
+    return F.when(_has_well(c), F.substring(c, F.length(F.substring_index(c, ": ", 1)) + 3, F.length(c))).otherwise(c)
+
+
+def _after_arrow(s: Column) -> Column:
+    # arrows that share a space are split from the left
+    return F.when(s.contains(" -> -> "), F.element_at(F.split(s, " -> "), -1)).otherwise(F.substring_index(s, " -> ", -1))
+
+
+def _bracket(s: Column) -> Column:
+    """The first bracket's content ('' when there is none)."""
+    inner = F.substring(s, F.length(F.substring_index(s, "[", 1)) + 2, F.length(s))
+    return (F.when(~s.contains("["), F.lit("")).when(s.contains("[]"), F.regexp_extract(s, r"\[([^\]]+)\]", 1))
+            .when(inner.contains("]"), F.substring_index(inner, "]", 1)).when(s.isNotNull(), F.lit("")))
+
+
+def _resolved(s: Column, after: Column, bracket: Column) -> Column:
+    return F.when(s.contains(" -> "), F.when(bracket != "", bracket).otherwise(after)).otherwise(s)
+
+
+def _unwrapped(s: Column, inner: Column) -> Column:
+    bracket = _bracket(inner)
+    return F.when(s.contains("(") & s.rlike(_AGG), F.when(bracket != "", bracket).otherwise(inner)).otherwise(s)
+
+
+def _agg_inner(s: Column) -> Column:
+    return F.when(s.contains("("), F.regexp_extract(s, _AGG, 1)).when(s.isNotNull(), F.lit(""))
+
+
+def _balanced(s: Column) -> Column:
+    """Without trailing ')' that nothing opens."""
+    n_close = F.length(s) - F.length(F.replace(s, F.lit(")"), F.lit("")))
+    n_open = F.length(s) - F.length(F.replace(s, F.lit("("), F.lit("")))
+    trailing = F.length(F.regexp_extract(s, r"(\)*)$", 1))
+    cut = F.greatest(F.lit(0), F.least(trailing, n_close - n_open))
+    return F.when(s.contains(")"), F.substring(s, F.lit(1), F.length(s) - cut)).otherwise(s)
+
+
+def _drop_alias(s: Column) -> Column:
+    """Without one or two digits at the end that follow another character ('$' also matches before a last line break)."""
+    last = F.substring(s, -1, 1)
+    long_number = (F.length(s) >= 3) & (F.translate(F.substring(s, -3, 3), "0123456789", "") == "")
+    may_end = last.between("0", "9") & ~long_number | last.isin(*"\n\r\x85\u2028\u2029")
+    return F.when(may_end, F.regexp_replace(s, r"(\D)(\d{1,2})$", "$1")).otherwise(s)
+
+
 def clean_field_name(raw) -> Column:
     """Readable field name from a raw 'Role: name -> Entity[Field]' string.
 
@@ -118,32 +171,17 @@ def clean_field_name(raw) -> Column:
     aggregate wrapper; drop trailing unbalanced ')'; drop a one- or two-digit
     alias suffix after a non-digit; strip whitespace.
     """
-    agg_re = rf"(?id)^(?:{'|'.join(AGG_WRAPPERS)})\((.+)\)$"
-
-    def resolve(s):
-        resolved = F.element_at(F.split(s, " -> "), -1)
-        bracket = F.regexp_extract(resolved, r"\[([^\]]+)\]", 1)
-        return F.when(s.contains(" -> "), F.when(bracket != "", bracket).otherwise(resolved)).otherwise(s)
-
-    def last_dotted(s):
-        return F.when(s.contains("."), F.element_at(F.split(s, r"\."), -1)).otherwise(s)
-
-    def unwrap_agg(s):
-        inner = F.regexp_extract(s, agg_re, 1)
-        inner_br = F.regexp_extract(inner, r"\[([^\]]+)\]", 1)
-        return F.when(s.rlike(agg_re), F.when(inner_br != "", inner_br).otherwise(inner)).otherwise(s)
-
-    def drop_unbalanced(s):
-        n_close = F.length(s) - F.length(F.replace(s, F.lit(")"), F.lit("")))
-        n_open = F.length(s) - F.length(F.replace(s, F.lit("("), F.lit("")))
-        trailing = F.length(F.regexp_extract(s, r"(\)*)$", 1))
-        cut = F.greatest(F.lit(0), F.least(trailing, n_close - n_open))
-        return F.substring(s, F.lit(1), F.length(s) - cut)
-
-    s = F.regexp_replace(col_of(raw).cast("string"), rf"^({_WELL_ALT}): ", "")
-    for step in (resolve, last_dotted, unwrap_agg, drop_unbalanced):
+    steps = (
+        _drop_well,
+        lambda s: let(_after_arrow(s), lambda after: _resolved(s, after, _bracket(after))),
+        lambda s: F.substring_index(s, ".", -1),
+        lambda s: let(_agg_inner(s), lambda inner: _unwrapped(s, inner)),
+        _balanced,
+        _drop_alias,
+    )
+    s = col_of(raw).cast("string")
+    for step in steps:
         s = let(s, step)
-    s = F.regexp_replace(s, r"(\D)(\d{1,2})$", "$1")
     return py_strip(s)
 
 
@@ -161,25 +199,16 @@ def with_clean_field_name(df, src: str, out: str):
     apart when a non-trivial value is reused, so nothing is recomputed and no
     higher-order function is needed.  Prefer this form on large tables.
     """
-    agg_re = rf"(?id)^(?:{'|'.join(AGG_WRAPPERS)})\((.+)\)$"
     t = [f"__cf{i}_{out}" for i in range(6)]
-    s0 = F.col(t[0])
-    df = df.withColumn(t[0], F.regexp_replace(F.col(src).cast("string"), rf"^({_WELL_ALT}): ", ""))
-    resolved = F.element_at(F.split(s0, " -> "), -1)
-    df = df.withColumn(t[5], resolved)
-    bracket = F.regexp_extract(F.col(t[5]), r"\[([^\]]+)\]", 1)
-    df = df.withColumn(t[1], F.when(s0.contains(" -> "), F.when(bracket != "", bracket).otherwise(F.col(t[5]))).otherwise(s0))
-    s1 = F.col(t[1])
-    df = df.withColumn(t[2], F.when(s1.contains("."), F.element_at(F.split(s1, r"\."), -1)).otherwise(s1))
-    s2 = F.col(t[2])
-    df = df.withColumn(t[5], F.regexp_extract(s2, agg_re, 1))
-    inner = F.col(t[5])
-    inner_br = F.regexp_extract(inner, r"\[([^\]]+)\]", 1)
-    df = df.withColumn(t[3], F.when(s2.rlike(agg_re), F.when(inner_br != "", inner_br).otherwise(inner)).otherwise(s2))
-    s3 = F.col(t[3])
-    n_close = F.length(s3) - F.length(F.replace(s3, F.lit(")"), F.lit("")))
-    n_open = F.length(s3) - F.length(F.replace(s3, F.lit("("), F.lit("")))
-    trailing = F.length(F.regexp_extract(s3, r"(\)*)$", 1))
-    df = df.withColumn(t[4], F.substring(s3, F.lit(1), F.length(s3) - F.greatest(F.lit(0), F.least(trailing, n_close - n_open))))
-    df = df.withColumn(out, py_strip(F.regexp_replace(F.col(t[4]), r"(\D)(\d{1,2})$", "$1")))
+    s, tmp = F.col(t[0]), F.col(t[5])
+    df = df.withColumn(t[0], F.col(src).cast("string"))
+    df = df.withColumn(t[0], _drop_well(s))
+    df = df.withColumn(t[5], _after_arrow(s))
+    df = df.withColumn(t[1], _bracket(tmp))
+    df = df.withColumn(t[2], F.substring_index(_resolved(s, tmp, F.col(t[1])), ".", -1))
+    s = F.col(t[2])
+    df = df.withColumn(t[5], _agg_inner(s))
+    df = df.withColumn(t[3], _unwrapped(s, tmp))
+    df = df.withColumn(t[4], _balanced(F.col(t[3])))
+    df = df.withColumn(out, py_strip(_drop_alias(F.col(t[4]))))
     return df.drop(*t)

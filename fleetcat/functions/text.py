@@ -43,7 +43,8 @@ def redact_secrets(text) -> Column:
 
 def escape_html(text) -> Column:
     """Redact unquoted ``key=value`` then HTML-escape; null -> ''."""
-    s = F.regexp_replace(col_of(text).cast("string"), ESCAPE_REDACT, "$1***")
+    s = col_of(text).cast("string")
+    s = F.when(s.contains("="), F.regexp_replace(s, ESCAPE_REDACT, "$1***")).otherwise(s)
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         s = F.replace(s, F.lit(a), F.lit(b))
     return F.coalesce(s, F.lit(""))

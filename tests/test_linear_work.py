@@ -21,3 +21,14 @@ def test_names_meet_fields_before_they_are_cut_up(spark):
     visuals = spark.createDataFrame([(1, "Sum: Total"), (1, "to"), (2, "Ax"), (2, None), (3, "total")], "model_id long, field string")
     found = {tuple(r) for r in usage._bound_substrings(names, visuals).collect()}
     assert found == {(1, "total"), (1, "tot"), (2, "a"), (2, "x"), (2, "")}
+
+
+def test_field_names_without_needless_patterns(spark):
+    rows = [("Values: Sum(p.x) -> Agg(p[Measure 120])", "Measure 120"), ("Y2: a[][b]c", "a[][b]c"), ("X -> a[][b]c", "b"), ("q -> -> z", "-> z"), ("Y: n7\n", "n"),
+            ("Agg(t[Total Sales 12])", "Total Sales"), ("Count(p.q))", "q"), ("sum(x)", "x"), ("\u3000Size\x85", "Size"), ("Axis: ", ""), ("", ""), (None, None)]
+    df = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(rows)], "i int, s string")
+    out = N.with_clean_field_name(df, "s", "flat").withColumn("bound", N.clean_field_name("s"))
+    got = out.orderBy("i").collect()
+    assert [(r.flat, r.bound) for r in got] == [(want, want) for _, want in rows]
+    plan = df.select(N.well_of("s"), N.py_strip("s"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan
