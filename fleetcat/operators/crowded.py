@@ -24,10 +24,10 @@ stay; a null z is 0.  ``pos`` is unique within a page.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetcat.operators.layout import ABSORBABLE_TYPES, COVER_THRESHOLD, PAGE_KEYS, overlap_pairs
+from fleetcat.operators.layout import ABSORBABLE_TYPES, COVER_THRESHOLD, PAGE_KEYS, flat_visuals, overlap_pairs, page_rows, settle_pages
 from fleetcat.session import cut_lineage
 
 CELL_LOAD = 64  # centres a cell holds before it splits (a tuning knob)
@@ -39,13 +39,7 @@ CELL = [*PAGE_KEYS, "level", "cx", "cy"]
 
 def box_classes(visuals: DataFrame) -> DataFrame:
     """``visuals`` with ``class_pos``: the smallest pos of the page's elements with the same box (null-safe)."""
-    classes = visuals.groupBy(*PAGE_KEYS, *BOX).agg(F.min("pos").alias("class_pos"))
-    keys = [*PAGE_KEYS, *BOX]
-    named = classes.select("class_pos", *[F.col(c).alias(f"_{c}") for c in keys])
-    same = F.lit(True)
-    for c in keys:
-        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return visuals.join(named, same).drop(*[f"_{c}" for c in keys])
+    return visuals.withColumn("class_pos", F.min("pos").over(Window.partitionBy(*PAGE_KEYS, *BOX)))
 
 
 def overlap_classes(visuals: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -145,7 +139,21 @@ def _of(placed, ids: DataFrame, how: str):
 
 
 def consolidate_crowded(visuals: DataFrame) -> DataFrame:
-    """J8 for pages of any load: ``visuals`` with ``absorbed``; equal to ``consolidate_layers``."""
+    """J8 for pages of any load: ``visuals`` with ``absorbed``; equal to ``consolidate_layers``.
+
+    A page that its tree would hold in one cell is one row and walked there.
+    """
+    def boxes(items):
+        placed = F.filter(items, lambda v: (v["width"] > 0) & (v["height"] > 0) & v["x"].isNotNull() & v["y"].isNotNull())
+        return F.transform(placed, lambda v: F.struct(F.coalesce(v["z"], F.lit(0.0)).alias("z"), *[v[c].alias(c) for c in ("pos", *BOX)],
+                                                      F.coalesce(F.lower(v["type"]).isin(*ABSORBABLE_TYPES), F.lit(False)).alias("absorbable")))
+
+    pages = page_rows(visuals, boxes)
+    settled, larger = settle_pages(pages.where("small"), visuals.columns), pages.where("not small")
+    return settled if larger.isEmpty() else settled.unionByName(_consolidate_by_tree(flat_visuals(larger, visuals.columns)))
+
+
+def _consolidate_by_tree(visuals: DataFrame) -> DataFrame:
     key = [*PAGE_KEYS, "pos"]
     visuals = cut_lineage(visuals, "visuals")
     v = visuals.select(*key, F.coalesce("z", F.lit(0.0)).alias("z"), *BOX, "page_width", "page_height",

@@ -14,9 +14,11 @@ from fleetcat.plans.registry import register
 from fleetcat.sources.fixtures import catalog, oracle_ctes
 
 
-def _visuals(spark, sf_dir):
+def _visuals(spark, sf_dir, *columns):
+    """Type and geometry of the visuals with their page's size, and ``columns`` (nothing else is shuffled and written)."""
     cat = catalog(spark, sf_dir, "cat_visuals", "cat_pages")
-    return visuals_with_page(cat["cat_visuals"], cat["cat_pages"])
+    v = visuals_with_page(cat["cat_visuals"], cat["cat_pages"])
+    return v.select(*layout.PAGE_KEYS, "pos", "type", "x", "y", "width", "height", "z", "page_width", "page_height", *columns)
 
 
 _V_SQL = """
@@ -114,4 +116,4 @@ select model_id, page_id, pos,
 from lab
 """))
 def w1_w2_wireframe(spark, sf_dir):
-    return layout.wireframe(layout.consolidate_layers(_visuals(spark, sf_dir)))
+    return layout.wireframe(layout.consolidate_layers(_visuals(spark, sf_dir, "title")))
