@@ -173,8 +173,9 @@ def with_total_except(grouped: DataFrame, kept: Sequence[str], value: str, name:
     return grouped.withColumn(name, F.sum(value).over(Window.partitionBy(*kept)))
 
 
-def totals_in_contexts(df: DataFrame, keys: Sequence[str], measures: dict[str, Column], contexts: dict[str, Sequence[str]]) -> DataFrame:
-    """Measures per ``keys``, each beside its total in several filter contexts, from one scan.
+def totals_in_contexts(df: DataFrame, keys: Sequence[str], measures: dict[str, Column], contexts: dict[str, Sequence[str]],
+                       distinct: dict[str, str | Column] | None = None) -> DataFrame:
+    """Measures per ``keys``, each beside its total in several filter contexts.
 
     ``contexts`` names, per context, the keys whose filters stay: all but one
     is ALLEXCEPT, none is ALL.  One aggregate over grouping sets (an Expand
@@ -183,26 +184,62 @@ def totals_in_contexts(df: DataFrame, keys: Sequence[str], measures: dict[str, C
     aggregated rows are written once; each context's rows are joined back to
     the detail on its own keys (null keys are values).
 
+    ``distinct`` counts the distinct values of a column (nulls are none) like
+    ``count_distinct`` among the measures, which sends a row per value and
+    context through the shuffle; here a value is one row of bits, see
+    ``_distinct_in_contexts``, at the price of one more scan per column.
+
     Result: keys, measures, and ``<measure>_<context>`` per context.
     """
-    keys = list(keys)
+    keys, distinct = list(keys), distinct or {}
     kept = {name: [k for k in keys if k in set(cols)] for name, cols in contexts.items()}
     sets = list(dict.fromkeys(tuple(c) for c in [tuple(keys), *map(tuple, kept.values())]))
     rows = df.groupingSets([list(s) for s in sets], *keys).agg(F.grouping_id(*keys).alias("_set"), *[c.alias(m) for m, c in measures.items()])
-    rows = cut_lineage(rows, "contexts")
+    rows = cut_lineage(rows.withColumn("_id", F.monotonically_increasing_id()), "contexts")
     mask = {s: sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in s) for s in sets}  # a set bit: the key is rolled up
-    out = rows.where(F.col("_set") == 0).drop("_set")
+    if distinct:
+        rows = _distinct_in_contexts(df, rows, keys, mask, distinct)
+    out = rows.where(F.col("_set") == 0).drop("_set", "_id")
     for name, cols in kept.items():
-        total = rows.where(F.col("_set") == mask[tuple(cols)])
-        total = total.select(*[F.col(k).alias(f"_{name}_{k}") for k in cols], *[F.col(m).alias(f"{m}_{name}") for m in measures])
-        if cols:
-            out = out.join(total, null_safe((k, f"_{name}_{k}") for k in cols)).drop(*[f"_{name}_{k}" for k in cols])
-        else:
-            for m in measures:
-                out = out.withColumn(f"{m}_{name}", total.select(f"{m}_{name}").scalar())
+        out = _beside(out, rows.where(F.col("_set") == mask[tuple(cols)]), cols, {m: f"{m}_{name}" for m in [*measures, *distinct]})
     return out
 
 
+def _beside(detail: DataFrame, total: DataFrame, cols: Sequence[str], names: dict[str, str]) -> DataFrame:
+    """``detail`` with columns (old name -> new) of the row of ``total`` that has its values of ``cols``."""
+    if not cols:
+        return detail.withColumns({new: total.select(c).scalar() for c, new in names.items()})
+    total = total.select(*[F.col(k).alias(f"_of_{k}") for k in cols], *[F.col(c).alias(new) for c, new in names.items()])
+    return detail.join(total, null_safe((k, f"_of_{k}") for k in cols)).drop(*[f"_of_{k}" for k in cols])
+
+
+def _distinct_in_contexts(df: DataFrame, rows: DataFrame, keys: Sequence[str], mask: dict[tuple, int], distinct: dict[str, str | Column]) -> DataFrame:
+    """``rows`` (one per context and keys, numbered by ``_id``) with the exact distinct counts of columns of ``df``.
+
+    The rows of all contexts are bits, 64 to a block.  A row of ``df`` sets the
+    bits of its detail row and of that row's totals; a value's bits are or-ed
+    per block, so the shuffle carries one row per value and block, combined
+    before it, however many contexts there are.  Counts are the sums of the bits.
+    """
+    sets = list(mask)
+    ids = rows.where(F.col("_set") == 0).select(*keys, F.col("_id").alias("_id0"))
+    for i, cols in enumerate(sets[1:], 1):
+        ids = _beside(ids, rows.where(F.col("_set") == mask[cols]), cols, {"_id": f"_id{i}"})
+    bits = ids.select(*keys, F.explode(F.array(*[f"_id{i}" for i in range(len(sets))])).alias("_id"))
+    bits = bits.groupBy(*keys, F.shiftright("_id", 6).alias("_block")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_id & 63 as int))")).alias("_bits"))
+    places = bits.groupBy(*keys).agg(F.collect_list(F.struct("_block", "_bits")).alias("_places"))  # one item per context at most
+    places = cut_lineage(places.withColumnsRenamed({k: f"_of_{k}" for k in keys}), "places")
+    for name, c in distinct.items():
+        facts = df.select(*keys, col_of(c).alias("_value")).where(F.col("_value").isNotNull())
+        placed = facts.join(places, null_safe((k, f"_of_{k}") for k in keys))
+        values = placed.select("_value", F.inline("_places")).groupBy("_value", "_block").agg(F.bit_or("_bits").alias("_bits"))
+        sums = values.groupBy("_block").agg(F.array(*[F.sum(F.bit_get("_bits", F.lit(i))) for i in range(64)]).alias("_sums"))
+        counts = sums.select("_block", F.posexplode("_sums").alias("_bit", "_n"))
+        counts = counts.where(F.col("_n") > 0).select((F.col("_block") * 64 + F.col("_bit")).alias("_id"), F.col("_n").alias(name))
+        rows = rows.join(counts, "_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return cut_lineage(rows, "contexts")
+
+
 def values(df: DataFrame, *cols: str) -> DataFrame:
     """M16 VALUES: each unique value (combination)."""
     return df.select(*cols).distinct()

@@ -198,8 +198,8 @@ from d join f using (l_returnflag) join g using (l_linestatus, l_linenumber), a"
 def m12_m13_m14(spark, sf_dir):
     rows = M.totals_in_contexts(
         _t(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus", "l_linenumber"],
-        {"quantity": F.sum("l_quantity"), "orders": F.count_distinct("l_orderkey")},
-        {"flag": ["l_returnflag"], "rest": ["l_linestatus", "l_linenumber"], "all": []})
+        {"quantity": F.sum("l_quantity")},
+        {"flag": ["l_returnflag"], "rest": ["l_linestatus", "l_linenumber"], "all": []}, distinct={"orders": "l_orderkey"})
     share = lambda c: F.round(F.col("quantity") / F.col(c), 6)
     return rows.select("l_returnflag", "l_linestatus", "l_linenumber", F.round("quantity", 2).alias("quantity"), "orders",
                        share("quantity_flag").alias("share_of_flag"), share("quantity_rest").alias("share_without_flag"),

@@ -108,6 +108,35 @@ def test_totals_in_contexts(spark):
             assert (r["s" + name], r["m" + name], r["d" + name]) == (sum(mine), max(mine), len(set(mine)))
 
 
+def test_distinct_counts_in_contexts(spark, monkeypatch):
+    """Null keys and values, a value in most rows, more than 64 rows of contexts; values are never multiplied by the contexts."""
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([*range(40), None]), rng.choice([None, "hot", "hot", str(rng.randrange(60))]), rng.random()) for _ in range(900)]
+    rows.append(("c", 99, None, 0.5))
+    plans, cut = [], M.cut_lineage
+    monkeypatch.setattr(M, "cut_lineage", lambda df, name: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), cut(df, name))[1])
+    got = M.totals_in_contexts(spark.createDataFrame(rows, "k string, l int, v string, x double"), ["k", "l"], {"m": F.max("x")},
+                               {"k": ["k"], "l": ["l"], "all": []}, distinct={"d": "v", "e": F.upper("v")}).collect()
+    assert len(got) == len({r[:2] for r in rows}) > 64
+    for r in got:
+        for name, keep in (("", (0, 1)), ("_k", (0,)), ("_l", (1,)), ("_all", ())):
+            mine = [x for x in rows if all(x[i] == (r.k, r.l)[i] for i in keep)]
+            n = len({x[2] for x in mine} - {None})
+            assert (r["m" + name], r["d" + name], r["e" + name]) == (max(x[3] for x in mine), n, n)
+    expands = [line for plan in plans for line in plan.splitlines() if "Expand" in line]
+    assert expands and not any(" v#" in line or "[v#" in line for line in expands)
+
+
+def test_contexts_query_shuffles_no_order_per_context(spark, sf_small, monkeypatch):
+    from fleetcat.plans.registry import QUERIES, load_all
+    load_all()
+    plans, cut = [], M.cut_lineage
+    monkeypatch.setattr(M, "cut_lineage", lambda df, name: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), cut(df, name))[1])
+    QUERIES["M12_M13_M14_contexts"](spark, sf_small)
+    expands = [line for plan in plans for line in plan.splitlines() if "Expand" in line]
+    assert expands and not any("l_orderkey" in line for line in expands)
+
+
 def test_distinct_counts_roll_up(spark):
     rng = random.Random(5)
     values = [None, 0, 1, -1, 32767, 32768, 32769, -32768, -32769, 2**40, -2**40, 2**62, *[rng.randrange(-10**6, 10**6) for _ in range(300)]]
