@@ -45,9 +45,10 @@ def measure_usage(measures: DataFrame, visuals: DataFrame, pages: DataFrame,
     m = m.where(F.col("name").isNotNull()).select("model_id", F.col("name").alias("measure"),
                                                    F.lower("name").alias("key")).distinct()
     v = with_clean_field_name(visuals_with_page(visuals, pages), "field", "clean")
-    # a non-nullable key keeps Catalyst from inferring an isnotnull filter that would re-inline the cleaner
+    # Catalyst traces join keys back to their tables by inlining every projection on the way (pruning and runtime filters), which
+    # multiplies the cleaner's steps; a generator ends the trace.  A non-nullable key keeps it from inferring an isnotnull filter.
     uses = (v.select("model_id", "page_name", visual_description("type", "title").alias("visual"),
-                     F.coalesce(F.lower("clean"), F.lit("")).alias("key"))
+                     F.explode(F.array(F.coalesce(F.lower("clean"), F.lit("")))).alias("key"))
             .distinct())
     return m.join(uses, ["model_id", "key"]).select("model_id", "measure", "page_name", "visual").distinct()
 
